@@ -70,33 +70,32 @@ ARGUMENT_PATTERN = _alternatives(ARGUMENT_UNITS) + "|[|$()]"
 VALUE_PATTERN = _alternatives(VALUE_UNITS) + "|[()\\[\\]{}]"
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
+
+
 def _argument_unit_map() -> Column:
-    entries = []
-    for unit, (slots, receiver, type_text) in ARGUMENT_UNITS.items():
-        entries.append(F.lit(unit))
-        entries.append(
-            F.struct(
-                F.lit(slots).alias("slots"),
-                F.lit(receiver).alias("receiver"),
-                F.lit(type_text).alias("type"),
-                F.lit(unit in ("O!", "O&")).alias("resolved"),
-            )
-        )
-    return F.create_map(*entries)
+    """Unit table as one literal map, folded to a constant by the optimizer."""
+    entries = [
+        f"{_quoted(unit)}, named_struct('slots', {slots}, 'receiver', {receiver}, 'type', {_quoted(type_text)}, "
+        f"'resolved', {str(unit in ('O!', 'O&')).lower()})"
+        for unit, (slots, receiver, type_text) in ARGUMENT_UNITS.items()
+    ]
+    return F.expr(f"map({', '.join(entries)})")
 
 
 def _value_unit_map() -> Column:
-    entries = []
-    for unit, (slots, members) in VALUE_UNITS.items():
-        entries.append(F.lit(unit))
-        entries.append(
-            F.struct(
-                F.lit(slots).alias("slots"),
-                F.array(*[F.lit(m) for m in members]).alias("members"),
-                F.lit(members == [ANY]).alias("resolved"),
-            )
-        )
-    return F.create_map(*entries)
+    entries = [
+        f"{_quoted(unit)}, named_struct('slots', {slots}, 'members', array({', '.join(map(_quoted, members))}), "
+        f"'resolved', {str(members == [ANY]).lower()})"
+        for unit, (slots, members) in VALUE_UNITS.items()
+    ]
+    return F.expr(f"map({', '.join(entries)})")
+
+
+def _with_units(tokens: Column, units: Column) -> Column:
+    """Array of struct(token, unit) so that each token is looked up once."""
+    return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.try_element_at(units, t).alias("unit")))
 
 
 def format_body(fmt: Column | str) -> Column:
@@ -111,13 +110,12 @@ def format_tokens(fmt: Column | str) -> Column:
 
 def tokenize_format(fmt: Column | str) -> Column:
     """Array of struct(unit, slots, type); markers have no slots and no type."""
-    units = _argument_unit_map()
     return F.transform(
-        format_tokens(fmt),
-        lambda token: F.struct(
-            token.alias("unit"),
-            F.coalesce(F.try_element_at(units, token)["slots"], F.lit(0)).alias("slots"),
-            F.try_element_at(units, token)["type"].alias("type"),
+        _with_units(format_tokens(fmt), _argument_unit_map()),
+        lambda item: F.struct(
+            item["token"].alias("unit"),
+            F.coalesce(item["unit"]["slots"], F.lit(0)).alias("slots"),
+            item["unit"]["type"].alias("type"),
         ),
     )
 
@@ -217,7 +215,6 @@ def parse_format_arguments(fmt: Column | str, slots: Column | str, names: Column
     imply, and the default literal. Missing facts degrade to ``object`` and ``...``.
     """
     fmt, slots = col_of(fmt), col_of(slots)
-    units = _argument_unit_map()
     start = F.struct(
         F.lit(0).alias("slot"),
         F.lit(0).alias("section"),
@@ -235,9 +232,9 @@ def parse_format_arguments(fmt: Column | str, slots: Column | str, names: Column
         rest = F.slice(counts, 2, F.greatest(F.size(counts) - 1, F.lit(0)))
         return F.when(F.size(counts) > 0, F.concat(F.array(F.element_at(counts, 1) + 1), rest)).otherwise(counts)
 
-    def step(acc: Column, token: Column) -> Column:
+    def step(acc: Column, item: Column) -> Column:
+        token, unit = item["token"], item["unit"]
         counts, depth = acc["counts"], F.size(acc["counts"])
-        unit = F.try_element_at(units, token)
         is_unit = unit.isNotNull()
         opens, closes = token == "(", token == ")"
         receiver = F.try_element_at(slots, acc["slot"] + unit["receiver"] + 1)
@@ -302,7 +299,8 @@ def parse_format_arguments(fmt: Column | str, slots: Column | str, names: Column
         )
 
     error = check_format(fmt, F.size(slots), names)
-    args = F.aggregate(format_tokens(fmt), start, step, lambda acc: acc["args"])
+    items = _with_units(format_tokens(fmt), _argument_unit_map())
+    args = F.aggregate(items, start, step, lambda acc: acc["args"])
     return F.struct(F.when(error.isNull(), args).alias("args"), error.alias("error"))
 
 
@@ -314,7 +312,6 @@ def value_format_type(fmt: Column | str, arg_types: Column | str | None = None)
     """
     fmt = col_of(fmt)
     given = F.array().cast("array<string>") if arg_types is None else col_of(arg_types)
-    units = _value_unit_map()
     leftover = F.regexp_replace(F.regexp_replace(fmt, VALUE_PATTERN, ""), "[ \\t,:]", "")
     tokens = F.regexp_extract_all(fmt, F.lit("(" + VALUE_PATTERN + ")"), F.lit(1))
     items_type = "array<array<string>>"
@@ -331,8 +328,8 @@ def value_format_type(fmt: Column | str, arg_types: Column | str | None = None)
         flat = canonical_members(F.flatten(chosen))
         return F.when(F.size(flat) == 0, F.lit(ANY)).otherwise(F.array_join(flat, " | "))
 
-    def step(acc: Column, token: Column) -> Column:
-        unit = F.try_element_at(units, token)
+    def step(acc: Column, item: Column) -> Column:
+        token, unit = item["token"], item["unit"]
         opens = token.isin("(", "[", "{")
         closes = token.isin(")", "]", "}")
         expected = F.when(acc["kind"] == "(", ")").when(acc["kind"] == "[", "]").when(acc["kind"] == "{", "}")
@@ -392,7 +389,7 @@ def value_format_type(fmt: Column | str, arg_types: Column | str | None = None)
         )
         return F.struct(F.when(error.isNull(), text).alias("type"), error.alias("error"))
 
-    folded = F.aggregate(tokens, start, step, finish)
+    folded = F.aggregate(_with_units(tokens, _value_unit_map()), start, step, finish)
     unknown = F.when(leftover != "", F.concat(F.lit("unknown unit: "), leftover))
     return F.struct(
         F.when(unknown.isNull(), folded["type"]).alias("type"), F.coalesce(unknown, folded["error"]).alias("error")

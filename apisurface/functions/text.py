@@ -133,7 +133,9 @@ CPP_TYPES = {
 
 
 def literal_map(values: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    """Small fixed table as one literal map, folded to a constant by the optimizer."""
+    quoted = ["'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for pair in values.items() for x in pair]
+    return F.expr(f"map({', '.join(quoted)})")
 
 
 def cpp_return_type(text: Column | str, types: Mapping[str, str] = CPP_TYPES) -> Column:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from apisurface.functions.text import WHITESPACE, col_of, strip
+from apisurface.functions.text import col_of, strip
 
 ANY = "typing.Any"
+NEVER = "Never"
 _CLOSERS = {"(": ")", "[": "]", "{": "}", "<": ">"}
 
 
@@ -77,9 +78,9 @@ def union_members(text: Column | str) -> Column:
 def canonical_members(members: Column | str, drop_none: bool = False) -> Column:
     """Flat members of a union: distinct, sorted, only ``typing.Any`` when that occurs.
 
-    Null and empty members stand for Never and vanish.
+    ``Never``, null and empty members vanish.
     """
-    known = F.filter(col_of(members), lambda m: m.isNotNull() & (m != ""))
+    known = F.filter(col_of(members), lambda m: m.isNotNull() & ~m.isin("", NEVER))
     if drop_none:
         known = F.filter(known, lambda m: m != "None")
     return F.when(F.array_contains(known, ANY), F.array(F.lit(ANY))).otherwise(F.array_sort(F.array_distinct(known)))
@@ -97,12 +98,21 @@ def union_of_texts(texts: Column | str, drop_none: bool = False) -> Column:
     return union_text(members, drop_none)
 
 
+def type_imports(text: Column | str) -> Column:
+    """Sorted modules a type text refers to: its dotted names without the last part."""
+    bare = F.regexp_replace(col_of(text), "\"[^\"]*\"", "")
+    dotted = F.regexp_extract_all(bare, F.lit("((?:[A-Za-z_]\\w*\\.)+)[A-Za-z_]\\w*"), F.lit(1))
+    modules = F.transform(dotted, lambda d: F.regexp_replace(d, "(\\.core)?\\.$", ""))
+    return F.array_sort(F.array_distinct(modules))
+
+
 __all__ = [
     "ANY",
-    "WHITESPACE",
+    "NEVER",
     "canonical_members",
     "let",
     "split_top_level",
+    "type_imports",
     "union_members",
     "union_of_texts",
     "union_text",

@@ -30,14 +30,15 @@ def skew_join(
     how: str = "left",
     salts: int = SALTS,
     share: float = HEAVY_SHARE,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Equi join whose heavy left keys are spread over ``salts`` tasks each.
 
     Only the right rows of heavy keys are replicated. All rows are kept; ``how`` may be
-    inner, left, left_semi or left_anti.
+    inner, left, left_semi or left_anti. ``heavy`` may hand in heavy keys found before.
     """
     on = list(on)
-    heavy = heavy_keys(left, on, share).withColumn("_heavy", F.lit(True))
+    heavy = (heavy_keys(left, on, share) if heavy is None else heavy).withColumn("_heavy", F.lit(True))
     row_hash = F.xxhash64(*[c for c, t in left.dtypes if not t.startswith(("map", "variant"))])
     # Rows with a null key match nothing, so they are spread as well.
     spread = F.coalesce(F.col("_heavy"), F.lit(False))
