@@ -46,10 +46,11 @@ def skew_join(
         spread = spread | F.col(key).isNull()
     salt = F.when(spread, F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
     salted_left = left.join(F.broadcast(heavy), on, "left").withColumn("_salt", salt).drop("_heavy")
-    replicas = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    every, first = F.expr(f"sequence(0L, {salts - 1}L)"), F.expr("array(0L)")
+    replicas = F.when(F.col("_heavy"), every).otherwise(first)
     salted_right = (
         right.join(F.broadcast(heavy), on, "left")
-        .withColumn("_salt", F.explode(replicas).cast("bigint"))
+        .withColumn("_salt", F.explode(replicas))
         .drop("_heavy")
     )
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
@@ -78,8 +79,10 @@ def order_bucket(df: DataFrame, name: str) -> Column:
     """Order-keeping bucket of column ``name``, chosen by its type."""
     data_type = df.schema[name].dataType
     value = F.col(name)
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        return F.floor(F.unix_micros(value.cast("timestamp")) / F.lit(3_600_000_000)).cast("int")
+    if isinstance(data_type, T.TimestampType):
+        return F.floor(F.unix_micros(value) / F.lit(3_600_000_000)).cast("int")
+    if isinstance(data_type, T.TimestampNTZType):
+        return F.unix_date(value.cast("date")) * 24 + F.hour(value)
     if isinstance(data_type, T.DateType):
         return F.unix_date(value)
     if isinstance(data_type, T.NumericType):

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apisurface import schemas as S
-from apisurface.functions.text import blank_to_null, strip
+from apisurface.functions.text import blank_to_null, decode_ignoring, join_path, strip
 from apisurface.operators.sets import missing_columns
+from apisurface.operators.windows import with_ordinal
 
 REQUIRED_TEXT = [
     "function_id", "module_name", "function_name", "provider",
@@ -96,15 +97,20 @@ def read_measurements(spark: SparkSession, paths: str | Sequence[str], source: s
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     names = S.column_names(S.MEASUREMENTS)
-    # Columns are found by the header of each file, so files are grouped by nothing but their schema.
-    raw = None
+    by_header: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        one = spark.read.csv(path, header=True, multiLine=True, escape='"')
-        absent = missing_columns(one, names)
+        header = spark.read.csv(path, header=True, escape='"')
+        absent = missing_columns(header, names)
         if absent:
             raise ValueError(f"{path} lacks columns: {', '.join(absent)}")
-        one = one.select(*names, F.col("_metadata.file_path").alias(source))
-        raw = one if raw is None else raw.unionByName(one)
+        by_header.setdefault(tuple(header.columns), []).append(path)
+    # Files of one header are one scan; a deviating file below a folder fails the header check.
+    raw = None
+    for header, same in by_header.items():
+        schema = ", ".join(f"`{c}` string" for c in header)
+        scan = spark.read.schema(schema).csv(same, header=True, multiLine=True, escape='"', enforceSchema=False)
+        part = scan.select(*names, F.col("_metadata.file_path").alias(source))
+        raw = part if raw is None else raw.unionByName(part)
     if raw is None:
         raise ValueError("no measurement files given")
     return raw.select(
@@ -142,7 +148,7 @@ def read_compile_commands(spark: SparkSession, path: str) -> DataFrame:
     # The reader keeps the order of the array within its one file.
     numbered = raw.select(
         F.monotonically_increasing_id().alias("pos"),
-        "file",
+        join_path("directory", "file").alias("file"),
         "directory",
         F.coalesce("arguments", F.split("command", " +")).alias("arguments"),
     )
@@ -157,10 +163,10 @@ def read_ranked(spark: SparkSession, path: str, n: int, row_schema: str = "proje
     return ranked.select("rank", "row.*")
 
 
-def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        text = [bytes(b).decode("utf-8", errors="ignore") for b in batch["content"]]
-        yield pd.DataFrame({"path": batch["path"], "text": text})
+def corpus_texts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, text) of binary files outside ``.git``; invalid UTF-8 bytes are left out."""
+    kept = files.where(~F.contains(path, F.lit("/.git/")))
+    return kept.select(F.col(path).alias("path"), decode_ignoring(F.col(content)).alias("text"))
 
 
 def read_source_corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -171,9 +177,8 @@ def read_source_corpus(spark: SparkSession, root: str) -> DataFrame:
         .option("ignoreCorruptFiles", True)
         .option("ignoreMissingFiles", True)
         .load(root)
-        .where(~F.contains("path", F.lit("/.git/")))
     )
-    return files.select("path", "content").mapInPandas(_decoded, "path string, text string")
+    return corpus_texts(files)
 
 
 def _definitions(body: list, owners: tuple[str, ...]) -> Iterator[tuple[str, str, str, int]]:
@@ -227,12 +232,15 @@ def read_reference_stubs(spark: SparkSession, root: str) -> DataFrame:
     checked = per_module.where(
         F.when(F.col("files") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
     )
-    functions = checked.mapInPandas(
+    return stub_signatures(checked)
+
+
+def stub_signatures(files: DataFrame) -> DataFrame:
+    """One row per function of stub texts (module_name, value), in file order."""
+    functions = files.select("module_name", "value").mapInPandas(
         _stub_functions,
         "module_name string, class_path string, function_name string, position int, text string, line int",
     )
-    from apisurface.operators.windows import with_ordinal
-
     numbered = with_ordinal(functions, ["module_name", "class_path", "function_name"], ["position"])
     return numbered.select(
         "module_name", "class_path", "function_name", F.col("ordinal").cast("int").alias("ordinal"), "text", "line"
