@@ -113,7 +113,7 @@ def locate_ranges(
     level = F.when(F.col("_high").isNull(), F.lit(open_level)).otherwise(
         F.greatest(
             F.lit(0),
-            F.ceil(F.log(F.lit(float(fan)), F.greatest(span, F.lit(1.0)) / F.lit(float(bin_width * fan)))).cast("int"),
+            F.ceil(F.log(float(fan), F.greatest(span, F.lit(1.0)) / F.lit(float(bin_width * fan)))).cast("int"),
         )
     )
     width = F.when(F.col("_level") == open_level, F.lit(None).cast("double")).otherwise(

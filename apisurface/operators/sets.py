@@ -11,6 +11,9 @@ from apisurface.session import cut_lineage
 from apisurface.skew import heavy_keys, skew_join
 
 
+COMPACT_EVERY = 16
+
+
 def combine_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """All rows of both tables in one schema."""
     return a.unionByName(b)
@@ -39,16 +42,18 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
 def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
     """Nodes reachable from the roots, roots included.
 
-    Each round joins the frontier with the edges, spreading heavy sources, and drops visited nodes. A
-    round is cut from its lineage in the shared checkpoint folder. The loop ends when nothing new
+    Each round joins the frontier with the edges, spreading heavy sources, and drops visited nodes. The
+    new frontier is cut from its lineage in the shared checkpoint folder. The loop ends when nothing new
     appears, so cycles are allowed; the number of rounds is the depth of the graph.
     """
     links = edges.select(F.col(src).alias(node), F.col(dst).alias("_next")).where(F.col(dst).isNotNull())
     heavy = cut_lineage(heavy_keys(links, [node]))
-    visited = cut_lineage(roots.select(F.col(roots.columns[0]).alias(node)).distinct())
-    frontier = visited
+    frontier = cut_lineage(roots.select(F.col(roots.columns[0]).alias(node)).distinct())
+    visited, rounds = frontier, 0
     while not frontier.isEmpty():
         found = skew_join(links, frontier, [node], "inner", heavy=heavy).select(F.col("_next").alias(node)).distinct()
         frontier = cut_lineage(found.join(visited, node, "left_anti"))
-        visited = cut_lineage(visited.unionByName(frontier))
+        visited, rounds = visited.unionByName(frontier), rounds + 1
+        if rounds % COMPACT_EVERY == 0:
+            visited = cut_lineage(visited)
     return visited

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apisurface import schemas as S
-from apisurface.skew import last_before, order_bucket, running_sum, value_bucket
+from apisurface.skew import last_before, order_bucket, running_sum, running_sums, value_bucket
 
 
 def last_definition(
@@ -92,15 +92,14 @@ def with_markers(
     def flag(value: str) -> Column:
         return F.when(F.col(kind) == value, 1).otherwise(0)
 
-    rows = args
-    for name, value, current in (
-        ("_others", 1 - flag(S.POSITIONAL_ONLY), True),
-        ("_leading", flag(S.POSITIONAL_ONLY), False),
-        ("_keyword", flag(S.KEYWORD_ONLY), True),
-        ("_variadic", flag(S.VAR_POSITIONAL), False),
-        ("_position", F.lit(1), True),
-    ):
-        rows = running_sum(rows, by, order, value, name, include_current=current, bucket=bucket)
+    sums = {
+        "_others": (1 - flag(S.POSITIONAL_ONLY), True),
+        "_leading": (flag(S.POSITIONAL_ONLY), False),
+        "_keyword": (flag(S.KEYWORD_ONLY), True),
+        "_variadic": (flag(S.VAR_POSITIONAL), False),
+        "_position": (F.lit(1), True),
+    }
+    rows = running_sums(args, by, order, sums, bucket)
     size = args.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
     same = F.lit(True)
     for name in by:
@@ -134,10 +133,10 @@ def with_section(
     bucket: Column | None = None,
 ) -> DataFrame:
     """Section of each token: required, optional after the first ``|``, keyword_only after ``$``."""
-    rows = running_sum(tokens, list(by), list(order), F.when(optional, 1).otherwise(0), "optional_marks", bucket=bucket)
-    marks = F.lit(0)
+    sums = {"optional_marks": (F.when(optional, 1).otherwise(0), True)}
     if keyword is not None:
-        rows = running_sum(rows, list(by), list(order), F.when(keyword, 1).otherwise(0), "keyword_marks", bucket=bucket)
-        marks = F.col("keyword_marks")
+        sums["keyword_marks"] = (F.when(keyword, 1).otherwise(0), True)
+    rows = running_sums(tokens, list(by), list(order), sums, bucket)
+    marks = F.lit(0) if keyword is None else F.col("keyword_marks")
     section = F.when(marks > 0, F.lit("keyword_only")).when(F.col("optional_marks") > 0, F.lit("optional"))
     return rows.withColumn("section", section.otherwise(F.lit("required")))

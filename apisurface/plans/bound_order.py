@@ -277,18 +277,17 @@ def ud1(t):
 
 
 _SNAPSHOTS = """
-    a AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey % 10 <> 0),
-    b AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 11 <> 0)
+    a AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_type <> 'PROMO'),
+    b AS (SELECT p_partkey, p_brand, CASE WHEN starts_with(p_name, 'red') THEN p_size + 1 ELSE p_size END AS p_size
+          FROM part WHERE p_brand <> 'Brand#3')
 """
 
 
 def part_diff(t):
-    """Two versions of the part catalog that differ by key, and their comparison."""
-    key = F.col("p_partkey")
-    a = t.part.where(key % 10 != 0).select("p_partkey", "p_brand", "p_size")
-    b = t.part.where(key % 11 != 0).select(
-        "p_partkey", "p_brand", F.when(key % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("p_size")
-    )
+    """Two versions of the part catalog: one lacks a type, the other a brand and has grown parts."""
+    a = t.part.where(F.col("p_type") != "PROMO").select("p_partkey", "p_brand", "p_size")
+    grown = F.when(F.startswith("p_name", F.lit("red")), F.col("p_size") + 1).otherwise(F.col("p_size"))
+    b = t.part.where(F.col("p_brand") != "Brand#3").select("p_partkey", "p_brand", grown.alias("p_size"))
     return V.diff_catalogs(a, b, ["p_partkey"], ["p_size"], carry=["p_brand"])
 
 

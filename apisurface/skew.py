@@ -96,7 +96,7 @@ def _with_parts(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame
     return df.withColumn("_part", F.struct(*[F.col(k) for k in keys], bucket.alias("_bucket")))
 
 
-def _offsets(totals: DataFrame, keys: Sequence[str], carried: Column, name: str) -> DataFrame:
+def _carried(totals: DataFrame, keys: Sequence[str], carries: dict[str, Column]) -> DataFrame:
     """Carry of all earlier buckets of the same key; one row per (key, bucket)."""
     groups = [F.col("_part").getField(k) for k in keys]
     before = (
@@ -104,37 +104,52 @@ def _offsets(totals: DataFrame, keys: Sequence[str], carried: Column, name: str)
         .orderBy(F.col("_part").getField("_bucket").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return totals.select("_part", carried.over(before).alias(name))
+    return totals.select("_part", *[carry.over(before).alias(name) for name, carry in carries.items()])
 
 
-def running_sum(
+def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    value: Column,
-    out: str,
-    include_current: bool = True,
+    sums: dict[str, tuple[Column, bool]],
     bucket: Column | None = None,
 ) -> DataFrame:
-    """Running sum per key in ``order``, computed per (key, bucket) plus a carry.
+    """Running sums per key in ``order``, computed per (key, bucket) plus a carry.
 
-    No task sorts a whole key: rows are shuffled by (key, bucket) once, and only one row per
-    bucket takes part in the window over the key. ``bucket`` must keep the first order column's order.
+    ``sums`` maps a new column to its value and whether the current row counts. No task sorts a whole
+    key: rows are shuffled by (key, bucket) once, and only one row per bucket takes part in the window
+    over the key. ``bucket`` must keep the first order column's order.
     """
-    end = 0 if include_current else -1
     parts = _with_parts(df, keys, order_bucket(df, order[0]) if bucket is None else bucket)
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    totals = parts.groupBy("_part").agg(F.sum(value).alias("_total"))
-    offsets = _offsets(totals, keys, F.sum("_total"), "_offset")
+    inside = Window.partitionBy("_part").orderBy(*order)
+    totals = parts.groupBy("_part").agg(*[F.sum(v).alias(f"_total_{n}") for n, (v, _) in sums.items()])
+    carries = _carried(totals, keys, {f"_carry_{n}": F.sum(f"_total_{n}") for n in sums})
     zero = F.lit(0)
-    return (
-        parts.withColumn("_inside", F.sum(value).over(inside))
-        .join(offsets, "_part", "left")
-        .withColumn(out, F.coalesce(F.col("_inside"), zero) + F.coalesce(F.col("_offset"), zero))
-        .drop("_part", "_inside", "_offset")
+
+    def local(value: Column, include_current: bool) -> Column:
+        frame = inside.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+        return F.coalesce(F.sum(value).over(frame), zero)
+
+    running = parts.select("*", *[local(v, current).alias(f"_inside_{n}") for n, (v, current) in sums.items()])
+    return running.join(carries, "_part", "left").select(
+        *df.columns,
+        *[(F.col(f"_inside_{n}") + F.coalesce(F.col(f"_carry_{n}"), zero)).alias(n) for n in sums],
     )
 
 
+def running_sum(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    out: str,
+    include_current: bool = True,
+    bucket: Column | None = None,
+) -> DataFrame:
+    """One running sum; see ``running_sums``."""
+    return running_sums(df, keys, order, {out: (value, include_current)}, bucket)
+
+
 def last_before(
     df: DataFrame,
     keys: Sequence[str],
@@ -149,7 +164,7 @@ def last_before(
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     position = F.when(F.col("_value").isNotNull(), F.struct(*order))
     totals = parts.groupBy("_part").agg(F.max_by("_value", position).alias("_total"))
-    offsets = _offsets(totals, keys, F.last("_total", ignorenulls=True), "_carry")
+    offsets = _carried(totals, keys, {"_carry": F.last("_total", ignorenulls=True)})
     return (
         parts.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
         .join(offsets, "_part", "left")
