@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from apisurface import schemas as S
 from apisurface.functions.text import col_of
-from apisurface.functions.types import ANY, canonical_members, union_members
+from apisurface.functions.types import ANY, canonical_members, let, union_members
 
 _STR_BUFFER = "str | collections.abc.Buffer"
 _TEXT_LIKE = "str | bytes | bytearray"
@@ -301,7 +301,7 @@ def parse_format_arguments(fmt: Column | str, slots: Column | str, names: Column
     error = check_format(fmt, F.size(slots), names)
     items = _with_units(format_tokens(fmt), _argument_unit_map())
     args = F.aggregate(items, start, step, lambda acc: acc["args"])
-    return F.struct(F.when(error.isNull(), args).alias("args"), error.alias("error"))
+    return let(error, lambda e: F.struct(F.when(e.isNull(), args).alias("args"), e.alias("error")))
 
 
 def value_format_type(fmt: Column | str, arg_types: Column | str | None = None) -> Column:
@@ -391,6 +391,5 @@ def value_format_type(fmt: Column | str, arg_types: Column | str | None = None)
 
     folded = F.aggregate(_with_units(tokens, _value_unit_map()), start, step, finish)
     unknown = F.when(leftover != "", F.concat(F.lit("unknown unit: "), leftover))
-    return F.struct(
-        F.when(unknown.isNull(), folded["type"]).alias("type"), F.coalesce(unknown, folded["error"]).alias("error")
-    )
+    failed = F.struct(F.lit(None).cast("string").alias("type"), unknown.alias("error"))
+    return F.when(unknown.isNotNull(), failed).otherwise(folded)

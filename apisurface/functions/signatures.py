@@ -222,11 +222,15 @@ def parse_delimited_signature(text: Column | str, types: Mapping[str, str] = PAR
         .when(bad_param, F.lit("parameter is malformed"))
         .when(bad_type, F.lit("parameter type is malformed"))
     )
-    return F.struct(
-        F.nullif(F.regexp_extract(text, _SIGNATURE, 1), F.lit("")).alias("name"),
-        F.when(error.isNull() & ~hidden, args).alias("args"),
-        hidden.alias("hidden"),
-        error.alias("error"),
+    name = F.nullif(F.regexp_extract(text, _SIGNATURE, 1), F.lit(""))
+    return let(
+        error,
+        lambda e: F.struct(
+            name.alias("name"),
+            F.when(e.isNull() & ~hidden, args).alias("args"),
+            hidden.alias("hidden"),
+            e.alias("error"),
+        ),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apisurface.functions.text import col_of, strip
@@ -19,6 +19,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def evaluate_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and projections use without evaluating it again.
+
+    The optimizer inlines a projected expression into every place that refers to it; it does not
+    do so across a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def split_top_level(text: Column | str, delimiter: str) -> Column:
     """Struct(parts, error): text split at ``delimiter`` outside brackets and quotes.
 
@@ -110,6 +119,7 @@ __all__ = [
     "ANY",
     "NEVER",
     "canonical_members",
+    "evaluate_once",
     "let",
     "split_top_level",
     "type_imports",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from apisurface import schemas as S
 from apisurface.functions.text import col_of, strip
+from apisurface.functions.types import let
 
 
 def parse_verdict(text: Column | str, codes: Sequence[str] = S.VERDICT_CODES, dimensions: Sequence[str] = S.DIMENSIONS) -> Column:
@@ -16,21 +17,24 @@ def parse_verdict(text: Column | str, codes: Sequence[str] = S.VERDICT_CODES, di
 
     The answer must be a JSON object whose fields are strings, codes from the set, reasons not blank.
     """
-    value = F.try_parse_json(col_of(text))
     fields = [f"{d}_{part}" for d in dimensions for part in ("code", "reason")]
 
-    def field(name: str) -> Column:
-        raw = F.try_variant_get(value, f"$.{name}", "variant")
-        is_text = F.schema_of_variant(raw) == "STRING"
-        return F.when(is_text, strip(F.try_variant_get(value, f"$.{name}", "string")))
+    def read(value: Column) -> Column:
+        def field(name: str) -> Column:
+            is_text = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant")) == "STRING"
+            return F.when(is_text, strip(F.try_variant_get(value, f"$.{name}", "string")))
 
-    values = {name: field(name) for name in fields}
-    is_object = F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
-    problems = [F.when(~F.coalesce(is_object, F.lit(False)), F.lit("not a JSON object"))]
-    problems += [F.when(values[n].isNull(), F.lit(f"{n} is not text")) for n in fields]
-    problems += [F.when(~values[n].isin(*codes), F.lit(f"illegal {n}")) for n in fields if n.endswith("_code")]
-    problems += [F.when(values[n] == "", F.lit(f"{n} is empty")) for n in fields if n.endswith("_reason")]
-    return F.struct(*[v.alias(n) for n, v in values.items()], F.coalesce(*problems).alias("error"))
+        is_object = F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+        return F.struct(*[field(name).alias(name) for name in fields], is_object.alias("is_object"))
+
+    def judged(v: Column) -> Column:
+        problems = [F.when(~v["is_object"], F.lit("not a JSON object"))]
+        problems += [F.when(v[n].isNull(), F.lit(f"{n} is not text")) for n in fields]
+        problems += [F.when(~v[n].isin(*codes), F.lit(f"illegal {n}")) for n in fields if n.endswith("_code")]
+        problems += [F.when(v[n] == "", F.lit(f"{n} is empty")) for n in fields if n.endswith("_reason")]
+        return F.struct(*[v[n].alias(n) for n in fields], F.coalesce(*problems).alias("error"))
+
+    return let(let(F.try_parse_json(col_of(text)), read), judged)
 
 
 DEFAULT_SYSTEM = (

@@ -14,9 +14,20 @@ from apisurface.skew import skew_join
 BROADCAST_ROWS = 100_000
 
 
-def lookup_join(left: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join against a lookup table: broadcast when it is counted small, else spread heavy keys."""
-    small = table.select(*on).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``rows`` rows; reads no more than that."""
+    return table.limit(rows + 1).count() <= rows
+
+
+def lookup_join(
+    left: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", small: bool | None = None
+) -> DataFrame:
+    """Join against a lookup table: broadcast when it is counted small, else spread heavy keys.
+
+    ``small`` hands in a count made before, for instance of the table this one is a part of.
+    """
+    if small is None:
+        small = is_small(table.select(*on))
     return left.join(F.broadcast(table), list(on), how) if small else skew_join(left, table, on, how)
 
 
@@ -27,6 +38,7 @@ def apply_rules(
     default: Column | None = None,
     out: str = "rule_type",
     computed: Mapping[str, Column] | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Type of each name by exact lookup in rules(name, type[, imports]).
 
@@ -36,7 +48,7 @@ def apply_rules(
     columns = [F.col("name").alias(on), F.col("type").alias(out)]
     if "imports" in rules.columns:
         columns.append(F.col("imports").alias(f"{out}_imports"))
-    joined = lookup_join(df, rules.select(*columns), [on])
+    joined = lookup_join(df, rules.select(*columns), [on], small=small)
     value = F.col(out)
     for name, expression in (computed or {}).items():
         value = F.when(F.col(on) == name, expression).otherwise(value)
@@ -244,18 +256,23 @@ def refine_by_checks(
     call: str = "call_name",
     out: str = "refined_type",
     default: str = "object",
+    small: bool | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Union of the types implied by check calls on the same variable, else ``object``.
 
     Checks are first reduced to distinct (key, type), so the hot part shrinks before it is shuffled.
+    ``unique`` tells that a key has few arguments, as it has in one function; the join then needs no
+    search for heavy keys.
     """
     keys = list(keys)
-    typed = apply_rules(checks.select(*keys, call), rules, call, out="_type").where(F.col("_type").isNotNull())
+    typed = apply_rules(checks.select(*keys, call), rules, call, out="_type", small=small).where(F.col("_type").isNotNull())
     unions = (
         typed.select(*keys, "_type").distinct().groupBy(*keys)
         .agg(union_of_texts(F.collect_set("_type")).alias(out))
     )
-    return skew_join(args, unions, keys).withColumn(out, F.coalesce(F.col(out), F.lit(default)))
+    joined = args.join(unions, keys, "left") if unique else skew_join(args, unions, keys)
+    return joined.withColumn(out, F.coalesce(F.col(out), F.lit(default)))
 
 
 def keyword_hits(texts: DataFrame, keywords: Mapping[str, str], text: str) -> DataFrame:
@@ -294,6 +311,7 @@ __all__ = [
     "choose_reference",
     "complete_with_fallback",
     "group_references",
+    "is_small",
     "join_by_identity",
     "keyword_hits",
     "locate_ranges",

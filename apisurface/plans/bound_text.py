@@ -203,8 +203,8 @@ _PART_NAME = "replace(p_name, ' ', '_')"
 @bound(
     "tx8_parse_overload",
     f"""
-    SELECT p_partkey, 'self,size,{{}}'.replace('{{}}', {_PART_NAME}) AS names, p_brand || ',dict[int, str],str' AS types,
-           '-;{{1: "a,b"}};"' || p_name || '"' AS defaults,
+    SELECT p_partkey, 'self,size,' || {_PART_NAME} AS names, p_brand || ',dict[int, str],str' AS types,
+           '-;' || chr(123) || '1: "a,b"' || chr(125) || ';"' || p_name || '"' AS defaults,
            'POSITIONAL_ONLY,POSITIONAL_OR_KEYWORD,KEYWORD_ONLY' AS kinds, p_type AS return_type, NULL::VARCHAR AS error
     FROM part WHERE p_type <> 'PROMO'
     UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, 'argument without type' FROM part WHERE p_type = 'PROMO'

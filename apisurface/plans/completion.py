@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apisurface import schemas as S
@@ -12,32 +12,33 @@ from apisurface.functions import rule_packs as R
 from apisurface.functions.formats import parse_format_arguments, value_format_type
 from apisurface.functions.render import render_signature
 from apisurface.functions.text import first_identifier, type_object_name
-from apisurface.functions.types import NEVER
+from apisurface.functions.types import NEVER, evaluate_once
 from apisurface.operators.aggregates import union_types
-from apisurface.operators.joins import apply_rules, refine_by_checks, resolve_calls
+from apisurface.operators.joins import apply_rules, is_small, refine_by_checks, resolve_calls
 from apisurface.operators.projections import decode_call_flags, receiver_added, with_function_id
 from apisurface.operators.windows import last_definition
 from apisurface.session import cut_lineage
 from apisurface.skew import skew_join
 
 
-def resolve_slots(slots: DataFrame, checks: DataFrame, rules: DataFrame) -> DataFrame:
+def resolve_slots(slots: DataFrame, checks: DataFrame, rules: DataFrame, small: bool | None = None) -> DataFrame:
     """Argument slots with the type their operand resolves to and the type that checks imply.
 
     ``slots`` holds fn, call_pos, slot_index, var, operand and default_value. An operand is the text of a type
     object or converter; it is looked up as either.
     """
+    plain = rules.drop("imports")
     named = slots.withColumns(
         {"_type_object": type_object_name("operand"), "_converter": first_identifier("operand")}
     )
-    named = resolve_calls(named, rules.drop("imports"), R.TYPE_OBJECT, "_type_object", out="_as_object")
-    named = resolve_calls(named, rules.drop("imports"), R.CONVERTER, "_converter", out="_as_converter")
-    typed = named.withColumn("type", F.coalesce("_as_object", "_as_converter"))
-    uses = rules.where(F.col("category") == R.OBJECT_USE).select("name", "type")
-    refined = refine_by_checks(
-        typed.drop("_type_object", "_converter", "_as_object", "_as_converter"), checks, uses, out="refined"
+    named = resolve_calls(named, plain, R.TYPE_OBJECT, "_type_object", out="_as_object", small=small)
+    named = resolve_calls(named, plain, R.CONVERTER, "_converter", out="_as_converter", small=small)
+    typed = named.withColumn("type", F.coalesce("_as_object", "_as_converter")).drop(
+        "_type_object", "_converter", "_as_object", "_as_converter"
     )
-    return refined
+    uses = rules.where(F.col("category") == R.OBJECT_USE).select("name", "type")
+    # A variable fills a few slots of its function at most.
+    return refine_by_checks(typed, checks, uses, out="refined", small=small, unique=True)
 
 
 def slot_arrays(slots: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def parsed_arguments(parse_calls: DataFrame, slots: DataFrame) -> DataFrame:
     with_slots = parse_calls.join(slot_arrays(slots), ["fn", "call_pos"], "left").withColumn(
         "slots", F.coalesce("slots", F.array().cast("array<struct<name:string,type:string,refined:string,default_value:string>>"))
     )
-    parsed = with_slots.withColumn("_parsed", parse_format_arguments("fmt", "slots"))
+    parsed = evaluate_once(with_slots, "_parsed", parse_format_arguments("fmt", "slots"))
     good = parsed.where(F.col("_parsed.error").isNull())
     entry = F.struct(F.col("call_pos"), F.col("_parsed.args").alias("args"))
     return good.groupBy("fn").agg(
@@ -72,7 +73,7 @@ def parsed_arguments(parse_calls: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def infer_return_types(
-    returns: DataFrame, assigns: DataFrame, rules: DataFrame, receiver: Column | None = None
+    returns: DataFrame, assigns: DataFrame, rules: DataFrame, small: bool | None = None
 ) -> DataFrame:
     """Return type and status per function.
 
@@ -90,7 +91,7 @@ def infer_return_types(
     while True:
         is_ref = F.col("expr_kind") == "ref"
         done.append(pending.where(~is_ref))
-        refs = cut_lineage(apply_rules(pending.where(is_ref), objects, "expr_name", out="object_type"))
+        refs = apply_rules(pending.where(is_ref), objects, "expr_name", out="object_type", small=small)
         done.append(
             refs.where(F.col("object_type").isNotNull()).select(
                 "fn", "pos", F.lit("typed").alias("expr_kind"), F.col("object_type").alias("expr_name")
@@ -113,7 +114,7 @@ def infer_return_types(
     expressions = done[0]
     for part in done[1:]:
         expressions = expressions.unionByName(part)
-    typed = apply_rules(expressions, calls, "expr_name", out="call_type")
+    typed = apply_rules(expressions, calls, "expr_name", out="call_type", small=small)
     kind = F.col("expr_kind")
     inferred = (
         F.when(kind == "call", F.col("call_type"))
@@ -139,8 +140,10 @@ def complete_functions(
 
     ``functions`` holds fn, module_name, class_name, function_name and flags.
     """
-    arguments = parsed_arguments(parse_calls, resolve_slots(slots, checks, rules))
-    types = infer_return_types(returns, assigns, rules)
+    rules = cut_lineage(rules)
+    small = is_small(rules)
+    arguments = parsed_arguments(parse_calls, resolve_slots(slots, checks, rules, small))
+    types = infer_return_types(returns, assigns, rules, small)
     facts = functions.join(arguments, "fn", "left").join(types, "fn", "left")
     decoded = decode_call_flags(facts, "flags", parsed=F.col("parsed_args"))
     has_owner = F.col("class_name").isNotNull()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apisurface import schemas as S
+from apisurface.functions.types import evaluate_once
 from apisurface.functions.verdicts import build_messages, parse_verdict
 from apisurface.operators.filters import check_domain, split_double_failures
 from apisurface.operators.joins import choose_reference, match_references
@@ -110,7 +111,7 @@ def judged_rows(pending: DataFrame, answers: DataFrame, answer: str = "answer",
     their dimensions either way.
     """
     keyed = skew_join(pending, answers, ["function_id", "signature_index"])
-    parsed = keyed.withColumn("_v", parse_verdict(answer))
+    parsed = evaluate_once(keyed, "_v", parse_verdict(answer))
     bad = F.col("_v.error").isNotNull()
     columns = {}
     for d in S.DIMENSIONS:
