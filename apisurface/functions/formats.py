@@ -74,6 +74,10 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("'", "\\'") + "'"
 
 
+# Positional formats without tuples that need no closer look.
+FLAT_FORMAT = "^(?:{0})*(?:\\|(?:{0})*)?$".format(_alternatives(ARGUMENT_UNITS))
+
+
 def _argument_unit_map() -> Column:
     """Unit table as one literal map, folded to a constant by the optimizer."""
     entries = [
@@ -181,6 +185,8 @@ def _structure_error(fmt: Column, keywords: bool, blanks: Column | None) -> Colu
         return F.coalesce(acc["error"], F.when(acc["depth"] > 0, F.lit("tuple is not closed")))
 
     folded = F.aggregate(format_tokens(fmt), start, step, finish)
+    if not keywords:
+        folded = F.when(~F.regexp_like(format_body(fmt), F.lit(FLAT_FORMAT)), folded)
     return F.coalesce(F.when(leftover != "", F.concat(F.lit("unknown unit: "), leftover)), folded)
 
 
@@ -301,9 +307,43 @@ def parse_format_arguments(fmt: Column | str, slots: Column | str, names: Column
     error = check_format(fmt, F.size(slots), names)
     items = _with_units(format_tokens(fmt), _argument_unit_map())
     args = F.aggregate(items, start, step, lambda acc: acc["args"])
+    if names is None:
+        nested = F.contains(fmt, F.lit("("))
+        args = F.when(nested, args).otherwise(let(items, lambda i: _flat_arguments(i, slots)))
     return let(error, lambda e: F.struct(F.when(e.isNull(), args).alias("args"), e.alias("error")))
 
 
+def _flat_arguments(items: Column, slots: Column) -> Column:
+    """Arguments of a positional format without tuples: one per unit, found by position."""
+    units = F.filter(items, lambda i: i["unit"].isNotNull())
+    bar = F.array_position(F.transform(items, lambda i: i["token"]), "|")
+
+    def with_offsets(widths: Column) -> Column:
+        def argument(item: Column, index: Column) -> Column:
+            unit = item["unit"]
+            offset = F.aggregate(F.slice(widths, F.lit(1), index), F.lit(0), lambda total, w: total + w)
+
+            def build(first: Column) -> Column:
+                receiver = F.try_element_at(slots, first + unit["receiver"])
+                resolved = F.when(
+                    unit["resolved"], F.coalesce(F.try_element_at(slots, first)["type"], F.lit("object"))
+                ).otherwise(unit["type"])
+                refined = F.coalesce(receiver["refined"], F.lit("object"))
+                optional = (bar > 0) & (index + 1 >= bar)
+                return F.struct(
+                    receiver["name"].alias("name"),
+                    F.when(resolved == "object", refined).otherwise(resolved).alias("type"),
+                    F.when(optional, F.coalesce(receiver["default_value"], F.lit("..."))).alias("default_value"),
+                    F.lit(S.POSITIONAL_ONLY).alias("kind"),
+                )
+
+            return let(offset + 1, build)
+
+        return F.transform(units, argument)
+
+    return let(F.transform(units, lambda i: i["unit"]["slots"]), with_offsets)
+
+
 def value_format_type(fmt: Column | str, arg_types: Column | str | None = None) -> Column:
     """Struct(type, error) of a value format string.
 

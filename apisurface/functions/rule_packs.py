@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from apisurface.functions.types import NEVER, type_imports
@@ -246,19 +248,24 @@ EXTENSION_KEYWORDS = {
 }
 
 
-def rule_pack(spark: SparkSession, pack: str) -> DataFrame:
-    """One pack as rules(category, name, type, imports, priority)."""
+def pack_rows(pack: str) -> list[tuple[str, str, str, int]]:
+    """(category, name, type, priority) of one pack."""
     priority = list(PACKS).index(pack)
-    rows = [
+    return [
         (category, name, type_text, priority)
         for category, by_type in PACKS[pack].items()
         for type_text, names in by_type.items()
         for name in names.split()
     ]
+
+
+def rule_table(spark: SparkSession, packs: Iterable[str] = PACKS) -> DataFrame:
+    """Rows of the named packs as rules(category, name, type, imports, priority)."""
+    rows = [row for pack in packs for row in pack_rows(pack)]
     table = spark.createDataFrame(rows, "category string, name string, type string, priority int")
     return table.select("category", "name", "type", type_imports("type").alias("imports"), "priority")
 
 
 def default_packs(spark: SparkSession) -> list[DataFrame]:
-    """All packs, later ones win."""
-    return [rule_pack(spark, pack) for pack in PACKS]
+    """All packs apart, later ones win when they are merged."""
+    return [rule_table(spark, [pack]) for pack in PACKS]

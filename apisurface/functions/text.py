@@ -99,8 +99,9 @@ def _drop_ampersand(value: Column) -> Column:
 def normalize_type(text: Column | str) -> Column:
     """C++ type text without qualifiers and needless white space."""
     value = strip(F.regexp_replace(col_of(text), "(?U)" + _SPACE + "+", " "))
-    value = F.regexp_replace(value, "(?U)\\bconst" + _SPACE + "+", "")
-    value = F.regexp_replace(value, "(?U)" + _SPACE + "*([<>,*&])" + _SPACE + "*", "$1")
+    # Only single blanks are left from here on.
+    value = F.regexp_replace(value, "(?U)\\bconst +", "")
+    value = F.regexp_replace(value, " *([<>,*&]) *", "$1")
     return _drop_ampersand(_drop_ampersand(value))
 
 

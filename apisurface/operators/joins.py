@@ -78,9 +78,15 @@ def match_references(
     ordinal: str = "ordinal",
     fields: Sequence[str] = ("text", "line"),
     out: str = "references",
+    unique: bool = False,
 ) -> DataFrame:
-    """Every row with its ordered group of reference signatures, null when there is none."""
-    return skew_join(df, group_references(refs, keys, ordinal, fields, out), keys)
+    """Every row with its ordered group of reference signatures, null when there is none.
+
+    ``unique`` tells that a key has few rows, as a function has signatures; the join then needs no
+    search for heavy keys.
+    """
+    grouped = group_references(refs, keys, ordinal, fields, out)
+    return df.join(grouped, list(keys), "left") if unique else skew_join(df, grouped, keys)
 
 
 def missing_references(df: DataFrame, refs: DataFrame, keys: Sequence[str]) -> DataFrame:

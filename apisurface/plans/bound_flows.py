@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from apisurface.functions.rule_packs import rule_table
 from apisurface.functions.text import function_id
 from apisurface.operators.aggregates import evaluation_summary, funnel
+from apisurface.operators.joins import merge_rules
+from apisurface.operators.windows import with_ordinal
 from apisurface.plans import completion as CP
 from apisurface.plans import evaluation as EV
 from apisurface.plans.bound_rows import order_functions
 from apisurface.plans.registry import LINE_ORDER, LINE_ORDER_SQL, bound
 from apisurface.session import shared_folder
+from apisurface.skew import running_sum
 from apisurface.sources import readers as RD
 from apisurface.sources import writers as WR
-from apisurface.operators.windows import with_ordinal
-from apisurface.skew import running_sum
 
 
 def call_facts(t):
@@ -101,10 +103,7 @@ def call_facts(t):
 
 
 def _default_rules(t):
-    from apisurface.functions.rule_packs import default_packs
-    from apisurface.operators.joins import merge_rules
-
-    return merge_rules(default_packs(t.spark))
+    return merge_rules([rule_table(t.spark)])
 
 
 def completed(t, sink=None):

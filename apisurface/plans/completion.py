@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apisurface import schemas as S
 from apisurface.functions import rule_packs as R
 from apisurface.functions.formats import parse_format_arguments, value_format_type
 from apisurface.functions.render import render_signature
@@ -18,7 +17,6 @@ from apisurface.operators.joins import apply_rules, is_small, refine_by_checks,
 from apisurface.operators.projections import decode_call_flags, receiver_added, with_function_id
 from apisurface.operators.windows import last_definition
 from apisurface.session import cut_lineage
-from apisurface.skew import skew_join
 
 
 def resolve_slots(slots: DataFrame, checks: DataFrame, rules: DataFrame, small: bool | None = None) -> DataFrame:
@@ -97,10 +95,7 @@ def infer_return_types(
                 "fn", "pos", F.lit("typed").alias("expr_kind"), F.col("object_type").alias("expr_name")
             )
         )
-        open_refs = refs.where(F.col("object_type").isNull())
-        if open_refs.isEmpty():
-            break
-        uses = open_refs.select("fn", F.col("expr_name").alias("var"), "pos")
+        uses = refs.where(F.col("object_type").isNull()).select("fn", F.col("expr_name").alias("var"), "pos")
         resolved = last_definition(
             uses, definitions.withColumn("def_pos", F.col("pos")), ["fn", "var"], ["pos"],
             ["rhs_kind", "rhs_name", "def_pos"], ignored=ignored, is_null=null,
@@ -111,6 +106,8 @@ def infer_return_types(
                 "fn", F.col("def_pos").alias("pos"), F.col("rhs_kind").alias("expr_kind"), F.col("rhs_name").alias("expr_name")
             )
         )
+        if pending.isEmpty():
+            break
     expressions = done[0]
     for part in done[1:]:
         expressions = expressions.unionByName(part)
@@ -167,11 +164,3 @@ def complete_functions(
     if sink is not None:
         sink(records)
     return records
-
-
-def locate_sources(functions: DataFrame, definitions: DataFrame, key: str = "fn") -> DataFrame:
-    """Source of each function by its key; functions without a source keep nulls."""
-    return skew_join(functions, definitions, [key])
-
-
-__all__ = ["S", "complete_functions", "infer_return_types", "locate_sources", "parsed_arguments", "resolve_slots", "slot_arrays"]

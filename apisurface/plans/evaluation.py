@@ -19,7 +19,6 @@ from apisurface.operators.projections import (
     with_evidence,
 )
 from apisurface.operators.sets import combine_rows
-from apisurface.skew import skew_join
 
 # Fixed value: reason recorded when both inferences failed without a reason of their own.
 DOUBLE_FAILURE = "参数和返回值推断阶段均失败。"
@@ -78,7 +77,7 @@ def prepare(entries: DataFrame, references: DataFrame | None = None) -> tuple[Da
         manual = F.lit(None).cast("string")
     else:
         pending = match_references(
-            pending.withColumn("class_path", F.coalesce("class_name", F.lit(""))), references, out="manual"
+            pending.withColumn("class_path", F.coalesce("class_name", F.lit(""))), references, out="manual", unique=True
         )
         listed = F.transform("manual", lambda m: F.struct(m["text"].alias("signature"), m["line"].alias("line")))
         manual = F.to_json(listed)
@@ -110,7 +109,8 @@ def judged_rows(pending: DataFrame, answers: DataFrame, answer: str = "answer",
     An answer that does not parse, or none at all, gives an error row; failed inference steps override
     their dimensions either way.
     """
-    keyed = skew_join(pending, answers, ["function_id", "signature_index"])
+    # (function_id, signature_index) is the key of both sides.
+    keyed = pending.join(answers, ["function_id", "signature_index"], "left")
     parsed = evaluate_once(keyed, "_v", parse_verdict(answer))
     bad = F.col("_v.error").isNotNull()
     columns = {}

@@ -16,9 +16,10 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE) -
     """Keys that hold more than ``share`` of all rows.
 
     There are fewer than ``1 / share`` such keys whatever the size of ``df``, so the
-    result may always be broadcast. Counts are combined map-side; only key columns are read.
+    result may always be broadcast. Counts are combined map-side; only key columns are read. Null
+    keys match nothing and are left out.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.sum("_rows")).scalar()
     return counts.where(F.col("_rows") > total * F.lit(share)).select(*keys)
 
@@ -162,8 +163,14 @@ def last_before(
     parts = _with_parts(df, keys, order_bucket(df, order[0]) if bucket is None else bucket)
     parts = parts.withColumn("_value", value)
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    position = F.when(F.col("_value").isNotNull(), F.struct(*order))
-    totals = parts.groupBy("_part").agg(F.max_by("_value", position).alias("_total"))
+    last = (
+        parts.where(F.col("_value").isNotNull())
+        .groupBy("_part")
+        .agg(F.max_by("_value", F.struct(*order)).alias("_total"))
+    )
+    # Buckets without a value of their own need a carry as well.
+    buckets = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    totals = buckets.join(last, "_part", "left")
     offsets = _carried(totals, keys, {"_carry": F.last("_total", ignorenulls=True)})
     return (
         parts.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
