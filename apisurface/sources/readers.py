@@ -14,6 +14,7 @@ from apisurface import schemas as S
 from apisurface.functions.text import blank_to_null, decode_ignoring, join_path, strip
 from apisurface.operators.sets import missing_columns
 from apisurface.operators.windows import with_ordinal
+from apisurface.sources.trees import read_tree
 
 REQUIRED_TEXT = [
     "function_id", "module_name", "function_name", "provider",
@@ -22,16 +23,20 @@ REQUIRED_TEXT = [
 OPTIONAL_TEXT = ["failure_reason"]
 
 
-def _toml_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = S.column_names(S.FUNCTIONS)
-    for batch in batches:
-        rows = []
-        for path, content in zip(batch["path"], batch["value"]):
-            functions = tomllib.loads(content).get("functions")
-            if not isinstance(functions, list):
-                raise ValueError(f"{path} has no list of functions")
-            rows += [{name: record.get(name) for name in names} for record in functions]
-        yield pd.DataFrame(rows, columns=names)
+def _toml_functions(names: Sequence[str]):
+    """Batch function that turns TOML texts into rows with the given fields."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["value"]):
+                functions = tomllib.loads(content).get("functions")
+                if not isinstance(functions, list):
+                    raise ValueError(f"{path} has no list of functions")
+                rows += [{name: record.get(name) for name in names} for record in functions]
+            yield pd.DataFrame(rows, columns=list(names))
+
+    return parse
 
 
 def validated_functions(df: DataFrame) -> DataFrame:
@@ -78,7 +83,7 @@ def read_function_records(spark: SparkSession, path: str | Sequence[str], format
         raw = documents.select(F.explode(listed).alias("f")).select("f.*")
     elif format == "toml":
         texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-        raw = texts.mapInPandas(_toml_functions, S.FUNCTIONS)
+        raw = texts.mapInPandas(_toml_functions(S.column_names(S.FUNCTIONS)), S.FUNCTIONS)
     else:
         raw = spark.read.schema(S.FUNCTIONS).format(format).load(paths)
     return validated_functions(raw)
@@ -171,38 +176,34 @@ def corpus_texts(files: DataFrame, path: str = "path", content: str = "content")
 
 def read_source_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root`` outside ``.git`` as (path, text); unreadable files are skipped."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True)
-        .load(root)
-    )
-    return corpus_texts(files)
+    return corpus_texts(read_tree(spark, root))
+
 
+def _stub_functions():
+    """Batch function that lists the functions of stub texts, classes walked in place."""
 
-def _definitions(body: list, owners: tuple[str, ...]) -> Iterator[tuple[str, str, str, int]]:
-    """(class path, name, text, line) of every function of a stub, classes walked in place."""
-    for node in body:
-        if isinstance(node, ast.ClassDef):
-            yield from _definitions(node.body, (*owners, node.name))
-        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            marks = "".join(f"@{ast.unparse(d)}\n" for d in node.decorator_list)
-            word = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
-            returns = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-            text = f"{marks}{word} {node.name}({ast.unparse(node.args)}){returns}: ..."
-            yield ".".join(owners), node.name, text, node.lineno
+    def definitions(body, owners):
+        for node in body:
+            if isinstance(node, ast.ClassDef):
+                yield from definitions(node.body, (*owners, node.name))
+            elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                marks = "".join(f"@{ast.unparse(d)}\n" for d in node.decorator_list)
+                word = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
+                returns = f" -> {ast.unparse(node.returns)}" if node.returns else ""
+                text = f"{marks}{word} {node.name}({ast.unparse(node.args)}){returns}: ..."
+                yield ".".join(owners), node.name, text, node.lineno
 
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["module_name", "class_path", "function_name", "position", "text", "line"]
+        for batch in batches:
+            rows = [
+                (module, owner, name, position, text, line)
+                for module, content in zip(batch["module_name"], batch["value"])
+                for position, (owner, name, text, line) in enumerate(definitions(ast.parse(content).body, ()))
+            ]
+            yield pd.DataFrame(rows, columns=names)
 
-def _stub_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["module_name", "class_path", "function_name", "position", "text", "line"]
-    for batch in batches:
-        rows = [
-            (module, owner, name, position, text, line)
-            for module, content in zip(batch["module_name"], batch["value"])
-            for position, (owner, name, text, line) in enumerate(_definitions(ast.parse(content).body, ()))
-        ]
-        yield pd.DataFrame(rows, columns=names)
+    return parse
 
 
 def ambiguous_modules(files: DataFrame, module: str = "module_name") -> DataFrame:
@@ -215,15 +216,9 @@ def read_reference_stubs(spark: SparkSession, root: str) -> DataFrame:
 
     ``m.pyi`` next to ``m/__init__.pyi`` is an error that names the module.
     """
-    base = root.rstrip("/").removeprefix("file:")
-    path = F.regexp_replace("_metadata.file_path", "^file:/*", "/")
-    below = F.substring(path, F.lit(len(base) + 2), F.length(path))
-    module = F.replace(F.regexp_replace(below, "(/__init__)?\\.pyi$", ""), F.lit("/"), F.lit("."))
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.pyi")
-        .text(root, wholetext=True)
-        .select(module.alias("module_name"), "value")
+    module = F.replace(F.regexp_replace("relative_path", "(/?__init__)?\\.pyi$", ""), F.lit("/"), F.lit("."))
+    files = read_tree(spark, root, suffix=".pyi").select(
+        module.alias("module_name"), F.col("content").cast("string").alias("value")
     )
     per_module = files.groupBy("module_name").agg(
         F.count(F.lit(1)).alias("files"), F.any_value("value").alias("value")
@@ -238,7 +233,7 @@ def read_reference_stubs(spark: SparkSession, root: str) -> DataFrame:
 def stub_signatures(files: DataFrame) -> DataFrame:
     """One row per function of stub texts (module_name, value), in file order."""
     functions = files.select("module_name", "value").mapInPandas(
-        _stub_functions,
+        _stub_functions(),
         "module_name string, class_path string, function_name string, position int, text string, line int",
     )
     numbered = with_ordinal(functions, ["module_name", "class_path", "function_name"], ["position"])
