@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apisurface import schemas as S
-from apisurface.skew import last_before, order_bucket, running_sum, running_sums, value_bucket
+from apisurface.skew import last_before, order_bucket, running_sum, running_sums
 
 
 def last_definition(
@@ -64,7 +64,7 @@ def ecdf(df: DataFrame, col: str, by: Sequence[str] = (), quantile: float = 0.90
     """
     by = list(by)
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    curve = running_sum(counts, by, [col], F.col("n"), "cumulative", bucket=value_bucket(F.col(col)))
+    curve = running_sum(counts, by, [col], F.col("n"), "cumulative")
     totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
     if by:
         same = F.lit(True)

@@ -9,19 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HEAVY_SHARE = 1 / 512
-SALTS = 64
+HEAVY_ROWS = 100_000
+SPLIT = 4
+BUCKET_ROWS = 1_000_000
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of all rows.
+def heavy_keys(
+    df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, min_rows: int = HEAVY_ROWS
+) -> DataFrame:
+    """Keys that hold more than ``share`` of all rows, and ``_salts``, the tasks each should be spread over.
 
-    There are fewer than ``1 / share`` such keys whatever the size of ``df``, so the
-    result may always be broadcast. Counts are combined map-side; only key columns are read. Null
-    keys match nothing and are left out.
+    There are fewer than ``1 / share`` such keys whatever the size of ``df``, so the result may
+    always be broadcast. Counts are combined map-side; only key columns are read. Null keys match
+    nothing and are left out. Keys below ``min_rows`` are never heavy.
     """
     counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.sum("_rows")).scalar()
-    return counts.where(F.col("_rows") > total * F.lit(share)).select(*keys)
+    limit = F.greatest(total * F.lit(share), F.lit(float(min_rows)))
+    salts = F.ceil(F.col("_rows") / limit * F.lit(SPLIT)).cast("bigint")
+    return counts.where(F.col("_rows") > limit).select(*keys, salts.alias("_salts"))
 
 
 def skew_join(
@@ -29,31 +35,26 @@ def skew_join(
     right: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    salts: int = SALTS,
     share: float = HEAVY_SHARE,
+    min_rows: int = HEAVY_ROWS,
     heavy: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi join whose heavy left keys are spread over ``salts`` tasks each.
+    """Equi join whose heavy left keys are spread over several tasks in proportion to their rows.
 
     Only the right rows of heavy keys are replicated. All rows are kept; ``how`` may be
     inner, left, left_semi or left_anti. ``heavy`` may hand in heavy keys found before.
     """
     on = list(on)
-    heavy = (heavy_keys(left, on, share) if heavy is None else heavy).withColumn("_heavy", F.lit(True))
+    heavy = heavy_keys(left, on, share, min_rows) if heavy is None else heavy
     row_hash = F.xxhash64(*[c for c, t in left.dtypes if not t.startswith(("map", "variant"))])
+    one = F.lit(1).cast("bigint")
     # Rows with a null key match nothing, so they are spread as well.
-    spread = F.coalesce(F.col("_heavy"), F.lit(False))
+    salts = F.coalesce(F.col("_salts"), one)
     for key in on:
-        spread = spread | F.col(key).isNull()
-    salt = F.when(spread, F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
-    salted_left = left.join(F.broadcast(heavy), on, "left").withColumn("_salt", salt).drop("_heavy")
-    every, first = F.expr(f"sequence(0L, {salts - 1}L)"), F.expr("array(0L)")
-    replicas = F.when(F.col("_heavy"), every).otherwise(first)
-    salted_right = (
-        right.join(F.broadcast(heavy), on, "left")
-        .withColumn("_salt", F.explode(replicas))
-        .drop("_heavy")
-    )
+        salts = F.when(F.col(key).isNull(), F.lit(64).cast("bigint")).otherwise(salts)
+    salted_left = left.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.pmod(row_hash, salts)).drop("_salts")
+    replicas = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts"), one) - 1)
+    salted_right = right.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.explode(replicas)).drop("_salts")
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -66,7 +67,8 @@ def value_bucket(value: Column) -> Column:
     infinity = F.lit(float("inf"))
     magnitude = F.floor(F.ln(F.abs(v)) * 64)
     return (
-        F.when(F.isnan(v), 300000)
+        F.when(v.isNull(), F.lit(None).cast("int"))
+        .when(F.isnan(v), 300000)
         .when(v == infinity, 200000)
         .when(v == -infinity, -200000)
         .when(v > 0, magnitude + 50000)
@@ -76,21 +78,58 @@ def value_bucket(value: Column) -> Column:
     )
 
 
-def order_bucket(df: DataFrame, name: str) -> Column:
-    """Order-keeping bucket of column ``name``, chosen by its type."""
+def _common_prefix(low: Column, high: Column) -> Column:
+    """Length of the common prefix of two strings."""
+    places = F.sequence(F.lit(1), F.greatest(F.least(F.length(low), F.length(high)), F.lit(1)))
+    return F.aggregate(
+        places,
+        F.lit(0),
+        lambda n, i: F.when((n == i - 1) & (F.substr(low, i, F.lit(1)) == F.substr(high, i, F.lit(1))), i).otherwise(n),
+    )
+
+
+def order_bucket(df: DataFrame, name: str, rows: int = BUCKET_ROWS) -> Column:
+    """Order-keeping bucket of column ``name``, fine enough for about ``rows`` rows in a bucket.
+
+    The number of rows and the extremes of the column are taken from one aggregate over it. Numbers and times
+    are cut at equal steps between the extremes, numbers also at equal ratios, so that neither a
+    narrow range nor a long tail ends up in one bucket; strings are cut by prefix beyond what all have in
+    common. Up to ``rows`` rows there is one bucket. The bucket follows from the value and exact
+    aggregates alone, so it is the same in every attempt of a task.
+    """
     data_type = df.schema[name].dataType
     value = F.col(name)
     if isinstance(data_type, T.TimestampType):
-        return F.floor(F.unix_micros(value) / F.lit(3_600_000_000)).cast("int")
-    if isinstance(data_type, T.TimestampNTZType):
-        return F.unix_date(value.cast("date")) * 24 + F.hour(value)
-    if isinstance(data_type, T.DateType):
-        return F.unix_date(value)
-    if isinstance(data_type, T.NumericType):
-        return value_bucket(value)
-    if isinstance(data_type, T.StringType):
-        return F.substring(value, 1, 2)
-    return F.lit(0)
+        position = F.unix_micros(value)
+    elif isinstance(data_type, T.TimestampNTZType):
+        position = (
+            F.unix_date(value.cast("date")).cast("bigint") * 86400 + F.hour(value) * 3600 + F.minute(value) * 60
+        ) + F.floor(F.second(value))
+    elif isinstance(data_type, T.DateType):
+        position = F.unix_date(value)
+    elif isinstance(data_type, (T.NumericType, T.StringType)):
+        position = value
+    else:
+        return F.lit(0)
+    is_text = isinstance(data_type, T.StringType)
+    extremes = df.agg(F.min(position).alias("low"), F.max(position).alias("high"), F.count(F.lit(1)).alias("n"))
+    shared = _common_prefix(F.col("low"), F.col("high")) if is_text else F.lit(0)
+    bounds = extremes.select(F.struct("low", "high", "n", shared.alias("shared"))).scalar()
+    parts = F.ceil(bounds["n"] / F.lit(rows)).cast("double")
+    if is_text:
+        # Each further character is taken to tell about ten values apart.
+        extra = F.greatest(F.ceil(F.log10(parts)) + 1, F.lit(2)).cast("int")
+        length = bounds["shared"] + extra
+        return F.when(value.isNull(), value).when(parts <= 1, F.lit("")).otherwise(F.substr(value, F.lit(1), length))
+    low, span = bounds["low"].cast("double"), bounds["high"].cast("double") - bounds["low"].cast("double")
+    usable = (span > 0) & (span < float("inf"))
+    linear = F.when(usable, F.floor((position.cast("double") - low) / span * parts)).otherwise(F.lit(0).cast("bigint"))
+    ratio = value_bucket(value) if isinstance(data_type, T.NumericType) else F.lit(0)
+    split = F.struct(
+        F.when(parts <= 1, F.lit(0)).otherwise(ratio).alias("ratio"),
+        F.when(parts <= 1, F.lit(0).cast("bigint")).otherwise(linear).alias("step"),
+    )
+    return F.when(value.isNotNull(), split)
 
 
 def _with_parts(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:

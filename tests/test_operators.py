@@ -13,6 +13,7 @@ from apisurface.operators import projections as P
 from apisurface.operators import sets as ST
 from apisurface.operators import versions as V
 from apisurface.operators import windows as W
+from apisurface import skew
 from apisurface.skew import heavy_keys, order_bucket, running_sums, skew_join
 
 
@@ -41,13 +42,15 @@ def table(spark, rows):
 def test_skew_join_equals_plain_join(spark, table, rows, how):
     right_rows = [(f"k{i}", i) for i in range(0, 60, 2)] + [("hot", 99), ("hot", 98), (None, 5)]
     right = spark.createDataFrame(right_rows, "key string, extra int")
-    got = sorted(map(str, skew_join(table, right, ["key"], how, salts=8).collect()))
+    got = sorted(map(str, skew_join(table, right, ["key"], how, share=0.05, min_rows=1).collect()))
     want = sorted(map(str, table.join(right, ["key"], how).collect()))
     assert got == want
-    assert [r["key"] for r in heavy_keys(table, ["key"], 0.2).collect()] == ["hot"]
+    heavy = heavy_keys(table, ["key"], 0.05, min_rows=1).collect()
+    assert [r["key"] for r in heavy] == ["hot"] and heavy[0]["_salts"] > 20
+    assert heavy_keys(table, ["key"]).count() == 0
 
 
-def test_running_sums_equal_brute_force(table, rows):
+def test_running_sums_equal_brute_force(table, rows, fine_buckets):
     got = running_sums(
         table, ["key"], ["pos", "id"], {"upto": (F.col("value"), True), "before": (F.lit(1), False)}
     ).collect()
@@ -64,15 +67,42 @@ def test_running_sums_equal_brute_force(table, rows):
     assert {r["id"]: (round(r["upto"], 6), r["before"]) for r in got} == want
 
 
-def test_buckets_keep_the_order(spark):
-    values = [float("-inf"), -1e9, -3.5, -1e-12, 0.0, 1e-300, 0.5, 7.0, 7.1, 1e18, float("inf"), float("nan")]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    buckets = [r["b"] for r in df.select("v", order_bucket(df, "v").alias("b")).orderBy("v").collect()]
-    assert buckets == sorted(buckets)
+@pytest.fixture
+def fine_buckets(monkeypatch):
+    """Buckets of a few rows, so that small tables take the path of large ones."""
+    monkeypatch.setattr(skew.order_bucket, "__defaults__", (50,))
+
+
+CASES = {
+    "double": [None, float("-inf"), -1e9, -3.5, -1e-12, 0.0, 1e-300, 0.5, 7.0, 7.1, 1e18, float("inf"), float("nan")],
+    "bigint": [None, -5, 0, 3, 1_000_000, 1_000_001, 1_000_002, 9_000_000_000],
+    "string": [None, "", "pre", "prefix#0001", "prefix#0002", "prefix#0191", "prefix#9", "pref\u00e9"],
+    "date": [None, "1969-12-31", "1970-01-01", "2024-02-29", "2024-03-01"],
+    "timestamp": [None, "1969-12-31 23:59:59", "2024-01-01 00:00:00", "2024-01-01 00:00:01", "2024-06-01 12:00:00"],
+    "timestamp_ntz": [None, "1969-12-31 23:59:59", "2024-01-01 00:00:00", "2024-01-01 00:00:01", "2024-06-01 12:00:00"],
+}
+
+
+@pytest.mark.parametrize("kind", CASES)
+def test_buckets_keep_the_order(spark, kind):
+    raw = "string" if kind in ("date", "timestamp", "timestamp_ntz") else kind
+    df = spark.createDataFrame([(v,) for v in CASES[kind]], f"v {raw}").select(F.col("v").cast(kind).alias("v"))
+    cut = df.withColumn("b", order_bucket(df, "v", rows=1))
+    by_value = [r["b"] for r in cut.orderBy("v", "b").collect()]
+    by_bucket = [r["b"] for r in cut.orderBy("b", "v").collect()]
+    assert by_value == by_bucket and by_value[0] is None
+    assert len(set(map(str, by_value))) >= min(4, len(CASES[kind]) - 1)
+
+
+def test_buckets_are_of_the_wanted_size(spark):
+    df = spark.range(100_000).select((F.col("id") + 10**9).alias("narrow"), F.exp(F.col("id") / 4000.0).alias("tail"))
+    for name in ("narrow", "tail"):
+        sizes = df.groupBy(order_bucket(df, name, rows=2000).alias("b")).count()
+        assert sizes.agg(F.max("count")).first()[0] < 4500
 
 
 @pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.9, 0.95, 1.0])
-def test_floor_percentile_equals_brute_force(table, rows, q):
+def test_floor_percentile_equals_brute_force(table, rows, q, fine_buckets):
     got = {r["key"]: r["p"] for r in A.floor_percentiles(table, "value", {"p": q}, ["key"]).collect()}
     groups = {}
     for _, key, _, value in rows:
@@ -93,7 +123,7 @@ def test_timing_summary_of_nothing(spark):
         A.timing_summary(empty, "v", empty="error").collect()
 
 
-def test_ecdf_marks_the_quantile(table, rows):
+def test_ecdf_marks_the_quantile(table, rows, fine_buckets):
     curve = W.ecdf(table, "value").orderBy("value").collect()
     values = sorted(r[3] for r in rows)
     assert [r["cumulative"] for r in curve] == [bisect.bisect_right(values, r["value"]) for r in curve]
@@ -138,7 +168,7 @@ def test_last_definition_cases(spark):
     assert got == {"f1": ("float", True), "f2": ("", False), "f3": ("int", True), "f4": (None, False), "f5": (None, False)}
 
 
-def test_last_definition_on_a_hot_variable(spark, rows):
+def test_last_definition_on_a_hot_variable(spark, rows, fine_buckets):
     uses = spark.createDataFrame([(k, p, i) for i, k, p, _ in rows if i % 2], "key string, pos int, id bigint")
     defs = spark.createDataFrame([(k, p, i, v) for i, k, p, v in rows if not i % 2], "key string, pos int, id bigint, value double")
     found = W.last_definition(uses, defs, ["key"], ["pos", "id"], ["value"]).collect()
