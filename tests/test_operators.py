@@ -76,7 +76,7 @@ def fine_buckets(monkeypatch):
 CASES = {
     "double": [None, float("-inf"), -1e9, -3.5, -1e-12, 0.0, 1e-300, 0.5, 7.0, 7.1, 1e18, float("inf"), float("nan")],
     "bigint": [None, -5, 0, 3, 1_000_000, 1_000_001, 1_000_002, 9_000_000_000],
-    "string": [None, "", "pre", "prefix#0001", "prefix#0002", "prefix#0191", "prefix#9", "pref\u00e9"],
+    "string": [None, "prefix#0001", "prefix#0002", "prefix#0191", "prefix#9", "prefix#\u00e9", "prefix#a"],
     "date": [None, "1969-12-31", "1970-01-01", "2024-02-29", "2024-03-01"],
     "timestamp": [None, "1969-12-31 23:59:59", "2024-01-01 00:00:00", "2024-01-01 00:00:01", "2024-06-01 12:00:00"],
     "timestamp_ntz": [None, "1969-12-31 23:59:59", "2024-01-01 00:00:00", "2024-01-01 00:00:01", "2024-06-01 12:00:00"],
