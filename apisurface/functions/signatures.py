@@ -11,6 +11,7 @@ from apisurface import schemas as S
 from apisurface.functions.text import col_of, literal_map, strip
 from apisurface.functions.types import let, split_top_level, union_text
 
+# Fixed value: pattern of an overload text.
 _OVERLOAD = "(?s)^\\((.*)\\)\\s*->\\s*(.+)$"
 
 
@@ -170,6 +171,7 @@ PARAMETER_TYPES = {
     "DispatchKeySet": "torch.DispatchKeySet",
 }
 
+# Patterns of the delimited signature notation.
 _SIGNATURE = "^([^()|]+)\\((.*)\\)(?:\\|([^|]+))?$"
 _PARAMETER = "^(\\S+)\\s+([^=\\s]+)(?:=(.+))?$"
 _PARAMETER_TYPE = "^([^\\[\\]?]+)(?:\\[(\\d+)\\])?(\\?)?$"

@@ -159,17 +159,20 @@ def locate_ranges(
         .withColumn("_bin", bin_of(F.col(point)))
         .drop("_width")
     )
+    candidates = skew_join(probes, binned, [*group, "_level", "_bin"], "left")
     inside = (F.col(point) >= F.col("_low")) & (F.col("_high").isNull() | (F.col(point) < F.col("_high")))
-    found = skew_join(probes, binned, [*group, "_level", "_bin"], "inner").where(inside)
     size = F.coalesce(F.col("_high") - F.col("_low"), F.lit(2**62))
     tie = F.lit(0) if depth is None else -F.col(depth)
     owner = F.struct(F.col("_low").alias(low), F.col("_high").alias(high), *rest)
-    owners = found.groupBy(*point_id).agg(F.min_by(owner, F.struct(size, tie, F.col("_low"))).alias("_owner"))
-    joined = points.join(owners, point_id, "left")
-    picked = [F.col("_owner").getField(c).alias(c) for c in (low, high, *rest)]
-    return joined.select(
-        *points.columns, *picked, F.when(F.col("_owner").isNull(), F.lit(error)).alias("error")
+    rank = F.when(inside, F.struct(size, tie, F.col("_low")))
+    # A point without any candidate has one row left, so it stays in the result.
+    others = [c for c in points.columns if c not in point_id]
+    owners = candidates.groupBy(*point_id).agg(
+        F.any_value(F.struct(F.lit(1).alias("_one"), *others)).alias("_point"), F.min_by(owner, rank).alias("_owner")
     )
+    kept = [F.col(c) if c in point_id else F.col("_point").getField(c).alias(c) for c in points.columns]
+    picked = [F.col("_owner").getField(c).alias(c) for c in (low, high, *rest)]
+    return owners.select(*kept, *picked, F.when(F.col("_owner").isNull(), F.lit(error)).alias("error"))
 
 
 def relative_address(points: DataFrame, libraries: DataFrame, address: str = "address", library: str = "library") -> DataFrame:

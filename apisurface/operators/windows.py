@@ -20,13 +20,14 @@ def last_definition(
     ignored: Column | None = None,
     is_null: Column | None = None,
     bucket: Column | None = None,
+    bucketed: bool = True,
 ) -> DataFrame:
     """Each use with the latest definition strictly before it, per key in source order.
 
     ``ignored`` marks definitions that do not count. A definition for which ``is_null`` holds does win
     and makes ``usable`` false, as does having no definition at all. An initializer is a definition at
     a position before all others. Rows of both kinds are put in one order; a hot variable is processed
-    bucket by bucket.
+    bucket by bucket unless ``bucketed`` is false.
     """
     keys, order, fields = list(keys), list(order), list(fields)
     counted = defs if ignored is None else defs.where(~F.coalesce(ignored, F.lit(False)))
@@ -38,7 +39,7 @@ def last_definition(
     rows = left.unionByName(right, allowMissingColumns=True)
     # A definition at the very position of the use is not before it.
     rows = rows.withColumn("_rank", F.when(F.col("_row").isNotNull(), 0).otherwise(1))
-    seen = last_before(rows, keys, [*order, "_rank"], F.col("_def"), "_last", bucket)
+    seen = last_before(rows, keys, [*order, "_rank"], F.col("_def"), "_last", bucket, bucketed)
     kept = seen.where(F.col("_row").isNotNull())
     return kept.select(
         *keys,
@@ -50,10 +51,19 @@ def last_definition(
 
 
 def with_ordinal(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], start: int = 0, out: str = "ordinal", bucket: Column | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    start: int = 0,
+    out: str = "ordinal",
+    bucket: Column | None = None,
+    bucketed: bool = True,
 ) -> DataFrame:
-    """Position of each row within its group; ``order`` must be unique there."""
-    numbered = running_sum(df, list(by), list(order), F.lit(1), "_n", bucket=bucket)
+    """Position of each row within its group; ``order`` must be unique there.
+
+    ``bucketed=False`` is for groups that are small by nature, such as the overloads of a function.
+    """
+    numbered = running_sum(df, list(by), list(order), F.lit(1), "_n", bucket=bucket, bucketed=bucketed)
     return numbered.withColumn(out, F.col("_n") - F.lit(1 - start)).drop("_n")
 
 

@@ -26,10 +26,10 @@ def call_facts(t):
     """
     lines = with_ordinal(
         t.lineitem.select("l_orderkey", *LINE_ORDER, "l_linestatus", "l_returnflag"),
-        ["l_orderkey"], [*LINE_ORDER, "l_linestatus", "l_returnflag"],
+        ["l_orderkey"], [*LINE_ORDER, "l_linestatus", "l_returnflag"], bucketed=False,
     )
     width = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
-    placed = running_sum(lines, ["l_orderkey"], ["ordinal"], width, "_before", include_current=False, bucket=F.lit(0))
+    placed = running_sum(lines, ["l_orderkey"], ["ordinal"], width, "_before", include_current=False, bucketed=False)
     slots = placed.select(
         F.col("l_orderkey").alias("fn"),
         F.lit(0).alias("call_pos"),
@@ -156,7 +156,7 @@ def ud3(t):
 
 def answers(t):
     """Judge answers per order and line: fine unless the line is returned, unreadable when it is accepted."""
-    lines = with_ordinal(t.lineitem.select("l_orderkey", *LINE_ORDER, "l_returnflag"), ["l_orderkey"], [*LINE_ORDER, "l_returnflag"])
+    lines = with_ordinal(t.lineitem.select("l_orderkey", *LINE_ORDER, "l_returnflag"), ["l_orderkey"], [*LINE_ORDER, "l_returnflag"], bucketed=False)
     code = F.when(F.col("l_returnflag") == "R", F.lit("unqualified")).otherwise(F.lit("qualified"))
     fields = [
         (code if part == "code" else F.lit("reason")).alias(f"{d}_{part}")

@@ -98,7 +98,7 @@ def infer_return_types(
         uses = refs.where(F.col("object_type").isNull()).select("fn", F.col("expr_name").alias("var"), "pos")
         resolved = last_definition(
             uses, definitions.withColumn("def_pos", F.col("pos")), ["fn", "var"], ["pos"],
-            ["rhs_kind", "rhs_name", "def_pos"], ignored=ignored, is_null=null,
+            ["rhs_kind", "rhs_name", "def_pos"], ignored=ignored, is_null=null, bucketed=False,
         )
         # The next look-up starts at the definition, so positions fall and the loop ends.
         pending = cut_lineage(

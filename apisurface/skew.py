@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,24 +153,29 @@ def running_sums(
     order: Sequence[str],
     sums: dict[str, tuple[Column, bool]],
     bucket: Column | None = None,
+    bucketed: bool = True,
 ) -> DataFrame:
     """Running sums per key in ``order``, computed per (key, bucket) plus a carry.
 
     ``sums`` maps a new column to its value and whether the current row counts. No task sorts a whole
     key: rows are shuffled by (key, bucket) once, and only one row per bucket takes part in the window
-    over the key. ``bucket`` must keep the first order column's order.
+    over the key. ``bucket`` must keep the first order column's order. ``bucketed=False`` is for keys that
+    are small by nature, such as one function: a plain window, one shuffle.
     """
-    parts = _with_parts(df, keys, order_bucket(df, order[0]) if bucket is None else bucket)
-    inside = Window.partitionBy("_part").orderBy(*order)
-    totals = parts.groupBy("_part").agg(*[F.sum(v).alias(f"_total_{n}") for n, (v, _) in sums.items()])
-    carries = _carried(totals, keys, {f"_carry_{n}": F.sum(f"_total_{n}") for n in sums})
     zero = F.lit(0)
 
-    def local(value: Column, include_current: bool) -> Column:
-        frame = inside.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    def local(window: WindowSpec, value: Column, include_current: bool) -> Column:
+        frame = window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
         return F.coalesce(F.sum(value).over(frame), zero)
 
-    running = parts.select("*", *[local(v, current).alias(f"_inside_{n}") for n, (v, current) in sums.items()])
+    if not bucketed:
+        whole = Window.partitionBy(*keys)
+        return df.select("*", *[local(whole, v, current).alias(n) for n, (v, current) in sums.items()])
+    parts = _with_parts(df, keys, order_bucket(df, order[0]) if bucket is None else bucket)
+    inside = Window.partitionBy("_part")
+    totals = parts.groupBy("_part").agg(*[F.sum(v).alias(f"_total_{n}") for n, (v, _) in sums.items()])
+    carries = _carried(totals, keys, {f"_carry_{n}": F.sum(f"_total_{n}") for n in sums})
+    running = parts.select("*", *[local(inside, v, current).alias(f"_inside_{n}") for n, (v, current) in sums.items()])
     return running.join(carries, "_part", "left").select(
         *df.columns,
         *[(F.col(f"_inside_{n}") + F.coalesce(F.col(f"_carry_{n}"), zero)).alias(n) for n in sums],
@@ -185,9 +190,10 @@ def running_sum(
     out: str,
     include_current: bool = True,
     bucket: Column | None = None,
+    bucketed: bool = True,
 ) -> DataFrame:
     """One running sum; see ``running_sums``."""
-    return running_sums(df, keys, order, {out: (value, include_current)}, bucket)
+    return running_sums(df, keys, order, {out: (value, include_current)}, bucket, bucketed)
 
 
 def last_before(
@@ -197,8 +203,15 @@ def last_before(
     value: Column,
     out: str,
     bucket: Column | None = None,
+    bucketed: bool = True,
 ) -> DataFrame:
-    """Last non-null ``value`` strictly before each row of the same key, bucket by bucket."""
+    """Last non-null ``value`` strictly before each row of the same key, bucket by bucket.
+
+    ``bucketed=False`` is for keys that are small by nature.
+    """
+    if not bucketed:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(before))
     parts = _with_parts(df, keys, order_bucket(df, order[0]) if bucket is None else bucket)
     parts = parts.withColumn("_value", value)
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

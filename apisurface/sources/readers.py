@@ -236,7 +236,7 @@ def stub_signatures(files: DataFrame) -> DataFrame:
         _stub_functions(),
         "module_name string, class_path string, function_name string, position int, text string, line int",
     )
-    numbered = with_ordinal(functions, ["module_name", "class_path", "function_name"], ["position"])
+    numbered = with_ordinal(functions, ["module_name", "class_path", "function_name"], ["position"], bucketed=False)
     return numbered.select(
         "module_name", "class_path", "function_name", F.col("ordinal").cast("int").alias("ordinal"), "text", "line"
     )
