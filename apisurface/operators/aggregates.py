@@ -100,13 +100,13 @@ def floor_percentiles(
 ) -> DataFrame:
     """Exact value at 0-based rank ``floor((n - 1) * q)`` of the sorted values, per group.
 
-    A first pass counts values per order-keeping bucket, map-side combined, and finds the bucket that
-    holds each rank. A second pass keeps only the values of
+    A first pass counts values per order-keeping bucket (about the square root of the rows), combined
+    map-side, and finds the bucket that holds each rank. A second pass keeps only the values of
     these buckets, counts equal values and picks the rank. Neither pass sorts a whole group.
     """
     group = F.struct(*[F.col(b) for b in by], F.lit(0).alias("_all")).alias("_group")
     rows = df.where(F.col(col).isNotNull()).select(group, F.col(col).alias("_value"))
-    rows = rows.withColumn("_bucket", order_bucket(rows, "_value"))
+    rows = rows.withColumn("_bucket", order_bucket(rows, "_value", rows=None))
     hist = rows.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranks = F.array(

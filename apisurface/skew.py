@@ -88,9 +88,11 @@ def _common_prefix(low: Column, high: Column) -> Column:
     )
 
 
-def order_bucket(df: DataFrame, name: str, rows: int = BUCKET_ROWS) -> Column:
+def order_bucket(df: DataFrame, name: str, rows: int | None = BUCKET_ROWS) -> Column:
     """Order-keeping bucket of column ``name``, fine enough for about ``rows`` rows in a bucket.
 
+    Without ``rows`` there are about as many buckets as rows in a bucket.
+
     The number of rows and the extremes of the column are taken from one aggregate over it. Numbers and times
     are cut at equal steps between the extremes, numbers also at equal ratios, so that neither a
     narrow range nor a long tail ends up in one bucket; strings are cut by prefix beyond what all have in
@@ -115,7 +117,7 @@ def order_bucket(df: DataFrame, name: str, rows: int = BUCKET_ROWS) -> Column:
     extremes = df.agg(F.min(position).alias("low"), F.max(position).alias("high"), F.count(F.lit(1)).alias("n"))
     shared = _common_prefix(F.col("low"), F.col("high")) if is_text else F.lit(0)
     bounds = extremes.select(F.struct("low", "high", "n", shared.alias("shared"))).scalar()
-    parts = F.ceil(bounds["n"] / F.lit(rows)).cast("double")
+    parts = F.ceil(F.sqrt(bounds["n"]) if rows is None else bounds["n"] / F.lit(rows)).cast("double")
     if is_text:
         # Each further character is taken to tell about ten values apart.
         extra = F.greatest(F.ceil(F.log10(parts)) + 1, F.lit(2)).cast("int")
