@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from apisurface import schemas as S
 from apisurface.functions.text import blank_to_null
 from apisurface.functions.types import ANY, union_members, union_text
-from apisurface.skew import order_bucket
+from apisurface.skew import heavy_keys, order_bucket
 
 UNKNOWN_PROVIDER = "<unknown>"
 QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95}
@@ -96,17 +96,30 @@ def evaluation_summary(functions: DataFrame, evaluations: DataFrame, signatures:
 
 
 def floor_percentiles(
-    df: DataFrame, col: str, quantiles: Mapping[str, float] = QUANTILES, by: Sequence[str] = ()
+    df: DataFrame,
+    col: str,
+    quantiles: Mapping[str, float] = QUANTILES,
+    by: Sequence[str] = (),
+    split_rows: int = 20_000,
 ) -> DataFrame:
     """Exact value at 0-based rank ``floor((n - 1) * q)`` of the sorted values, per group.
 
     A first pass counts values per order-keeping bucket (about the square root of the rows), combined
     map-side, and finds the bucket that holds each rank. A second pass keeps only the values of
-    these buckets, counts equal values and picks the rank. Neither pass sorts a whole group.
+    these buckets, counts equal values and picks the rank. A group is sorted whole only when it has
+    at most ``split_rows`` rows or 1/50 000 of all rows.
     """
     group = F.struct(*[F.col(b) for b in by], F.lit(0).alias("_all")).alias("_group")
     rows = df.where(F.col(col).isNotNull()).select(group, F.col(col).alias("_value"))
-    rows = rows.withColumn("_bucket", order_bucket(rows, "_value", rows=None))
+    bucket = order_bucket(rows, "_value", rows=None)
+    if by:
+        # Fewer than 50 000 groups are large; the values of any other group fit one bucket.
+        large = heavy_keys(rows, ["_group"], share=1 / 50_000, min_rows=split_rows)
+        whole = F.struct(F.lit(0).alias("ratio"), F.lit(0).cast("bigint").alias("step"))
+        bucket = F.coalesce(F.when(F.col("_salts").isNotNull(), bucket), whole)
+        rows = rows.join(F.broadcast(large), ["_group"], "left").withColumn("_bucket", bucket).drop("_salts")
+    else:
+        rows = rows.withColumn("_bucket", bucket)
     hist = rows.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranks = F.array(
