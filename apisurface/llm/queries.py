@@ -24,8 +24,8 @@ RULES = (
     url_filter.Rule("block", "net", "/es/"),
     url_filter.Rule("block", "net", "/fr/"),
 )
-#: Pages whose markup holds one of these make their URL a listed one.
-LISTED_MARKS = ('class="ad"', 'class="sponsored"')
+#: Pages that were reached through a campaign link make their canonical URL a listed one.
+LISTED_MARK = "utm_source="
 
 
 def query(name: str, sql: str | None = None):
@@ -118,13 +118,13 @@ KEY_SQL = """CASE WHEN {host} <> '' THEN regexp_replace(regexp_replace({host}, '
     "op7_url_filter",
     f"""
 WITH parts AS (
-  SELECT page_id, html,
+  SELECT page_id, url,
     coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
   FROM pages
 ), keyed AS (SELECT *, {KEY_SQL} AS k FROM parts),
 listed AS (
-  SELECT DISTINCT k FROM keyed WHERE k IS NOT NULL AND ({" OR ".join(f"contains(html, '{m}')" for m in LISTED_MARKS)})
+  SELECT DISTINCT k FROM keyed WHERE k IS NOT NULL AND contains(url, '{LISTED_MARK}')
 ), ruled AS (
   SELECT *, CASE
 {RULE_SQL}
@@ -138,10 +138,8 @@ FROM ruled
 )
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
-    marked = F.lit(False)
-    for mark in LISTED_MARKS:
-        marked = marked | F.col("html").contains(mark)
-    judged = url_filter.filter_urls(pages, pages.where(marked).select("url"), "page_id", "url", "url", RULES)
+    listed = pages.where(F.col("url").contains(LISTED_MARK))
+    judged = url_filter.filter_urls(pages, listed, "page_id", "url", "url", RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
