@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,14 +21,20 @@ from pyspark.sql import DataFrame
 from apisurface.llm.frames import pick
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+SIGNS = ".,;:!?"
 FIELDS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
 
+def stays_letters(word: str) -> bool:
+    """Whether a word is of letters alone and remains so when it is composed and lower-cased."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordTokenizer:
     """Ids of a text by a tokenizer file whose tokens never reach over blanks, through a bounded cache of words."""
 
-    def __init__(self, path: str, end_id: int, cache_words: int = 400_000) -> None:
+    def __init__(self, path: str, end_id: int, cache_words: int = 1_000_000) -> None:
         self.path, self.cache_words = path, cache_words
         self.end = np.array([end_id], "<u4").tobytes()
         self.cache: dict[str, bytes] = {}
@@ -37,24 +44,45 @@ class WordTokenizer:
         return self.__dict__ | {"cache": {}, "tokenizer": None}
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if self.tokenizer is None:
-            # The library's threads would compete with the other tasks of the executor.
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            self.tokenizer = Tokenizer.from_file(self.path)
         # Only the blank and the line feed cut words; other white space is left to the tokenizer.
         words = [w for w in (text or "").replace("\n", " ").split(" ") if w]
         cache = self.cache
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > self.cache_words:
+        if new := [w for w in dict.fromkeys(words) if w not in cache]:
+            if len(cache) + 2 * len(new) > self.cache_words:
                 cache.clear()
                 new = list(dict.fromkeys(words))
-            for word, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[word] = np.array(encoded.ids, "<u4").tobytes()
+            self.learn(new)
         return np.frombuffer(b"".join([*map(cache.__getitem__, words), self.end]), "<u4")
 
+    def learn(self, words: list[str]) -> None:
+        """Put words into the cache. One sign behind letters is a token run of its own, so both parts are encoded apart."""
+        cache = self.cache
+        plain = {w: w[:-1] if w[-1] in SIGNS and stays_letters(w[:-1]) else w for w in words}
+        lower = {w: p.lower() if p.isascii() else p for w, p in plain.items()}
+        self.encode([p for p in dict.fromkeys([*lower.values(), *SIGNS]) if p not in cache])
+        for w in words:
+            cache[w] = cache[lower[w]] + cache[w[-1]] if len(plain[w]) < len(w) else cache[lower[w]]
+
+    def encode(self, words: list[str]) -> None:
+        """Ids of words by the tokenizer: those of letters alone as one text, cut behind each token that ends a word."""
+        if self.tokenizer is None:
+            # The library's threads would compete with the other tasks of the executor.
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.closing = np.zeros(max(self.tokenizer.get_vocab(True).values()) + 1, bool)
+            self.closing[[i for t, i in self.tokenizer.get_vocab(True).items() if t.endswith("</w>")]] = True
+        letters = [w for w in words if w.isalpha()]
+        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.closing[ids]) + 1
+        if len(cuts) == len(letters):
+            for word, part in zip(letters, np.split(ids, cuts), strict=False):
+                self.cache[word] = part.tobytes()
+            words = [w for w in words if w not in self.cache]
+        for word, encoded in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.cache[word] = np.array(encoded.ids, "<u4").tobytes()
+
 
 class Packer:
     """Windows of one partition. ``add`` and ``close`` give finished pieces (doc, start, ids, doc_tokens, sequence, offset)."""
