@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apisurface.llm import line_dedup, suffix_dedup
+from apisurface.llm import line_dedup, ngram_join, suffix_dedup
 from apisurface.llm.frames import table
 from apisurface.llm.queries import query
 
@@ -57,3 +57,34 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query(
+    "op5_ngram_join",
+    r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s
+  FROM words, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * shared >= 85 * (p.n + q.n - shared)
+), reach AS (
+  SELECT doc_id AS root, doc_id AS node FROM documents
+  UNION SELECT root, y FROM reach JOIN links ON x = node
+)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes z USING (doc_id)
+JOIN (SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node) r USING (doc_id)
+""",
+)
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return ngram_join.near_classes(docs, "doc_id", "text", words=4, similarity=(85, 100))
