@@ -58,7 +58,7 @@ def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceModel:
     """Vocabulary of a model file, with its encoder. Only merge models without text normalisation are accepted."""
 
-    def __init__(self, path: str, cache_words: int = 300_000) -> None:
+    def __init__(self, path: str, cache_words: int = 500_000) -> None:
         import struct
 
         import ahocorasick
@@ -91,6 +91,8 @@ class PieceModel:
         self.byte_ids = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k == BYTE}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.end_id = self.texts.index("</s>")
+        # A line feed that no entry holds is never merged, so it cuts words as well.
+        self.pattern = WORD if any("\n" in t for t in self.ids) else LINE_WORD
         # Reversed entries: the matches of a reversed text that end at one place begin at one place of the text.
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for text in self.ids:
@@ -98,7 +100,7 @@ class PieceModel:
         self.automaton.make_automaton()
         self.shorter: dict[str, str] = {}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[str, int, bytes]] = {}
+        self.words: dict[str, tuple[str, int, bytes, str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Symbols of ``text`` after all merges, best score first, then leftmost."""
@@ -175,9 +177,10 @@ class PieceModel:
             token = self.prefix(last)
         return out
 
-    def ids_of(self, word: str) -> list[int]:
+    def ids_of(self, tokens: list[str]) -> list[int]:
+        """Ids of tokens; what is no entry becomes its bytes."""
         out: list[int] = []
-        for token in self.tokens(word):
+        for token in tokens:
             found = self.ids.get(token)
             if found is None:
                 out.extend(self.byte_ids[b] for b in token.encode("utf-8", "surrogatepass"))
@@ -190,7 +193,7 @@ class PieceModel:
         if not text:
             return []
         marked = text.replace(" ", MARK)
-        return WORD.findall(MARK + marked if self.dummy_prefix else marked)
+        return self.pattern.findall(MARK + marked if self.dummy_prefix else marked)
 
     def piece_bytes(self, token_id: int) -> bytes:
         if token_id in self.byte_of:
@@ -199,21 +202,40 @@ class PieceModel:
             return UNKNOWN_TEXT.encode()
         return b"" if self.kinds[token_id] == CONTROL else self.texts[token_id].replace(MARK, " ").encode()
 
-    def word(self, word: str) -> tuple[str, int, bytes]:
-        """Ids joined by blanks, their number and the decoded bytes of one word, through the cache."""
+    def word(self, word: str) -> tuple[str, int, bytes, str]:
+        """Ids joined by blanks, their number, the decoded bytes and the last token of one word, through the cache."""
         known = self.words.get(word)
         if known is None:
+            known = self.with_sign(word) or self.entry(self.tokens(word))
             if len(self.words) >= self.cache_words:
                 self.words.clear()
-            ids = self.ids_of(word)
-            known = (" ".join(map(str, ids)), len(ids), b"".join(map(self.piece_bytes, ids)))
             if len(word) <= 64:
                 self.words[word] = known
         return known
 
+    def entry(self, tokens: list[str]) -> tuple[str, int, bytes, str]:
+        ids = self.ids_of(tokens)
+        return " ".join(map(str, ids)), len(ids), b"".join(map(self.piece_bytes, ids)), tokens[-1]
+
+    def with_sign(self, word: str) -> tuple[str, int, bytes, str] | None:
+        """The word as that of all but its last sign and the sign, if the two tokens that meet there stay apart."""
+        sign = word[-1]
+        if sign not in SIGNS or len(word) < 3 or len(word) > 64 or sign not in self.ids:
+            return None
+        ids, n, data, last = self.word(word[:-1])
+        if not self.fit(last, sign):
+            return None
+        return f"{ids} {self.ids[sign]}", n + 1, data + sign.encode(), sign
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text and the end id."""
-        return [i for word in self.split(text or "") for i in self.ids_of(word)] + [self.end_id]
+        return [i for word in self.split(text or "") for i in self.ids_of(self.tokens(word))] + [self.end_id]
+
+    def encode_words(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids with the end id, ids joined by blanks, and decoded text, through the cache of words."""
+        parts = list(map(self.word, self.split(text or "")))
+        ids = " ".join([*[p[0] for p in parts], str(self.end_id)])
+        return 1 + sum([p[1] for p in parts]), ids, self.shown(b"".join([p[2] for p in parts]))
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids. The blank that encoding puts in front goes; bytes that make no character become replacement signs."""
@@ -228,6 +250,9 @@ class PieceModel:
 
 
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+LINE_WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+#: Signs that are tried as a token of their own behind the tokens of what precedes them.
+SIGNS = frozenset(".,;:!?")
 MODELS: dict[str, PieceModel] = {}
 
 
@@ -250,14 +275,9 @@ def encode_decode(docs: DataFrame, id_col: str, text_col: str, path: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
-        end = str(model.end_id)
         for batch in batches:
-            counts, ids, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                parts = list(map(model.word, model.split(text or "")))
-                counts.append(1 + sum(p[1] for p in parts))
-                ids.append(" ".join([*[p[0] for p in parts], end]))
-                decoded.append(model.shown(b"".join([p[2] for p in parts])))
+            coded = [model.encode_words(text) for text in batch.column(1).to_pylist()]
+            counts, ids, decoded = zip(*coded, strict=True) if coded else ([], [], [])
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 
