@@ -42,8 +42,8 @@ def bitmap_of(hashes: np.ndarray) -> np.ndarray:
 
 def signature(hashes: np.ndarray) -> int:
     """64 bits that stand for a set, together with its size."""
-    n = np.arange(1, len(hashes) + 1, dtype=U64)
-    return int(mix(mix(hashes + n).sum(dtype=U64) + U64(len(hashes))).view(np.int64)) if len(hashes) else 0
+    total = mix(hashes + np.arange(1, len(hashes) + 1, dtype=U64)).sum(keepdims=True, dtype=U64)
+    return int(mix(total).view(np.int64)[0])
 
 
 def profiles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,8 @@ PLACE_BITS = U64(20)
 COMBINE = 1_000_000
 #: Contexts that are sorted at a time, if their anchors end there.
 SORT_CONTEXTS = 4096
+#: Windows that are sorted at a time.
+SORT_WINDOWS = 400_000
 NO_ID = -(1 << 63)
 TIE_BITS = 15
 
@@ -264,8 +266,31 @@ def sort_suffixes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, bucket:
     return order, equal
 
 
+def ends_of(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last eight bytes of the window that begins at each place."""
+    eight = np.arange(8)
+    return tuple(np.ascontiguousarray(data[at[:, None] + eight + skip]).view(U64).ravel() for skip in (0, width - 8))
+
+
+def repeated_windows(data, prefix, at: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
+    """Which windows equal an earlier one of their bucket. Suffixes are dealt by their first and last bytes before they are sorted."""
+    first, last = ends_of(data, at, width)
+    order = np.lexsort((last, first, bucket))
+    b, f, e = bucket[order], first[order], last[order]
+    head = np.ones(len(order), bool)
+    head[1:] = (b[1:] != b[:-1]) | (f[1:] != f[:-1]) | (e[1:] != e[:-1])
+    part = np.cumsum(head)
+    alone = head & np.concatenate([head[1:], [True]])
+    order, part = order[~alone], part[~alone]
+    place, equal = sort_suffixes(data, prefix, at[order], part, width)
+    return order[place[equal]]
+
+
 def sort_contexts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Spans of the windows that an earlier context of the same anchor holds as well."""
+    """Spans of the windows that an earlier context of the same anchor holds as well.
+
+    Windows are worked on by their place before the anchor, about ``SORT_WINDOWS`` at a time.
+    """
     for a, doc, tie, start, offset, content in groups_of(batches, 6, SORT_CONTEXTS):
         a, doc, tie, start, offset = (x.to_numpy() for x in (a, doc, tie, start, offset))
         # Rows come sorted by anchor, document, tie and start, and sorting keeps the order of equal suffixes.
@@ -274,15 +299,18 @@ def sort_contexts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         ends -= ends[0]
         prefix = prefix_hashes(data)
         n_windows = np.diff(ends) - width + 1
-        of = np.repeat(np.arange(len(a)), n_windows)
-        inside = np.arange(len(of)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
         group = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]).astype(np.int64)]))
-        bucket = group[of] * 256 + (inside - offset[of] + 128)
-        at = ends[:-1][of] + inside
-        order, equal = sort_suffixes(data, prefix, at, bucket, width)
-        repeated = order[equal]
-        d, s = doc[of[repeated]], start[of[repeated]] + inside[repeated]
-        yield span_batch(*merged_spans(d, tie[of[repeated]], s, s + width))
+        step = max(1, min(width, SORT_WINDOWS // len(a)))
+        for low in range(0, width, step):
+            # Places before the anchor from low on: the window begins at offset - place within its context.
+            first = np.maximum(offset - low - step + 1, 0)
+            n = np.clip(np.minimum(offset - low + 1, n_windows) - first, 0, None)
+            of = np.repeat(np.arange(len(a)), n)
+            inside = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+            bucket = group[of] * 128 + (offset[of] - inside)
+            repeated = repeated_windows(data, prefix, ends[:-1][of] + inside, bucket, width)
+            d, s = doc[of[repeated]], start[of[repeated]] + inside[repeated]
+            yield span_batch(*merged_spans(d, tie[of[repeated]], s, s + width))
 
 
 def apply_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +346,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, width: int = 100)
         raise ValueError("width must lie between 33 and 158")
     rows = pick(docs, _id=id_col, _text=text_col).select(
         F.coalesce(F.col("_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
-        F.pmod(F.xxhash64("_text"), F.lit(1 << TIE_BITS)).alias("tie"),
+        F.xxhash64("_text").bitwiseAND((1 << TIE_BITS) - 1).alias("tie"),
         F.coalesce(F.col("_text").cast("binary"), F.lit(b"")).alias("text"),
     )
     found = rows.mapInArrow(lambda b: find_anchors(b, width), "a long, c long, doc long, pos long, until long")
