@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from apisurface.llm import queries as numbered
-from apisurface.llm import queries_dedup  # noqa: F401  registers its queries
+from apisurface.llm import queries_dedup, queries_search  # noqa: F401  these register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
