@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import os
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,9 +27,29 @@ FIELDS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offs
 TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
 
-def stays_letters(word: str) -> bool:
-    """Whether a word is of letters alone and remains so when it is composed and lower-cased."""
-    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: printable ones for themselves, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+LATIN = str.maketrans({chr(b): letter for b, letter in byte_letters().items()})
+
+
+def as_letters(word: str) -> str | None:
+    """The one token run that the tokenizer makes of a word of letters: composed, lower-cased. None if it may make another.
+
+    The tokenizer knows no final sigma, and composing or lower-casing some letters leaves signs that are none.
+    """
+    if not word.isalpha():
+        return None
+    lower = word.lower()
+    if word.isascii():
+        return lower
+    if "\u03a3" in word or not unicodedata.is_normalized("NFC", word) or not lower.isalpha():
+        return None
+    return lower
 
 
 class WordTokenizer:
@@ -41,7 +62,7 @@ class WordTokenizer:
         self.tokenizer = None
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}, "tokenizer": None}
+        return self.__dict__ | {"cache": {}, "tokenizer": None, "merges": None}
 
     def __call__(self, text: str | None) -> np.ndarray:
         # Only the blank and the line feed cut words; other white space is left to the tokenizer.
@@ -55,33 +76,32 @@ class WordTokenizer:
         return np.frombuffer(b"".join([*map(cache.__getitem__, words), self.end]), "<u4")
 
     def learn(self, words: list[str]) -> None:
-        """Put words into the cache. One sign behind letters is a token run of its own, so both parts are encoded apart."""
-        cache = self.cache
-        plain = {w: w[:-1] if w[-1] in SIGNS and stays_letters(w[:-1]) else w for w in words}
-        lower = {w: p.lower() if p.isascii() else p for w, p in plain.items()}
-        self.encode([p for p in dict.fromkeys([*lower.values(), *SIGNS]) if p not in cache])
-        for w in words:
-            cache[w] = cache[lower[w]] + cache[w[-1]] if len(plain[w]) < len(w) else cache[lower[w]]
-
-    def encode(self, words: list[str]) -> None:
-        """Ids of words by the tokenizer: those of letters alone as one text, cut behind each token that ends a word."""
+        """Put words into the cache. A word of letters is one token run, and one sign behind it a run of its own."""
         if self.tokenizer is None:
             # The library's threads would compete with the other tasks of the executor.
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
-            self.closing = np.zeros(max(self.tokenizer.get_vocab(True).values()) + 1, bool)
-            self.closing[[i for t, i in self.tokenizer.get_vocab(True).items() if t.endswith("</w>")]] = True
-        letters = [w for w in words if w.isalpha()]
-        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.closing[ids]) + 1
-        if len(cuts) == len(letters):
-            for word, part in zip(letters, np.split(ids, cuts), strict=False):
-                self.cache[word] = part.tobytes()
-            words = [w for w in words if w not in self.cache]
-        for word, encoded in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.cache[word] = np.array(encoded.ids, "<u4").tobytes()
+            self.merges = self.tokenizer.model
+        cache, odd = self.cache, []
+        for word in words:
+            signed = word[-1] in SIGNS
+            letters = as_letters(word[:-1] if signed else word)
+            if letters is None:
+                odd.append(word)
+                continue
+            ids = cache.get(letters)
+            if ids is None:
+                ids = cache[letters] = self.run_ids(letters)
+            cache[word] = ids + self.run_ids(word[-1]) if signed else ids
+        for word, encoded in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            cache[word] = np.array(encoded.ids, "<u4").tobytes()
+
+    def run_ids(self, run: str) -> bytes:
+        """Ids of one token run."""
+        shown = run if run.isascii() else run.encode().decode("latin-1").translate(LATIN)
+        return array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
 
 
 class Packer:
