@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from apisurface.llm import queries as numbered
@@ -11,8 +12,11 @@ from apisurface.llm import queries_dedup, queries_search  # noqa: F401  these re
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(numbered.QUERIES)
+    return {**numbered.QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
-    return dict(numbered.ORACLES)
+    found = dict(numbered.ORACLES)
+    if corpus_pipeline.ORACLE_SQL is not None:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from apisurface.llm.frames import pick, stored
+from apisurface.llm.frames import fresh, pick, stored
 from apisurface.llm.hashing import U64, mix, prefix_hashes, stretch, windows
 
 ANCHOR = 32
@@ -313,17 +314,23 @@ def sort_contexts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
             yield span_batch(*merged_spans(d, tie[of[repeated]], s, s + width))
 
 
+def merged_runs(spans) -> list[list[int]]:
+    """Maximal runs of a document's spans."""
+    runs: list[list[int]] = []
+    for s, e in sorted((s["start"], s["end"]) for s in spans):
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    return runs
+
+
 def apply_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Maximal spans and the bytes outside of them."""
     for batch in batches:
         out = []
         for doc, text, spans in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], strict=True):
-            runs = []
-            for s, e in sorted((s["start"], s["end"]) for s in spans or ()):
-                if runs and s <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], e)
-                else:
-                    runs.append([s, e])
+            runs = merged_runs(spans or ())
             edges = [0, *[x for r in runs for x in r], len(text)]
             kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
             out.append((None if doc == NO_ID else doc, len(text), [{"start": s, "end": e} for s, e in runs], kept))
@@ -333,22 +340,23 @@ def apply_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, ["doc_id", "n_bytes", "spans", "kept"])
 
 
-def find_repeats(docs: DataFrame, id_col: str, text_col: str, width: int = 100) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``spans`` (maximal removed runs, in bytes) and ``kept`` (the remaining bytes).
-
-    One row for each row. A byte is removed if it lies in a string of ``width`` bytes that also starts in a document of smaller
-    id, or earlier in the same one; strings are judged on the input. Null texts are empty; texts shorter than ``width`` stay.
-    Rows of the same id and text are one document and keep the same bytes; rows of one id with other texts come
-    one after the other by a hash of the text; null ids come first. Work grows with the number of anchors (about one in
-    35 bytes); copies are dropped where they are found. The different surroundings of one anchor meet in one task.
-    """
-    if width - ANCHOR > 126 or width <= ANCHOR:
-        raise ValueError("width must lie between 33 and 158")
-    rows = pick(docs, _id=id_col, _text=text_col).select(
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Documents as ``doc`` (id, the least number for null), ``tie`` (some bits of a hash of the text) and ``text`` in bytes."""
+    return pick(docs, _id=id_col, _text=text_col).select(
         F.coalesce(F.col("_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
         F.xxhash64("_text").bitwiseAND((1 << TIE_BITS) - 1).alias("tie"),
         F.coalesce(F.col("_text").cast("binary"), F.lit(b"")).alias("text"),
     )
+
+
+def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
+    """``doc``, ``tie``, ``spans`` (in bytes, they may overlap) of the ``keyed`` documents that hold repeated strings.
+
+    Work grows with the number of anchors (about one in 35 bytes); copies are dropped where they are found. The different
+    surroundings of one anchor meet in one task, and are worked on a slice at a time.
+    """
+    if width - ANCHOR > 126 or width <= ANCHOR:
+        raise ValueError("width must lie between 33 and 158")
     found = rows.mapInArrow(lambda b: find_anchors(b, width), "a long, c long, doc long, pos long, until long")
     dealt = found.repartition("a").sortWithinPartitions("a", "c", "doc", "pos")
     judged = stored(dealt.mapInArrow(lambda b: judge_anchors(b, width), SPANS), "anchors")
@@ -359,9 +367,63 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, width: int = 100)
     contexts = contexts.repartition("a").sortWithinPartitions("a", "doc", "tie", "start")
     more = contexts.mapInArrow(lambda b: sort_contexts(b, width), SPANS)
     spans = judged.where(F.col("a").isNull()).unionByName(more).groupBy("doc", "tie")
-    spans = spans.agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(spans, ["doc", "tie"], "left").select("doc", "tie", "text", "spans")
+    return spans.agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def find_repeats(docs: DataFrame, id_col: str, text_col: str, width: int = 100) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``spans`` (maximal removed runs, in bytes) and ``kept`` (the remaining bytes).
+
+    One row for each row. A byte is removed if it lies in a string of ``width`` bytes that also starts in a document of smaller
+    id, or earlier in the same one; strings are judged on the input. Null texts are empty; texts shorter than ``width`` stay.
+    Rows of the same id and text are one document and keep the same bytes; rows of one id with other texts come
+    one after the other by a hash of the text; null ids come first. An empty table gives no rows.
+    """
+    rows = keyed(docs, id_col, text_col)
+    joined = rows.join(repeated_spans(rows, width), ["doc", "tie"], "left").select("doc", "tie", "text", "spans")
     return joined.mapInArrow(apply_spans, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
+def without_spans(text: str | None, spans: list[dict] | None) -> str | None:
+    """Text less the characters that lie in the spans with all their bytes."""
+    if text is None or not spans:
+        return text
+    data = text.encode("utf-8", "surrogatepass")
+    out, at = [], 0
+    for s, e in merged_runs(spans):
+        while s < e and data[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(data) and data[e] & 0xC0 == 0x80:
+            e -= 1
+        out.append(data[at:s])
+        at = e
+    return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
+
+
+def remove_repeats(docs: DataFrame, id_col: str, text_col: str, width: int = 100) -> DataFrame:
+    """``docs`` with the spans of ``find_repeats`` taken out of the text, but for characters that a span cuts; null texts stay null.
+
+    One row for each row, all columns as they were, and ``repeated`` (whether the text had such spans; replaced if there already).
+    """
+    source = docs.drop("repeated")
+    spans = repeated_spans(keyed(source, id_col, text_col), width)
+    doc, tie, found = (fresh(n, source.columns) for n in ("_doc_key", "_tie_key", "_spans"))
+    key = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)).alias(doc)
+    rows = source.select("*", key, F.xxhash64(f"`{text_col}`").bitwiseAND((1 << TIE_BITS) - 1).alias(tie))
+    spans = spans.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("spans").alias(found))
+    joined = rows.join(spans, [doc, tie], "left").select(*[F.col(f"`{c}`") for c in source.columns], found)
+    place = source.columns.index(text_col)
+    schema = T.StructType([*source.schema.fields, T.StructField("repeated", T.BooleanType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            all_spans = columns.pop().to_pylist()
+            texts = columns[place].to_pylist()
+            columns[place] = pa.array([without_spans(t, s) for t, s in zip(texts, all_spans, strict=True)], pa.string())
+            columns.append(pa.array([bool(s) for s in all_spans], pa.bool_()))
+            yield pa.record_batch(columns, [*batch.schema.names[:-1], "repeated"])
+
+    return joined.mapInArrow(cut, schema)
+
+
 SPANS = "doc long, tie long, start long, end long, a long, offset long"
