@@ -86,7 +86,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFr
     ids and bounds for each range is known to the driver.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    bounds = sorted({int(b) for b in rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)})
+    shares = [i / parts for i in range(1, parts)]
+    bounds = sorted({int(b) for b in rows.approxQuantile("doc_id", shares, 0.2 / parts)}) if shares else []
     if bounds:
         ranks = F.aggregate(
             F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + F.when(F.col("doc_id") > b, 1).otherwise(0)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import codecs
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -239,9 +240,16 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids. The blank that encoding puts in front goes; bytes that make no character become replacement signs."""
+        # Bytes make characters with their neighbours only, not over a control token.
+        parts = [
+            b"".join(map(self.piece_bytes, run)).decode("utf-8", "each_byte")
+            for _, run in itertools.groupby(ids, lambda i: self.kinds[i])
+        ]
+        text = "".join(parts)
+        # Only the mark of a first entry stands for the blank in front.
         first = next((i for i in ids if self.kinds[i] != CONTROL), None)
-        front = b" " if first is not None and self.kinds[first] == UNKNOWN else b""
-        return self.shown(front + b"".join(map(self.piece_bytes, ids)))
+        marked = first is not None and self.kinds[first] == NORMAL and self.texts[first].startswith(MARK)
+        return text[1:] if self.dummy_prefix and marked else text
 
     def shown(self, data: bytes) -> str:
         if self.dummy_prefix and data.startswith(b" "):
