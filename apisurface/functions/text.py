@@ -243,11 +243,14 @@ def render_default(
     """Struct(default_value, error) for a C default expression.
 
     ``kind`` is one of null, string, float, bool, integer, unary; ``text`` holds string content or the
-    name an address-of operand refers to; ``number`` holds the evaluated number.
+    name an address-of operand refers to; ``number`` holds the evaluated number, as a number or its text. Whole numbers
+    of up to 38 digits are kept exactly.
     """
     kind, is_pointer, expected_type = col_of(kind), col_of(is_pointer), col_of(expected_type)
-    text, number = col_of(text), col_of(number).cast("double")
-    whole = F.when(number == F.floor(number), number.cast("bigint").cast("string")).otherwise(python_float(number))
+    text, digits, number = col_of(text), col_of(number).cast("string"), col_of(number).cast("double")
+    exact = F.when(F.rlike(digits, F.lit("^[+-]?[0-9]+$")), digits.try_cast("decimal(38,0)").cast("string"))
+    short = F.when(number == F.floor(number), number.try_cast("decimal(38,0)").cast("string"))
+    whole = F.coalesce(exact, short, python_float(number))
     as_number = F.when(expected_type == "float", python_float(number)).when(kind == "float", python_float(number)).otherwise(whole)
     as_bool = F.when(number == 0, F.lit("False")).when(number == 1, F.lit("True"))
     value = (

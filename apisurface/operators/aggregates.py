@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from apisurface import schemas as S
 from apisurface.functions.text import blank_to_null
 from apisurface.functions.types import ANY, union_members, union_text
-from apisurface.skew import heavy_keys, order_bucket
+from apisurface.session import cut_lineage
+from apisurface.skew import order_bucket
 
 UNKNOWN_PROVIDER = "<unknown>"
 QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95}
@@ -85,42 +86,45 @@ def code_counts(df: DataFrame, dims: Mapping[str, str], codes: Sequence = S.CODE
     return row.select(F.explode(entries).alias("e")).select("e.*")
 
 
-def evaluation_summary(functions: DataFrame, evaluations: DataFrame, signatures: str = "signatures") -> DataFrame:
-    """Total signatures, evaluated rows and one column per dimension and code."""
+def evaluation_summary(
+    functions: DataFrame, evaluations: DataFrame, signatures: str = "signatures", status: str | None = None
+) -> DataFrame:
+    """Total signatures, evaluated rows and one column per dimension and code.
+
+    With ``status`` only rows for which it is ``ok`` count as evaluated; the others are counted as ``error_rows``.
+    """
+    fine = F.lit(True) if status is None else F.col(status).eqNullSafe(F.lit("ok"))
     cells = [
-        F.count_if(F.col(f"{d}_code") == c).alias(f"{d}_{c}_count") for d in S.DIMENSIONS for c in S.CODES
+        F.count_if(fine & (F.col(f"{d}_code") == c)).alias(f"{d}_{c}_count") for d in S.DIMENSIONS for c in S.CODES
     ]
     totals = functions.agg(F.coalesce(F.sum(F.coalesce(F.size(signatures), F.lit(0))), F.lit(0)).alias("total_signatures"))
-    counted = evaluations.agg(F.count(F.lit(1)).alias("evaluated_rows"), *cells)
+    errors = [] if status is None else [F.count_if(~fine).alias("error_rows")]
+    counted = evaluations.agg(F.count_if(fine).alias("evaluated_rows"), *errors, *cells)
     return counted.select(totals.scalar().alias("total_signatures"), "*")
 
 
+def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """``_group``, ``_value``, ``_n``: rows of each value, combined map-side and stored, so the input is read once."""
+    group = F.struct(*[F.col(b) for b in by], F.lit(0).alias("_all")).alias("_group")
+    rows = df.where(F.col(col).isNotNull()).select(group, F.col(col).alias("_value"))
+    return cut_lineage(rows.groupBy("_group", "_value").agg(F.count(F.lit(1)).alias("_n")))
+
+
 def floor_percentiles(
-    df: DataFrame,
-    col: str,
-    quantiles: Mapping[str, float] = QUANTILES,
-    by: Sequence[str] = (),
-    split_rows: int = 20_000,
+    df: DataFrame, col: str, quantiles: Mapping[str, float] = QUANTILES, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact value at 0-based rank ``floor((n - 1) * q)`` of the sorted values, per group.
+    """Exact value at 0-based rank ``floor((n - 1) * q)`` of the sorted values, per group."""
+    return percentiles_of_counts(value_counts(df, col, by), quantiles, by)
+
+
+def percentiles_of_counts(counts: DataFrame, quantiles: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Floor-rank percentiles from ``value_counts``.
 
-    A first pass counts values per order-keeping bucket (about the square root of the rows), combined
-    map-side, and finds the bucket that holds each rank. A second pass keeps only the values of
-    these buckets, counts equal values and picks the rank. A group is sorted whole only when it has
-    at most ``split_rows`` rows or 1/50 000 of all rows.
+    Counts are added up per order-keeping bucket (about the square root of them), which finds the bucket that
+    holds each rank; only the values of these buckets are put in order.
     """
-    group = F.struct(*[F.col(b) for b in by], F.lit(0).alias("_all")).alias("_group")
-    rows = df.where(F.col(col).isNotNull()).select(group, F.col(col).alias("_value"))
-    bucket = order_bucket(rows, "_value", rows=None)
-    if by:
-        # Fewer than 50 000 groups are large; the values of any other group fit one bucket.
-        large = heavy_keys(rows, ["_group"], share=1 / 50_000, min_rows=split_rows)
-        whole = F.struct(F.lit(0).alias("ratio"), F.lit(0).cast("bigint").alias("step"))
-        bucket = F.coalesce(F.when(F.col("_salts").isNotNull(), bucket), whole)
-        rows = rows.join(F.broadcast(large), ["_group"], "left").withColumn("_bucket", bucket).drop("_salts")
-    else:
-        rows = rows.withColumn("_bucket", bucket)
-    hist = rows.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    rows = counts.withColumn("_bucket", order_bucket(counts, "_value", rows=None))
+    hist = rows.groupBy("_group", "_bucket").agg(F.sum("_n").alias("_n"))
     upto = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranks = F.array(
         *[
@@ -145,11 +149,7 @@ def floor_percentiles(
     if not by:
         # At most one bucket per quantile.
         targets = F.broadcast(targets)
-    counted = (
-        rows.join(targets.select("_group", "_bucket"), ["_group", "_bucket"], "left_semi")
-        .groupBy("_group", "_bucket", "_value")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    counted = rows.join(targets.select("_group", "_bucket"), ["_group", "_bucket"], "left_semi")
     inside = Window.partitionBy("_group", "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     picked = (
         counted.withColumn("_upto", F.sum("_n").over(inside))
@@ -163,6 +163,26 @@ def floor_percentiles(
     return picked.groupBy("_group").agg(*values).select(*keys, *quantiles)
 
 
+def timing_measures(col: str, file: str | None) -> list[Column]:
+    measures = [
+        F.count(F.col(col)).alias("functions"),
+        F.sum(col).alias("total"),
+        F.avg(col).alias("avg"),
+        F.min(col).alias("min"),
+        F.max(col).alias("max"),
+    ]
+    return measures if file is None else [*measures, F.countDistinct(file).alias("files")]
+
+
+def with_percentiles(basic: DataFrame, ranked: DataFrame, by: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
+    """Measures of each group with its percentiles; null keys match each other."""
+    left, right = basic.alias("b"), ranked.alias("r")
+    same = F.lit(True)
+    for name in by:
+        same = same & F.col(f"b.{name}").eqNullSafe(F.col(f"r.{name}"))
+    return left.join(right, same, "left").select("b.*", *[F.col(f"r.{q}").alias(q) for q in quantiles])
+
+
 def timing_summary(
     df: DataFrame,
     col: str,
@@ -176,25 +196,12 @@ def timing_summary(
     Without groups an empty input gives a row of zeros, or fails when ``empty="error"``.
     """
     by = list(by)
-    measures = [
-        F.count(F.col(col)).alias("functions"),
-        F.sum(col).alias("total"),
-        F.avg(col).alias("avg"),
-        F.min(col).alias("min"),
-        F.max(col).alias("max"),
-    ]
-    if file is not None:
-        measures.append(F.countDistinct(file).alias("files"))
-    basic = df.groupBy(*by).agg(*measures)
+    basic = df.groupBy(*by).agg(*timing_measures(col, file))
     ranked = floor_percentiles(df, col, quantiles, by)
     if by:
-        left, right = basic.alias("b"), ranked.alias("r")
-        same = F.lit(True)
-        for name in by:
-            same = same & F.col(f"b.{name}").eqNullSafe(F.col(f"r.{name}"))
-        return left.join(right, same, "left").select("b.*", *[F.col(f"r.{q}").alias(q) for q in quantiles])
+        return with_percentiles(basic, ranked, by, quantiles)
     ranked_row = ranked.agg(*[F.max(q).alias(q) for q in quantiles]).withColumn("_one", F.lit(1))
-    row = basic.withColumn("_one", F.lit(1)).join(F.broadcast(ranked_row), "_one").drop("_one")
+    row = basic.withColumn("_one", F.lit(1)).join(ranked_row, "_one").drop("_one")
     if empty == "error":
         return row.where(
             F.when(F.col("functions") > 0, F.lit(True)).otherwise(F.raise_error(F.lit("no rows to summarize")).cast("boolean"))
@@ -203,12 +210,27 @@ def timing_summary(
 
 
 def timing_rollup(df: DataFrame, col: str, by: str, file: str | None = None, total: str = "<all>") -> DataFrame:
-    """Statistics per library and, with ``is_total`` set, for all libraries together."""
-    per_library = timing_summary(df, col, [by], file=file).withColumn("is_total", F.lit(False))
-    combined = (
-        timing_summary(df, col, file=file).withColumn(by, F.lit(total).cast(df.schema[by].dataType)).withColumn("is_total", F.lit(True))
-    )
-    return per_library.unionByName(combined)
+    """Statistics per library and, with ``is_total`` set, for all libraries together.
+
+    The input is read twice: once for the measures of both levels, once for the counts of values that the
+    percentiles of both levels follow from.
+    """
+    levels = df.rollup(by).agg(F.grouping(by).alias("_level"), *timing_measures(col, file))
+    counts = value_counts(df, col, [by])
+    everything = F.struct(F.lit(0).alias("_all")).alias("_group")
+    combined = counts.groupBy(everything, "_value").agg(F.sum("_n").alias("_n"))
+    per_library = with_percentiles(
+        levels.where(F.col("_level") == 0), percentiles_of_counts(counts, QUANTILES, [by]), [by], QUANTILES
+    ).withColumn("is_total", F.lit(False))
+    overall = percentiles_of_counts(combined, QUANTILES).withColumn("_level", F.lit(1).cast("tinyint"))
+    name = F.lit(total).cast(df.schema[by].dataType)
+    row = levels.where(F.col("_level") == 1).withColumn(by, name).join(overall, "_level", "left").fillna(0, list(QUANTILES))
+    row = row.fillna(0, ["functions", "total", "avg", "min", "max"])
+    empty = df.limit(1).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0)
+    zero = {c: F.lit(0).cast(t) for c, t in row.dtypes if c not in (by, "_level")}
+    nothing = empty.select(F.lit(1).cast("tinyint").alias("_level"), name.alias(by), *[v.alias(c) for c, v in zero.items()])
+    row = row.unionByName(nothing).withColumn("is_total", F.lit(True))
+    return per_library.unionByName(row).drop("_level")
 
 
 def union_types(df: DataFrame, by: Sequence[str], col: str, drop_none: bool = False, out: str = "type") -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from apisurface.functions import text as X
 from apisurface.functions.signatures import HIDDEN_SUFFIXES, signature_suffix
-from apisurface.skew import skew_join
 
 # Members that tools generate and users never call.
 INTERNAL_NAMES = ["__reduce_cython__", "__setstate_cython__", "_pybind11_conduit_v1_"]
@@ -43,7 +42,7 @@ def drop_internal(
 
 def drop_listed(df: DataFrame, denied: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key does not occur in a deny table of any size."""
-    return skew_join(df, denied.select(*on).distinct(), on, "left_anti")
+    return df.join(denied.select(*on), list(on), "left_anti")
 
 
 def blank_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:

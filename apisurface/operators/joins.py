@@ -9,27 +9,7 @@ from pyspark.sql import functions as F
 
 from apisurface import schemas as S
 from apisurface.functions.types import union_of_texts
-from apisurface.skew import skew_join
-
-BROADCAST_ROWS = 100_000
-
-
-def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows; reads no more than that."""
-    return table.limit(rows + 1).count() <= rows
-
-
-def lookup_join(
-    left: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", small: bool | None = None
-) -> DataFrame:
-    """Join against a lookup table: broadcast when it is counted small, else spread heavy keys.
-
-    ``small`` hands in a count made before, for instance of the table this one is a part of.
-    """
-    if small is None:
-        small = is_small(table.select(*on))
-    return left.join(F.broadcast(table), list(on), how) if small else skew_join(left, table, on, how)
-
+from apisurface.skew import last_before
 
 def apply_rules(
     df: DataFrame,
@@ -38,7 +18,6 @@ def apply_rules(
     default: Column | None = None,
     out: str = "rule_type",
     computed: Mapping[str, Column] | None = None,
-    small: bool | None = None,
 ) -> DataFrame:
     """Type of each name by exact lookup in rules(name, type[, imports]).
 
@@ -48,7 +27,7 @@ def apply_rules(
     columns = [F.col("name").alias(on), F.col("type").alias(out)]
     if "imports" in rules.columns:
         columns.append(F.col("imports").alias(f"{out}_imports"))
-    joined = lookup_join(df, rules.select(*columns), [on], small=small)
+    joined = df.join(rules.select(*columns), [on], "left")
     value = F.col(out)
     for name, expression in (computed or {}).items():
         value = F.when(F.col(on) == name, expression).otherwise(value)
@@ -78,20 +57,14 @@ def match_references(
     ordinal: str = "ordinal",
     fields: Sequence[str] = ("text", "line"),
     out: str = "references",
-    unique: bool = False,
 ) -> DataFrame:
-    """Every row with its ordered group of reference signatures, null when there is none.
-
-    ``unique`` tells that a key has few rows, as a function has signatures; the join then needs no
-    search for heavy keys.
-    """
-    grouped = group_references(refs, keys, ordinal, fields, out)
-    return df.join(grouped, list(keys), "left") if unique else skew_join(df, grouped, keys)
+    """Every row with its ordered group of reference signatures, null when there is none."""
+    return df.join(group_references(refs, keys, ordinal, fields, out), list(keys), "left")
 
 
 def missing_references(df: DataFrame, refs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows for which no reference exists."""
-    return skew_join(df, refs.select(*keys).distinct(), keys, "left_anti")
+    return df.join(refs.select(*keys), list(keys), "left_anti")
 
 
 def choose_reference(
@@ -119,66 +92,61 @@ def locate_ranges(
 ) -> DataFrame:
     """Innermost range ``[low, high)`` of the same group holding each point.
 
+    The smallest range that holds the point owns it; among equal sizes the deepest, then the one of lowest start.
+    A range without ``high`` is larger than any with one; of several open ranges the last to start is innermost.
+
     Ranges are put on the finest grid level on which they span at most ``fan + 1`` bins (level k has
     bins of ``bin_width * fan**k``), so that no range is copied without bound; points look up only the
-    levels in use. Open-ended ranges (null ``high``) share one level with a single bin. The result is an
-    equi join on (group, level, bin) with heavy bins spread, then the exact test. Points without an
-    owner stay as rows with ``error`` set.
+    levels in use, by an equi join on (group, level, bin) that carries ids and addresses alone. Open ranges
+    are an ordered lookup of the last start. Points without an owner stay as rows with ``error`` set.
     """
     group, point_id = list(group), list(point_id)
-    open_level = 99
     span = (F.col("_high") - F.col("_low")).cast("double")
-    level = F.when(F.col("_high").isNull(), F.lit(open_level)).otherwise(
-        F.greatest(
-            F.lit(0),
-            F.ceil(F.log(float(fan), F.greatest(span, F.lit(1.0)) / F.lit(float(bin_width * fan)))).cast("int"),
-        )
-    )
-    width = F.when(F.col("_level") == open_level, F.lit(None).cast("double")).otherwise(
-        F.lit(float(bin_width)) * F.pow(F.lit(float(fan)), F.col("_level"))
+    level = F.greatest(
+        F.lit(0), F.ceil(F.log(float(fan), F.greatest(span, F.lit(1.0)) / F.lit(float(bin_width * fan)))).cast("int")
     )
 
     def bin_of(value: Column) -> Column:
-        return F.coalesce(F.floor(value / F.col("_width")).cast("bigint"), F.lit(0).cast("bigint"))
+        width = F.lit(float(bin_width)) * F.pow(F.lit(float(fan)), F.col("_level"))
+        return F.floor(value / width).cast("bigint")
 
     rest = [c for c in ranges.columns if c not in (*group, low, high)]
+    owner = F.struct(F.col(low), F.col(high), *rest)
+    deep = F.lit(0) if depth is None else F.col(depth)
+    named = ranges.select(*group, F.col(low).alias("_low"), F.col(high).alias("_high"), deep.alias("_deep"), owner.alias("_owner"))
+    slim = points.select(*point_id, *[c for c in group if c not in point_id], F.col(point).alias("_at"))
     binned = (
-        ranges.select(*group, F.col(low).alias("_low"), F.col(high).alias("_high"), *rest)
-        .where(F.col("_high").isNull() | (F.col("_high") > F.col("_low")))
+        named.where(F.col("_high") > F.col("_low"))
         .withColumn("_level", level)
-        .withColumn("_width", width)
-        .withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_low")), bin_of(F.coalesce(F.col("_high") - 1, F.col("_low"))))))
-        .drop("_width")
+        .withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_low")), bin_of(F.col("_high") - 1))))
     )
     # One row per level in use, at most a few dozen whatever the data size.
-    levels = ranges.select(F.col(low).alias("_low"), F.col(high).alias("_high")).select(level.alias("_level"))
+    levels = named.where(F.col("_high") > F.col("_low")).select(level.alias("_level"))
     used = levels.agg(F.collect_set("_level")).scalar()
-    probes = (
-        points.withColumn("_level", F.explode_outer(used))
-        .withColumn("_width", width)
-        .withColumn("_bin", bin_of(F.col(point)))
-        .drop("_width")
-    )
-    candidates = skew_join(probes, binned, [*group, "_level", "_bin"], "left")
-    inside = (F.col(point) >= F.col("_low")) & (F.col("_high").isNull() | (F.col(point) < F.col("_high")))
-    size = F.coalesce(F.col("_high") - F.col("_low"), F.lit(2**62))
-    tie = F.lit(0) if depth is None else -F.col(depth)
-    owner = F.struct(F.col("_low").alias(low), F.col("_high").alias(high), *rest)
-    rank = F.when(inside, F.struct(size, tie, F.col("_low")))
-    # A point without any candidate has one row left, so it stays in the result.
-    others = [c for c in points.columns if c not in point_id]
-    owners = candidates.groupBy(*point_id).agg(
-        F.any_value(F.struct(F.lit(1).alias("_one"), *others)).alias("_point"), F.min_by(owner, rank).alias("_owner")
-    )
-    kept = [F.col(c) if c in point_id else F.col("_point").getField(c).alias(c) for c in points.columns]
+    probes = slim.withColumn("_level", F.explode(used)).withColumn("_bin", bin_of(F.col("_at")))
+    held = probes.join(binned, [*group, "_level", "_bin"])
+    held = held.where((F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high")))
+    rank = F.struct(F.col("_high") - F.col("_low"), -F.col("_deep"), F.col("_low"))
+    closed = held.groupBy(*point_id).agg(F.min_by("_owner", rank).alias("_closed"))
+    # Of open ranges of one start the deepest counts.
+    starts = named.where(F.col("_high").isNull() & F.col("_low").isNotNull()).groupBy(*group, "_low")
+    starts = starts.agg(F.max_by("_owner", "_deep").alias("_owner")).select(*group, F.col("_low").alias("_at"), "_owner")
+    asked = slim.where(F.col("_at").isNotNull()).select(*group, "_at", F.struct(*point_id).alias("_id"))
+    both = asked.unionByName(starts, allowMissingColumns=True).withColumn("_kind", F.col("_id").isNotNull().cast("int"))
+    last = last_before(both, group, ["_at", "_kind"], F.col("_owner"), "_open")
+    opened = last.where(F.col("_id").isNotNull() & F.col("_open").isNotNull()).select("_id.*", "_open")
+    found = points.join(closed, point_id, "left").join(opened, point_id, "left")
+    found = found.withColumn("_owner", F.coalesce("_closed", "_open"))
     picked = [F.col("_owner").getField(c).alias(c) for c in (low, high, *rest)]
-    return owners.select(*kept, *picked, F.when(F.col("_owner").isNull(), F.lit(error)).alias("error"))
+    return found.select(
+        *[F.col(c) for c in points.columns], *picked, F.when(F.col("_owner").isNull(), F.lit(error)).alias("error")
+    )
 
 
 def relative_address(points: DataFrame, libraries: DataFrame, address: str = "address", library: str = "library") -> DataFrame:
     """Add ``binary`` and ``relative_address`` of each address from libraries(library, binary, base)."""
     table = libraries.select(F.col("library").alias(library), "binary", "base")
-    joined = lookup_join(points, table, [library])
+    joined = points.join(table, [library], "left")
     return joined.withColumn("relative_address", (F.col(address) - F.col("base")).cast("bigint")).drop("base")
 
 
@@ -196,8 +164,8 @@ def join_by_identity(
     halves are joined apart and recombined.
     """
     scope = list(scope)
-    linked = skew_join(df.where(F.col(linkage).isNotNull()), by_linkage, [*scope, linkage])
-    named = skew_join(df.where(F.col(linkage).isNull()), by_name, [*scope, name])
+    linked = df.where(F.col(linkage).isNotNull()).join(by_linkage, [*scope, linkage], "left")
+    named = df.where(F.col(linkage).isNull()).join(by_name, [*scope, name], "left")
     return linked.unionByName(named, allowMissingColumns=True)
 
 
@@ -265,22 +233,18 @@ def refine_by_checks(
     call: str = "call_name",
     out: str = "refined_type",
     default: str = "object",
-    small: bool | None = None,
-    unique: bool = False,
 ) -> DataFrame:
     """Union of the types implied by check calls on the same variable, else ``object``.
 
     Checks are first reduced to distinct (key, type), so the hot part shrinks before it is shuffled.
-    ``unique`` tells that a key has few arguments, as it has in one function; the join then needs no
-    search for heavy keys.
     """
     keys = list(keys)
-    typed = apply_rules(checks.select(*keys, call), rules, call, out="_type", small=small).where(F.col("_type").isNotNull())
+    typed = apply_rules(checks.select(*keys, call), rules, call, out="_type").where(F.col("_type").isNotNull())
     unions = (
         typed.select(*keys, "_type").distinct().groupBy(*keys)
         .agg(union_of_texts(F.collect_set("_type")).alias(out))
     )
-    joined = args.join(unions, keys, "left") if unique else skew_join(args, unions, keys)
+    joined = args.join(unions, keys, "left")
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(default)))
 
 
@@ -313,24 +277,3 @@ def resolve_calls(calls: DataFrame, rules: DataFrame, category: str, on: str, de
     """``apply_rules`` with the rules of one category."""
     return apply_rules(calls, rules.where(F.col("category") == category).drop("category"), on, default, **kwargs)
 
-
-__all__ = [
-    "MINIMAL_SIGNATURE",
-    "apply_rules",
-    "choose_reference",
-    "complete_with_fallback",
-    "group_references",
-    "is_small",
-    "join_by_identity",
-    "keyword_hits",
-    "locate_ranges",
-    "lookup_join",
-    "match_keywords",
-    "match_references",
-    "merge_rules",
-    "minimal_args",
-    "missing_references",
-    "refine_by_checks",
-    "relative_address",
-    "resolve_calls",
-]

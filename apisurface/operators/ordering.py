@@ -33,7 +33,7 @@ def first_n(df: DataFrame, rank: str, n: int) -> DataFrame:
 
 def sample_order(seed: int, ids: Sequence[str]) -> Column:
     """Fixed pseudo-random order of rows under a seed."""
-    return F.xxhash64(F.lit(seed), *[F.col(i) for i in ids])
+    return F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]))
 
 
 def sample_k(df: DataFrame, k: int | None, seed: int, id: str, order: Column | None = None) -> DataFrame:

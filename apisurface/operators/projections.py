@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from apisurface import schemas as S
 from apisurface.functions import text as X
 from apisurface.session import cut_lineage
-from apisurface.skew import heavy_keys, skew_join
 
 # Call flags of a C function.
 METH_VARARGS = 1
@@ -78,14 +77,14 @@ def flatten_tree(
     kind: str | None = None,
     kind_order: Sequence[str] = ("function", "class", "module"),
     sep: str = ".",
-    max_depth: int = 1000,
+    orphans: bool = False,
 ) -> DataFrame:
     """Nodes with dotted path, depth and the key that puts a module's text in order.
 
     ``sort_path`` sorts kinds in ``kind_order`` (direct functions before classes) and names within
-    each level. The tree is walked level by level; each level is one equi join in which the children
-    of a heavy parent are spread, and is cut from its lineage. A node that does not hang below a
-    root has no path and is left out.
+    each level. The tree is walked level by level; each level is one equi join and is cut from its
+    lineage. Ids are unique, so the walk ends; a node that does not hang below a root (its parent is missing,
+    or it lies on a cycle) has no path: with ``orphans`` it comes out with nulls, else it is left out.
     """
     rank = F.lit(0) if kind is None else F.array_position(F.lit(list(kind_order)), F.col(kind)).cast("int")
     rows = nodes.select(
@@ -98,28 +97,25 @@ def flatten_tree(
     level = rows.where(F.col("_parent").isNull()).select(
         "_id", F.col("_name").alias("path"), F.array(step).alias("sort_path"), F.lit(0).alias("depth")
     )
-    children = rows.where(F.col("_parent").isNotNull())
-    heavy = cut_lineage(heavy_keys(children, ["_parent"]))
+    children = cut_lineage(rows.where(F.col("_parent").isNotNull()))
     levels = []
-    for _ in range(max_depth):
+    while True:
         level = cut_lineage(level)
+        levels.append(level)
         if level.isEmpty():
             break
-        levels.append(level)
         parents = level.select(F.col("_id").alias("_parent"), "path", "sort_path", "depth")
-        level = skew_join(children, parents, ["_parent"], "inner", heavy=heavy).select(
+        level = children.join(parents, ["_parent"]).select(
             "_id",
             F.concat_ws(sep, "path", "_name").alias("path"),
             F.concat("sort_path", F.array(step)).alias("sort_path"),
             (F.col("depth") + 1).alias("depth"),
         )
-    else:
-        raise ValueError(f"tree is deeper than {max_depth} levels or has a cycle")
-    if not levels:
-        levels = [level]
     result = levels[0]
     for part in levels[1:]:
         result = result.unionByName(part)
+    if orphans:
+        result = rows.select("_id").join(result, "_id", "left")
     return result.withColumnRenamed("_id", node_id)
 
 

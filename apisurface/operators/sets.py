@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apisurface.session import cut_lineage
-from apisurface.skew import heavy_keys, skew_join
 
 
 COMPACT_EVERY = 16
@@ -31,7 +30,7 @@ def join_distinct_names(df: DataFrame, by: Sequence[str], name: str, order: Sequ
 
 def missing_items(required: DataFrame, present: DataFrame, keys: Sequence[str], sort: bool = True) -> DataFrame:
     """Required keys that are not present."""
-    missing = skew_join(required, present.select(*keys).distinct(), keys, "left_anti")
+    missing = required.join(present.select(*keys), list(keys), "left_anti")
     return missing.orderBy(*keys) if sort else missing
 
 
@@ -42,16 +41,15 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
 def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
     """Nodes reachable from the roots, roots included.
 
-    Each round joins the frontier with the edges, spreading heavy sources, and drops visited nodes. The
+    Each round joins the frontier with the edges, which are computed once, and drops visited nodes. The
     new frontier is cut from its lineage in the shared checkpoint folder. The loop ends when nothing new
     appears, so cycles are allowed; the number of rounds is the depth of the graph.
     """
-    links = edges.select(F.col(src).alias(node), F.col(dst).alias("_next")).where(F.col(dst).isNotNull())
-    heavy = cut_lineage(heavy_keys(links, [node]))
+    links = cut_lineage(edges.select(F.col(src).alias(node), F.col(dst).alias("_next")).where(F.col(dst).isNotNull()).distinct())
     frontier = cut_lineage(roots.select(F.col(roots.columns[0]).alias(node)).distinct())
     visited, rounds = frontier, 0
     while not frontier.isEmpty():
-        found = skew_join(links, frontier, [node], "inner", heavy=heavy).select(F.col("_next").alias(node)).distinct()
+        found = links.join(frontier, [node]).select(F.col("_next").alias(node)).distinct()
         frontier = cut_lineage(found.join(visited, node, "left_anti"))
         visited, rounds = visited.unionByName(frontier), rounds + 1
         if rounds % COMPACT_EVERY == 0:

@@ -19,21 +19,23 @@ def last_definition(
     fields: Sequence[str],
     ignored: Column | None = None,
     is_null: Column | None = None,
+    initial: Column | None = None,
     bucket: Column | None = None,
     bucketed: bool = True,
 ) -> DataFrame:
     """Each use with the latest definition strictly before it, per key in source order.
 
     ``ignored`` marks definitions that do not count. A definition for which ``is_null`` holds does win
-    and makes ``usable`` false, as does having no definition at all. An initializer is a definition at
-    a position before all others. Rows of both kinds are put in one order; a hot variable is processed
-    bucket by bucket unless ``bucketed`` is false.
+    and makes ``usable`` false, as does having no definition at all. ``initial`` marks initializers: where no other
+    definition comes before a use, the key's initializer (the last in order) counts, wherever the two stand. Rows of both kinds
+    are put in one order; a hot variable is processed bucket by bucket unless ``bucketed`` is false.
     """
     keys, order, fields = list(keys), list(order), list(fields)
     counted = defs if ignored is None else defs.where(~F.coalesce(ignored, F.lit(False)))
     null_flag = F.lit(False) if is_null is None else F.coalesce(is_null, F.lit(False))
     definition = F.struct(*[F.col(f) for f in fields], null_flag.alias("_null"))
-    right = counted.select(*keys, *order, definition.alias("_def"))
+    first = F.lit(False) if initial is None else F.coalesce(initial, F.lit(False))
+    right = counted.where(~first).select(*keys, *order, definition.alias("_def"))
     extra = [c for c in uses.columns if c not in (*keys, *order)]
     left = uses.select(*keys, *order, F.struct(F.lit(1).alias("_use"), *extra).alias("_row"))
     rows = left.unionByName(right, allowMissingColumns=True)
@@ -41,6 +43,9 @@ def last_definition(
     rows = rows.withColumn("_rank", F.when(F.col("_row").isNotNull(), 0).otherwise(1))
     seen = last_before(rows, keys, [*order, "_rank"], F.col("_def"), "_last", bucket, bucketed)
     kept = seen.where(F.col("_row").isNotNull())
+    if initial is not None:
+        seeds = counted.where(first).groupBy(*keys).agg(F.max_by(definition, F.struct(*order)).alias("_seed"))
+        kept = kept.join(seeds, keys, "left").withColumn("_last", F.coalesce("_last", "_seed"))
     return kept.select(
         *keys,
         *order,

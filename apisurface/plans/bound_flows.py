@@ -208,6 +208,7 @@ def flow_evaluate(t):
     "flow_evaluation_report",
     f"""
     SELECT count(*) AS total_signatures, count(*) FILTER (WHERE status = 'ok') AS evaluated_rows,
+           count(*) FILTER (WHERE status <> 'ok') AS error_rows,
            count(*) FILTER (WHERE status = 'ok' AND parameter_type_code = 'rule_unqualified') AS parameter_type_rule_unqualified_count,
            count(*) FILTER (WHERE status = 'ok' AND return_type_code = 'qualified') AS return_type_qualified_count
     FROM ({_EVALUATED_SQL})
@@ -215,9 +216,8 @@ def flow_evaluate(t):
 )
 def flow_report(t):
     functions, rows = evaluated(t)
-    checked = EV.checked_evaluations(rows.where(F.col("status") == "ok"))
-    return evaluation_summary(functions, checked).select(
-        "total_signatures", "evaluated_rows", "parameter_type_rule_unqualified_count", "return_type_qualified_count"
+    return evaluation_summary(functions, EV.checked_codes(rows), status="status").select(
+        "total_signatures", "evaluated_rows", "error_rows", "parameter_type_rule_unqualified_count", "return_type_qualified_count"
     )
 
 

@@ -105,6 +105,27 @@ def jn4(t):
     return located.select("event_id", "signup_id", "error")
 
 
+@bound(
+    "jn4_open_ranges",
+    """
+    WITH s AS (SELECT user_id, event_id AS signup_id, ts AS low, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS high
+               FROM events WHERE event_type = 'signup')
+    SELECT e.event_id, coalesce(s.signup_id, -1) AS signup_id
+    FROM (SELECT * FROM events WHERE event_type <> 'signup') e
+    LEFT JOIN s ON e.user_id = s.user_id AND e.ts >= s.low AND (s.high IS NULL OR e.ts < s.high)
+    """,
+)
+def jn4_open(t):
+    """A second open range per user, from the start of time, holds what no other does."""
+    points = t.events.where(F.col("event_type") != "signup").select("event_id", "user_id", micros("ts").alias("at"))
+    outer = t.events.select("user_id").distinct().select(
+        "user_id", F.lit(-1).cast("bigint").alias("signup_id"), F.lit(0).cast("bigint").alias("low"), F.lit(None).cast("bigint").alias("high")
+    )
+    ranges = signup_ranges(t).unionByName(outer)
+    located = J.locate_ranges(points, ranges, ["user_id"], "at", ["event_id"], "low", "high", bin_width=3_600_000_000)
+    return located.select("event_id", "signup_id")
+
+
 @bound(
     "jn5_join_by_identity",
     """

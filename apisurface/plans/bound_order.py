@@ -38,6 +38,29 @@ def wn1(t):
     return found.select("event_id", F.col("value").alias("def_value"), text(F.col("usable")).alias("usable"))
 
 
+@bound(
+    "wn1_initializer",
+    """
+    SELECT e.event_id, coalesce(e.before, s.value) AS def_value FROM (
+        SELECT event_id, event_type, user_id,
+            last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER w AS before
+        FROM events
+        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) e
+    LEFT JOIN (SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type = 'signup' GROUP BY 1) s
+        ON s.user_id = e.user_id
+    WHERE event_type = 'view'
+    """,
+)
+def wn1_initializer(t):
+    """The last signup of a user is the initializer, though it may come after the view."""
+    uses = t.events.where(F.col("event_type") == "view").select("user_id", "ts", "event_id")
+    defs = t.events.where(F.col("event_type").isin("purchase", "signup")).select("user_id", "ts", "event_id", "event_type", "value")
+    found = W.last_definition(
+        uses, defs, ["user_id"], ["ts", "event_id"], ["value"], initial=F.col("event_type") == "signup"
+    )
+    return found.select("event_id", F.col("value").alias("def_value"))
+
+
 @bound(
     "wn2_ordinal",
     f"""
@@ -164,7 +187,7 @@ def sl4(t):
     return O.sample_k(t.events.select("event_id", "event_type"), 50, 0, "event_id", order=order)
 
 
-@bound("sl4_sample_hashed")
+@bound("sl4_sample_hashed", "SELECT event_id, event_type FROM events ORDER BY md5('7-' || event_id), event_id LIMIT 50")
 def sl4_hashed(t):
     return O.sample_k(t.events.select("event_id", "event_type"), 50, 7, "event_id")
 

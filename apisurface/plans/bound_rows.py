@@ -146,7 +146,9 @@ def label_evaluations(t):
 )
 def src3(t):
     path = shared_folder(t.spark, "evaluations")
-    label_evaluations(t).write.csv(path, header=True, escape='"')
+    rows = label_evaluations(t)
+    # Columns in another order than the schema has: they are found by their header.
+    rows.select(*reversed(rows.columns)).write.csv(path, header=True, escape='"')
     return RD.read_evaluations(t.spark, path).select(
         "function_id", "inferred_signature", "parameter_structure_code", "parameter_type_code"
     )
@@ -550,13 +552,13 @@ def flt2(t):
 @bound(
     "flt3_blank_to_null",
     """
-    SELECT doc_id, CASE WHEN trim(split_part(text, chr(10), 2), ' ' || chr(9) || chr(13)) <> ''
-                        THEN split_part(text, chr(10), 2) END AS line
-    FROM documents
+    SELECT doc_id, pos, CASE WHEN trim(line, ' ' || chr(9) || chr(13)) <> '' THEN line END AS line
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS pos
+          FROM documents)
     """,
 )
 def flt3(t):
-    lines = t.documents.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(2)).alias("line"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return FL.blank_to_null(lines, ["line"])
 
 

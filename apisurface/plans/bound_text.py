@@ -362,7 +362,7 @@ def tx14(t):
 @bound(
     "tx15_render_default",
     """
-    SELECT event_id, CASE event_type WHEN 'click' THEN CAST(value AS VARCHAR) WHEN 'view' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)
+    SELECT event_id, CASE event_type WHEN 'click' THEN CAST(value AS VARCHAR) WHEN 'view' THEN CAST(9007199254740993 + CAST(floor(value) AS BIGINT) AS VARCHAR)
         WHEN 'error' THEN CASE WHEN value < 50 THEN 'True' ELSE 'False' END WHEN 'signup' THEN '''' || props || '''' ELSE '...' END AS default_value
     FROM events
     """,
@@ -376,9 +376,9 @@ def tx15(t):
         (kind == "purchase").alias("p"),
         F.when(kind == "click", "float").when(kind == "view", "int").when(kind == "error", "bool").otherwise("object").alias("e"),
         F.col("props").alias("t"),
-        F.when(kind == "view", F.floor("value").cast("double"))
-        .when(kind == "error", F.when(F.col("value") < 50, 1.0).otherwise(0.0))
-        .otherwise(F.col("value")).alias("n"),
+        F.when(kind == "view", (F.floor("value") + F.lit(9007199254740993)).cast("string"))
+        .when(kind == "error", F.when(F.col("value") < 50, "1").otherwise("0"))
+        .otherwise(F.col("value").cast("string")).alias("n"),
     )
     return rows.select("event_id", X.render_default("k", "p", "e", "t", "n")["default_value"].alias("default_value"))
 
@@ -430,7 +430,7 @@ def tx17(t):
     """,
 )
 def tx17_rejected(t):
-    answer = F.when(F.col("event_type") == "view", F.substring("props", 2, 100)).otherwise(F.col("props"))
+    answer = F.when(F.col("event_type") == "view", F.expr("substring(props, 2)")).otherwise(F.col("props"))
     return t.events.select("event_id", parse_verdict(answer)["error"].alias("error"))
 
 
@@ -458,13 +458,13 @@ def tx18(t):
 @bound(
     "tx18_conversation_messages",
     """
-    SELECT conv_id, string_agg(role || '=' || length(text), ' ' ORDER BY turn) AS messages FROM conversations GROUP BY 1
+    SELECT conv_id, string_agg(role || '=' || text, ' ' ORDER BY turn) AS messages FROM conversations GROUP BY 1
     """,
 )
 def tx18_conversations(t):
-    message = F.struct("turn", "role", F.length("text").alias("n"))
+    message = F.struct("turn", "role", "text")
     grouped = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m"))
-    shown = _text_of("m", lambda m: F.concat(m["role"], F.lit("="), m["n"].cast("string")), " ")
+    shown = _text_of("m", lambda m: F.concat(m["role"], F.lit("="), m["text"]), " ")
     return grouped.select("conv_id", shown.alias("messages"))
 
 

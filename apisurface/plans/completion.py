@@ -13,13 +13,13 @@ from apisurface.functions.render import render_signature
 from apisurface.functions.text import first_identifier, type_object_name
 from apisurface.functions.types import NEVER, evaluate_once
 from apisurface.operators.aggregates import union_types
-from apisurface.operators.joins import apply_rules, is_small, refine_by_checks, resolve_calls
+from apisurface.operators.joins import apply_rules, refine_by_checks, resolve_calls
 from apisurface.operators.projections import decode_call_flags, receiver_added, with_function_id
 from apisurface.operators.windows import last_definition
 from apisurface.session import cut_lineage
 
 
-def resolve_slots(slots: DataFrame, checks: DataFrame, rules: DataFrame, small: bool | None = None) -> DataFrame:
+def resolve_slots(slots: DataFrame, checks: DataFrame, rules: DataFrame) -> DataFrame:
     """Argument slots with the type their operand resolves to and the type that checks imply.
 
     ``slots`` holds fn, call_pos, slot_index, var, operand and default_value. An operand is the text of a type
@@ -29,14 +29,14 @@ def resolve_slots(slots: DataFrame, checks: DataFrame, rules: DataFrame, small:
     named = slots.withColumns(
         {"_type_object": type_object_name("operand"), "_converter": first_identifier("operand")}
     )
-    named = resolve_calls(named, plain, R.TYPE_OBJECT, "_type_object", out="_as_object", small=small)
-    named = resolve_calls(named, plain, R.CONVERTER, "_converter", out="_as_converter", small=small)
+    named = resolve_calls(named, plain, R.TYPE_OBJECT, "_type_object", out="_as_object")
+    named = resolve_calls(named, plain, R.CONVERTER, "_converter", out="_as_converter")
     typed = named.withColumn("type", F.coalesce("_as_object", "_as_converter")).drop(
         "_type_object", "_converter", "_as_object", "_as_converter"
     )
     uses = rules.where(F.col("category") == R.OBJECT_USE).select("name", "type")
     # A variable fills a few slots of its function at most.
-    return refine_by_checks(typed, checks, uses, out="refined", small=small, unique=True)
+    return refine_by_checks(typed, checks, uses, out="refined")
 
 
 def slot_arrays(slots: DataFrame) -> DataFrame:
@@ -70,40 +70,48 @@ def parsed_arguments(parse_calls: DataFrame, slots: DataFrame) -> DataFrame:
     )
 
 
-def infer_return_types(
-    returns: DataFrame, assigns: DataFrame, rules: DataFrame, small: bool | None = None
-) -> DataFrame:
+def infer_return_types(returns: DataFrame, assigns: DataFrame, rules: DataFrame) -> DataFrame:
     """Return type and status per function.
 
-    ``returns`` holds fn, pos, expr_kind and expr_name; ``assigns`` holds fn, var, pos, rhs_kind and rhs_name. A
-    ``ref`` is first an object of the rules, else a variable: its last definition before the use
-    takes its place, which is repeated while definitions are references themselves. Expressions that
-    cannot be inferred are skipped; the union of the others is the type.
+    ``returns`` holds fn, pos, expr_kind and expr_name; ``assigns`` holds fn, var, pos, rhs_kind and rhs_name, where a
+    negative pos marks the variable's initializer. A ``ref`` is first an object of the rules, else a variable: its last
+    definition before the use takes its place, or its initializer if there is none, which is repeated while definitions
+    are references themselves. Expressions that cannot be inferred are skipped; the union of the others is the type, and
+    a function with returns of which none is inferred gets ``typing.Any`` with status ``failed``.
     """
     objects = rules.where(F.col("category") == R.OBJECT).select("name", "type")
     calls = rules.where(F.col("category") == R.CALL).select("name", "type")
     definitions = assigns.select("fn", "var", "pos", "rhs_kind", "rhs_name")
     ignored, null = F.col("rhs_kind") == "binary", F.col("rhs_kind") == "null"
     done = []
-    pending = returns.select("fn", "pos", "expr_kind", "expr_name")
+    # The trail holds the variables whose initializers were passed, so that a circle of these ends.
+    pending = cut_lineage(returns.select("fn", "pos", "expr_kind", "expr_name", F.array().cast("array<string>").alias("trail")))
+    fields = ["fn", "pos", "expr_kind", "expr_name"]
     while True:
         is_ref = F.col("expr_kind") == "ref"
-        done.append(pending.where(~is_ref))
-        refs = apply_rules(pending.where(is_ref), objects, "expr_name", out="object_type", small=small)
+        done.append(pending.where(~is_ref).select(*fields))
+        refs = cut_lineage(apply_rules(pending.where(is_ref), objects, "expr_name", out="object_type"))
         done.append(
             refs.where(F.col("object_type").isNotNull()).select(
                 "fn", "pos", F.lit("typed").alias("expr_kind"), F.col("object_type").alias("expr_name")
             )
         )
-        uses = refs.where(F.col("object_type").isNull()).select("fn", F.col("expr_name").alias("var"), "pos")
+        uses = refs.where(F.col("object_type").isNull()).select("fn", F.col("expr_name").alias("var"), "pos", "trail")
+        wanted = definitions.join(uses.select("fn", "var").distinct(), ["fn", "var"], "left_semi")
         resolved = last_definition(
-            uses, definitions.withColumn("def_pos", F.col("pos")), ["fn", "var"], ["pos"],
-            ["rhs_kind", "rhs_name", "def_pos"], ignored=ignored, is_null=null, bucketed=False,
+            uses, wanted.withColumn("def_pos", F.col("pos")), ["fn", "var"], ["pos"],
+            ["rhs_kind", "rhs_name", "def_pos"], ignored=ignored, is_null=null, initial=F.col("pos") < 0, bucketed=False,
         )
-        # The next look-up starts at the definition, so positions fall and the loop ends.
+        # The next look-up starts at the definition, so positions fall until only initializers are left.
+        usable = F.col("usable") & ~F.array_contains("trail", F.col("var"))
+        passed = F.when(F.col("def_pos") < 0, F.array_append("trail", F.col("var"))).otherwise(F.col("trail"))
         pending = cut_lineage(
-            resolved.where("usable").select(
-                "fn", F.col("def_pos").alias("pos"), F.col("rhs_kind").alias("expr_kind"), F.col("rhs_name").alias("expr_name")
+            resolved.select(
+                "fn",
+                F.when(usable, F.col("def_pos")).otherwise(F.col("pos")).alias("pos"),
+                F.when(usable, F.col("rhs_kind")).otherwise(F.lit("unknown")).alias("expr_kind"),
+                F.when(usable, F.col("rhs_name")).alias("expr_name"),
+                passed.alias("trail"),
             )
         )
         if pending.isEmpty():
@@ -111,7 +119,7 @@ def infer_return_types(
     expressions = done[0]
     for part in done[1:]:
         expressions = expressions.unionByName(part)
-    typed = apply_rules(expressions, calls, "expr_name", out="call_type", small=small)
+    typed = apply_rules(expressions, calls, "expr_name", out="call_type")
     kind = F.col("expr_kind")
     inferred = (
         F.when(kind == "call", F.col("call_type"))
@@ -138,9 +146,8 @@ def complete_functions(
     ``functions`` holds fn, module_name, class_name, function_name and flags.
     """
     rules = cut_lineage(rules)
-    small = is_small(rules)
-    arguments = parsed_arguments(parse_calls, resolve_slots(slots, checks, rules, small))
-    types = infer_return_types(returns, assigns, rules, small)
+    arguments = parsed_arguments(parse_calls, resolve_slots(slots, checks, rules))
+    types = infer_return_types(returns, assigns, rules)
     facts = functions.join(arguments, "fn", "left").join(types, "fn", "left")
     decoded = decode_call_flags(facts, "flags", parsed=F.col("parsed_args"))
     has_owner = F.col("class_name").isNotNull()

@@ -77,7 +77,7 @@ def prepare(entries: DataFrame, references: DataFrame | None = None) -> tuple[Da
         manual = F.lit(None).cast("string")
     else:
         pending = match_references(
-            pending.withColumn("class_path", F.coalesce("class_name", F.lit(""))), references, out="manual", unique=True
+            pending.withColumn("class_path", F.coalesce("class_name", F.lit(""))), references, out="manual"
         )
         listed = F.transform("manual", lambda m: F.struct(m["text"].alias("signature"), m["line"].alias("line")))
         manual = F.to_json(listed)
@@ -132,6 +132,12 @@ def evaluation_rows(pending: DataFrame, immediate: DataFrame, answers: DataFrame
     return combine_rows(immediate, judged_rows(pending, answers))
 
 
+def checked_codes(evaluations: DataFrame) -> DataFrame:
+    """Rows of legal status and codes, error rows among them; any other makes the query fail."""
+    rules = {"status": S.ROW_STATUSES, **{f"{d}_code": S.CODES for d in S.DIMENSIONS}}
+    return check_domain(evaluations, rules, ["function_id", "signature_index"])
+
+
 def checked_evaluations(evaluations: DataFrame) -> DataFrame:
     """Rows fit for a summary; an error row or an illegal code makes the query fail."""
     rules = {"status": ["ok"], **{f"{d}_code": S.CODES for d in S.DIMENSIONS}}

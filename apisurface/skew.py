@@ -1,4 +1,4 @@
-"""Joins and running aggregates that stay parallel when one key holds much of the data."""
+"""Running aggregates that stay parallel when one key holds much of the data."""
 
 from __future__ import annotations
 
@@ -8,56 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HEAVY_SHARE = 1 / 512
-HEAVY_ROWS = 100_000
-SPLIT = 4
 BUCKET_ROWS = 1_000_000
 
 
-def heavy_keys(
-    df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, min_rows: int = HEAVY_ROWS
-) -> DataFrame:
-    """Keys that hold more than ``share`` of all rows, and ``_salts``, the tasks each should be spread over.
-
-    There are fewer than ``1 / share`` such keys whatever the size of ``df``, so the result may
-    always be broadcast. Counts are combined map-side; only key columns are read. Null keys match
-    nothing and are left out. Keys below ``min_rows`` are never heavy.
-    """
-    counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    limit = F.greatest(total * F.lit(share), F.lit(float(min_rows)))
-    salts = F.ceil(F.col("_rows") / limit * F.lit(SPLIT)).cast("bigint")
-    return counts.where(F.col("_rows") > limit).select(*keys, salts.alias("_salts"))
-
-
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    share: float = HEAVY_SHARE,
-    min_rows: int = HEAVY_ROWS,
-    heavy: DataFrame | None = None,
-) -> DataFrame:
-    """Equi join whose heavy left keys are spread over several tasks in proportion to their rows.
-
-    Only the right rows of heavy keys are replicated. All rows are kept; ``how`` may be
-    inner, left, left_semi or left_anti. ``heavy`` may hand in heavy keys found before.
-    """
-    on = list(on)
-    heavy = heavy_keys(left, on, share, min_rows) if heavy is None else heavy
-    row_hash = F.xxhash64(*[c for c, t in left.dtypes if not t.startswith(("map", "variant"))])
-    one = F.lit(1).cast("bigint")
-    # Rows with a null key match nothing, so they are spread as well.
-    salts = F.coalesce(F.col("_salts"), one)
-    for key in on:
-        salts = F.when(F.col(key).isNull(), F.lit(64).cast("bigint")).otherwise(salts)
-    salted_left = left.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.pmod(row_hash, salts)).drop("_salts")
-    replicas = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts"), one) - 1)
-    salted_right = right.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.explode(replicas)).drop("_salts")
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
-
-
 def value_bucket(value: Column) -> Column:
     """Order-keeping bucket of a number, about 1.6 % of relative width.
 

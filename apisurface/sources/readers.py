@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from apisurface import schemas as S
 from apisurface.functions.text import blank_to_null, decode_ignoring, join_path, strip
@@ -90,8 +91,6 @@ def read_function_records(spark: SparkSession, path: str | Sequence[str], format
 
 
 def _fields(ddl: str) -> list[str]:
-    from pyspark.sql import types as T
-
     return [f"{f.name} {f.dataType.simpleString()}" for f in T.StructType.fromDDL(ddl).fields]
 
 
@@ -131,10 +130,23 @@ def read_measurements(spark: SparkSession, paths: str | Sequence[str], source: s
 
 
 def read_evaluations(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Evaluation CSV; no path gives an empty table."""
+    """Evaluation CSV; no path gives an empty table.
+
+    Columns are found by the header, in any order; a missing one is an error, further ones are left out. All files
+    of a folder must have the header of the first.
+    """
     if path is None:
         return spark.createDataFrame([], S.EVALUATIONS)
-    return spark.read.schema(S.EVALUATIONS).csv(path, header=True, multiLine=True, escape='"', mode="FAILFAST")
+    header = spark.read.csv(path, header=True, escape='"').columns
+    absent = sorted(set(S.column_names(S.EVALUATIONS)) - set(header))
+    if absent:
+        raise ValueError(f"{path} lacks columns: {', '.join(absent)}")
+    schema = ", ".join(f"`{c}` string" for c in header)
+    scan = spark.read.schema(schema).csv(
+        path, header=True, multiLine=True, escape='"', mode="FAILFAST", enforceSchema=False
+    )
+    wanted = T.StructType.fromDDL(S.EVALUATIONS).fields
+    return scan.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def first_commands(commands: DataFrame, file: str = "file", position: str = "pos") -> DataFrame:
