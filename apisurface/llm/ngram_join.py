@@ -25,13 +25,15 @@ FREQUENT = 200_000
 #: Least count that makes an n-gram frequent.
 FREQUENT_FROM = 8
 #: Words of 64 bits in the bitmap of a set.
-BITMAP = 16
+BITMAP = 8
 #: Buckets of more sets are joined to one of them first, then over different components alone.
-LARGE_BUCKET = 64
-PROBES = 32
+LARGE_BUCKET = 16
+PROBES = 16
 #: Pairs that are tested at a time.
 TILE = 1 << 20
 FRAGMENTS = 8
+#: 64-bit words of the filter of wanted documents: 8 MB whatever the data; beyond it lets more through, which a join removes.
+FILTER_WORDS = 1 << 20
 
 
 def bitmap_of(hashes: np.ndarray) -> np.ndarray:
@@ -196,34 +198,48 @@ def test_only(probe: int, members: np.ndarray, n, place, maps, similarity) -> in
     return int(possible(n[x], place[x], maps[x], n[members], place[members], maps[members], similarity).sum())
 
 
-def verified(pairs: DataFrame, fragments: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Pairs that reach the similarity: partial overlaps are counted fragment by fragment and summed per pair."""
     part, whole = similarity
-    one = fragments.select(F.col("sig").alias("s1"), F.col("n").alias("n1"), "fragment", F.col("members").alias("m1"))
-    two = fragments.select(F.col("sig").alias("s2"), F.col("n").alias("n2"), "fragment", F.col("members").alias("m2"))
-    joined = pairs.join(one, ["s1", "n1"]).join(two, ["s2", "n2", "fragment"])
-    partial = joined.select("s1", "n1", "s2", "n2", F.size(F.array_intersect("m1", "m2")).cast("bigint").alias("shared"))
-    total = partial.groupBy("s1", "n1", "s2", "n2").agg(F.sum("shared").alias("shared"))
+    one = sets.select(F.col("sig").alias("s1"), F.col("n").alias("n1"), F.col("fragments").alias("f1"))
+    two = sets.select(F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("fragments").alias("f2"))
+    joined = pairs.join(one, ["s1", "n1"]).join(two, ["s2", "n2"])
+    both = F.explode(F.arrays_zip("f1", "f2")).alias("fragment")
+    partial = joined.select("s1", "n1", "s2", "n2", both)
+    shared = F.size(F.array_intersect("fragment.f1", "fragment.f2")).cast("bigint")
+    total = partial.groupBy("s1", "n1", "s2", "n2").agg(F.sum(shared).alias("shared"))
     return total.where(F.col("shared") * whole >= (F.col("n1") + F.col("n2") - F.col("shared")) * part)
 
 
-def cut_fragments(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Members of each set by fragment of the order; an n-gram's fragment follows from its hash."""
+def filter_words(docs: DataFrame) -> np.ndarray:
+    """Bit set of document ids, combined where they lie; false positives are possible."""
+    h = F.xxhash64("doc")
+    word = F.shiftrightunsigned(h, 6).bitwiseAND(FILTER_WORDS - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(63).cast("int"))
+    words = docs.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(FILTER_WORDS, U64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(U64)
+    return out
+
+
+def cut_fragments(batches: Iterator[pa.RecordBatch], words: int, wanted) -> Iterator[pa.RecordBatch]:
+    """Sets of the documents that may be wanted (doc, its hash, text), cut to fragments of the order; they follow from the hashes."""
+    filter_ = wanted.value
+    one = U64(1)
     for batch in batches:
-        sigs, sizes, fragments, members = [], [], [], []
-        for text in batch.column(0).to_pylist():
-            hashes = shingle_hashes(text or b"", words)
-            key = signature(hashes)
-            cuts = np.searchsorted(hashes >> U64(64 - FRAGMENTS.bit_length() + 1), np.arange(1, FRAGMENTS, dtype=U64))
-            for i, cut in enumerate(np.split(hashes, cuts)):
-                sigs.append(key)
-                sizes.append(len(hashes))
-                fragments.append(i)
-                members.append(cut.view(np.int64))
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int32))
-        values = pa.array(np.concatenate(members) if members else np.zeros(0, np.int64), pa.int64())
-        columns = [pa.array(x, pa.int64()) for x in (sigs, sizes, fragments)]
-        yield pa.record_batch([*columns, pa.ListArray.from_arrays(offsets, values)], ["sig", "n", "fragment", "members"])
+        h = batch.column(1).to_numpy().view(U64)
+        passed = np.flatnonzero(filter_[(h >> U64(6)) & U64(FILTER_WORDS - 1)] >> (h & U64(63)) & one)
+        docs, texts = batch.column(0).to_pylist(), batch.column(2)
+        for at in range(0, len(passed), 200):
+            rows = passed[at : at + 200]
+            sets = [shingle_hashes(texts[int(i)].as_py() or b"", words) for i in rows]
+            ends = np.arange(1, FRAGMENTS, dtype=U64)
+            parts = [p.view(np.int64) for s in sets for p in np.split(s, np.searchsorted(s >> U64(64 - FRAGMENTS.bit_length() + 1), ends))]
+            values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)), values)
+            outer = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * FRAGMENTS), inner)
+            columns = [[docs[i] for i in rows], [signature(s) for s in sets], [len(s) for s in sets]]
+            yield pa.record_batch([*[pa.array(c, pa.int64()) for c in columns], outer], ["doc", "sig", "n", "fragments"])
 
 
 def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, similarity: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -253,12 +269,18 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, si
     entries = texts.select("text").mapInArrow(
         lambda b: prefixes(b, words, similarity, frequent), "gram long, sig long, n long, place long"
     )
-    repeated = entries.repartition("gram").sortWithinPartitions("gram", "sig", "n")
-    repeated = stored(repeated.mapInArrow(keep_repeated, "gram long, sig long, n long, place long, size long"), "buckets")
-
-    def candidates(buckets: DataFrame, by_component: bool) -> DataFrame:
-        dealt = buckets.select("gram", "sig", "n", "place", "bitmap", "comp").repartition("gram").sortWithinPartitions("gram", "sig")
-        pairs = dealt.mapInArrow(lambda b: bucket_pairs(b, similarity, by_component), "s1 long, n1 long, s2 long, n2 long")
+    dealt = entries.repartition("gram").sortWithinPartitions("gram", "sig", "n")
+    repeated = stored(dealt.mapInArrow(keep_repeated, BUCKETS), "buckets")
+    # Of buckets that hold the same sets one is enough.
+    heads = repeated.where("head").groupBy("members", "size").agg(F.min("gram").alias("gram"))
+    buckets = repeated.join(heads.select("gram"), "gram", "left_semi")
+    buckets = stored(buckets.join(classes.select("sig", "n", "first"), ["sig", "n"]).drop("members", "head"), "buckets")
+
+    def candidates(rows: DataFrame, by_component: bool) -> DataFrame:
+        """``rows`` are buckets with ``comp``."""
+        slim = rows.select("gram", "sig", "n", "place", "comp").join(classes.select("sig", "n", "bitmap"), ["sig", "n"])
+        slim = slim.select("gram", "sig", "n", "place", "bitmap", "comp").repartition("gram").sortWithinPartitions("gram", "sig")
+        pairs = slim.mapInArrow(lambda b: bucket_pairs(b, similarity, by_component), "s1 long, n1 long, s2 long, n2 long")
         return stored(pairs.distinct(), "pairs")
 
     def links_of(pairs: DataFrame) -> DataFrame:
@@ -266,10 +288,13 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, si
             pairs.select(F.col("s2").alias("sig"), F.col("n2").alias("n"))
         )
         needed = classes.join(used.distinct(), ["sig", "n"], "left_semi").select(F.col("first").alias("doc"), "sig", "n")
-        # Rows that share an id may hold other sets, so the set is compared again.
-        chosen = texts.join(needed.select("doc").distinct(), "doc", "left_semi").select("text")
-        cut = chosen.mapInArrow(lambda b: cut_fragments(b, words), "sig long, n long, fragment long, members array<long>")
-        cut = cut.join(needed.select("sig", "n"), ["sig", "n"], "left_semi").dropDuplicates(["sig", "n", "fragment"])
+        needed = stored(needed, "needed")
+        wanted = spark.sparkContext.broadcast(filter_words(needed))
+        cut = texts.select("doc", F.xxhash64("doc").alias("h"), "text").mapInArrow(
+            lambda b: cut_fragments(b, words, wanted), "doc long, sig long, n long, fragments array<array<long>>"
+        )
+        # The filter lets some others through, rows that share an id may hold other sets, and rows may be repeated.
+        cut = cut.join(needed, ["doc", "sig", "n"], "left_semi").select("sig", "n", "fragments").dropDuplicates(["sig", "n"])
         return verified(pairs, cut, similarity)
 
     def named(links: DataFrame) -> DataFrame:
@@ -280,9 +305,8 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, si
 
     # Rows of one id with several sets belong to several classes, whose first documents may differ.
     shared = sets.join(classes, ["sig", "n"]).where(F.col("doc") != F.col("first")).select(F.col("doc").alias("x"), F.col("first").alias("y"))
-    with_maps = repeated.join(classes.select("sig", "n", "bitmap", "first"), ["sig", "n"])
-    links = stored(named(links_of(candidates(with_maps.withColumn("comp", F.lit(0).cast("bigint")), False))), "links")
-    large = with_maps.where(F.col("size") > LARGE_BUCKET)
+    links = stored(named(links_of(candidates(buckets.withColumn("comp", F.lit(0).cast("bigint")), False))), "links")
+    large = buckets.where(F.col("size") > LARGE_BUCKET)
     if not large.isEmpty():
         labels = connected_components(links)
         known = large.join(labels.select(F.col("node").alias("first"), "component"), "first", "left")
@@ -306,10 +330,11 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, si
 
 
 NO_ID = -(1 << 63)
+BUCKETS = "gram long, sig long, n long, place long, size long, members long, head boolean"
 
 
 def keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by gram, signature and size: each set once, of grams that several sets hold, with their number."""
+    """Of rows sorted by gram, signature and size: each set once, of grams that several sets hold, with number and hash of these."""
     from apisurface.llm.suffix_dedup import groups_of
 
     for columns in groups_of(batches, 4, 200_000):
@@ -317,8 +342,12 @@ def keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
         new_set = new_gram | np.concatenate([[True], (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])])
         gram, sig, n, place = gram[new_set], sig[new_set], n[new_set], place[new_set]
-        starts = np.flatnonzero(new_gram[new_set])
+        head = new_gram[new_set]
+        starts = np.flatnonzero(head)
         sizes = np.diff(np.concatenate([starts, [len(gram)]]))
         size = np.repeat(sizes, sizes)
+        whole = np.add.reduceat(mix(mix(sig.view(U64)) + n.astype(U64)), starts) if len(starts) else np.zeros(0, U64)
+        members = np.repeat(whole.view(np.int64), sizes)
         kept = size > 1
-        yield pa.record_batch([pa.array(x[kept]) for x in (gram, sig, n, place, size)], ["gram", "sig", "n", "place", "size"])
+        columns = [pa.array(x[kept]) for x in (gram, sig, n, place, size, members, head)]
+        yield pa.record_batch(columns, ["gram", "sig", "n", "place", "size", "members", "head"])
