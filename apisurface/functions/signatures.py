@@ -11,10 +11,6 @@ from apisurface import schemas as S
 from apisurface.functions.text import col_of, literal_map, strip
 from apisurface.functions.types import let, split_top_level, union_text
 
-# Fixed value: pattern of an overload text.
-_OVERLOAD = "(?s)^\\((.*)\\)\\s*->\\s*(.+)$"
-
-
 def _null_text() -> Column:
     return F.lit(None).cast("string")
 
@@ -110,12 +106,37 @@ def _arguments_from_declarations(declarations: Column) -> Column:
     return F.aggregate(declarations, start, step, lambda acc: F.struct(acc["args"], acc["error"]))
 
 
+def _overload_halves(body: Column) -> Column:
+    """Array of the one struct(args, returns), cut at the last arrow that a closing bracket precedes and a type follows."""
+    pieces = F.split(body, "->", -1)
+
+    def cut(k: Column) -> Column:
+        head = strip(F.array_join(F.slice(pieces, F.lit(1), k), "->"))
+        tail = strip(F.array_join(F.slice(pieces, k + 1, F.size(pieces)), "->"))
+        return F.struct(head.alias("head"), tail.alias("returns"))
+
+    def whole(h: Column) -> Column:
+        head = h["head"]
+        bracketed = F.startswith(head, F.lit("(")) & F.endswith(head, F.lit(")")) & (F.length(head) > 1)
+        return bracketed & (h["returns"] != "")
+
+    places = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
+    fits = F.filter(F.transform(places, cut), whole)
+    return F.transform(
+        F.slice(fits, F.greatest(F.size(fits), F.lit(1)), F.lit(1)),
+        lambda h: F.struct(F.substring(h["head"], F.lit(2), F.length(h["head"]) - 2).alias("args"), h["returns"].alias("returns")),
+    )
+
+
 def parse_overload(text: Column | str) -> Column:
     """Struct(args, return_type, error) of an overload text ``(args) -> type``."""
-    body = strip(text)
-    matches = F.regexp_like(body, F.lit(_OVERLOAD))
-    args_text = F.regexp_extract(body, _OVERLOAD, 1)
-    returns = strip(F.regexp_extract(body, _OVERLOAD, 2))
+    return let(F.try_element_at(_overload_halves(strip(text)), F.lit(1)), _parsed_overload)
+
+
+def _parsed_overload(halves: Column) -> Column:
+    matches = halves.isNotNull()
+    args_text = F.coalesce(halves["args"], F.lit(""))
+    returns = halves["returns"]
 
     def from_parts(split: Column) -> Column:
         empty = strip(args_text) == ""
@@ -171,51 +192,85 @@ PARAMETER_TYPES = {
     "DispatchKeySet": "torch.DispatchKeySet",
 }
 
-# Patterns of the delimited signature notation.
-_SIGNATURE = "^([^()|]+)\\((.*)\\)(?:\\|([^|]+))?$"
-_PARAMETER = "^(\\S+)\\s+([^=\\s]+)(?:=(.+))?$"
-_PARAMETER_TYPE = "^([^\\[\\]?]+)(?:\\[(\\d+)\\])?(\\?)?$"
 # Suffixes of signatures that are not shown.
 HIDDEN_SUFFIXES = ["hidden", "deprecated"]
 
 
+def _delimited_parts(text: Column) -> Column:
+    """Struct(name, params, suffix, valid): cut at the first ``(`` and the last ``)``; what follows is empty or ``|suffix``."""
+    opening = F.instr(text, "(")
+    closing = F.length(text) - F.instr(F.reverse(text), ")") + 1
+    whole = (opening > 1) & F.contains(text, F.lit(")")) & (closing > opening)
+    name = F.when(whole, F.left(text, opening - 1))
+    params = F.when(whole, F.substring(text, opening + 1, closing - opening - 1))
+    tail = F.when(whole, F.substring(text, closing + 1, F.length(text)))
+    suffix = F.when(F.startswith(tail, F.lit("|")) & (F.length(tail) > 1), F.substring(tail, F.lit(2), F.length(tail)))
+    clean = ~F.contains(name, F.lit(")")) & ~F.contains(name, F.lit("|")) & ~F.contains(F.coalesce(suffix, F.lit("")), F.lit("|"))
+    valid = whole & clean & ((tail == "") | suffix.isNotNull()) & ~F.contains(params, F.lit("\n"))
+    return F.struct(name.alias("name"), params.alias("params"), suffix.alias("suffix"), F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
 def signature_suffix(text: Column | str) -> Column:
     """Suffix after ``|``, null when there is none."""
-    return F.nullif(F.regexp_extract(col_of(text), _SIGNATURE, 3), F.lit(""))
+    return let(_delimited_parts(col_of(text)), lambda p: F.when(p["valid"], p["suffix"]))
+
+
+def _parameter_parts(param: Column) -> Column:
+    """Struct(name, default, base, optional, bad_param, bad_type) of ``Type[n]? name=default``."""
+    halves = F.split(param, "(?U)\\s", 2)
+    type_text = F.get(halves, F.lit(0))
+    declared = strip(F.get(halves, F.lit(1)))
+    pair = F.split(declared, "=", 2)
+    name, default = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
+    spaced = F.regexp_like(name, F.lit("(?U)\\s"))
+    bad_param = (type_text == "") | declared.isNull() | (name == "") | spaced | F.coalesce(default == "", F.lit(False))
+    optional = F.endswith(type_text, F.lit("?"))
+    bare = F.when(optional, F.left(type_text, F.length(type_text) - 1)).otherwise(type_text)
+    opening = F.instr(bare, "[")
+    base = F.when(opening > 0, F.left(bare, opening - 1)).otherwise(bare)
+    size = F.substring(bare, opening + 1, F.length(bare) - opening - 1)
+    sized = F.endswith(bare, F.lit("]")) & (size != "") & (F.translate(size, "0123456789", "") == "")
+    bad_type = (base == "") | (F.translate(base, "[]?", "") != base) | ((opening > 0) & ~sized)
+    return F.struct(
+        name.alias("name"),
+        default.alias("default"),
+        base.alias("base"),
+        optional.alias("optional"),
+        F.coalesce(bad_param, F.lit(True)).alias("bad_param"),
+        F.coalesce(bad_type, F.lit(True)).alias("bad_type"),
+    )
 
 
 def parse_delimited_signature(text: Column | str, types: Mapping[str, str] = PARAMETER_TYPES) -> Column:
     """Struct(name, args, hidden, error) of ``name(Type a, Type? b=None, *, T c)|suffix``."""
-    text = col_of(text)
-    valid = F.regexp_like(text, F.lit(_SIGNATURE))
-    params_text = F.regexp_extract(text, _SIGNATURE, 2)
-    suffix = signature_suffix(text)
-    hidden = F.coalesce(suffix.isin(*HIDDEN_SUFFIXES), F.lit(False))
-    params = F.when(params_text == "", F.array().cast("array<string>")).otherwise(F.split(params_text, ", "))
+    return let(_delimited_parts(col_of(text)), lambda parts: _delimited_signature(parts, types))
+
+
+def _delimited_signature(parts: Column, types: Mapping[str, str]) -> Column:
+    valid, suffix = parts["valid"], parts["suffix"]
+    params_text = F.when(valid, parts["params"]).otherwise(F.lit(""))
+    hidden = F.coalesce(valid & suffix.isin(*HIDDEN_SUFFIXES), F.lit(False))
+    params = F.when(params_text == "", F.array().cast("array<string>")).otherwise(F.split(params_text, ", ", -1))
     star_at = F.array_position(params, "*")
     known = literal_map(types)
 
-    def build(param: Column, index: Column) -> Column:
-        type_text = F.regexp_extract(param, _PARAMETER, 1)
-        default = F.nullif(F.regexp_extract(param, _PARAMETER, 3), F.lit(""))
-        base = F.regexp_extract(type_text, _PARAMETER_TYPE, 1)
-        optional = (F.regexp_extract(type_text, _PARAMETER_TYPE, 3) == "?") | F.coalesce(default == "None", F.lit(False))
+    def build(p: Column, index: Column) -> Column:
+        default, base = p["default"], p["base"]
+        optional = p["optional"] | F.coalesce(default == "None", F.lit(False))
         mapped = F.coalesce(F.try_element_at(known, base), base)
         keyword_only = (star_at > 0) & (index >= star_at)
         return _argument(
-            F.regexp_extract(param, _PARAMETER, 2),
+            p["name"],
             F.when(optional, union_text(F.array(mapped, F.lit("None")))).otherwise(mapped),
             default,
             F.when(keyword_only, F.lit(S.KEYWORD_ONLY)).otherwise(F.lit(S.POSITIONAL_OR_KEYWORD)),
         )
 
-    args = F.transform(F.filter(F.transform(params, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
-                                lambda x: x["p"] != "*"), lambda x: build(x["p"], x["i"]))
-    bad_param = F.exists(params, lambda p: (p != "*") & ~F.regexp_like(p, F.lit(_PARAMETER)))
-    bad_type = F.exists(
-        params,
-        lambda p: (p != "*") & ~F.regexp_like(F.regexp_extract(p, _PARAMETER, 1), F.lit(_PARAMETER_TYPE)),
-    )
+    read = F.transform(params, lambda p, i: F.struct((p == "*").alias("star"), _parameter_parts(p).alias("p"), i.alias("i")))
+    real = F.filter(read, lambda x: ~x["star"])
+    args = F.transform(real, lambda x: build(x["p"], x["i"]))
+    bad_param = F.exists(real, lambda x: x["p"]["bad_param"])
+    bad_type = F.exists(real, lambda x: x["p"]["bad_type"])
     error = (
         F.when(~valid, F.lit("not a delimited signature"))
         .when(suffix.isNotNull() & ~hidden, F.concat(F.lit("unknown suffix: "), suffix))
@@ -224,11 +279,10 @@ def parse_delimited_signature(text: Column | str, types: Mapping[str, str] = PAR
         .when(bad_param, F.lit("parameter is malformed"))
         .when(bad_type, F.lit("parameter type is malformed"))
     )
-    name = F.nullif(F.regexp_extract(text, _SIGNATURE, 1), F.lit(""))
     return let(
         error,
         lambda e: F.struct(
-            name.alias("name"),
+            F.when(valid, parts["name"]).alias("name"),
             F.when(e.isNull() & ~hidden, args).alias("args"),
             hidden.alias("hidden"),
             e.alias("error"),

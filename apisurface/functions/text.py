@@ -56,17 +56,25 @@ def function_id(module: Column | str, class_name: Column | str, function: Column
 
 
 def parse_repo_url(url: Column | str, host: str = "github.com") -> Column:
-    """Struct(owner, repo) of a repository URL on ``host``; null when there is none."""
+    """Struct(owner, repo) of a repository URL on ``host``; null when there is none.
+
+    The path behind the host is cut at slashes: the first part is the owner, the second, up to a query or fragment and
+    without a closing ``.git``, the repository. Where the host occurs again, its first place with both parts counts.
+    """
     url = col_of(url)
-    cleaned = F.when(F.endswith(url, F.lit(".git")), F.substring(url, 1, F.length(url) - 4)).otherwise(url)
-    pattern = "\\Q" + host + "\\E/([^/]+)/([^/?#]+)"
-    return F.when(
-        F.contains(url, F.lit(host)) & F.regexp_like(cleaned, F.lit(pattern)),
-        F.struct(
-            F.regexp_extract(cleaned, pattern, 1).alias("owner"),
-            F.regexp_extract(cleaned, pattern, 2).alias("repo"),
-        ),
-    )
+    pieces = F.split(url, "\\Q" + host + "/\\E", -1)
+
+    def path_behind(place: Column) -> Column:
+        path = F.array_join(F.slice(pieces, place + 1, F.size(pieces)), host + "/")
+        parts = F.split(path, "/", -1)
+        name = F.get(parts, F.lit(1))
+        closing = (F.size(parts) == 2) & F.endswith(name, F.lit(".git"))
+        name = F.when(closing, F.left(name, F.length(name) - 4)).otherwise(name)
+        return F.struct(F.get(parts, F.lit(0)).alias("owner"), F.element_at(F.split(name, "[?#]", -1), 1).alias("repo"))
+
+    places = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
+    found = F.filter(F.transform(places, path_behind), lambda r: (r["owner"] != "") & (r["repo"] != ""))
+    return F.try_element_at(found, F.lit(1))
 
 
 def pick_url(urls: Column | str, host: str = "github.com", labels: Sequence[str] = URL_LABELS) -> Column:
@@ -92,17 +100,37 @@ def type_object_name(text: Column | str) -> Column:
     )
 
 
-def _drop_ampersand(value: Column) -> Column:
-    return F.regexp_replace(value, "&\\z", "")
+#: Signs of a type text that take no blank beside them.
+TYPE_SIGNS = "<>,*&"
 
 
 def normalize_type(text: Column | str) -> Column:
-    """C++ type text without qualifiers and needless white space."""
-    value = strip(F.regexp_replace(col_of(text), "(?U)" + _SPACE + "+", " "))
-    # Only single blanks are left from here on.
-    value = F.regexp_replace(value, "(?U)\\bconst +", "")
-    value = F.regexp_replace(value, " *([<>,*&]) *", "$1")
-    return _drop_ampersand(_drop_ampersand(value))
+    """C++ type text without qualifiers and needless white space.
+
+    The text is cut once into words and signs. Words keep one blank between each other; a ``const`` that white space
+    follows goes; up to two ``&`` at the end go.
+    """
+    space = _SPACE[1:-1]
+    token = f"(?U)(?:[^{TYPE_SIGNS}{space}]+|[{TYPE_SIGNS}])[{space}]*"
+    pieces = F.regexp_extract_all(strip(text), F.lit(token), F.lit(0))
+    tokens = F.transform(pieces, lambda p: F.struct(strip(p).alias("t"), (strip(p) != p).alias("spaced")))
+    words = F.transform(F.filter(tokens, lambda x: ~((x["t"] == "const") & x["spaced"])), lambda x: x["t"])
+    signs = list(TYPE_SIGNS)
+
+    def joined(words: Column) -> Column:
+        n = F.size(words)
+        last = F.coalesce(F.get(words, n - 1) == "&", F.lit(False))
+        both = last & F.coalesce(F.get(words, n - 2) == "&", F.lit(False))
+        kept = n - F.when(both, 2).when(last, 1).otherwise(0)
+
+        def with_blank(word: Column, i: Column) -> Column:
+            following = F.get(words, i + 1)
+            apart = (i + 1 < kept) & ~word.isin(*signs) & ~following.isin(*signs)
+            return F.when(i >= kept, F.lit("")).when(apart, F.concat(word, F.lit(" "))).otherwise(word)
+
+        return F.array_join(F.transform(words, with_blank), "")
+
+    return F.element_at(F.transform(F.array(words), joined), 1)
 
 
 # C++ types a wrapped return value may have, and their Python types.

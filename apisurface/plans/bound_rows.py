@@ -195,22 +195,30 @@ def src6(t):
 @bound(
     "src7_reference_stubs",
     """
-    SELECT 'parts.' || p_partkey AS module_name, p_type AS class_path, replace(p_name, ' ', '_') AS function_name,
-           CAST(0 AS INTEGER) AS ordinal,
-           '@final' || chr(10) || 'def ' || replace(p_name, ' ', '_') || '(self, size: int=' || p_size || ') -> '
-               || replace(p_brand, '#', '_') || ': ...' AS text,
-           CAST(3 AS INTEGER) AS line
-    FROM part
+    SELECT 'orders.' || l_orderkey AS module_name, 'Line' AS class_path, 'f' || l_linenumber AS function_name,
+           (row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, t) - 1)::INTEGER AS ordinal,
+           t AS text, l_partkey::INTEGER AS line
+    FROM (SELECT *, 'def f' || l_linenumber || '(self, supplier: int = ' || l_suppkey || ', flag: ' || l_returnflag || ') -> float: ...' AS t
+          FROM lineitem)
     """,
 )
 def src7(t):
-    name = F.replace("p_name", F.lit(" "), F.lit("_"))
-    source = F.concat(
-        F.lit("class "), "p_type", F.lit(":\n    @final\n    def "), name, F.lit("(self, size: int = "),
-        F.col("p_size").cast("string"), F.lit(") -> "), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(": ...\n"),
+    """Lines of an order that share a number are overloads of one function; the table goes through JSON lines."""
+    path = shared_folder(t.spark, "references")
+    module = F.concat(F.lit("orders."), F.col("l_orderkey").cast("string"))
+    signature = F.concat(
+        F.lit("def f"), F.col("l_linenumber").cast("string"), F.lit("(self, supplier: int = "), F.col("l_suppkey").cast("string"),
+        F.lit(", flag: "), "l_returnflag", F.lit(") -> float: ..."),
     )
-    files = t.part.select(F.concat(F.lit("parts."), F.col("p_partkey").cast("string")).alias("module_name"), source.alias("value"))
-    return RD.stub_signatures(files)
+    t.lineitem.select(
+        F.concat(module, F.lit(".pyi")).alias("file"),
+        module.alias("module_name"),
+        F.lit("Line").alias("class_path"),
+        F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("function_name"),
+        signature.alias("text"),
+        F.col("l_partkey").cast("int").alias("line"),
+    ).write.json(path)
+    return RD.read_reference_stubs(t.spark, path)
 
 
 @bound(

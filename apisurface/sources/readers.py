@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import ast
-import tomllib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,22 +21,6 @@ REQUIRED_TEXT = [
 OPTIONAL_TEXT = ["failure_reason"]
 
 
-def _toml_functions(names: Sequence[str]):
-    """Batch function that turns TOML texts into rows with the given fields."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["value"]):
-                functions = tomllib.loads(content).get("functions")
-                if not isinstance(functions, list):
-                    raise ValueError(f"{path} has no list of functions")
-                rows += [{name: record.get(name) for name in names} for record in functions]
-            yield pd.DataFrame(rows, columns=list(names))
-
-    return parse
-
-
 def validated_functions(df: DataFrame) -> DataFrame:
     """Function records with required text present, optional blank text nulled and signatures listed."""
     problem = F.coalesce(
@@ -68,7 +49,7 @@ def validated_functions(df: DataFrame) -> DataFrame:
 
 
 def read_function_records(spark: SparkSession, path: str | Sequence[str], format: str = "json") -> DataFrame:
-    """Function records from JSON lines, Parquet or TOML files holding a ``functions`` list.
+    """Function records from JSON lines or Parquet.
 
     A JSON document ``{"functions": [...]}`` is read with ``format="json_document"``.
     """
@@ -82,9 +63,6 @@ def read_function_records(spark: SparkSession, path: str | Sequence[str], format
             F.col("functions")
         )
         raw = documents.select(F.explode(listed).alias("f")).select("f.*")
-    elif format == "toml":
-        texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-        raw = texts.mapInPandas(_toml_functions(S.column_names(S.FUNCTIONS)), S.FUNCTIONS)
     else:
         raw = spark.read.schema(S.FUNCTIONS).format(format).load(paths)
     return validated_functions(raw)
@@ -191,64 +169,31 @@ def read_source_corpus(spark: SparkSession, root: str) -> DataFrame:
     return corpus_texts(read_tree(spark, root))
 
 
-def _stub_functions():
-    """Batch function that lists the functions of stub texts, classes walked in place."""
-
-    def definitions(body, owners):
-        for node in body:
-            if isinstance(node, ast.ClassDef):
-                yield from definitions(node.body, (*owners, node.name))
-            elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                marks = "".join(f"@{ast.unparse(d)}\n" for d in node.decorator_list)
-                word = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
-                returns = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-                text = f"{marks}{word} {node.name}({ast.unparse(node.args)}){returns}: ..."
-                yield ".".join(owners), node.name, text, node.lineno
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["module_name", "class_path", "function_name", "position", "text", "line"]
-        for batch in batches:
-            rows = [
-                (module, owner, name, position, text, line)
-                for module, content in zip(batch["module_name"], batch["value"])
-                for position, (owner, name, text, line) in enumerate(definitions(ast.parse(content).body, ()))
-            ]
-            yield pd.DataFrame(rows, columns=names)
-
-    return parse
-
-
 def ambiguous_modules(files: DataFrame, module: str = "module_name") -> DataFrame:
     """Modules described by more than one file."""
     return files.groupBy(module).agg(F.count(F.lit(1)).alias("files")).where(F.col("files") > 1)
 
 
-def read_reference_stubs(spark: SparkSession, root: str) -> DataFrame:
-    """One row per function of the ``.pyi`` files below ``root``, with its ordinal among overloads.
+#: A reference table: the file that describes a module, the function, its text and line.
+REFERENCES = "file string, module_name string, class_path string, function_name string, text string, line int"
+
 
-    ``m.pyi`` next to ``m/__init__.pyi`` is an error that names the module.
+def read_reference_stubs(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
+    """Reference signatures from JSON lines or Parquet, with the ordinal of each among the overloads of its function.
+
+    A module that two files describe is an error that names it.
     """
-    module = F.replace(F.regexp_replace("relative_path", "(/?__init__)?\\.pyi$", ""), F.lit("/"), F.lit("."))
-    files = read_tree(spark, root, suffix=".pyi").select(
-        module.alias("module_name"), F.col("content").cast("string").alias("value")
-    )
-    per_module = files.groupBy("module_name").agg(
-        F.count(F.lit(1)).alias("files"), F.any_value("value").alias("value")
-    )
+    rows = spark.read.schema(REFERENCES).format(format).load(path)
+    described = rows.select("module_name", "file").distinct()
     message = F.concat(F.lit("two stub files describe module "), F.col("module_name"))
-    checked = per_module.where(
-        F.when(F.col("files") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-    )
+    twice = ambiguous_modules(described).select("module_name", F.raise_error(message).cast("boolean").alias("_bad"))
+    checked = rows.join(twice, "module_name", "left").where(F.coalesce("_bad", F.lit(True))).drop("_bad")
     return stub_signatures(checked)
 
 
-def stub_signatures(files: DataFrame) -> DataFrame:
-    """One row per function of stub texts (module_name, value), in file order."""
-    functions = files.select("module_name", "value").mapInPandas(
-        _stub_functions(),
-        "module_name string, class_path string, function_name string, position int, text string, line int",
-    )
-    numbered = with_ordinal(functions, ["module_name", "class_path", "function_name"], ["position"], bucketed=False)
+def stub_signatures(rows: DataFrame) -> DataFrame:
+    """Reference rows numbered by line within their function, whose overloads are few."""
+    numbered = with_ordinal(rows, ["module_name", "class_path", "function_name"], ["line", "text"], bucketed=False)
     return numbered.select(
         "module_name", "class_path", "function_name", F.col("ordinal").cast("int").alias("ordinal"), "text", "line"
     )

@@ -13,14 +13,10 @@ RECORD = {
 }
 
 
-def test_function_records_from_json_and_toml(spark, tmp_path):
+def test_function_records_from_json(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(RECORD) + "\n")
     (tmp_path / "b.json").write_text(json.dumps({"functions": [RECORD, {**RECORD, "function_id": "m:g"}]}, indent=1))
-    toml = "\n".join(f'{k} = "{v}"' for k, v in RECORD.items() if isinstance(v, str))
-    (tmp_path / "c.toml").write_text(
-        f"[[functions]]\n{toml}\n\n[[functions.signatures]]\nsignature_index = 0\nsignature = \"def f():\"\nraw_signature = \" raw \"\n"
-    )
-    for path, kind, n in (("a.json", "json", 1), ("b.json", "json_document", 2), ("c.toml", "toml", 1)):
+    for path, kind, n in (("a.json", "json", 1), ("b.json", "json_document", 2)):
         rows = RD.read_function_records(spark, str(tmp_path / path), kind).collect()
         assert len(rows) == n and rows[0]["function_id"] == "m:f"
         assert rows[0]["failure_reason"] is None and rows[0]["class_name"] is None
@@ -34,9 +30,6 @@ def test_function_records_are_checked(spark, tmp_path):
     (tmp_path / "none.json").write_text(json.dumps({k: v for k, v in RECORD.items() if k != "signatures"}))
     with pytest.raises(Exception, match="signatures are missing"):
         RD.read_function_records(spark, str(tmp_path / "none.json")).collect()
-    (tmp_path / "doc.toml").write_text("other = 1\n")
-    with pytest.raises(Exception, match="no list of functions"):
-        RD.read_function_records(spark, str(tmp_path / "doc.toml"), "toml").collect()
 
 
 HEADER = "function_id,elapsed_ns,elapsed_ms,provider,mapping_status,parameter_inference_status,return_inference_status,signature_count,failure_reason"
@@ -98,21 +91,19 @@ def test_corpus_prunes_git_and_drops_bad_bytes(spark, tmp_path):
 
 
 def test_reference_stubs(spark, tmp_path):
-    (tmp_path / "pkg").mkdir()
-    (tmp_path / "pkg" / "__init__.pyi").write_text("def top(x: int=1) -> int: ...\n")
-    (tmp_path / "pkg" / "mod.pyi").write_text(
-        "import typing\nclass A:\n    class B:\n        @typing.overload\n        def f(self) -> None: ...\n"
-        "        @typing.overload\n        async def f(self, a, *, b='x'): ...\n"
-    )
-    rows = RD.read_reference_stubs(spark, str(tmp_path)).orderBy("module_name", "ordinal").collect()
-    assert [tuple(r) for r in rows] == [
-        ("pkg", "", "top", 0, "def top(x: int=1) -> int: ...", 1),
-        ("pkg.mod", "A.B", "f", 0, "@typing.overload\ndef f(self) -> None: ...", 5),
-        ("pkg.mod", "A.B", "f", 1, "@typing.overload\nasync def f(self, a, *, b='x'): ...", 7),
+    rows = [
+        ("pkg/__init__.pyi", "pkg", "", "top", "def top(x: int=1) -> int: ...", 1),
+        ("pkg/mod.pyi", "pkg.mod", "A.B", "f", "@typing.overload\nasync def f(self, a, *, b='x'): ...", 7),
+        ("pkg/mod.pyi", "pkg.mod", "A.B", "f", "@typing.overload\ndef f(self) -> None: ...", 5),
     ]
-    (tmp_path / "pkg.pyi").write_text("")
+    spark.createDataFrame(rows, RD.REFERENCES).write.json(str(tmp_path / "one"))
+    got = RD.read_reference_stubs(spark, str(tmp_path / "one")).orderBy("module_name", "ordinal").collect()
+    assert [tuple(r) for r in got] == [
+        ("pkg", "", "top", 0, rows[0][4], 1), ("pkg.mod", "A.B", "f", 0, rows[2][4], 5), ("pkg.mod", "A.B", "f", 1, rows[1][4], 7)
+    ]
+    spark.createDataFrame([*rows, ("pkg.pyi", "pkg", "", "g", "def g(): ...", 1)], RD.REFERENCES).write.parquet(str(tmp_path / "two"))
     with pytest.raises(Exception, match="two stub files describe module pkg"):
-        RD.read_reference_stubs(spark, str(tmp_path)).collect()
+        RD.read_reference_stubs(spark, str(tmp_path / "two"), "parquet").collect()
 
 
 def test_records_need_signatures(spark, tmp_path):
