@@ -220,6 +220,8 @@ PACKS: dict[str, dict[str, dict[str, str]]] = {
 
 # Fixed value: calls whose type follows from the call itself; see ``apply_rules(computed=...)``.
 COMPUTED_CALLS = ["wrap"]
+# Fixed value: calls that create an object of the type object they are given.
+OBJECT_CREATION = ["PyObject_New", "PyObject_GC_New"]
 
 # Keywords that show how a package builds its extension modules.
 EXTENSION_KEYWORDS = {

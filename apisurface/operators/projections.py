@@ -164,17 +164,25 @@ def _arg(name: str, kind: str, type_text: str | None = "object") -> Column:
     )
 
 
-def decode_call_flags(df: DataFrame, flags: str, parsed: Column | None = None) -> DataFrame:
+#: Name of the argument of a single-argument function.
+SINGLE_ARGUMENT = "arg"
+
+
+def decode_call_flags(df: DataFrame, flags: str, parsed: Column | None = None, single_type: Column | None = None) -> DataFrame:
     """Add ``args`` (array of argument arrays), ``convention`` and ``parameter_inference_status``.
 
     ``parsed`` holds the argument arrays found in parse calls; without any, a variadic
-    convention keeps the skeleton ``*args[, **kwargs]`` and counts as failed.
+    convention keeps the skeleton ``*args[, **kwargs]`` and counts as failed. ``single_type`` is what is known of
+    the argument of a single-argument function, ``object`` where it is null.
     """
 
     def has(bit: int) -> Column:
         return F.col(flags).bitwiseAND(bit) != 0
 
     none = F.array().cast(f"array<{S.ARGUMENT}>")
+    single = _arg(SINGLE_ARGUMENT, S.POSITIONAL_ONLY)
+    if single_type is not None:
+        single = single.withField("type", F.coalesce(single_type, F.lit("object")))
     minimal = F.when(
         has(METH_KEYWORDS),
         F.array(_arg("args", S.VAR_POSITIONAL), _arg("kwargs", S.VAR_KEYWORD)),
@@ -191,7 +199,7 @@ def decode_call_flags(df: DataFrame, flags: str, parsed: Column | None = None) -
     usable = F.coalesce(F.size(found) > 0, F.lit(False))
     args = (
         F.when(convention == "noargs", F.array(none))
-        .when(convention == "single", F.array(F.array(_arg("arg", S.POSITIONAL_ONLY))))
+        .when(convention == "single", F.array(F.array(single)))
         .when(convention == "unknown", F.array(none))
         .when(usable, found)
         .otherwise(F.array(minimal))

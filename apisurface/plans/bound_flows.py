@@ -198,6 +198,66 @@ _EVALUATED_SQL = f"""
 """
 
 
+_CONVENTIONS_SQL = """
+    SELECT o_orderpriority || ':f' || o_orderkey AS function_id,
+        replace('def f' || o_orderkey || CASE substr(o_orderpriority, 1, 1)
+            WHEN '1' THEN '()'
+            WHEN '2' THEN '(arg: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'str' ELSE 'object' END || ', /)'
+            WHEN '3' THEN replace('(|    count: int,|    label: str ~ None = ...,|    *,|    target: object = ...,|)', '|', chr(10))
+            WHEN '4' THEN replace('(|    v0: int,|    v1: str ~ collections.abc.Buffer,|    /,|)', '|', chr(10))
+            ELSE replace('(|    *args: object,|    **kwargs: object,|)', '|', chr(10)) END
+        || ' -> ' || CASE o_orderstatus WHEN 'F' THEN 'torch.Tensor' WHEN 'O' THEN 'list' ELSE 'typing.Any' END || ':', '~', '|') AS signature,
+        CASE WHEN o_orderpriority = '5-LOW' THEN 'failed' ELSE 'success' END AS parameter_inference_status,
+        CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'success' END AS return_inference_status
+    FROM orders
+"""
+
+
+@bound("flow_complete_conventions", _CONVENTIONS_SQL)
+def flow_conventions(t):
+    """Orders as functions of all calling conventions by priority: none, one checked argument, keywords, format, unknown.
+
+    Values are wrapped, created from a type object, or reach the return through initializers that go in a circle.
+    """
+    fn, kind = F.col("o_orderkey").alias("fn"), F.substring("o_orderpriority", 1, 1)
+    functions = t.orders.select(
+        fn,
+        F.col("o_orderpriority").alias("module_name"),
+        F.lit(None).cast("string").alias("class_name"),
+        F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("function_name"),
+        F.when(kind == "1", 4).when(kind == "2", 8).when(kind == "4", 1).otherwise(3).alias("flags"),
+    )
+    names = F.array(F.lit("count"), F.lit("label"), F.lit("target"))
+    calls = t.orders.where(kind.isin("3", "4")).select(
+        fn, F.lit(0).alias("call_pos"), F.when(kind == "3", "i|z$O").otherwise("is#").alias("fmt"), F.when(kind == "3", names).alias("names")
+    )
+    slots = t.orders.where(kind.isin("3", "4")).select(fn, F.explode(F.sequence(F.lit(0), F.lit(2))).alias("slot_index")).select(
+        "fn", F.lit(0).alias("call_pos"), "slot_index", F.concat(F.lit("v"), F.col("slot_index").cast("string")).alias("var"),
+        F.lit(None).cast("string").alias("operand"), F.lit(None).cast("string").alias("default_value"),
+    )
+    checks = t.orders.where((kind == "2") & (F.col("o_orderkey") % 2 == 0)).select(
+        fn, F.lit(CP.SINGLE_ARGUMENT).alias("var"), F.lit("PyUnicode_Check").alias("call_name")
+    )
+    status = F.col("o_orderstatus")
+    returns = t.orders.select(
+        fn,
+        F.lit(10).alias("pos"),
+        F.when(status == "P", "ref").otherwise("call").alias("expr_kind"),
+        F.when(status == "F", "wrap").when(status == "O", "PyObject_New").otherwise("a").alias("expr_name"),
+        F.when(status == "F", "const at::Tensor &").when(status == "O", "& PyList_Type").alias("expr_detail"),
+    )
+    circle = F.array(
+        F.struct(F.lit("a").alias("var"), F.lit("b").alias("rhs_name")), F.struct(F.lit("b").alias("var"), F.lit("a").alias("rhs_name"))
+    )
+    assigns = t.orders.where(status == "P").select(fn, F.explode(circle).alias("c")).select(
+        "fn", "c.var", F.lit(-1).alias("pos"), F.lit("ref").alias("rhs_kind"), "c.rhs_name"
+    )
+    done = CP.complete_functions(functions, calls, slots, checks, returns, assigns, merge_rules([rule_table(t.spark)]))
+    return done.select(
+        "function_id", F.col("signatures")[0]["signature"].alias("signature"), "parameter_inference_status", "return_inference_status"
+    )
+
+
 @bound("flow_evaluate_signatures", _EVALUATED_SQL)
 def flow_evaluate(t):
     _, rows = evaluated(t)

@@ -13,6 +13,7 @@ from apisurface.operators.joins import apply_rules
 from apisurface.plans.bound_rows import _ROUTED_SQL, line_statuses
 from apisurface.plans.registry import LINE_ORDER, LINE_ORDER_SQL, bound, text
 from apisurface.session import shared_folder
+from apisurface.sources import writers as WR
 from apisurface.streaming import counters as C
 
 
@@ -260,11 +261,7 @@ def _run(t, df, mode):
 @bound("str1_append_results", "SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
 def str1(t):
     path, state = shared_folder(t.spark, "appended"), shared_folder(t.spark, "state")
-    query = (
-        event_stream(t).select("event_id", "event_type").writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    WR.append_evaluations(event_stream(t), path, state, ["event_id", "event_type"], format="parquet").awaitTermination()
     rows = t.spark.read.schema("event_id bigint, event_type string").parquet(path)
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 

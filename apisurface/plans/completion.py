@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from apisurface.functions import rule_packs as R
 from apisurface.functions.formats import parse_format_arguments, value_format_type
 from apisurface.functions.render import render_signature
-from apisurface.functions.text import first_identifier, type_object_name
+from apisurface.functions.text import cpp_return_type, first_identifier, type_object_name
 from apisurface.functions.types import NEVER, evaluate_once
 from apisurface.operators.aggregates import union_types
 from apisurface.operators.joins import apply_rules, refine_by_checks, resolve_calls
-from apisurface.operators.projections import decode_call_flags, receiver_added, with_function_id
+from apisurface.operators.projections import METH_O, SINGLE_ARGUMENT, decode_call_flags, receiver_added, with_function_id
 from apisurface.operators.windows import last_definition
 from apisurface.session import cut_lineage
 
@@ -58,11 +58,19 @@ def slot_arrays(slots: DataFrame) -> DataFrame:
 
 
 def parsed_arguments(parse_calls: DataFrame, slots: DataFrame) -> DataFrame:
-    """Argument arrays per function from its parse calls; calls that do not parse are left out."""
+    """Argument arrays per function from its parse calls (fn, call_pos, fmt and, for keyword calls, names).
+
+    Calls that do not parse are left out.
+    """
     with_slots = parse_calls.join(slot_arrays(slots), ["fn", "call_pos"], "left").withColumn(
         "slots", F.coalesce("slots", F.array().cast("array<struct<name:string,type:string,refined:string,default_value:string>>"))
     )
-    parsed = evaluate_once(with_slots, "_parsed", parse_format_arguments("fmt", "slots"))
+    # Calls that list names parse the keyword form of the format.
+    listed = with_slots.withColumn("names", F.lit(None).cast("array<string>")) if "names" not in parse_calls.columns else with_slots
+    form = F.when(F.col("names").isNull(), parse_format_arguments("fmt", "slots")).otherwise(
+        parse_format_arguments("fmt", "slots", "names")
+    )
+    parsed = evaluate_once(listed, "_parsed", form)
     good = parsed.where(F.col("_parsed.error").isNull())
     entry = F.struct(F.col("call_pos"), F.col("_parsed.args").alias("args"))
     return good.groupBy("fn").agg(
@@ -78,29 +86,35 @@ def infer_return_types(returns: DataFrame, assigns: DataFrame, rules: DataFrame)
     definition before the use takes its place, or its initializer if there is none, which is repeated while definitions
     are references themselves. Expressions that cannot be inferred are skipped; the union of the others is the type, and
     a function with returns of which none is inferred gets ``typing.Any`` with status ``failed``.
+
+    ``expr_detail`` and ``rhs_detail``, where there, tell what a computed call's type follows from: the C++ type that
+    ``wrap`` wraps, or the type object that an object is created from.
     """
     objects = rules.where(F.col("category") == R.OBJECT).select("name", "type")
     calls = rules.where(F.col("category") == R.CALL).select("name", "type")
-    definitions = assigns.select("fn", "var", "pos", "rhs_kind", "rhs_name")
+    no_detail = F.lit(None).cast("string")
+    assigns = assigns if "rhs_detail" in assigns.columns else assigns.withColumn("rhs_detail", no_detail)
+    returns = returns if "expr_detail" in returns.columns else returns.withColumn("expr_detail", no_detail)
+    definitions = assigns.select("fn", "var", "pos", "rhs_kind", "rhs_name", "rhs_detail")
     ignored, null = F.col("rhs_kind") == "binary", F.col("rhs_kind") == "null"
     done = []
     # The trail holds the variables whose initializers were passed, so that a circle of these ends.
-    pending = cut_lineage(returns.select("fn", "pos", "expr_kind", "expr_name", F.array().cast("array<string>").alias("trail")))
-    fields = ["fn", "pos", "expr_kind", "expr_name"]
+    pending = cut_lineage(returns.select("fn", "pos", "expr_kind", "expr_name", "expr_detail", F.array().cast("array<string>").alias("trail")))
+    fields = ["fn", "pos", "expr_kind", "expr_name", "expr_detail"]
     while True:
         is_ref = F.col("expr_kind") == "ref"
         done.append(pending.where(~is_ref).select(*fields))
         refs = cut_lineage(apply_rules(pending.where(is_ref), objects, "expr_name", out="object_type"))
         done.append(
             refs.where(F.col("object_type").isNotNull()).select(
-                "fn", "pos", F.lit("typed").alias("expr_kind"), F.col("object_type").alias("expr_name")
+                "fn", "pos", F.lit("typed").alias("expr_kind"), F.col("object_type").alias("expr_name"), no_detail.alias("expr_detail")
             )
         )
         uses = refs.where(F.col("object_type").isNull()).select("fn", F.col("expr_name").alias("var"), "pos", "trail")
         wanted = definitions.join(uses.select("fn", "var").distinct(), ["fn", "var"], "left_semi")
         resolved = last_definition(
             uses, wanted.withColumn("def_pos", F.col("pos")), ["fn", "var"], ["pos"],
-            ["rhs_kind", "rhs_name", "def_pos"], ignored=ignored, is_null=null, initial=F.col("pos") < 0, bucketed=False,
+            ["rhs_kind", "rhs_name", "rhs_detail", "def_pos"], ignored=ignored, is_null=null, initial=F.col("pos") < 0, bucketed=False,
         )
         # The next look-up starts at the definition, so positions fall until only initializers are left.
         usable = F.col("usable") & ~F.array_contains("trail", F.col("var"))
@@ -111,6 +125,7 @@ def infer_return_types(returns: DataFrame, assigns: DataFrame, rules: DataFrame)
                 F.when(usable, F.col("def_pos")).otherwise(F.col("pos")).alias("pos"),
                 F.when(usable, F.col("rhs_kind")).otherwise(F.lit("unknown")).alias("expr_kind"),
                 F.when(usable, F.col("rhs_name")).alias("expr_name"),
+                F.when(usable, F.col("rhs_detail")).alias("expr_detail"),
                 passed.alias("trail"),
             )
         )
@@ -119,7 +134,15 @@ def infer_return_types(returns: DataFrame, assigns: DataFrame, rules: DataFrame)
     expressions = done[0]
     for part in done[1:]:
         expressions = expressions.unionByName(part)
-    typed = apply_rules(expressions, calls, "expr_name", out="call_type")
+    created = F.when(F.col("expr_name").isin(*R.OBJECT_CREATION), type_object_name("expr_detail"))
+    expressions = resolve_calls(
+        expressions.withColumn("_created", created), rules.drop("imports"), R.TYPE_OBJECT, "_created", out="_created_type"
+    )
+    computed = {
+        **{name: cpp_return_type("expr_detail") for name in R.COMPUTED_CALLS},
+        **{name: F.col("_created_type") for name in R.OBJECT_CREATION},
+    }
+    typed = apply_rules(expressions, calls, "expr_name", out="call_type", computed=computed)
     kind = F.col("expr_kind")
     inferred = (
         F.when(kind == "call", F.col("call_type"))
@@ -143,13 +166,19 @@ def complete_functions(
 ) -> DataFrame:
     """Function records with rendered signatures; ``sink`` may take them instead of the caller.
 
-    ``functions`` holds fn, module_name, class_name, function_name and flags.
+    ``functions`` holds fn, module_name, class_name, function_name and flags. Checks on the argument of a single-argument
+    function name it ``arg``.
     """
     rules = cut_lineage(rules)
     arguments = parsed_arguments(parse_calls, resolve_slots(slots, checks, rules))
     types = infer_return_types(returns, assigns, rules)
     facts = functions.join(arguments, "fn", "left").join(types, "fn", "left")
-    decoded = decode_call_flags(facts, "flags", parsed=F.col("parsed_args"))
+    # The one argument of a single-argument function is refined by the checks on it.
+    uses = rules.where(F.col("category") == R.OBJECT_USE).select("name", "type")
+    single = functions.where(F.col("flags").bitwiseAND(METH_O) != 0).select("fn", F.lit(SINGLE_ARGUMENT).alias("var"))
+    single = refine_by_checks(single, checks, uses, out="single_type").select("fn", "single_type")
+    facts = facts.join(single, "fn", "left")
+    decoded = decode_call_flags(facts, "flags", parsed=F.col("parsed_args"), single_type=F.col("single_type"))
     has_owner = F.col("class_name").isNotNull()
     return_type = F.coalesce("return_type", F.lit("typing.Any"))
     rendered = F.transform(

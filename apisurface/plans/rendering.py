@@ -36,12 +36,15 @@ def module_lines(nodes: DataFrame, signatures: DataFrame, include_docs: bool = F
     """Lines (module, position, line) of every module text.
 
     ``nodes`` holds node_id, parent_id, kind, name, doc and bases; ``signatures`` holds node_id, signature_index,
-    args, return_type, imports and decorator. Lines stay rows: a module is never gathered in one place.
+    args, return_type, imports and decorator. Lines stay rows: a module is never gathered in one place. A function
+    without signatures makes the query fail and is named.
     """
     paths = catalog_paths(nodes)
-    placed = paths.where(F.col("kind") == "function").drop("kind", "bases").join(signatures, "node_id")
+    placed = paths.where(F.col("kind") == "function").drop("kind", "bases").join(signatures, "node_id", "left")
     counts = signatures.groupBy("node_id").agg(F.count(F.lit(1)).alias("_signatures"))
-    placed = placed.join(counts, "node_id")
+    placed = placed.join(counts, "node_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no signatures: "), F.col("node_id").cast("string"))).cast("boolean")
+    placed = placed.where(F.when(F.col("_signatures").isNull(), missing).otherwise(F.lit(True)))
 
     def block(df: DataFrame, part: Column, index: Column, lines: Column) -> DataFrame:
         return df.select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,19 +30,14 @@ def build_session(app_name: str = "apisurface", master: str | None = None, **con
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder of this machine.
-    """
+    """Folder every executor can reach: that of ``spark.checkpoint.dir``, else one in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="apisurface-")
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     spark.sparkContext.setCheckpointDir(root)
     return root
 

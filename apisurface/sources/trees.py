@@ -35,10 +35,12 @@ def _tree_source() -> type:
                 if info.type != FileType.File or not info.path.endswith(self.suffix) or self.pruned & set(inside[:-1]):
                     continue
                 if batch and size + info.size > self.limit:
-                    batches, batch, size = [*batches, batch], [], 0
+                    batches.append(batch)
+                    batch, size = [], 0
                 batch.append(info.path)
                 size += info.size
-            batches = [*batches, batch] if batch else batches
+            if batch:
+                batches.append(batch)
             return [InputPartition((base, paths)) for paths in batches] or [InputPartition((base, []))]
 
         def read(self, partition):

@@ -31,15 +31,11 @@ def write_measurements(df: DataFrame, path: str, col: str = "elapsed_ns", mode:
     df.orderBy(F.col(col).desc()).write.mode(mode).csv(path, header=True, escape='"')
 
 
-def with_input_files(summary: DataFrame, rows: DataFrame, file: str) -> DataFrame:
-    """Summary row plus the sorted list of files the rows came from."""
-    files = rows.select(file).distinct().agg(F.array_sort(F.collect_set(file)))
-    return summary.withColumn("input_files", files.scalar())
-
-
-def write_summary(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Summary rows as JSON lines."""
+def write_summary(df: DataFrame, path: str, rows: DataFrame | None = None, file: str | None = None, mode: str = "errorifexists") -> None:
+    """Summary rows as JSON lines below ``path``; the files that ``rows`` came from, one row each, in ``path``-files."""
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    if rows is not None:
+        rows.select(F.col(file).alias("input_file")).distinct().write.mode(mode).json(f"{path.rstrip('/')}-files")
 
 
 def module_file(module: Column, is_package: Column) -> Column:
@@ -60,18 +56,29 @@ def write_module_texts(
     ranged.select(module, F.col(line).alias("value")).write.mode(mode).partitionBy(module).text(path)
 
 
-def append_evaluations(stream: DataFrame, path: str, checkpoint: str, columns: list[str] | None = None) -> StreamingQuery:
-    """Append evaluation rows to CSV files as they finish."""
+def append_evaluations(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    columns: list[str] | None = None,
+    format: str = "csv",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Append evaluation rows to files as they finish.
+
+    ``trigger`` is that of the stream, such as ``{"processingTime": "1 minute"}``; without one, what is there is appended
+    and the query ends.
+    """
     chosen = columns or [c for c in S.column_names(S.EVALUATIONS) if c in stream.columns]
     return (
         stream.select(*chosen)
-        .writeStream.format("csv")
+        .writeStream.format(format)
         .option("header", True)
         .option("escape", '"')
         .option("checkpointLocation", checkpoint)
         .option("path", path)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
