@@ -11,6 +11,7 @@ from apisurface.operators.joins import merge_rules
 from apisurface.operators.windows import with_ordinal
 from apisurface.plans import completion as CP
 from apisurface.plans import evaluation as EV
+from apisurface.plans import providers as PV
 from apisurface.plans.bound_rows import order_functions
 from apisurface.plans.registry import LINE_ORDER, LINE_ORDER_SQL, bound
 from apisurface.session import shared_folder
@@ -258,6 +259,96 @@ def flow_conventions(t):
     )
 
 
+_CHAIN_SQL = """
+    SELECT o_orderpriority || ':f' || o_orderkey AS function_id,
+        CASE WHEN o_orderstatus = 'P' THEN 'pybind11' ELSE 'c_extension' END AS provider,
+        CASE WHEN broken OR lost THEN 'failed' ELSE 'success' END AS mapping_status,
+        CASE WHEN broken OR lost OR o_orderstatus = 'O' THEN 'failed' ELSE 'success' END AS parameter_inference_status,
+        CASE WHEN broken THEN 'argument without type' WHEN lost THEN 'definition not found'
+             WHEN o_orderstatus = 'O' THEN 'parameters were not inferred' END AS failure_reason,
+        CASE WHEN broken OR lost OR o_orderstatus = 'O' THEN 1 WHEN o_orderstatus = 'P' AND o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS n_signatures
+    FROM (SELECT *, o_orderstatus = 'P' AND o_orderkey % 3 = 0 AS broken, o_orderstatus <> 'P' AND c_mktsegment = 'BUILDING' AS lost
+          FROM orders JOIN customer ON o_custkey = c_custkey)
+    WHERE NOT (o_orderpriority = '5-LOW' AND o_orderkey % 7 = 0)
+      AND (CASE WHEN o_orderstatus = 'P' THEN o_orderkey % 2 = 0 ELSE c_acctbal >= 0 END)
+"""
+
+
+def provider_chain(t):
+    """Orders as module functions; each has a range and a definition of its own, by what its customer is.
+
+    Some members come from elsewhere, some handles are of no known kind, some addresses lie in no range, some definitions are
+    missing, some have no parse call, and some overload texts do not parse.
+    """
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    name = F.concat(F.lit("f"), key.cast("string"))
+    foreign = (F.col("o_orderpriority") == "5-LOW") & (key % 7 == 0)
+    no = F.lit(False)
+    customers = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_mktsegment")
+    orders = t.orders.join(customers, "o_custkey")
+    members = orders.select(
+        key.alias("fn"), F.col("o_orderpriority").alias("module_name"), F.lit(None).cast("string").alias("class_name"),
+        name.alias("function_name"), F.when(foreign, F.lit("other")).otherwise(F.col("o_orderpriority")).alias("defined_in"),
+        F.lit(True).alias("is_callable"), ((status != "P") | (key % 2 == 0)).alias("builtin"), (status == "P").alias("bound_to_pybind"),
+        no.alias("method_descriptor"), no.alias("class_method_descriptor"), no.alias("instance_method"), no.alias("static_wrapper"),
+        F.lit("lib").alias("binary"), (key * 16 + key % 16).alias("address"),
+    )
+    symbol = F.concat(F.lit("_Z"), key.cast("string")).alias("linkage_name")
+    ranges = orders.where(F.col("c_acctbal") >= 0).select(
+        F.lit("lib").alias("binary"), (key * 16).alias("low_pc"), (key * 16 + 16).alias("high_pc"), F.lit(1).alias("depth"),
+        symbol, name.alias("function_name"),
+    )
+    by_linkage = orders.where(F.col("c_mktsegment") != "BUILDING").select(F.lit("lib").alias("binary"), symbol, key.alias("definition"))
+    by_name = by_linkage.select("binary", F.col("linkage_name").alias("function_name"), "definition").limit(0)
+    second = F.when(key % 3 == 0, F.lit("(y) -> int")).when(key % 5 == 0, F.lit("(y: str = 'a') -> int"))
+    texts = orders.where(status == "P").select(
+        key.alias("fn"), F.posexplode(F.filter(F.array(F.lit("(x: int) -> str"), second), lambda x: x.isNotNull())).alias("position", "text")
+    )
+    return members, texts, ranges, by_linkage, by_name
+
+
+def chain_records(t):
+    """The chain over facts per order: finished ones take no arguments, open ones have no parse call."""
+    members, texts, ranges, by_linkage, by_name = provider_chain(t)
+    fn, status = F.col("o_orderkey").alias("fn"), F.col("o_orderstatus")
+    functions = t.orders.where(status != "P").select(
+        fn, F.col("o_orderpriority").alias("module_name"), F.lit(None).cast("string").alias("class_name"),
+        F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("function_name"), F.when(status == "F", 4).otherwise(1).alias("flags"),
+    )
+    none = functions.limit(0)
+    text_, number = F.lit("").alias, F.lit(0).alias
+    calls = none.select("fn", number("call_pos"), text_("fmt"))
+    slots = none.select("fn", number("call_pos"), number("slot_index"), text_("var"), text_("operand"), text_("default_value"))
+    checks = none.select("fn", text_("var"), text_("call_name"))
+    returns = functions.select("fn", F.lit(1).alias("pos"), F.lit("call").alias("expr_kind"), F.lit("PyLong_FromLong").alias("expr_name"))
+    assigns = none.select("fn", text_("var"), number("pos"), text_("rhs_kind"), text_("rhs_name"))
+    done = CP.complete_functions(functions, calls, slots, checks, returns, assigns, merge_rules([rule_table(t.spark)]))
+    done = done.withColumn("definition", F.split_part("function_id", F.lit(":f"), F.lit(2)).cast("bigint"))
+    return PV.complete_chain(members, done, texts, ranges, by_linkage, by_name)
+
+
+@bound("flow_provider_chain", _CHAIN_SQL)
+def flow_chain(t):
+    return chain_records(t).select(
+        "function_id", "provider", "mapping_status", "parameter_inference_status", "failure_reason",
+        F.size("signatures").alias("n_signatures"),
+    )
+
+
+@bound(
+    "flow_chain_funnel",
+    f"""
+    SELECT provider, count(*) AS total_functions, count(*) FILTER (WHERE mapping_status = 'success') AS mapping_success,
+           round(count(*) FILTER (WHERE mapping_status = 'success') * 100.0 / count(*), 6)::DOUBLE AS mapping_rate
+    FROM ({_CHAIN_SQL}) GROUP BY 1
+    """,
+)
+def flow_chain_funnel(t):
+    return funnel(chain_records(t), ["provider"]).select(
+        "provider", "total_functions", "mapping_success", F.round("mapping_rate", 6).alias("mapping_rate")
+    )
+
+
 @bound("flow_evaluate_signatures", _EVALUATED_SQL)
 def flow_evaluate(t):
     _, rows = evaluated(t)
