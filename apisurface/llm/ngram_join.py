@@ -26,8 +26,8 @@ FREQUENT = 200_000
 FREQUENT_FROM = 8
 #: Words of 64 bits in the bitmap of a set.
 BITMAP = 8
-#: Buckets of more sets are joined to one of them first, then over different components alone.
-LARGE_BUCKET = 16
+#: Buckets of more sets are joined to the best of a few probes, others to their first set.
+LARGE_BUCKET = 64
 PROBES = 16
 #: Pairs that are tested at a time.
 TILE = 1 << 20
@@ -138,8 +138,8 @@ def possible(n1, p1, m1, n2, p2, m2, similarity: tuple[int, int]) -> np.ndarray:
 def bucket_pairs(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int], by_component: bool) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of buckets; rows are sorted by gram.
 
-    At first all pairs of small buckets, and in large ones those of the best of a few probes with all others. Later
-    (``by_component``) all pairs of large buckets whose sets lie in different components.
+    At first those of one set of each bucket with all others. Later (``by_component``) all pairs of sets that lie in
+    different components by then.
     """
     from apisurface.llm.suffix_dedup import groups_of
 
@@ -162,12 +162,13 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int],
         for size in np.unique(sizes):
             first = starts[sizes == size]
             if size <= LARGE_BUCKET:
-                if size > 1 and not by_component:
-                    i, j = np.triu_indices(size, 1)
-                    step = max(1, TILE // len(i))
-                    for at in range(0, len(first), step):
-                        part = first[at : at + step, None]
-                        test((part + i).ravel(), (part + j).ravel())
+                i, j = np.triu_indices(size, 1) if by_component else (np.zeros(size - 1, np.int64), np.arange(1, size))
+                step = max(1, TILE // max(len(i), 1))
+                for at in range(0, len(first), step):
+                    part = first[at : at + step, None]
+                    x, y = (part + i).ravel(), (part + j).ravel()
+                    apart = comp[x] != comp[y] if by_component else slice(None)
+                    test(x[apart], y[apart])
                 continue
             for begin in first:
                 members = np.arange(begin, begin + size)
@@ -306,13 +307,13 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, si
     # Rows of one id with several sets belong to several classes, whose first documents may differ.
     shared = sets.join(classes, ["sig", "n"]).where(F.col("doc") != F.col("first")).select(F.col("doc").alias("x"), F.col("first").alias("y"))
     links = stored(named(links_of(candidates(buckets.withColumn("comp", F.lit(0).cast("bigint")), False))), "links")
-    large = buckets.where(F.col("size") > LARGE_BUCKET)
-    if not large.isEmpty():
-        labels = connected_components(links)
-        known = large.join(labels.select(F.col("node").alias("first"), "component"), "first", "left")
-        known = known.withColumn("comp", F.coalesce("component", "first"))
-        more = named(links_of(candidates(known, True)))
-        links = stored(links.unionByName(more), "links")
+    labels = connected_components(links)
+    known = buckets.where(F.col("size") > 2).join(labels.select(F.col("node").alias("first"), "component"), "first", "left")
+    known = known.withColumn("comp", F.coalesce("component", "first")).select("gram", "sig", "n", "place", "comp")
+    mixed = known.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    rest = stored(known.join(mixed.select("gram"), "gram", "left_semi"), "buckets")
+    if not rest.isEmpty():
+        links = stored(links.unionByName(named(links_of(candidates(rest, True)))), "links")
     repeated_ids = sets.groupBy("doc").agg(F.count_distinct("sig", "n").alias("sets")).where(F.col("sets") > 1)
     ties = shared.join(repeated_ids.select(F.col("doc").alias("x")), "x", "left_semi")
     labels = connected_components(links.unionByName(ties))
