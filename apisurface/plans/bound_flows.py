@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from apisurface import schemas as S
 from apisurface.functions.rule_packs import rule_table
 from apisurface.functions.text import function_id
 from apisurface.operators.aggregates import evaluation_summary, funnel
@@ -12,6 +13,7 @@ from apisurface.operators.windows import with_ordinal
 from apisurface.plans import completion as CP
 from apisurface.plans import evaluation as EV
 from apisurface.plans import providers as PV
+from apisurface.plans import rendering as RN
 from apisurface.plans.bound_rows import order_functions
 from apisurface.plans.registry import LINE_ORDER, LINE_ORDER_SQL, bound
 from apisurface.session import shared_folder
@@ -349,6 +351,49 @@ def flow_chain_funnel(t):
     )
 
 
+@bound(
+    "tx12_module_lines",
+    """
+    WITH f AS (
+        SELECT r_name AS module, c_custkey AS k, unnest(range(CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END)) AS i
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    lines AS (
+        SELECT module, '    def f' || k || '() -> int:' AS line FROM f
+        UNION ALL SELECT module, '        ...' FROM f
+        UNION ALL SELECT module, '    @typing.overload' FROM f WHERE k % 2 = 0
+        UNION ALL SELECT DISTINCT module, 'import typing' FROM f
+        UNION ALL SELECT r_name, 'class S' || n_nationkey || ':' FROM nation JOIN region ON n_regionkey = r_regionkey
+        UNION ALL SELECT r_name, '    pass' FROM nation JOIN region ON n_regionkey = r_regionkey
+            WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer))
+    SELECT module, line, count(*) AS n_lines FROM lines GROUP BY 1, 2
+    """,
+)
+def module_texts(t):
+    """Regions as modules, nations as classes, customers as their methods; every other one is overloaded."""
+    text_type, none = "string", F.lit(None).cast("string")
+    module = F.concat(F.lit("r"), F.col("r_regionkey").cast(text_type))
+    owner = F.concat(F.lit("n"), F.col("n_nationkey").cast(text_type))
+    method = F.concat(F.lit("c"), F.col("c_custkey").cast(text_type))
+    bases = F.array().cast("array<string>").alias("bases")
+
+    def nodes_of(df, node, parent, kind, name):
+        return df.select(node.alias("node_id"), parent.alias("parent_id"), F.lit(kind).alias("kind"), name.alias("name"), none.alias("doc"), bases)
+
+    nation = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    customer = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    nodes = (
+        nodes_of(t.region, module, none, "module", F.col("r_name"))
+        .unionByName(nodes_of(nation, owner, module, "class", F.concat(F.lit("S"), F.col("n_nationkey").cast(text_type))))
+        .unionByName(nodes_of(customer, method, owner, "function", F.concat(F.lit("f"), F.col("c_custkey").cast(text_type))))
+    )
+    indexes = F.sequence(F.lit(0), F.when(F.col("c_custkey") % 2 == 0, 1).otherwise(0))
+    signatures = t.customer.select(
+        method.alias("node_id"), F.explode(indexes).alias("signature_index"), F.array().cast(f"array<{S.ARGUMENT}>").alias("args"),
+        F.lit("int").alias("return_type"), F.array(F.lit("typing")).alias("imports"), none.alias("decorator"),
+    )
+    return RN.module_lines(nodes, signatures).groupBy("module", "line").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @bound("flow_evaluate_signatures", _EVALUATED_SQL)
 def flow_evaluate(t):
     _, rows = evaluated(t)
