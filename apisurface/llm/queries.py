@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apisurface.llm import chat_format, fingerprint, language_id, packing, sentencepiece_bpe, url_filter
@@ -41,7 +41,8 @@ def query(name: str, sql: str | None = None):
 def conversation_events(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of ``conversations`` as an event log, with the conversation that holds control strings.
 
-    A turn of the assistant is streamed: an empty message, then its text as a delta. Other turns are whole messages.
+    A turn of the assistant is streamed: an empty message, then its text as a delta. Other turns are whole messages. Every
+    row is a turn of its own: rows of equal turn numbers follow each other in the order of role and text.
     """
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
@@ -51,7 +52,8 @@ def conversation_events(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(tricky).alias("text"),
     )
-    rows = rows.unionByName(extra)
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = rows.unionByName(extra).withColumn("turn", place.cast("bigint"))
     seq = F.col("turn").cast("bigint") * 2
     streamed = F.col("role").eqNullSafe("assistant")
     whole = F.array(F.struct(seq.alias("seq"), F.lit("message").alias("kind"), F.col("text").alias("text")))
@@ -74,9 +76,9 @@ WITH told AS (
   SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\##') AS body FROM told
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + length(body) + 14)::BIGINT AS formatted_chars
 FROM shown GROUP BY conv_id
 """,
