@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from apisurface.functions.types import let
 from apisurface.llm.frames import pick
 
 RESETS = ("message", "edit", "regenerate")
@@ -126,5 +127,8 @@ def read_back(formatted: Column) -> Column:
 
 def masked_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, with nothing between."""
-    texts = F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"])))
-    return F.array_join(texts, "")
+
+    def texts(whole: Column) -> Column:
+        return F.transform(spans, lambda s: unescape(F.substring(whole, s["start"] + 1, s["length"])))
+
+    return F.array_join(let(formatted, texts), "")
