@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -41,15 +42,47 @@ def _common_prefix(low: Column, high: Column) -> Column:
     )
 
 
+#: Quantiles at which times are cut before each range between two of them is cut at equal steps.
+TIME_RANGES = 64
+
+
+def _time_bucket(df: DataFrame, position: Column, rows: int | None) -> Column:
+    """Struct(ratio, step) of a time: the range between quantiles it lies in, and the equal step within that range.
+
+    Single values far from all others, such as a date that stands for "never", lie in the first or last range and leave the
+    others as they are. The quantiles are found once, when the plan is made, so every attempt of a task sees the same.
+    """
+    shares = [i / TIME_RANGES for i in range(TIME_RANGES + 1)]
+    found = df.agg(F.percentile_approx(position, shares, 100 * TIME_RANGES).alias("edges"), F.count(position).alias("n")).first()
+    n, edges = found["n"], sorted(set(found["edges"] or []))
+    parts = math.ceil(math.sqrt(n)) if rows is None else math.ceil(n / rows)
+    if parts <= 1 or len(edges) < 2:
+        return F.struct(F.lit(0).alias("ratio"), F.lit(0).cast("bigint").alias("step"))
+    steps = -(-parts // (len(edges) - 1))
+
+    def leaf(i: int) -> Column:
+        share = (position - F.lit(edges[i])).cast("double") / float(edges[i + 1] - edges[i])
+        step = F.least(F.greatest(F.floor(share * steps), F.lit(0).cast("bigint")), F.lit(steps - 1).cast("bigint"))
+        return F.struct(F.lit(i).alias("ratio"), step.alias("step"))
+
+    def tree(first: int, last: int) -> Column:
+        if first == last:
+            return leaf(first)
+        middle = (first + last + 1) // 2
+        return F.when(position < edges[middle], tree(first, middle - 1)).otherwise(tree(middle, last))
+
+    return tree(0, len(edges) - 2)
+
+
 def order_bucket(df: DataFrame, name: str, rows: int | None = BUCKET_ROWS) -> Column:
     """Order-keeping bucket of column ``name``, fine enough for about ``rows`` rows in a bucket.
 
     Without ``rows`` there are about as many buckets as rows in a bucket.
 
-    The number of rows and the extremes of the column are taken from one aggregate over it. Numbers and times
-    are cut at equal steps between the extremes, numbers also at equal ratios, so that neither a
-    narrow range nor a long tail ends up in one bucket; strings are cut by prefix beyond what all have in
-    common. Up to ``rows`` rows there is one bucket. The bucket follows from the value and exact
+    The number of rows and the extremes of the column are taken from one aggregate over it. Numbers
+    are cut at equal steps between the extremes and at equal ratios, so that neither a
+    narrow range nor a long tail ends up in one bucket; times at quantiles, then at equal steps; strings are cut by prefix
+    beyond what all have in common. Up to ``rows`` rows there is one bucket. The bucket follows from the value and exact
     aggregates alone, so it is the same in every attempt of a task.
     """
     data_type = df.schema[name].dataType
@@ -66,6 +99,8 @@ def order_bucket(df: DataFrame, name: str, rows: int | None = BUCKET_ROWS) -> Co
         position = value
     else:
         return F.lit(0)
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.when(value.isNotNull(), _time_bucket(df, position, rows))
     is_text = isinstance(data_type, T.StringType)
     extremes = df.agg(F.min(position).alias("low"), F.max(position).alias("high"), F.count(F.lit(1)).alias("n"))
     shared = _common_prefix(F.col("low"), F.col("high")) if is_text else F.lit(0)
@@ -79,9 +114,8 @@ def order_bucket(df: DataFrame, name: str, rows: int | None = BUCKET_ROWS) -> Co
     low, span = bounds["low"].cast("double"), bounds["high"].cast("double") - bounds["low"].cast("double")
     usable = (span > 0) & (span < float("inf"))
     linear = F.when(usable, F.floor((position.cast("double") - low) / span * parts)).otherwise(F.lit(0).cast("bigint"))
-    ratio = value_bucket(value) if isinstance(data_type, T.NumericType) else F.lit(0)
     split = F.struct(
-        F.when(parts <= 1, F.lit(0)).otherwise(ratio).alias("ratio"),
+        F.when(parts <= 1, F.lit(0)).otherwise(value_bucket(value)).alias("ratio"),
         F.when(parts <= 1, F.lit(0).cast("bigint")).otherwise(linear).alias("step"),
     )
     return F.when(value.isNotNull(), split)

@@ -89,6 +89,16 @@ def test_buckets_are_of_the_wanted_size(spark):
         assert sizes.agg(F.max("count")).first()[0] < 4500
 
 
+def test_one_far_date_leaves_the_buckets_even(spark):
+    times = spark.range(20_000).select(F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 37).alias("ts"))
+    far = spark.sql("SELECT TIMESTAMP '9999-12-31 00:00:00' AS ts UNION ALL SELECT TIMESTAMP '1970-01-01 00:00:00' UNION ALL SELECT NULL")
+    df = times.unionByName(far)
+    cut = df.withColumn("b", order_bucket(df, "ts", rows=100))
+    assert cut.groupBy("b").count().agg(F.max("count")).first()[0] <= 400
+    rows = [r for r in cut.orderBy("ts").collect() if r["ts"] is not None]
+    assert all(tuple(a["b"]) <= tuple(b["b"]) for a, b in zip(rows, rows[1:]))
+
+
 @pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.9, 0.95, 1.0])
 def test_floor_percentile_equals_brute_force(table, rows, q, fine_buckets):
     got = {r["key"]: r["p"] for r in A.floor_percentiles(table, "value", {"p": q}, ["key"]).collect()}
