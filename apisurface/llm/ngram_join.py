@@ -24,8 +24,10 @@ from apisurface.llm.shingles import shingle_hashes
 FREQUENT = 200_000
 #: Least count that makes an n-gram frequent.
 FREQUENT_FROM = 8
-#: Words of 64 bits in the bitmap of a set.
+#: Words of 64 bits in the bitmap of a set that goes through the buckets.
 BITMAP = 8
+#: Most words of the wide bitmap that long sets have as well: at least two bits for each member.
+WIDE = 1 << 10
 #: Buckets of more sets are joined to the best of a few probes, others to their first set.
 LARGE_BUCKET = 64
 PROBES = 16
@@ -36,12 +38,25 @@ FRAGMENTS = 8
 FILTER_WORDS = 1 << 20
 
 
-def bitmap_of(hashes: np.ndarray) -> np.ndarray:
+def bitmap_of(hashes: np.ndarray, words: int = BITMAP) -> np.ndarray:
     """Parity of the number of members at each bit: sets that differ in d members differ in at most d bits."""
-    flips = np.bincount((mix(hashes) & U64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    flips = np.bincount((mix(hashes) & U64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(U64)
 
 
+def wide_bitmap_of(hashes: np.ndarray) -> np.ndarray | None:
+    """Bitmap of a set that is too large for the usual one, of a power of two of words; others have none."""
+    words = BITMAP
+    while 64 * words < 2 * len(hashes) and words < WIDE:
+        words *= 2
+    return bitmap_of(hashes, words) if words > BITMAP else None
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of fewer words of the same set: parities of the parts that fall together."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, words), axis=0)
+
+
 def signature(hashes: np.ndarray) -> int:
     """64 bits that stand for a set, together with its size."""
     total = mix(hashes + np.arange(1, len(hashes) + 1, dtype=U64)).sum(keepdims=True, dtype=U64)
@@ -49,30 +64,32 @@ def signature(hashes: np.ndarray) -> int:
 
 
 def profiles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document (its set's signature, size, bitmap), and counts of n-grams that come twice in a task."""
+    """A row for each document (its set's signature, size, bitmaps), and counts of n-grams that come twice in a task."""
     held: list[np.ndarray] = []
     size = 0
-    fields = ["doc", "sig", "n", "bitmap", "gram", "times"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    fields = ["doc", "sig", "n", "bitmap", "wide", "gram", "times"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
 
     def counted() -> Iterator[pa.RecordBatch]:
         grams, times = np.unique(np.concatenate(held), return_counts=True)
         often = times > 1
-        none = [pa.nulls(int(often.sum()), k) for k in kinds[:4]]
+        none = [pa.nulls(int(often.sum()), k) for k in kinds[:5]]
         yield pa.record_batch([*none, pa.array(grams[often].view(np.int64)), pa.array(times[often])], fields)
 
     for batch in batches:
-        docs, sigs, sizes, maps = [], [], [], []
+        docs, sigs, sizes, maps, wides = [], [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             hashes = shingle_hashes(text or b"", words)
             docs.append(doc)
             sigs.append(signature(hashes))
             sizes.append(len(hashes))
             maps.append(bitmap_of(hashes).tobytes())
+            wide = wide_bitmap_of(hashes)
+            wides.append(None if wide is None else wide.tobytes())
             held.append(hashes)
             size += len(hashes)
-        columns = [pa.array(x, k) for x, k in zip((docs, sigs, sizes, maps), kinds, strict=False)]
-        yield pa.record_batch([*columns, *[pa.nulls(len(docs), k) for k in kinds[4:]]], fields)
+        columns = [pa.array(x, k) for x, k in zip((docs, sigs, sizes, maps, wides), kinds, strict=False)]
+        yield pa.record_batch([*columns, *[pa.nulls(len(docs), k) for k in kinds[5:]]], fields)
         if size > 4_000_000:
             yield from counted()
             held, size = [], 0
@@ -199,16 +216,40 @@ def test_only(probe: int, members: np.ndarray, n, place, maps, similarity) -> in
     return int(possible(n[x], place[x], maps[x], n[members], place[members], maps[members], similarity).sum())
 
 
+def near_enough(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their wide bitmaps do not rule out; pairs without are passed on."""
+    part, whole = similarity
+    for batch in batches:
+        n1, n2 = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+        most = n1 + n2 - 2 * -(-part * (n1 + n2) // (part + whole))
+        kept = []
+        for w1, w2, limit in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), most, strict=True):
+            if w1 is None or w2 is None:
+                kept.append(True)
+                continue
+            a, b = np.frombuffer(w1, U64), np.frombuffer(w2, U64)
+            words = min(len(a), len(b))
+            kept.append(bool(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum() <= limit))
+        yield pa.record_batch(batch.columns[:6], batch.schema.names[:6]).filter(pa.array(kept, pa.bool_()))
+
+
+PAIRS = ["s1", "n1", "d1", "s2", "n2", "d2"]
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs that reach the similarity: partial overlaps are counted fragment by fragment and summed per pair."""
+    """Pairs that reach the similarity: partial overlaps are counted fragment by fragment and summed per pair.
+
+    Rows of ``sets`` may be repeated; what they count for a fragment counts once.
+    """
     part, whole = similarity
-    one = sets.select(F.col("sig").alias("s1"), F.col("n").alias("n1"), F.col("fragments").alias("f1"))
-    two = sets.select(F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("fragments").alias("f2"))
-    joined = pairs.join(one, ["s1", "n1"]).join(two, ["s2", "n2"])
-    both = F.explode(F.arrays_zip("f1", "f2")).alias("fragment")
-    partial = joined.select("s1", "n1", "s2", "n2", both)
-    shared = F.size(F.array_intersect("fragment.f1", "fragment.f2")).cast("bigint")
-    total = partial.groupBy("s1", "n1", "s2", "n2").agg(F.sum(shared).alias("shared"))
+    one, two = (
+        sets.select(*[F.col(c).alias(f"{name}{k}") for c, name in (("doc", "d"), ("sig", "s"), ("n", "n"), ("fragments", "f"))]) for k in (1, 2)
+    )
+    joined = pairs.join(one, ["d1", "s1", "n1"]).join(two, ["d2", "s2", "n2"])
+    partial = joined.select(*PAIRS, F.posexplode(F.arrays_zip("f1", "f2")).alias("fragment", "both"))
+    shared = F.size(F.array_intersect("both.f1", "both.f2")).cast("bigint")
+    partial = partial.groupBy(*PAIRS, "fragment").agg(F.max(shared).alias("shared"))
+    total = partial.groupBy(*PAIRS).agg(F.sum("shared").alias("shared"))
     return total.where(F.col("shared") * whole >= (F.col("n1") + F.col("n2") - F.col("shared")) * part)
 
 
@@ -256,7 +297,7 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, si
     texts = pick(docs, _id=id_col, _text=text_col)
     texts = texts.select(F.coalesce(F.col("_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.col("_text").cast("binary").alias("text"))
     profile = stored(
-        texts.mapInArrow(lambda b: profiles(b, words), "doc long, sig long, n long, bitmap binary, gram long, times long"), "profiles"
+        texts.mapInArrow(lambda b: profiles(b, words), "doc long, sig long, n long, bitmap binary, wide binary, gram long, times long"), "profiles"
     )
     counts = profile.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("times").alias("times"))
     top = counts.where(F.col("times") >= FREQUENT_FROM).orderBy(F.desc("times"), "gram").limit(FREQUENT).toPandas()
@@ -281,39 +322,36 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, si
         """``rows`` are buckets with ``comp``."""
         slim = rows.select("gram", "sig", "n", "place", "comp").join(classes.select("sig", "n", "bitmap"), ["sig", "n"])
         slim = slim.select("gram", "sig", "n", "place", "bitmap", "comp").repartition("gram").sortWithinPartitions("gram", "sig")
-        pairs = slim.mapInArrow(lambda b: bucket_pairs(b, similarity, by_component), "s1 long, n1 long, s2 long, n2 long")
-        return stored(pairs.distinct(), "pairs")
+        pairs = slim.mapInArrow(lambda b: bucket_pairs(b, similarity, by_component), "s1 long, n1 long, s2 long, n2 long").distinct()
+        for k in (1, 2):
+            name = classes.select(F.col("sig").alias(f"s{k}"), F.col("n").alias(f"n{k}"), F.col("first").alias(f"d{k}"))
+            pairs = pairs.join(name, [f"s{k}", f"n{k}"])
+        pairs = stored(pairs.select(*PAIRS), "pairs")
+        for k in (1, 2):
+            wide = profile.where(F.col("wide").isNotNull()).select(F.col("doc").alias(f"d{k}"), F.col("sig").alias(f"s{k}"), F.col("wide").alias(f"w{k}"))
+            pairs = pairs.join(wide, [f"d{k}", f"s{k}"], "left")
+        schema = "s1 long, n1 long, d1 long, s2 long, n2 long, d2 long"
+        return stored(pairs.select(*PAIRS, "w1", "w2").mapInArrow(lambda b: near_enough(b, similarity), schema).distinct(), "near")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("s1").alias("sig"), F.col("n1").alias("n")).unionByName(
-            pairs.select(F.col("s2").alias("sig"), F.col("n2").alias("n"))
-        )
-        needed = classes.join(used.distinct(), ["sig", "n"], "left_semi").select(F.col("first").alias("doc"), "sig", "n")
-        needed = stored(needed, "needed")
+        needed = pairs.select(F.col("d1").alias("doc")).unionByName(pairs.select(F.col("d2").alias("doc")))
         wanted = spark.sparkContext.broadcast(filter_words(needed))
+        # The filter lets some others through, and rows that share an id may hold other sets: they find no pair.
         cut = texts.select("doc", F.xxhash64("doc").alias("h"), "text").mapInArrow(
             lambda b: cut_fragments(b, words, wanted), "doc long, sig long, n long, fragments array<array<long>>"
         )
-        # The filter lets some others through, rows that share an id may hold other sets, and rows may be repeated.
-        cut = cut.join(needed, ["doc", "sig", "n"], "left_semi").select("sig", "n", "fragments").dropDuplicates(["sig", "n"])
-        return verified(pairs, cut, similarity)
-
-    def named(links: DataFrame) -> DataFrame:
-        """Links between the first documents of the classes."""
-        one = classes.select(F.col("sig").alias("s1"), F.col("n").alias("n1"), F.col("first").alias("x"))
-        two = classes.select(F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("first").alias("y"))
-        return links.join(one, ["s1", "n1"]).join(two, ["s2", "n2"]).select("x", "y")
+        return verified(pairs, cut, similarity).select(F.col("d1").alias("x"), F.col("d2").alias("y"))
 
     # Rows of one id with several sets belong to several classes, whose first documents may differ.
     shared = sets.join(classes, ["sig", "n"]).where(F.col("doc") != F.col("first")).select(F.col("doc").alias("x"), F.col("first").alias("y"))
-    links = stored(named(links_of(candidates(buckets.withColumn("comp", F.lit(0).cast("bigint")), False))), "links")
+    links = stored(links_of(candidates(buckets.withColumn("comp", F.lit(0).cast("bigint")), False)), "links")
     labels = connected_components(links)
     known = buckets.where(F.col("size") > 2).join(labels.select(F.col("node").alias("first"), "component"), "first", "left")
     known = known.withColumn("comp", F.coalesce("component", "first")).select("gram", "sig", "n", "place", "comp")
     mixed = known.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     rest = stored(known.join(mixed.select("gram"), "gram", "left_semi"), "buckets")
     if not rest.isEmpty():
-        links = stored(links.unionByName(named(links_of(candidates(rest, True)))), "links")
+        links = stored(links.unionByName(links_of(candidates(rest, True))), "links")
     repeated_ids = sets.groupBy("doc").agg(F.count_distinct("sig", "n").alias("sets")).where(F.col("sets") > 1)
     ties = shared.join(repeated_ids.select(F.col("doc").alias("x")), "x", "left_semi")
     labels = connected_components(links.unionByName(ties))
