@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from apisurface.functions.types import NEVER, type_imports
+from apisurface.functions.types import type_imports
 
 TYPE_OBJECT = "type_object"
 CONVERTER = "converter"
@@ -14,209 +16,9 @@ OBJECT = "object"
 OBJECT_USE = "object_use"
 CALL = "call"
 
-_FS_PATH = "str | bytes | os.PathLike[str] | os.PathLike[bytes]"
-_ARRAY_LIKE = "numpy.typing.ArrayLike"
-_INDEX = "typing.SupportsIndex"
-_INDEXES = "collections.abc.Sequence[typing.SupportsIndex]"
-
-# Pack -> category -> type -> names, packs in ascending priority.
-PACKS: dict[str, dict[str, dict[str, str]]] = {
-    "cpython": {
-        TYPE_OBJECT: {
-            "list": "PyList_Type",
-            "tuple": "PyTuple_Type",
-            "dict": "PyDict_Type",
-            "str": "PyUnicode_Type",
-            "int": "PyLong_Type",
-            "float": "PyFloat_Type",
-            "bool": "PyBool_Type",
-            "bytes": "PyBytes_Type",
-            "bytearray": "PyByteArray_Type",
-            "set": "PySet_Type",
-            "frozenset": "PyFrozenSet_Type",
-            "type": "PyType_Type",
-            "object": "PyBaseObject_Type",
-            "datetime.date": "PyDateTimeAPI->DateType",
-            "datetime.time": "PyDateTimeAPI->TimeType",
-            "datetime.datetime": "PyDateTimeAPI->DateTimeType",
-            "datetime.timedelta": "PyDateTimeAPI->DeltaType",
-        },
-        CONVERTER: {_FS_PATH: "PyUnicode_FSConverter PyUnicode_FSDecoder"},
-        OBJECT: {"None": "_Py_NoneStruct", "bool": "_Py_TrueStruct _Py_FalseStruct"},
-        OBJECT_USE: {
-            "tuple[typing.Any, ...]": "PyTuple_Check PyTuple_CheckExact",
-            "list[typing.Any]": "PyList_Check PyList_CheckExact",
-            "str": "PyUnicode_Check PyUnicode_CheckExact",
-            "bytes": "PyBytes_Check PyBytes_CheckExact",
-            "dict[typing.Any, typing.Any]": "PyDict_Check PyDict_CheckExact",
-            "set[typing.Any]": "PySet_Check PySet_CheckExact",
-            "int": "PyLong_Check PyLong_CheckExact",
-            "float": "PyFloat_Check PyFloat_CheckExact",
-            "bool": "PyBool_Check",
-            "collections.abc.Buffer": "PyObject_GetBuffer",
-        },
-        CALL: {
-            NEVER: """
-                PyErr_Format PyErr_FormatV PyErr_NoMemory PyErr_SetFromErrno
-                PyErr_SetFromErrnoWithFilenameObject PyErr_SetFromErrnoWithFilenameObjects
-                PyErr_SetFromErrnoWithFilename PyErr_SetFromWindowsErr PyErr_SetFromWindowsErrWithFilename
-                PyErr_SetExcFromWindowsErr PyErr_SetExcFromWindowsErrWithFilenameObject
-                PyErr_SetExcFromWindowsErrWithFilenameObjects PyErr_SetExcFromWindowsErrWithFilename
-                PyErr_SetImportError PyErr_SetImportErrorSubclass
-            """,
-            "types.CapsuleType": "PyCapsule_New",
-            "types.GenericAlias": "Py_GenericAlias",
-            "bool": "PyBool_FromLong",
-            "int": """
-                PyLong_FromLong PyLong_FromUnsignedLong PyLong_FromSsize_t PyLong_FromSize_t PyLong_FromLongLong
-                PyLong_FromUnsignedLongLong PyLong_FromDouble PyLong_FromString PyLong_FromUnicodeObject
-                PyLong_FromVoidPtr
-            """,
-            "float": "PyFloat_FromString PyFloat_FromDouble",
-            "complex": "PyComplex_FromCComplex PyComplex_FromDoubles",
-            "str": """
-                PyUnicode_New PyUnicode_FromKindAndData PyUnicode_FromString PyUnicode_FromStringAndSize
-                PyUnicode_FromFormat PyUnicode_FromFormatV PyUnicode_FromObject PyUnicode_FromEncodedObject
-                PyUnicode_FromWideChar PyUnicode_Decode PyUnicode_DecodeUTF8 PyUnicode_DecodeUTF8Stateful
-                PyUnicode_DecodeUTF32 PyUnicode_DecodeUTF32Stateful PyUnicode_DecodeUTF16
-                PyUnicode_DecodeUTF16Stateful PyUnicode_DecodeUTF7 PyUnicode_DecodeUTF7Stateful
-                PyUnicode_DecodeUnicodeEscape PyUnicode_DecodeRawUnicodeEscape PyUnicode_DecodeLatin1
-                PyUnicode_DecodeASCII PyUnicode_DecodeCharmap PyUnicode_DecodeLocaleAndSize PyUnicode_DecodeLocale
-                PyUnicode_DecodeFSDefaultAndSize PyUnicode_DecodeFSDefault PyUnicode_Translate PyUnicode_DecodeMBCS
-                PyUnicode_DecodeMBCSStateful PyUnicode_DecodeCodePageStateful PyUnicode_Substring PyUnicode_Concat
-                PyUnicode_Join PyUnicode_Replace PyUnicode_Format PyUnicode_InternFromString
-            """,
-            "bytes": """
-                PyBytes_FromString PyBytes_FromStringAndSize PyBytes_FromFormat PyBytes_FromFormatV
-                PyBytes_FromObject PyUnicode_AsEncodedString PyUnicode_AsUTF8String PyUnicode_AsUTF32String
-                PyUnicode_AsUTF16String PyUnicode_AsUnicodeEscapeString PyUnicode_AsRawUnicodeEscapeString
-                PyUnicode_AsLatin1String PyUnicode_AsASCIIString PyUnicode_AsCharmapString PyUnicode_EncodeLocale
-                PyUnicode_EncodeFSDefault PyUnicode_AsMBCSString PyUnicode_EncodeCodePage
-            """,
-            "bytearray": "PyByteArray_FromObject PyByteArray_FromStringAndSize PyByteArray_Concat",
-            "slice": "PySlice_New",
-            "memoryview": """
-                PyMemoryView_FromObject PyMemoryView_FromMemory PyMemoryView_FromBuffer PyMemoryView_GetContiguous
-            """,
-            "tuple": """
-                PyTuple_New PyTuple_Pack PyTuple_GetSlice PyList_AsTuple PyUnicode_Partition PyUnicode_RPartition
-            """,
-            "list": """
-                PyList_New PyList_GetSlice PyUnicode_Split PyUnicode_RSplit PyUnicode_Splitlines
-                PyDict_Items PyDict_Keys PyDict_Values
-            """,
-            "dict": "PyDict_New PyDict_Copy",
-            "set": "PySet_New",
-            "frozenset": "PyFrozenSet_New",
-        },
-    },
-    "numpy": {
-        TYPE_OBJECT: {
-            "numpy.ndarray": "PyArray_Type",
-            "numpy.dtype": "PyArrayDescr_Type",
-            "type[numpy.dtype]": "PyArrayDTypeMeta_Type",
-            "numpy.busdaycalendar": "NpyBusDayCalendar_Type",
-            "numpy.ufunc": "PyUFunc_Type",
-        },
-        CONVERTER: {
-            _ARRAY_LIKE: """
-                NI_ObjectToInputArray NI_ObjectToOutputArray NI_ObjectToInputOutputArray
-                PyArray_Converter PyArray_HolidaysConverter
-            """,
-            _ARRAY_LIKE + " | None": "NI_ObjectToOptionalInputArray NI_ObjectToOptionalOutputArray",
-            f"{_INDEX} | {_INDEXES}": "PyArray_IntpConverter",
-            _INDEX: "PyArray_IntpFromPyIntConverter PyArray_PythonPyIntFromInt",
-            f"{_INDEX} | {_INDEXES} | None": "PyArray_OptionalIntpConverter",
-            "numpy.ndarray | None": "PyArray_OutputConverter",
-            "int | None": "PyArray_AxisConverter",
-            "bool": "PyArray_BoolConverter PyArray_AsTypeCopyConverter",
-            "bool | None": "PyArray_OptionalBoolConverter PyArray_CopyConverter",
-            'typing.Literal["K", "A", "C", "F", "k", "a", "c", "f"] | None': "PyArray_OrderConverter",
-            'typing.Literal["S", "<", "L", "little", ">", "B", "big", "=", "N", "native", "|", "I"]': (
-                "PyArray_ByteorderConverter"
-            ),
-            'typing.Literal["no", "equiv", "safe", "same_kind", "unsafe"]': "PyArray_CastingConverter",
-            'typing.Literal["no", "equiv", "safe", "same_kind", "same_value", "unsafe"]': (
-                "PyArray_CastingConverterSameValue"
-            ),
-            'typing.Literal["left", "right"]': "PyArray_SearchsideConverter",
-            'typing.Literal["introselect"]': "PyArray_SelectkindConverter",
-            'typing.Literal["Q", "quick", "quicksort", "M", "merge", "mergesort", "H", "heap", "heapsort", '
-            '"S", "stable", "stablesort"] | None': "PyArray_SortkindConverter",
-            'typing.Literal["clip", "wrap", "raise"] | int | None': "PyArray_ClipmodeConverter",
-            'typing.Literal["valid", "same", "full"] | int': "PyArray_CorrelatemodeConverter",
-            'typing.Literal["cpu"] | None': "PyArray_DeviceConverterOptional",
-            "numpy.typing.DTypeLike": "PyArray_DTypeOrDescrConverterRequired PyArray_DescrConverter",
-            "numpy.typing.DTypeLike | None": "PyArray_DTypeOrDescrConverterOptional PyArray_DescrConverter2",
-            "str | bytes | numpy.typing.ArrayLike": "PyArray_WeekMaskConverter",
-            'typing.Literal["raise", "nat", "forward", "following", "backward", "preceding", '
-            '"modifiedfollowing", "modifiedpreceding"]': "PyArray_BusDayRollConverter",
-            "tuple[int, int] | None": "device_converter",
-            "str | None": "parse_control_character",
-            "list[str | bytes] | tuple[str | bytes, ...] | None": "NpyIter_GlobalFlagsConverter",
-            'typing.Literal["ignore", "warn", "raise", "call", "print", "log"] | None': "errmodeconverter",
-            'typing.Literal["k", ".", "0", "-"]': "trimmode_converter",
-            'typing.Literal["convert", "preserve", "convert_if_no_array"]': "pyscalar_mode_conv",
-        },
-        OBJECT_USE: {"numpy.ndarray": "PyArray_Check PyArray_CheckExact"},
-        CALL: {
-            "numpy.ndarray": """
-                PyArray_ContiguousFromObject PyArray_Arange PyArray_SimpleNew PyArray_FROMANY PyArray_Empty_int
-                PyArray_FromBuffer PyArray_FromString PyArray_FromIter PyArray_Where PyArray_NewCopy PyArray_View
-                PyArray_NewFromDescr PyArray_NewFromDescrAndBase PyArray_Ravel PyArray_Flatten PyArray_SwapAxes
-                PyArray_Return
-            """,
-            "numpy.dtype": "PyArray_DescrNewByteorder PyArray_DescrFromType",
-            "list": "PyArray_ToList",
-            "bytes": "PyArray_ToString PyArray_Dumps",
-            "int": "pylong_from_int128",
-        },
-    },
-    "pillow": {
-        TYPE_OBJECT: {
-            "PIL.Image.core.ImagingCore": "Imaging_Type",
-            "PIL.Image.core.ImagingDecoder": "ImagingDecoder_Type",
-            "PIL.Image.core.ImagingEncoder": "ImagingEncoder_Type",
-            "PIL.Image.core.ImagingFont": "ImagingFont_Type",
-            "PIL.Image.core.ImagingDraw": "ImagingDraw_Type",
-            "PIL.Image.core.PixelAccess": "PixelAccess_Type",
-            "PIL.Image.core._Outline": "Outline_Type",
-            "PIL.ImageCms.core.CmsProfile": "CmsProfile_Type",
-            "PIL.ImageCms.core.CmsTransform": "CmsTransform_Type",
-            "PIL._imagingft.Font": "Font_Type",
-        },
-        CALL: {
-            NEVER: "ImagingError_MemoryError ImagingError_ValueError HandleMuxError geterror",
-            "PIL.Image.core.ImagingCore": "PyImagingNew",
-            "PIL.Image.core.ImagingDecoder": "PyImaging_DecoderNew",
-            "PIL.Image.core.ImagingEncoder": "PyImaging_EncoderNew",
-            "PIL.ImageCms.core.CmsProfile": "cms_profile_new",
-            "PIL.ImageCms.core.CmsTransform": "cms_transform_new",
-            "PIL.Image.core._Outline": "_outline_new",
-            "PIL.ImagePath.Path": "path_new",
-        },
-    },
-    "psycopg2": {
-        TYPE_OBJECT: {
-            "psycopg2.extensions.connection": "connectionType",
-            "psycopg2._psycopg.type": "typecastType",
-            "str": "Text_Type",
-        },
-        CALL: {
-            "int": "PyInt_FromLong PyInt_FromSsize_t",
-            "bytes": "Bytes_FromString",
-            "str": "conn_text_from_chars",
-        },
-    },
-    "pytorch": {
-        CALL: {
-            "torch.Tensor": "THPVariable_Wrap",
-            "None | torch.Tensor": "THPVariable_WrapWithType",
-            "bool": "THPVariable_is_nonzero",
-            "int": "THPUtils_packInt64 THPUtils_packDoubleAsInt",
-        },
-    },
-}
+# The packs in ascending priority; each is a table of (category, name, type) in ``rules``.
+PACKS = ["cpython", "numpy", "pillow", "psycopg2", "pytorch"]
+RULES = Path(__file__).parent / "rules"
 
 # Fixed value: calls whose type follows from the call itself; see ``apply_rules(computed=...)``.
 COMPUTED_CALLS = ["wrap"]
@@ -252,13 +54,8 @@ EXTENSION_KEYWORDS = {
 
 def pack_rows(pack: str) -> list[tuple[str, str, str, int]]:
     """(category, name, type, priority) of one pack."""
-    priority = list(PACKS).index(pack)
-    return [
-        (category, name, type_text, priority)
-        for category, by_type in PACKS[pack].items()
-        for type_text, names in by_type.items()
-        for name in names.split()
-    ]
+    with (RULES / f"{pack}.csv").open(newline="", encoding="utf-8") as file:
+        return [(row["category"], row["name"], row["type"], PACKS.index(pack)) for row in csv.DictReader(file)]
 
 
 def rule_table(spark: SparkSession, packs: Iterable[str] = PACKS) -> DataFrame:
