@@ -15,6 +15,20 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in names.items()])
 
 
+#: Rows of whole texts that go to Python at a time; the default of 10,000 would take much memory on both sides.
+TEXT_ROWS = 2000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df`` as it is, in a session that hands at most ``TEXT_ROWS`` rows to Python at a time."""
+    conf = df.sparkSession.conf
+    now = int(conf.get(BATCH_ROWS))
+    if now <= 0 or now > TEXT_ROWS:
+        conf.set(BATCH_ROWS, str(TEXT_ROWS))
+    return df
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: no lineage, safe from lost executors."""
     spark = df.sparkSession

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apisurface.llm.frames import fresh, pick
+from apisurface.llm.frames import fresh, in_batches, pick
 from apisurface.llm.hashing import BYTE_VALUES, mix
 
 UNDETERMINED = "und"
@@ -152,7 +152,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, settings
             types = (pa.int64(), pa.string(), pa.binary(), pa.binary())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["h", "lang", "cells", "n"])
 
-    found = sample.select("_hash", "_lang", "_text").mapInArrow(counts, "h long, lang string, cells binary, n binary").collect()
+    found = in_batches(sample.select("_hash", "_lang", "_text")).mapInArrow(counts, "h long, lang string, cells binary, n binary").collect()
     found = sorted(found, key=lambda r: (r["h"], r["lang"], bytes(r["cells"]), bytes(r["n"])))
     if not found:
         return Model([], np.zeros((settings.buckets, 0), np.float32), np.zeros(0), 1.0, 0.0, settings)
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, text_col: str, model: Model) -> DataFrame:
             T.StructField("rejected", T.BooleanType()),
         ]
     )
-    return source.select("*", F.col(f"`{text_col}`").alias(text_name)).mapInArrow(judge, schema)
+    return in_batches(source.select("*", F.col(f"`{text_col}`").alias(text_name))).mapInArrow(judge, schema)
 
 
 def held_out(id_col: str) -> F.Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apisurface.llm.components import connected_components
-from apisurface.llm.frames import pick, stored
+from apisurface.llm.frames import in_batches, pick, stored
 from apisurface.llm.hashing import U64, mix
 from apisurface.llm.shingles import shingle_hashes
 
@@ -90,7 +90,7 @@ def profiles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
             size += len(hashes)
         columns = [pa.array(x, k) for x, k in zip((docs, sigs, sizes, maps, wides), kinds, strict=False)]
         yield pa.record_batch([*columns, *[pa.nulls(len(docs), k) for k in kinds[5:]]], fields)
-        if size > 4_000_000:
+        if size > 2_000_000:
             yield from counted()
             held, size = [], 0
     if held:
@@ -294,7 +294,7 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, si
     different sets are found or follow from others.
     """
     spark = docs.sparkSession
-    texts = pick(docs, _id=id_col, _text=text_col)
+    texts = in_batches(pick(docs, _id=id_col, _text=text_col))
     texts = texts.select(F.coalesce(F.col("_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.col("_text").cast("binary").alias("text"))
     profile = stored(
         texts.mapInArrow(lambda b: profiles(b, words), "doc long, sig long, n long, bitmap binary, wide binary, gram long, times long"), "profiles"

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from apisurface.llm.frames import pick
+from apisurface.llm.frames import in_batches, pick
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -289,4 +289,4 @@ def encode_decode(docs: DataFrame, id_col: str, text_col: str, path: str) -> Dat
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, SCHEMA)
+    return in_batches(pick(docs, doc_id=id_col, text=text_col)).mapInArrow(run, SCHEMA)

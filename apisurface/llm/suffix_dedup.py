@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apisurface.llm.frames import fresh, pick, stored
+from apisurface.llm.frames import fresh, in_batches, pick, stored
 from apisurface.llm.hashing import U64, mix, prefix_hashes, stretch, windows
 
 ANCHOR = 32
@@ -342,7 +342,7 @@ def apply_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Documents as ``doc`` (id, the least number for null), ``tie`` (some bits of a hash of the text) and ``text`` in bytes."""
-    return pick(docs, _id=id_col, _text=text_col).select(
+    return in_batches(pick(docs, _id=id_col, _text=text_col)).select(
         F.coalesce(F.col("_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
         F.xxhash64("_text").bitwiseAND((1 << TIE_BITS) - 1).alias("tie"),
         F.coalesce(F.col("_text").cast("binary"), F.lit(b"")).alias("text"),
