@@ -239,17 +239,16 @@ PAIRS = ["s1", "n1", "d1", "s2", "n2", "d2"]
 def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Pairs that reach the similarity: partial overlaps are counted fragment by fragment and summed per pair.
 
-    Rows of ``sets`` may be repeated; what they count for a fragment counts once.
+    Rows of ``sets`` may be repeated; a pair counts once.
     """
     part, whole = similarity
     one, two = (
         sets.select(*[F.col(c).alias(f"{name}{k}") for c, name in (("doc", "d"), ("sig", "s"), ("n", "n"), ("fragments", "f"))]) for k in (1, 2)
     )
     joined = pairs.join(one, ["d1", "s1", "n1"]).join(two, ["d2", "s2", "n2"])
-    partial = joined.select(*PAIRS, F.posexplode(F.arrays_zip("f1", "f2")).alias("fragment", "both"))
-    shared = F.size(F.array_intersect("both.f1", "both.f2")).cast("bigint")
-    partial = partial.groupBy(*PAIRS, "fragment").agg(F.max(shared).alias("shared"))
-    total = partial.groupBy(*PAIRS).agg(F.sum("shared").alias("shared"))
+    partial = F.zip_with("f1", "f2", lambda a, b: F.size(F.array_intersect(a, b)).cast("bigint"))
+    shared = F.aggregate(partial, F.lit(0).cast("bigint"), lambda total, count: total + count)
+    total = joined.select(*PAIRS, shared.alias("shared")).groupBy(*PAIRS).agg(F.max("shared").alias("shared"))
     return total.where(F.col("shared") * whole >= (F.col("n1") + F.col("n2") - F.col("shared")) * part)
 
 
