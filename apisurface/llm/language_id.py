@@ -2,8 +2,10 @@
 
 A text is lower-cased, its letters kept and everything else turned into single blanks; its features are all byte
 n-grams of that string, hashed to buckets. The model is an embedding per bucket, averaged over the text, and
-a linear layer with softmax, trained by stochastic gradient descent in numpy on a bounded sample. Scores are calibrated on
-rows held back from training: a temperature is fitted to them, and the score below which a text is rejected.
+a linear layer with softmax, trained by stochastic gradient descent in numpy on a bounded sample. One more class stands for
+all other languages: its examples are the rows themselves with their buckets dealt anew at random, which is what a language
+looks like that shares no n-grams with the learned ones. Scores are calibrated on rows held back from training and on such
+examples of them: a temperature is fitted to them, and the score below which a text is rejected.
 """
 
 from __future__ import annotations
@@ -78,8 +80,30 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def with_others(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Rows, and behind them the same rows as of a language that shares no n-grams: their buckets dealt anew."""
+    return np.concatenate([x, x[:, rng.permutation(x.shape[1])]])
+
+
+def rejection(right: np.ndarray, foreign: np.ndarray, share: float) -> float:
+    """The score below which a text is rejected, from scores of rows judged right and of examples of other languages.
+
+    Not more than ``share`` of the rows judged right lie below it. If it can, it lies half way (in log odds, no odds being
+    surer than so many rows can show) between them and all but ``share`` of the others.
+    """
+    least = 1 / (len(right) + 2)
+    low, high = (np.clip(q, least, 1 - least) for q in (np.quantile(right, share), np.quantile(foreign, 1 - share)))
+    if high >= low:
+        return float(low)
+    odds = (np.log(low / (1 - low)) + np.log(high / (1 - high))) / 2
+    return float(1 / (1 + np.exp(-odds)))
+
+
 def train(features: np.ndarray, labels: list[str], settings: Settings) -> Model:
-    """Fit on mean feature vectors (rows sum to one); the rows must come in a fixed order for a fixed result."""
+    """Fit on mean feature vectors (rows sum to one); the rows must come in a fixed order for a fixed result.
+
+    The last column of ``table`` and ``bias`` is the class of other languages.
+    """
     languages = sorted(set(labels))
     y = np.searchsorted(languages, labels)
     rng = np.random.default_rng(settings.seed)
@@ -87,8 +111,9 @@ def train(features: np.ndarray, labels: list[str], settings: Settings) -> Model:
     n_held = int(len(y) * settings.held_back)
     held, used = order[:n_held], order[n_held:]
     embedding = rng.normal(0, 0.5, (settings.buckets, settings.dimensions))
-    weights = np.zeros((settings.dimensions, len(languages)))
-    bias = np.zeros(len(languages))
+    other = len(languages)
+    weights = np.zeros((settings.dimensions, other + 1))
+    bias = np.zeros(other + 1)
     steps = max(1, settings.epochs * -(-len(used) // settings.batch))
     done = 0
     for _ in range(settings.epochs):
@@ -96,10 +121,11 @@ def train(features: np.ndarray, labels: list[str], settings: Settings) -> Model:
             if not len(part):
                 continue
             rate = settings.rate * (1 - done / steps)
-            x = features[part]
+            x = with_others(features[part], rng)
+            wanted = np.concatenate([y[part], np.full(len(part), other)])
             hidden = x @ embedding
             error = softmax(hidden @ weights + bias)
-            error[np.arange(len(part)), y[part]] -= 1
+            error[np.arange(len(x)), wanted] -= 1
             error /= len(part)
             back = error @ weights.T
             weights -= rate * hidden.T @ error
@@ -109,16 +135,16 @@ def train(features: np.ndarray, labels: list[str], settings: Settings) -> Model:
             done += 1
     table = embedding @ weights
     checked = held if n_held else used
-    logits = features[checked] @ table + bias
+    logits = with_others(features[checked], rng) @ table + bias
+    truth = np.concatenate([y[checked], np.full(len(checked), other)])
     temperatures = np.geomspace(0.05, 20, 60)
-    rows = np.arange(len(checked))
-    losses = [-np.log(softmax(logits / t)[rows, y[checked]] + 1e-12).mean() for t in temperatures]
+    rows = np.arange(len(truth))
+    losses = [-np.log(softmax(logits / t)[rows, truth] + 1e-12).mean() for t in temperatures]
     temperature = float(temperatures[int(np.argmin(losses))]) if len(rows) else 1.0
-    scores = softmax(logits / temperature)
-    right = scores[scores.argmax(axis=1) == y[checked]].max(axis=1) if len(rows) else np.zeros(0)
-    threshold = float(np.quantile(right, settings.reject_share)) if len(right) else 0.0
-    # A text that the model places no better than at random is rejected, never one it is at all sure of.
-    threshold = min(threshold, 1.25 / max(len(languages), 1), 0.5)
+    scores = softmax(logits / temperature)[:, :other]
+    known, foreign = scores[: len(checked)], scores[len(checked) :].max(axis=1)
+    right = known[known.argmax(axis=1) == y[checked]].max(axis=1)
+    threshold = rejection(right, foreign, settings.reject_share) if len(right) else 0.0
     return Model(languages, table.astype(np.float32), bias, temperature, threshold, settings)
 
 
@@ -167,7 +193,8 @@ def predict(docs: DataFrame, text_col: str, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected``; one row for each row, all columns kept.
 
     A text that is null or has no letter gets ``und``, score 0 and is rejected, as does every text if the model knows no
-    language. Ties go to the language first in order. Columns of these names that are already there are replaced.
+    language, and every text whose score lies below the threshold of the model: one in a language that was not learned,
+    or mere letters. Its ``lang_pred`` is the language that comes nearest. Ties go to the language first in order. Columns of these names that are already there are replaced.
     """
     source = docs.drop("lang_pred", "score", "rejected")
     text_name = fresh("_text_in", source.columns)
@@ -185,7 +212,7 @@ def predict(docs: DataFrame, text_col: str, model: Model) -> DataFrame:
                     continue
                 total = feature_counts(data, settings)
                 p = softmax(((total / total.sum()) @ table + model.bias) / model.temperature)
-                best = int(p.argmax())
+                best = int(p[: len(languages)].argmax())
                 preds.append(languages[best])
                 scores.append(float(p[best]))
                 rejected.append(bool(p[best] < model.threshold))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,39 @@ def test_same_model_for_any_partitioning(spark):
     assert (one.table == two.table).all() and one.threshold == two.threshold
 
 
+FOREIGN = [
+    "все люди рождаются свободными и равными в своем достоинстве и правах",
+    "人人生而自由 在尊严和权利上一律平等 他们赋有理性和良心",
+    "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+    "qxz vkj wpfq zzxk jvq xqk wvz qpf kzx vjw xzq fkq",
+]
+
+
+def test_unlearned_languages_and_letter_junk_are_rejected(judged, spark):
+    _, _, model = judged
+    out = language_id.predict(spark.createDataFrame([(t,) for t in FOREIGN], "text string"), "text", model).collect()
+    assert all(r["rejected"] and r["lang_pred"] in model.languages for r in out)
+
+
+@pytest.mark.parametrize("known", [["en"], ["de", "en"]])
+def test_few_languages_reject_as_well(spark, known):
+    rows = [r for r in corpus(600) if r[2] in known]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.fit(df.where(~language_id.held_out("doc_id")), "doc_id", "text", "lang")
+    out = language_id.predict(df, "text", model)
+    assert out.where("rejected").count() == 0 and {r["lang_pred"] for r in out.collect()} == set(known)
+    other = language_id.predict(spark.createDataFrame([(t,) for t in FOREIGN], "text string"), "text", model).collect()
+    assert all(r["rejected"] for r in other)
+
+
+def test_rejection_follows_the_held_back_scores():
+    right, foreign = np.linspace(0.9, 1, 500), np.linspace(0, 0.4, 500)
+    assert 0.4 < language_id.rejection(right, foreign, 0.002) < 0.9
+    # Where the two meet, the share of the rows judged right decides, with no bound from the number of languages.
+    mixed = np.linspace(0.8, 1, 500)
+    assert abs(language_id.rejection(mixed, np.full(500, 0.95), 0.002) - np.quantile(mixed, 0.002)) < 1e-9
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     model = language_id.fit(df, "doc_id", "text", "lang")
