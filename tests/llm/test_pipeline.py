@@ -52,6 +52,39 @@ def test_stages_keep_columns_and_clean_documents(spark, folder):
     assert all(r["n_chars"] == len(r["text"]) for r in kept["suffix_dedup"].values())
 
 
+def joined(spark, rows):
+    df = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], SCHEMA).repartition(3)
+    out = corpus_pipeline.join_ngrams(spark, df, "")
+    assert out.columns == df.columns
+    return sorted(((r["doc_id"], r["text"], r["lang"]) for r in out.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+def near(text, word=50):
+    words = text.split()
+    return " ".join([*words[:word], "changed", *words[word + 1 :]])
+
+
+def test_null_ids_are_rows_of_their_own(spark):
+    rng = random.Random(6)
+    a, b, c, d = (prose(rng, ENGLISH, 120) for _ in range(4))
+    got = joined(spark, [(None, a, "en"), (4, near(a), "en"), (5, a, "en"), (None, b, "en"), (6, near(b), "en"), (7, c, "en"), (8, near(c), "en"), (None, d, "en")])
+    assert got == [*[(None, t, "en") for t in sorted([a, b, d])], (7, c, "en")]
+
+
+def test_repeated_ids_lose_no_text(spark):
+    rng = random.Random(7)
+    a, b = (prose(rng, ENGLISH, 120) for _ in range(2))
+    got = joined(spark, [(1, a, "en"), (2, a, "en"), (2, b, "en"), (3, b, "en")])
+    assert got == [(1, a, "en"), (2, b, "en")]
+
+
+def test_of_equal_rows_one_stays(spark):
+    rng = random.Random(8)
+    a, b = (prose(rng, ENGLISH, 120) for _ in range(2))
+    got = joined(spark, [(1, a, "fr"), (1, a, "en"), (1, a, "en"), (2, near(a), "en"), (3, b, "en"), (4, "", "en"), (4, "", "en")])
+    assert got == [(1, a, "en"), (3, b, "en"), (4, "", "en"), (4, "", "en")]
+
+
 def test_run(spark, folder):
     path, rows, _ = folder
     pieces = corpus_pipeline.run(spark, path).collect()
