@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by vertical partitioning of the global n-gram order.
+"""N-gram Jaccard join by prefixes of the global n-gram order.
 
 The order puts rare n-grams first (frequent ones are known from a bounded table), the rest by hash. Two sets of the wanted
 similarity share an n-gram among the first few of both, so candidates meet in the buckets of these; sizes, places and
-bitmaps of the sets rule out most of them. The order is cut into fragments, for each candidate pair the overlap of each
-fragment is counted on its own, and the counts are summed per pair. Equal sets count as one from the start.
+bitmaps of the sets rule out most of them. For the overlap of a candidate pair both sets are cut into fragments, which are ranges
+of the hash and not of that order; all fragments of a pair are intersected in its own row and the counts are summed there. Equal sets count as one from the start.
 """
 
 from __future__ import annotations
@@ -264,7 +264,7 @@ def filter_words(docs: DataFrame) -> np.ndarray:
 
 
 def cut_fragments(batches: Iterator[pa.RecordBatch], words: int, wanted) -> Iterator[pa.RecordBatch]:
-    """Sets of the documents that may be wanted (doc, its hash, text), cut to fragments of the order; they follow from the hashes."""
+    """Sets of the documents that may be wanted (doc, its hash, text), cut to fragments: equal ranges of the hash."""
     filter_ = wanted.value
     one = U64(1)
     for batch in batches:
