@@ -2,7 +2,8 @@
 
 Suffixes are dealt to tasks by anchors: in every window of ``width`` bytes the 32-byte stretch of smallest hash, which
 is the same wherever the window occurs. Occurrences whose whole surroundings are equal count as one class, and the first of a
-class stands for it. Where an anchor has several classes, the suffixes around it are sorted: a mergesort compares
+class stands for it; members of a class are told by 128 hash bits (64 of the anchor, 64 of the surroundings with the place
+of the anchor), and their bytes are not compared. Where an anchor has several classes, the suffixes around it are sorted: a mergesort compares
 two suffixes by the hashes of their prefixes, finding their common extension by binary search, and neighbours that
 come out equal are compared byte by byte.
 """
