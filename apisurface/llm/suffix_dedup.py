@@ -363,7 +363,9 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
     judged = stored(dealt.mapInArrow(lambda b: judge_anchors(b, width), SPANS), "anchors")
     reps = judged.where(F.col("a").isNotNull()).groupBy("doc", "tie")
     reps = reps.agg(F.collect_list(F.struct("a", "start", "end", "offset")).alias("reps"))
-    contexts = rows.join(reps, ["doc", "tie"], "right").select("doc", "tie", "text", "reps")
+    # Rows of the same id and text are one document here: each context once, or every window of it would repeat itself.
+    sources = rows.join(reps.select("doc", "tie"), ["doc", "tie"], "left_semi").dropDuplicates(["doc", "tie", "text"])
+    contexts = sources.join(reps, ["doc", "tie"]).select("doc", "tie", "text", "reps")
     contexts = contexts.mapInArrow(cut_contexts, "a long, doc long, tie long, start long, offset long, bytes binary")
     contexts = contexts.repartition("a").sortWithinPartitions("a", "doc", "tie", "start")
     more = contexts.mapInArrow(lambda b: sort_contexts(b, width), SPANS)

@@ -67,6 +67,24 @@ def test_edges(spark):
     check(spark, [(4, "short")], 100)
 
 
+def test_equal_rows_of_unique_text_keep_it(spark):
+    rng = random.Random(8)
+
+    def unique():
+        return "".join(rng.choices("abcdefghijklmnop ", k=300))
+
+    phrases = [unique()[:90] for _ in range(4)]
+    rows = []
+    for i, phrase in enumerate(phrases):
+        text = unique() + phrase + unique()
+        rows += [(10 + i, text), (10 + i, text), (20 + i, unique() + phrase + unique())]
+    rows += [(None, rows[0][1][:200] + unique())] * 2
+    check(spark, rows, 100)
+    df = spark.createDataFrame([(a, b, "x") for a, b in rows if a is not None], SCHEMA)
+    out = suffix_dedup.remove_repeats(df, "doc_id", "text").collect()
+    assert not any(r["repeated"] for r in out) and sorted((r["doc_id"], r["text"]) for r in out) == sorted(r for r in rows if r[0] is not None)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.find_repeats(df, "doc_id", "text").collect() == []
