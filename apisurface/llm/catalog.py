@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from apisurface.llm import queries as numbered
-from apisurface.llm import queries_dedup, queries_search  # noqa: F401  these register their queries
+from apisurface.llm import queries_dedup, queries_records, queries_search  # noqa: F401  these register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from apisurface.session import shared_folder
@@ -29,6 +30,13 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches of a task cut to at most ``rows`` rows each, so that few texts are Python objects at a time; empty ones go."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: no lineage, safe from lost executors."""
     spark = df.sparkSession
