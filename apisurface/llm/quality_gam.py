@@ -201,23 +201,34 @@ def shallow_tree(g: np.ndarray, h: np.ndarray, n: np.ndarray, settings: Settings
 
 def pair_tree(g: np.ndarray, h: np.ndarray, n: np.ndarray, settings: Settings) -> tuple[float, np.ndarray]:
     """Gain and step for each cell of a plane of bins: one cut along one axis, then each side along the other."""
-    best, chosen = 0.0, np.zeros_like(g)
+    whole = float(_gain(g.sum(), h.sum(), settings.smoothing))
+    best, chosen = 1e-9, np.zeros_like(g)
     for turned in (False, True):
-        a, b, c = (m.T for m in (g, h, n)) if turned else (g, h, n)
-        for cut in range(1, a.shape[0]):
-            gain, step = 0.0, np.zeros_like(a)
-            for side in (slice(0, cut), slice(cut, None)):
-                sg, sh, sn = a[side].sum(0), b[side].sum(0), c[side].sum(0)
-                if sn.sum() < settings.least_rows:
-                    break
-                more, at = best_cut(sg, sh, sn, settings)
-                gain += more + float(_gain(sg.sum(), sh.sum(), settings.smoothing))
-                for part in (slice(0, at), slice(at, None)):
-                    step[side, part] = -sg[part].sum() / (sh[part].sum() + settings.smoothing)
-            else:
-                gain -= float(_gain(g.sum(), h.sum(), settings.smoothing))
-                if gain > best + 1e-9:
-                    best, chosen = gain, step.T if turned else step
+        a = np.stack([m.T if turned else m for m in (g, h, n)])
+        if a.shape[1] < 2:
+            continue
+        # For each first cut, the sums of each part of both sides: left of every second cut, and all of the side.
+        upper = np.cumsum(np.cumsum(a, axis=1)[:, :-1], axis=2)
+        lower = np.cumsum(a.sum(1, keepdims=True), axis=2) - upper
+        gain, cuts = np.zeros(a.shape[1] - 1), []
+        for side in (upper, lower):
+            whole_side = side[:, :, -1:]
+            left = side[:, :, :-1]
+            right = whole_side - left
+            more = _gain(left[0], left[1], settings.smoothing) + _gain(right[0], right[1], settings.smoothing)
+            uncut = _gain(whole_side[0], whole_side[1], settings.smoothing)
+            more = np.where(np.minimum(left[2], right[2]) < settings.least_rows, uncut, more)
+            more = np.concatenate([uncut, np.maximum(more, uncut)], axis=1)
+            cuts.append(more.argmax(1))
+            gain += np.where(whole_side[2, :, 0] < settings.least_rows, -np.inf, more.max(1))
+        first = int(gain.argmax())
+        if gain[first] - whole > best:
+            best, step = float(gain[first] - whole), np.zeros(a.shape[1:])
+            for rows, at in ((slice(0, first + 1), cuts[0][first]), (slice(first + 1, None), cuts[1][first])):
+                for columns in (slice(0, at), slice(at, None)):
+                    part = a[:, rows, columns].sum((1, 2))
+                    step[rows, columns] = -part[0] / (part[1] + settings.smoothing)
+            chosen = step.T if turned else step
     return best, chosen
 
 
@@ -284,7 +295,7 @@ def train(x: np.ndarray, y: np.ndarray, settings: Settings = Settings()) -> Mode
         plane = [s.reshape(sizes[a], sizes[b]) for s in sums(cells, sizes[a] * sizes[b])]
         found.append((pair_tree(*plane, settings)[0], a, b, cells))
     found.sort(key=lambda t: (-t[0], t[1], t[2]))
-    chosen = [t for t in found[: settings.pairs] if t[0] > 0]
+    chosen = [t for t in found[: settings.pairs] if t[0] > 1e-9]
     shapes = [(sizes[a], sizes[b]) for _, a, b, _ in chosen]
     pair_tables = boosted([t[3] for t in chosen], shapes, lambda g, h, n: pair_tree(g, h, n, settings)[1])
     return Model(flat.intercept, edges, tables, pair_edges, [(a, b) for _, a, b, _ in chosen], pair_tables)
