@@ -12,7 +12,10 @@ from apisurface import schemas as S
 from apisurface.functions.text import blank_to_null, decode_ignoring, join_path, strip
 from apisurface.operators.sets import missing_columns
 from apisurface.operators.windows import with_ordinal
-from apisurface.sources.trees import read_tree
+from apisurface.ordered import with_global_rank
+from apisurface.sources.json_blocks import json_objects
+from apisurface.sources.stubs import module_of, stub_functions
+from apisurface.sources.trees import list_tree, read_tree
 
 REQUIRED_TEXT = [
     "function_id", "module_name", "function_name", "provider",
@@ -139,10 +142,9 @@ def read_compile_commands(spark: SparkSession, path: str) -> DataFrame:
     if path.rstrip("/").rsplit("/", 1)[-1] != "compile_commands.json":
         raise ValueError(f"file must be named compile_commands.json: {path}")
     entry = "directory string, file string, command string, arguments array<string>, output string"
-    raw = spark.read.schema(entry).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    # The reader keeps the order of the array within its one file.
-    numbered = raw.select(
-        F.monotonically_increasing_id().alias("pos"),
+    parsed = F.from_json("text", entry, {"mode": "FAILFAST"}).alias("entry")
+    numbered = json_objects(spark, path).select("pos", parsed).select("pos", "entry.*").select(
+        "pos",
         join_path("directory", "file").alias("file"),
         "directory",
         F.coalesce("arguments", F.split("command", " +")).alias("arguments"),
@@ -151,11 +153,10 @@ def read_compile_commands(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ranked(spark: SparkSession, path: str, n: int, row_schema: str = "project string, download_count bigint") -> DataFrame:
-    """First n entries of the ``rows`` array of a ranked package list, with their rank."""
-    fields = ", ".join(f.replace(" ", ":", 1) for f in _fields(row_schema))
-    document = spark.read.schema(f"rows array<struct<{fields}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    ranked = document.select(F.posexplode("rows").alias("rank", "row")).where(F.col("rank") < n)
-    return ranked.select("rank", "row.*")
+    """First n entries of the ``rows`` array of a ranked package list, with their rank; the document may be larger than a task."""
+    ranked = with_global_rank(json_objects(spark, path, "rows"), ["pos"]).where(F.col("rank") < n)
+    parsed = F.from_json("text", row_schema, {"mode": "FAILFAST"}).alias("row")
+    return ranked.select(F.col("rank").cast("int").alias("rank"), parsed).select("rank", "row.*")
 
 
 def corpus_texts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -179,12 +180,20 @@ REFERENCES = "file string, module_name string, class_path string, function_name
 
 
 def read_reference_stubs(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
-    """Reference signatures from JSON lines or Parquet, with the ordinal of each among the overloads of its function.
+    """Reference signatures with the ordinal of each among the overloads of its function.
 
-    A module that two files describe is an error that names it.
+    They come from JSON lines or Parquet, or with ``format="pyi"`` from the stub files below a folder. A module that two files
+    describe is an error that names it.
     """
-    rows = spark.read.schema(REFERENCES).format(format).load(path)
-    described = rows.select("module_name", "file").distinct()
+    if format == "pyi":
+        files = read_tree(spark, path, ".pyi")
+        texts = files.select(F.col("relative_path").alias("file"), F.decode("content", "UTF-8").alias("text"))
+        rows = stub_functions(texts).withColumn("module_name", module_of("file"))
+        described = list_tree(spark, path).where(F.endswith("relative_path", F.lit(".pyi")))
+        described = described.select(F.col("relative_path").alias("file"), module_of("relative_path").alias("module_name"))
+    else:
+        rows = spark.read.schema(REFERENCES).format(format).load(path)
+        described = rows.select("module_name", "file").distinct()
     message = F.concat(F.lit("two stub files describe module "), F.col("module_name"))
     twice = ambiguous_modules(described).select("module_name", F.raise_error(message).cast("boolean").alias("_bad"))
     checked = rows.join(twice, "module_name", "left").where(F.coalesce("_bad", F.lit(True))).drop("_bad")

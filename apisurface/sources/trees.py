@@ -1,79 +1,122 @@
-"""File trees as a Spark data source.
+"""File trees, written and read by tasks.
 
 Spark's own file sources leave out names that begin with ``_`` or ``.``, which a source tree is full of
-(``__init__.pyi``, ``_core.c``). This source lists every file below a root, prunes given folders, and lets
-each task read a bounded number of bytes.
+(``__init__.pyi``, ``_core.c``). Here folders are rows: each round lists the folders that the round before found, so a
+tree takes as many rounds as it is deep, whatever its breadth, and no listing passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-
-FORMAT = "file_tree"
-
-
-def _tree_source() -> type:
-    # Defined in a function so that tasks get the classes by value and need no installed package.
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-    class TreeReader(DataSourceReader):
-        def __init__(self, options: dict) -> None:
-            self.root = options["path"]
-            self.suffix = options.get("suffix", "")
-            self.pruned = set(options.get("prune", ".git").split(","))
-            self.limit = int(options.get("bytespertask", 64 * 1024 * 1024))
-
-        def partitions(self):
-            from pyarrow.fs import FileSelector, FileSystem, FileType
-
-            system, base = FileSystem.from_uri(self.root)
-            batch, size, batches = [], 0, []
-            for info in system.get_file_info(FileSelector(base, recursive=True)):
-                inside = info.path[len(base) :].split("/")
-                if info.type != FileType.File or not info.path.endswith(self.suffix) or self.pruned & set(inside[:-1]):
-                    continue
-                if batch and size + info.size > self.limit:
-                    batches.append(batch)
-                    batch, size = [], 0
-                batch.append(info.path)
-                size += info.size
-            if batch:
-                batches.append(batch)
-            return [InputPartition((base, paths)) for paths in batches] or [InputPartition((base, []))]
-
-        def read(self, partition):
-            from pyarrow.fs import FileSystem
-
-            system, _ = FileSystem.from_uri(self.root)
-            base, paths = partition.value
-            for path in paths:
+from pyspark.sql import functions as F
+
+from apisurface.session import shared_folder
+
+#: Bytes of file contents that one batch of rows holds, if its last file is not larger.
+BATCH_BYTES = 16 * 1024 * 1024
+LISTED = "path string, relative_path string, size long, is_folder boolean"
+CONTENT = "path string, relative_path string, content binary"
+
+
+def _opened(uri: str):
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    return FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (LocalFileSystem(), uri)
+
+
+def _list_folders(root: str, pruned: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSelector, FileType
+
+        system, base = _opened(root)
+        base = base.rstrip("/")
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_())
+        for batch in batches:
+            for inner in batch.column(0).to_pylist():
+                found = []
+                for info in system.get_file_info(FileSelector(f"{base}/{inner}".rstrip("/"), allow_not_found=True)):
+                    folder = info.type == FileType.Directory
+                    if info.type in (FileType.File, FileType.Directory) and not (folder and info.base_name in pruned):
+                        found.append((info.path, info.path[len(base) + 1 :], info.size if not folder else 0, folder))
+                columns = list(zip(*found, strict=True)) or [()] * 4
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "relative_path", "size", "is_folder"])
+
+    return run
+
+
+def list_tree(spark: SparkSession, root: str, prune: Sequence[str] = (".git",)) -> DataFrame:
+    """Files below ``root`` as (path, relative_path, size); folders named in ``prune`` are not entered, a missing root has none."""
+    frontier = spark.createDataFrame([("",)], "folder string")
+    run = _list_folders(root, frozenset(prune))
+    found = None
+    while True:
+        path = shared_folder(spark, "listed")
+        frontier.repartition("folder").mapInArrow(run, LISTED).write.parquet(path)
+        listed = spark.read.schema(LISTED).parquet(path)
+        files = listed.where(~F.col("is_folder")).drop("is_folder")
+        found = files if found is None else found.unionByName(files)
+        frontier = listed.where("is_folder").select(F.col("relative_path").alias("folder"))
+        if frontier.isEmpty():
+            return found
+
+
+def _read_files(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _opened(root)
+        kinds = (pa.string(), pa.string(), pa.binary())
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "relative_path", "content"])
+
+        held, size = [], 0
+        for batch in batches:
+            for path, relative in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     with system.open_input_stream(path) as stream:
                         content = stream.read()
                 except OSError:
                     continue
-                yield (path, path[len(base) :].lstrip("/"), content)
+                held.append((path, relative, content))
+                size += len(content)
+                if size >= BATCH_BYTES:
+                    yield told(held)
+                    held, size = [], 0
+        if held:
+            yield told(held)
 
-    class TreeSource(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return "file_tree"
+    return run
 
-        def schema(self) -> str:
-            return "path string, relative_path string, content binary"
 
-        def reader(self, schema) -> TreeReader:
-            return TreeReader(self.options)
+def read_tree(spark: SparkSession, root: str, suffix: str = "", prune: Sequence[str] = (".git",)) -> DataFrame:
+    """Files below ``root`` whose name ends in ``suffix`` as (path, relative_path, content); files that cannot be read are skipped."""
+    files = list_tree(spark, root, prune).where(F.endswith("relative_path", F.lit(suffix)))
+    return files.select("path", "relative_path").repartition("path").mapInArrow(_read_files(root), CONTENT)
 
-    return TreeSource
 
+def write_tree(files: DataFrame, root: str, path: str = "path", content: str = "content") -> int:
+    """Write each row's content (text or bytes) to its relative path below ``root``; the number of files.
 
-def read_tree(spark: SparkSession, root: str, suffix: str = "", prune: Sequence[str] = (".git",)) -> DataFrame:
-    """Files below ``root`` as (path, relative_path, content); unreadable files are skipped.
-
-    File names are listed on the driver, as Spark does for its own sources; contents are read by tasks only.
+    A file appears under its name when it is whole, so a task that runs again leaves the same tree.
     """
-    spark.dataSource.register(_tree_source())
-    return spark.read.format(FORMAT).option("suffix", suffix).option("prune", ",".join(prune)).load(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _opened(root)
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{base.rstrip('/')}/{name}"
+                folder, last = os.path.split(target)
+                system.create_dir(folder, recursive=True)
+                part = f"{folder}/.{last}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as stream:
+                    stream.write(data or b"")
+                system.move(part, target)
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = files.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content"))
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from apisurface import schemas as S
+from apisurface.sources.trees import write_tree
 
 
 def require_signatures(df: DataFrame, signatures: str = "signatures", name: str = "function_id") -> DataFrame:
@@ -56,6 +57,20 @@ def write_module_texts(
     ranged.select(module, F.col(line).alias("value")).write.mode(mode).partitionBy(module).text(path)
 
 
+def write_module_files(
+    lines: DataFrame, root: str, is_package: Column, module: str = "module", order: str = "position", line: str = "line", suffix: str = ".pyi"
+) -> int:
+    """One file per module below ``root``, where ``module_file`` puts it; the number of files.
+
+    The lines of a module make one text, as the text of a module is one file.
+    """
+    item = F.struct(F.col(order).alias("at"), F.col(line).alias("line"))
+    texts = lines.groupBy(F.col(module).alias("module")).agg(F.array_sort(F.collect_list(item)).alias("items"), F.bool_or(is_package).alias("package"))
+    body = F.concat(F.array_join(F.transform("items", lambda i: i["line"]), "\n"), F.lit("\n"))
+    files = texts.select(F.concat(module_file(F.col("module"), F.col("package")), F.lit(suffix)).alias("path"), body.alias("content"))
+    return write_tree(files, root)
+
+
 def append_evaluations(
     stream: DataFrame,
     path: str,

@@ -126,3 +126,141 @@ def test_package_report(spark):
     assert [r["extensions"] for r in WR.package_rows(df).collect()] == ['[{"type":"ctypes","keywords":["CDLL("]}]', "[]"]
     flags = spark.createDataFrame([("b", False), ("c", True), ("a", True)], "module_name string, native boolean")
     assert [r["module_name"] for r in WR.native_modules(flags, "module_name", "native").collect()] == ["a", "c", "b"]
+
+
+STUB = '''"""Doc with def f(x): ... and (
+brackets"""
+import typing
+from typing import overload  # a comment (
+
+def plain(a: int = 1, *args: str, b="x#y(", **kw: typing.Any) -> dict[str, int]: ...
+async def go(x, /, y: int|None=None, *, z=-1) -> None: ...
+@overload
+def many(x: int) -> int: ...
+@overload  # second
+def many(
+    x: str,   # text
+    y: "list[int]" = ...,
+) -> str:
+    """Doc: def inner(): pass
+def not_me(): ...
+    """
+    ...
+
+class A(Base[int], metaclass=M):
+    """Docs."""
+    x: int = 3
+    def m(self) -> int: ...
+    class B:
+        @staticmethod
+        def n(a: float = 1.5, b: tuple[int, ...] = (1, 2)) -> typing.Self: ...
+
+        def o(self, f: Callable[[int], str]=lambda v: v + 1): ...
+    def p(self): ...
+    if True:
+        def hidden(self): ...
+if sys.version_info >= (3, 8):
+    def also_hidden(): ...
+    class H:
+        def q(self): ...
+def last(x: int \\
+    = 2) -> int: ...
+@deco(1, "two", key=[3])
+class C: ...
+class D:
+\tdef tabbed(self, *, k: 'str' = "it's"): ...
+def t(x=(1,), y={'a': 1, "b": 2}, z=not True, w=a if b else c, v=2 ** 3 | ~x): ...
+'''
+
+
+def by_syntax_tree(body, path=()):
+    """Functions of a stub text as Python's own parser sees them."""
+    import ast
+
+    for node in body:
+        if isinstance(node, ast.ClassDef):
+            yield from by_syntax_tree(node.body, (*path, node.name))
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            head = ("async def" if isinstance(node, ast.AsyncFunctionDef) else "def") + f" {node.name}({ast.unparse(node.args)})"
+            head += "" if node.returns is None else f" -> {ast.unparse(node.returns)}"
+            yield ".".join(path), node.name, "\n".join([*(f"@{ast.unparse(d)}" for d in node.decorator_list), head + ": ..."]), node.lineno
+
+
+def test_stub_texts_against_pythons_parser(spark):
+    import ast
+
+    from apisurface.sources.stubs import stub_functions
+
+    texts = {"m.pyi": STUB, "e.pyi": "", "c.pyi": "# only a comment", "w.pyi": "def f(): ...\r\nclass X:\r\n  def g(self): ...\r\n", "one.pyi": "class P: ...\ndef q() -> 'P': ..."}
+    files = spark.createDataFrame(list(texts.items()), "file string, text string").repartition(3)
+    got = sorted(tuple(r) for r in stub_functions(files).collect())
+    assert got == sorted((file, *row) for file, text in texts.items() for row in by_syntax_tree(ast.parse(text).body))
+    assert stub_functions(files.limit(0)).collect() == []
+
+
+def test_stub_files_of_a_tree(spark, tmp_path):
+    root = tmp_path / "stubs"
+    (root / "pkg" / "sub").mkdir(parents=True)
+    (root / "pkg" / "__init__.pyi").write_text("def top(): ...\n")
+    (root / "pkg" / "sub" / "mod.pyi").write_text("class A:\n    @overload\n    def f(self) -> int: ...\n    @overload\n    def f(self, x) -> str: ...\n")
+    (root / "pkg" / "notes.txt").write_text("def no(): ...")
+    got = sorted(tuple(r) for r in RD.read_reference_stubs(spark, str(root), "pyi").collect())
+    assert got == [
+        ("pkg", "", "top", 0, "def top(): ...", 1),
+        ("pkg.sub.mod", "A", "f", 0, "@overload\ndef f(self) -> int: ...", 3),
+        ("pkg.sub.mod", "A", "f", 1, "@overload\ndef f(self, x) -> str: ...", 5),
+    ]
+    (root / "pkg" / "sub" / "mod").mkdir()
+    (root / "pkg" / "sub" / "mod" / "__init__.pyi").write_text("")
+    with pytest.raises(Exception, match="two stub files describe module pkg.sub.mod"):
+        RD.read_reference_stubs(spark, str(root), "pyi").collect()
+
+
+def test_objects_of_a_document_cut_anywhere(spark, tmp_path):
+    import random
+
+    from apisurface.sources.json_blocks import json_objects
+
+    rng = random.Random(1)
+
+    def value():
+        return "".join(rng.choice(["a", '"', "\\", "{", "}", "[", "]", "\u00e9", "\n", ",", ":"]) for _ in range(rng.randint(0, 12)))
+
+    objects = [{"k": value(), "n": [{"x": value()}, [value()]], "i": i} for i in range(60)]
+    plain, named = tmp_path / "a.json", tmp_path / "b.json"
+    plain.write_text(json.dumps(objects, ensure_ascii=False, indent=1))
+    named.write_text(json.dumps({"other": [{"z": 1}], "meta": {"rows": [1]}, "rows": objects, "last": [{"q": 2}]}, ensure_ascii=False))
+    for block in (7, 64, 1 << 20):
+        for path, field in ((plain, None), (named, "rows")):
+            found = json_objects(spark, str(path), field, block).orderBy("pos").collect()
+            assert [json.loads(r["text"]) for r in found] == objects
+    with pytest.raises(ValueError, match="has no list of lines"):
+        json_objects(spark, str(named), "lines")
+    (tmp_path / "c.json").write_text('[{"a": 1}')
+    with pytest.raises(ValueError, match="not a whole JSON document"):
+        json_objects(spark, str(tmp_path / "c.json"))
+    (tmp_path / "d.json").write_text("[]")
+    assert json_objects(spark, str(tmp_path / "d.json")).collect() == []
+
+
+def test_trees_are_listed_level_by_level(spark, tmp_path):
+    from apisurface.sources.trees import list_tree, read_tree, write_tree
+
+    rows = [(f"{'d/' * (i % 4)}f{i}.c", f"text {i}") for i in range(40)] + [(".git/x", "no"), ("d/.git/deep/y", "no"), ("_a/.b/__init__.pyi", "yes"), ("d/empty", None)]
+    root = f"file://{tmp_path}/tree"
+    assert write_tree(spark.createDataFrame(rows, "path string, content string").repartition(3), root) == len(rows)
+    (tmp_path / "tree" / "d" / "round").symlink_to("round")
+    (tmp_path / "tree" / "d" / "nowhere").symlink_to("missing")
+    (tmp_path / "tree" / "hollow").mkdir()
+    got = {r["relative_path"]: bytes(r["content"]).decode() for r in read_tree(spark, root).collect()}
+    assert got == {p: t or "" for p, t in rows if ".git" not in p}
+    assert {r["relative_path"] for r in read_tree(spark, root, ".pyi").collect()} == {"_a/.b/__init__.pyi"}
+    assert list_tree(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_module_files(spark, tmp_path):
+    rows = [("a", True, i, f"line {i}") for i in range(30)] + [("a.b", False, 0, "only")]
+    df = spark.createDataFrame(rows, "module string, package boolean, position int, line string").orderBy(F.rand(1))
+    assert WR.write_module_files(df, str(tmp_path / "out"), F.col("package")) == 2
+    assert (tmp_path / "out" / "a" / "__init__.pyi").read_text() == "".join(f"line {i}\n" for i in range(30))
+    assert (tmp_path / "out" / "a" / "b.pyi").read_text() == "only\n"
