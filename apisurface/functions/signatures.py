@@ -290,6 +290,31 @@ def _delimited_signature(parts: Column, types: Mapping[str, str]) -> Column:
     )
 
 
+def triplet_arguments(values: Column | str, slots: Column | str) -> Column:
+    """Struct(args, error) of name triplets applied to their slots.
+
+    ``slots`` is an array of struct(name, type, refined, default_value), one per triplet: the variable, the type its converter
+    resolves to, the type that checks on the variable imply, and the default of an optional one. Missing facts degrade to ``object``
+    and ``...``.
+    """
+    slots = col_of(slots)
+
+    def built(parsed: Column) -> Column:
+        def argument(item: Column, i: Column) -> Column:
+            slot = F.get(slots, i)
+            known = F.coalesce(slot["type"], F.lit("object"))
+            return _argument(
+                F.when(item["kind"] == S.POSITIONAL_ONLY, F.coalesce(slot["name"], item["name"])).otherwise(item["name"]),
+                F.when(known == "object", F.coalesce(slot["refined"], F.lit("object"))).otherwise(known),
+                F.when(item["optional"], F.coalesce(slot["default_value"], F.lit("..."))),
+                item["kind"],
+            )
+
+        return F.struct(F.transform(parsed["items"], argument).alias("args"), parsed["error"].alias("error"))
+
+    return let(parse_name_triplets(values), built)
+
+
 def parse_name_spec(spec: Column | str) -> Column:
     """Struct(name, kind, optional) of a prefixed argument name."""
     spec = col_of(spec)

@@ -168,6 +168,42 @@ def _arg(name: str, kind: str, type_text: str | None = "object") -> Column:
 SINGLE_ARGUMENT = "arg"
 
 
+#: Kinds of parse facts: positional and keyword formats, delimited signature texts, and name, converter, slot triplets.
+TUPLE, KEYWORDS, DELIMITED, TRIPLETS = "tuple", "keywords", "delimited", "triplets"
+
+# What each variadic convention reads, in this order.
+READ_BY = {"fastcall": [TRIPLETS], "varargs_keywords": [TUPLE, KEYWORDS, DELIMITED], "varargs": [TUPLE, DELIMITED]}
+
+
+def call_convention(flags: Column) -> Column:
+    """Name of the calling convention that flags stand for; the first that fits counts."""
+
+    def has(bit: int) -> Column:
+        return flags.bitwiseAND(bit) != 0
+
+    return (
+        F.when(has(METH_NOARGS), F.lit("noargs"))
+        .when(has(METH_O), F.lit("single"))
+        .when(has(METH_FASTCALL), F.lit("fastcall"))
+        .when(has(METH_VARARGS) & has(METH_KEYWORDS), F.lit("varargs_keywords"))
+        .when(has(METH_VARARGS), F.lit("varargs"))
+        .otherwise(F.lit("unknown"))
+    )
+
+
+def arguments_read(flags: Column, facts: Column) -> Column:
+    """Argument arrays among parse facts (array of struct(kind, args)) that the convention reads, kind after kind; null for the others."""
+
+    def of(kind: str) -> Column:
+        return F.transform(F.filter(facts, lambda f: f["kind"] == kind), lambda f: f["args"])
+
+    chosen = F.lit(None).cast(f"array<array<{S.ARGUMENT}>>")
+    convention = call_convention(flags)
+    for name, kinds in READ_BY.items():
+        chosen = F.when(convention == name, F.concat(*[of(k) for k in kinds])).otherwise(chosen)
+    return chosen
+
+
 def decode_call_flags(df: DataFrame, flags: str, parsed: Column | None = None, single_type: Column | None = None) -> DataFrame:
     """Add ``args`` (array of argument arrays), ``convention`` and ``parameter_inference_status``.
 
@@ -187,14 +223,7 @@ def decode_call_flags(df: DataFrame, flags: str, parsed: Column | None = None, s
         has(METH_KEYWORDS),
         F.array(_arg("args", S.VAR_POSITIONAL), _arg("kwargs", S.VAR_KEYWORD)),
     ).otherwise(F.array(_arg("args", S.VAR_POSITIONAL)))
-    convention = (
-        F.when(has(METH_NOARGS), F.lit("noargs"))
-        .when(has(METH_O), F.lit("single"))
-        .when(has(METH_FASTCALL), F.lit("fastcall"))
-        .when(has(METH_VARARGS) & has(METH_KEYWORDS), F.lit("varargs_keywords"))
-        .when(has(METH_VARARGS), F.lit("varargs"))
-        .otherwise(F.lit("unknown"))
-    )
+    convention = call_convention(F.col(flags))
     found = F.lit(None).cast(f"array<array<{S.ARGUMENT}>>") if parsed is None else parsed
     usable = F.coalesce(F.size(found) > 0, F.lit(False))
     args = (

@@ -8,6 +8,7 @@ from apisurface import schemas as S
 from apisurface.functions.rule_packs import rule_table
 from apisurface.functions.text import function_id
 from apisurface.operators.aggregates import evaluation_summary, funnel
+from apisurface.operators import projections as P
 from apisurface.operators.joins import merge_rules
 from apisurface.operators.windows import with_ordinal
 from apisurface.plans import completion as CP
@@ -261,6 +262,140 @@ def flow_conventions(t):
     )
 
 
+_KINDS_SQL = """
+    SELECT o_orderpriority || ':f' || o_orderkey AS function_id, i::INTEGER AS signature_index,
+        replace(replace('def f' || o_orderkey || s, '|', chr(10)), '~', '|') || ' -> ' ||
+            CASE k WHEN 0 THEN 'list' WHEN 1 THEN 'None' WHEN 2 THEN 'torch.Tensor' WHEN 3 THEN 'None | torch.Tensor' ELSE 'typing.Any' END || ':' AS signature,
+        CASE WHEN k IN (1, 5) THEN 'failed' ELSE 'success' END AS parameter_inference_status,
+        CASE WHEN k IN (4, 5) THEN 'failed' ELSE 'success' END AS return_inference_status
+    FROM (SELECT *, o_orderkey % 6 AS k FROM orders) JOIN (VALUES
+        (0, 0, '(|    v0: object,|    /,|    axis: numpy.typing.ArrayLike = 0,|    *,|    out: str = ...,|)'),
+        (1, 0, '(*args: object)'),
+        (2, 0, '(v0: str, /)'), (2, 1, '(|    a: object,|    b: int = ...,|)'),
+        (2, 2, '(|    input: torch.Tensor,|    dim: None ~ int = None,|    *,|    keepdim: bool = False,|)'),
+        (3, 0, '(v0: str, /)'), (3, 1, '(|    input: torch.Tensor,|    dim: None ~ int = None,|    *,|    keepdim: bool = False,|)'),
+        (4, 0, '(|    input: torch.Tensor,|    dim: None ~ int = None,|    *,|    keepdim: bool = False,|)'),
+        (5, 0, '(*args: object)')) t(kind, i, s) ON k = kind
+"""
+
+
+@bound("flow_conventions_by_kind", _KINDS_SQL)
+def flow_kinds(t):
+    """Orders as functions whose parse facts are of all kinds; each convention reads its own.
+
+    By key: name triplets; a format that a fast call does not read; all three kinds a keyword function reads, in their order and
+    with a deprecated text; the two of a positional one; a text alone, whose only return is none; a keyword call a positional function
+    does not read.
+    """
+    fn, kind = F.col("o_orderkey").alias("fn"), F.col("o_orderkey") % 6
+    functions = t.orders.select(
+        fn,
+        F.col("o_orderpriority").alias("module_name"),
+        F.lit(None).cast("string").alias("class_name"),
+        F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("function_name"),
+        F.when(kind.isin(0, 1), 128).when(kind.isin(2, 4), 3).otherwise(1).alias("flags"),
+    )
+    none = F.lit(None).cast("string")
+    shown = F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit("(Tensor input, int64_t? dim=None, *, bool keepdim=False)"))
+
+    def fact(at, of, fmt=none, names=None, said=none, values=None):
+        listed = [(F.lit(None) if v is None else F.array(*[F.lit(x).cast("string") for x in v])).cast("array<string>") for v in (names, values)]
+        return F.struct(
+            F.lit(at).alias("call_pos"), F.lit(of).alias("kind"), (F.lit(fmt) if isinstance(fmt, str) else fmt).alias("fmt"),
+            listed[0].alias("names"), said.alias("text"), listed[1].alias("values"),
+        )
+
+    triplets = fact(0, P.TRIPLETS, values=["", None, "&v0", "|axis", "NI_ObjectToInputArray", "&v1", "$out", None, "&v2", None, None, None])
+    text_fact, old = fact(0, P.DELIMITED, said=shown), fact(3, P.DELIMITED, said=F.concat(shown, F.lit("|deprecated")))
+    keywords, plain = fact(1, P.KEYWORDS, "O|i", ["a", "b"]), fact(2, P.TUPLE, "s")
+    facts = (
+        F.when(kind == 0, F.array(triplets)).when(kind == 1, F.array(plain)).when(kind == 2, F.array(text_fact, keywords, plain, old))
+        .when(kind == 3, F.array(text_fact, keywords, plain)).when(kind == 4, F.array(text_fact)).otherwise(F.array(keywords))
+    )
+    calls = t.orders.select(fn, F.explode(facts).alias("c")).select("fn", "c.*")
+    spread = F.when(F.col("kind") == P.TRIPLETS, 3).when(F.col("kind") == P.KEYWORDS, 2).otherwise(1)
+    at = F.col("slot_index")
+    slots = calls.where(F.col("kind") != P.DELIMITED).select("fn", "call_pos", "kind", F.explode(F.sequence(F.lit(0), spread - 1)).alias("slot_index"))
+    slots = slots.select(
+        "fn", "call_pos", "slot_index", F.concat(F.lit("v"), at.cast("string")).alias("var"),
+        F.when((F.col("kind") == P.TRIPLETS) & (at == 1), F.lit("NI_ObjectToInputArray")).alias("operand"),
+        F.when((F.col("kind") == P.TRIPLETS) & (at == 1), F.lit("0")).alias("default_value"),
+    )
+    checks = t.orders.where(kind == 0).select(fn, F.lit("v2").alias("var"), F.lit("PyUnicode_Check").alias("call_name"))
+    empty = F.struct(F.lit(1).alias("pos"), F.lit("ref").alias("expr_kind"), F.lit("_Py_NoneStruct").alias("expr_name"), none.alias("expr_detail"))
+    wrapped = F.struct(F.lit(2).alias("pos"), F.lit("call").alias("expr_kind"), F.lit("wrap").alias("expr_name"), F.lit("at::Tensor").alias("expr_detail"))
+    made = F.struct(F.lit(2).alias("pos"), F.lit("call").alias("expr_kind"), F.lit("PyObject_New").alias("expr_name"), F.lit("&PyList_Type").alias("expr_detail"))
+    odd = F.struct(F.lit(2).alias("pos"), F.lit("call").alias("expr_kind"), F.lit("unheard_of").alias("expr_name"), none.alias("expr_detail"))
+    told = (
+        F.when(kind == 0, F.array(made)).when(kind.isin(1, 4), F.array(empty)).when(kind.isin(2, 3), F.array(empty, wrapped)).otherwise(F.array(odd))
+    )
+    returns = t.orders.select(fn, F.explode(told).alias("r")).select("fn", "r.*")
+    assigns = returns.limit(0).select("fn", F.lit("").alias("var"), "pos", F.col("expr_kind").alias("rhs_kind"), F.col("expr_name").alias("rhs_name"))
+    done = CP.complete_functions(functions, calls, slots, checks, returns, assigns, merge_rules([rule_table(t.spark)]))
+    each = done.select("function_id", "parameter_inference_status", "return_inference_status", F.explode("signatures").alias("s"))
+    return each.select("function_id", "s.signature_index", "s.signature", "parameter_inference_status", "return_inference_status")
+
+
+_ITEMS_SQL = """
+    SELECT o_orderkey AS fn, CASE o_orderkey % 6
+        WHEN 0 THEN 'tuple[int, list]' WHEN 1 THEN 'tuple[int, typing.Any]' WHEN 2 THEN 'tuple[list[int | tuple[float,]], dict[None | str, list]]'
+        WHEN 3 THEN 'tuple[int, float]' WHEN 4 THEN 'tuple[list,]' ELSE 'typing.Any' END AS return_type,
+        CASE WHEN o_orderkey % 6 = 5 THEN 'failed' ELSE 'success' END AS status
+    FROM orders
+"""
+
+
+@bound("flow_object_items", _ITEMS_SQL)
+def flow_items(t):
+    """Orders as functions that return built values whose object items are expressions of their own.
+
+    By key: an item created from a type object; one that cannot be inferred; formats within formats, through a variable as well; an
+    item that is a variable; a variable that holds the whole format; arguments that do not match the format.
+    """
+    key = F.col("o_orderkey")
+    kind = key % 6
+    fn, none = key.alias("fn"), F.lit(None).cast("string")
+    fmt = F.when(kind.isin(0, 1, 3), "(iO)").when(kind == 2, "([iO]{sO})").when(kind == 5, "(iO)")
+    returns = t.orders.select(
+        fn, F.lit(50).alias("pos"), F.when(kind == 4, "ref").otherwise("value_format").alias("expr_kind"),
+        F.when(kind == 4, F.lit("whole")).otherwise(fmt).alias("expr_name"), F.when(kind != 4, F.lit("r")).alias("expr_id"),
+    )
+
+    def item(of, index, what="other", name="", detail=none, inner=none):
+        return F.struct(
+            F.lit(of).alias("expr_id"), F.lit(index).alias("item_index"), F.lit(45).alias("pos"), F.lit(what).alias("expr_kind"),
+            F.lit(name).alias("expr_name"), (F.lit(detail) if isinstance(detail, str) else detail).alias("expr_detail"),
+            (F.lit(inner) if isinstance(inner, str) else inner).alias("inner_id"),
+        )
+
+    created = ("call", "PyObject_New", "&PyList_Type")
+    listed = (
+        F.when(kind == 0, F.array(item("r", 0), item("r", 1, *created)))
+        .when(kind == 1, F.array(item("r", 0), item("r", 1, "call", "unheard_of")))
+        .when(
+            kind == 2,
+            F.array(
+                item("r", 0), item("r", 1, "value_format", "(O)", inner="x"), item("r", 2), item("r", 3, "ref", "held"),
+                item("x", 0, "call", "PyFloat_FromDouble"),
+            ),
+        )
+        .when(kind == 3, F.array(item("r", 0), item("r", 1, "ref", "v")))
+        .when(kind == 4, F.array(item("w", 0, *created)))
+        .otherwise(F.array(item("r", 0)))
+    )
+    items = t.orders.select(fn, F.explode(listed).alias("i")).select("fn", "i.*")
+
+    def assign(var, what, name, detail=none, rhs=none):
+        return F.struct(
+            F.lit(var).alias("var"), F.lit(5).alias("pos"), F.lit(what).alias("rhs_kind"), F.lit(name).alias("rhs_name"),
+            (F.lit(detail) if isinstance(detail, str) else detail).alias("rhs_detail"), (F.lit(rhs) if isinstance(rhs, str) else rhs).alias("rhs_id"),
+        )
+
+    held = F.when(kind == 2, F.array(assign("held", *created))).when(kind == 3, F.array(assign("v", "call", "PyFloat_FromDouble")))
+    assigns = t.orders.select(fn, F.explode(held.when(kind == 4, F.array(assign("whole", "value_format", "(O)", rhs="w")))).alias("a")).select("fn", "a.*")
+    return CP.infer_return_types(returns, assigns, merge_rules([rule_table(t.spark)]), items)
+
+
 _CHAIN_SQL = """
     SELECT o_orderpriority || ':f' || o_orderkey AS function_id,
         CASE WHEN o_orderstatus = 'P' THEN 'pybind11' ELSE 'c_extension' END AS provider,

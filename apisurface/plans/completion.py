@@ -10,11 +10,24 @@ from pyspark.sql import functions as F
 from apisurface.functions import rule_packs as R
 from apisurface.functions.formats import parse_format_arguments, value_format_type
 from apisurface.functions.render import render_signature
+from apisurface.functions.signatures import parse_delimited_signature, triplet_arguments
 from apisurface.functions.text import cpp_return_type, first_identifier, type_object_name
-from apisurface.functions.types import NEVER, evaluate_once
+from apisurface.functions.types import ANY, NEVER, evaluate_once
 from apisurface.operators.aggregates import union_types
 from apisurface.operators.joins import apply_rules, refine_by_checks, resolve_calls
-from apisurface.operators.projections import METH_O, SINGLE_ARGUMENT, decode_call_flags, receiver_added, with_function_id
+from apisurface.operators.projections import (
+    DELIMITED,
+    KEYWORDS,
+    METH_O,
+    SINGLE_ARGUMENT,
+    TRIPLETS,
+    TUPLE,
+    arguments_read,
+    call_convention,
+    decode_call_flags,
+    receiver_added,
+    with_function_id,
+)
 from apisurface.operators.windows import last_definition
 from apisurface.session import cut_lineage
 
@@ -57,28 +70,86 @@ def slot_arrays(slots: DataFrame) -> DataFrame:
     )
 
 
+NO_SLOTS = "array<struct<name:string,type:string,refined:string,default_value:string>>"
+
+
+def parse_facts(parse_calls: DataFrame) -> DataFrame:
+    """Parse calls with all columns of the tagged union: ``kind`` says which of ``fmt``, ``names``, ``text`` and ``values`` hold.
+
+    Without ``kind``, calls that list names are keyword calls and others positional.
+    """
+    given = set(parse_calls.columns)
+    types = {"fmt": "string", "names": "array<string>", "text": "string", "values": "array<string>"}
+    full = parse_calls.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in given})
+    implied = F.when(F.col("names").isNotNull(), F.lit(KEYWORDS)).otherwise(F.lit(TUPLE))
+    return full if "kind" in given else full.withColumn("kind", implied)
+
+
 def parsed_arguments(parse_calls: DataFrame, slots: DataFrame) -> DataFrame:
-    """Argument arrays per function from its parse calls (fn, call_pos, fmt and, for keyword calls, names).
+    """Parse facts per function: ``facts``, an array of struct(kind, args) in the order of calls.
 
-    Calls that do not parse are left out.
+    ``parse_calls`` holds fn, call_pos and, by kind, fmt, names, text or values (``parse_facts``). Each kind is parsed in its own
+    branch, so a row is planned for one parser. Calls that do not parse are left out, and so are hidden signature texts.
     """
-    with_slots = parse_calls.join(slot_arrays(slots), ["fn", "call_pos"], "left").withColumn(
-        "slots", F.coalesce("slots", F.array().cast("array<struct<name:string,type:string,refined:string,default_value:string>>"))
-    )
-    # Calls that list names parse the keyword form of the format.
-    listed = with_slots.withColumn("names", F.lit(None).cast("array<string>")) if "names" not in parse_calls.columns else with_slots
-    form = F.when(F.col("names").isNull(), parse_format_arguments("fmt", "slots")).otherwise(
-        parse_format_arguments("fmt", "slots", "names")
-    )
-    parsed = evaluate_once(listed, "_parsed", form)
-    good = parsed.where(F.col("_parsed.error").isNull())
-    entry = F.struct(F.col("call_pos"), F.col("_parsed.args").alias("args"))
+    facts = parse_facts(parse_calls)
+    arrays = slot_arrays(slots)
+    made = [TUPLE, KEYWORDS] if "names" in parse_calls.columns or "kind" in parse_calls.columns else [TUPLE]
+    made += [DELIMITED] * ("text" in parse_calls.columns) + [TRIPLETS] * ("values" in parse_calls.columns)
+    parts = []
+    for kind in made:
+        rows = facts.where(F.col("kind") == kind)
+        if kind == DELIMITED:
+            parsed = evaluate_once(rows, "_parsed", parse_delimited_signature("text"))
+        else:
+            rows = rows.join(arrays, ["fn", "call_pos"], "left").withColumn("slots", F.coalesce("slots", F.array().cast(NO_SLOTS)))
+            form = {
+                TUPLE: lambda: parse_format_arguments("fmt", "slots"),
+                KEYWORDS: lambda: parse_format_arguments("fmt", "slots", "names"),
+                TRIPLETS: lambda: triplet_arguments("values", "slots"),
+            }[kind]()
+            parsed = evaluate_once(rows, "_parsed", form)
+        good = parsed.where(F.col("_parsed.error").isNull() & F.col("_parsed.args").isNotNull())
+        parts.append(good.select("fn", F.struct("call_pos", F.lit(kind).alias("kind"), F.col("_parsed.args").alias("args")).alias("_fact")))
+    good = parts[0]
+    for part in parts[1:]:
+        good = good.unionByName(part)
     return good.groupBy("fn").agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["args"]).alias("parsed_args")
+        F.transform(F.array_sort(F.collect_list("_fact")), lambda e: F.struct(e["kind"].alias("kind"), e["args"].alias("args"))).alias("facts")
     )
 
 
-def infer_return_types(returns: DataFrame, assigns: DataFrame, rules: DataFrame) -> DataFrame:
+def value_types(formats: DataFrame, items: DataFrame) -> DataFrame:
+    """``fn``, ``expr_id`` and ``type`` of value formats whose arguments are known expressions, innermost first.
+
+    ``formats`` holds fn, expr_id and fmt; ``items`` holds fn, expr_id (that of the format), item_index, type and, where the item
+    is a format itself, inner_id. A format is rendered once its inner ones are; rounds follow the depth of nesting. Formats in a
+    circle have no type.
+    """
+    todo = cut_lineage(formats.select("fn", "expr_id", "fmt").distinct())
+    items = cut_lineage(items)
+    done = None
+    while True:
+        calls = items.groupBy("fn", "expr_id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("item_index", "type"))), lambda i: i["type"]).alias("given"),
+            F.bool_or(F.col("inner_id").isNotNull()).alias("waits"),
+        )
+        joined = todo.join(calls, ["fn", "expr_id"])
+        ready = evaluate_once(joined.where(~F.col("waits")), "_value", value_format_type("fmt", "given"))
+        ready = cut_lineage(ready.select("fn", "expr_id", F.col("_value.type").alias("type")))
+        done = ready if done is None else done.unionByName(ready)
+        todo = cut_lineage(joined.where("waits").select("fn", "expr_id", "fmt"))
+        if ready.isEmpty() or todo.isEmpty():
+            return done
+        told = ready.select("fn", F.col("expr_id").alias("inner_id"), F.col("type").alias("_type"), F.lit(True).alias("_told"))
+        items = items.join(told, ["fn", "inner_id"], "left").select(
+            "fn", "expr_id", "item_index", F.coalesce("_type", "type").alias("type"), F.when(F.col("_told").isNull(), F.col("inner_id")).alias("inner_id")
+        )
+        items = cut_lineage(items)
+
+
+def infer_return_types(
+    returns: DataFrame, assigns: DataFrame, rules: DataFrame, items: DataFrame | None = None, without_none: DataFrame | None = None
+) -> DataFrame:
     """Return type and status per function.
 
     ``returns`` holds fn, pos, expr_kind and expr_name; ``assigns`` holds fn, var, pos, rhs_kind and rhs_name, where a
@@ -89,32 +160,45 @@ def infer_return_types(returns: DataFrame, assigns: DataFrame, rules: DataFrame)
 
     ``expr_detail`` and ``rhs_detail``, where there, tell what a computed call's type follows from: the C++ type that
     ``wrap`` wraps, or the type object that an object is created from.
+
+    ``items`` holds the arguments of value formats as expressions of their own: fn, expr_id (that of the format, which ``expr_id`` of
+    returns and items and ``rhs_id`` of assignments name), item_index, pos, expr_kind, expr_name and, where there, expr_detail and
+    inner_id. An item that cannot be inferred counts as ``typing.Any``. Functions of ``without_none`` (fn) lose returns of ``None``.
     """
     objects = rules.where(F.col("category") == R.OBJECT).select("name", "type")
     calls = rules.where(F.col("category") == R.CALL).select("name", "type")
     no_detail = F.lit(None).cast("string")
     assigns = assigns if "rhs_detail" in assigns.columns else assigns.withColumn("rhs_detail", no_detail)
     returns = returns if "expr_detail" in returns.columns else returns.withColumn("expr_detail", no_detail)
-    definitions = assigns.select("fn", "var", "pos", "rhs_kind", "rhs_name", "rhs_detail")
+    assigns = assigns if "rhs_id" in assigns.columns else assigns.withColumn("rhs_id", no_detail)
+    returns = returns if "expr_id" in returns.columns else returns.withColumn("expr_id", no_detail)
+    definitions = assigns.select("fn", "var", "pos", "rhs_kind", "rhs_name", "rhs_detail", "rhs_id")
     ignored, null = F.col("rhs_kind") == "binary", F.col("rhs_kind") == "null"
     done = []
     # The trail holds the variables whose initializers were passed, so that a circle of these ends.
-    pending = cut_lineage(returns.select("fn", "pos", "expr_kind", "expr_name", "expr_detail", F.array().cast("array<string>").alias("trail")))
-    fields = ["fn", "pos", "expr_kind", "expr_name", "expr_detail"]
+    own = [no_detail.alias("parent"), F.lit(None).cast("int").alias("item_index")]
+    fields = ["fn", "pos", "expr_kind", "expr_name", "expr_detail", "expr_id", "parent", "item_index"]
+    uses = returns.select(*fields[:6], *own)
+    if items is not None:
+        for name in ("expr_detail", "inner_id"):
+            items = items if name in items.columns else items.withColumn(name, no_detail)
+        listed = [F.col("inner_id").alias("expr_id"), F.col("expr_id").alias("parent"), F.col("item_index").cast("int").alias("item_index")]
+        uses = uses.unionByName(items.select(*fields[:5], *listed))
+    pending = cut_lineage(uses.withColumn("trail", F.array().cast("array<string>")))
     while True:
         is_ref = F.col("expr_kind") == "ref"
         done.append(pending.where(~is_ref).select(*fields))
         refs = cut_lineage(apply_rules(pending.where(is_ref), objects, "expr_name", out="object_type"))
         done.append(
             refs.where(F.col("object_type").isNotNull()).select(
-                "fn", "pos", F.lit("typed").alias("expr_kind"), F.col("object_type").alias("expr_name"), no_detail.alias("expr_detail")
+                "fn", "pos", F.lit("typed").alias("expr_kind"), F.col("object_type").alias("expr_name"), no_detail.alias("expr_detail"), *fields[5:]
             )
         )
-        uses = refs.where(F.col("object_type").isNull()).select("fn", F.col("expr_name").alias("var"), "pos", "trail")
+        uses = refs.where(F.col("object_type").isNull()).select("fn", F.col("expr_name").alias("var"), "pos", "trail", "parent", "item_index")
         wanted = definitions.join(uses.select("fn", "var").distinct(), ["fn", "var"], "left_semi")
         resolved = last_definition(
             uses, wanted.withColumn("def_pos", F.col("pos")), ["fn", "var"], ["pos"],
-            ["rhs_kind", "rhs_name", "rhs_detail", "def_pos"], ignored=ignored, is_null=null, initial=F.col("pos") < 0, bucketed=False,
+            ["rhs_kind", "rhs_name", "rhs_detail", "rhs_id", "def_pos"], ignored=ignored, is_null=null, initial=F.col("pos") < 0, bucketed=False,
         )
         # The next look-up starts at the definition, so positions fall until only initializers are left.
         usable = F.col("usable") & ~F.array_contains("trail", F.col("var"))
@@ -126,6 +210,9 @@ def infer_return_types(returns: DataFrame, assigns: DataFrame, rules: DataFrame)
                 F.when(usable, F.col("rhs_kind")).otherwise(F.lit("unknown")).alias("expr_kind"),
                 F.when(usable, F.col("rhs_name")).alias("expr_name"),
                 F.when(usable, F.col("rhs_detail")).alias("expr_detail"),
+                F.when(usable, F.col("rhs_id")).alias("expr_id"),
+                "parent",
+                "item_index",
                 passed.alias("trail"),
             )
         )
@@ -151,7 +238,23 @@ def infer_return_types(returns: DataFrame, assigns: DataFrame, rules: DataFrame)
         .when(kind == "receiver", F.lit("typing.Self"))
         .when(kind == "null", F.lit(NEVER))
     )
-    return union_types(typed.withColumn("type", inferred), ["fn"], "type", out="return_type")
+    typed = typed.withColumn("type", inferred)
+    if items is not None:
+        typed = cut_lineage(typed.select("fn", "expr_kind", "expr_name", "expr_id", "parent", "item_index", "type"))
+        nested = (kind == "value_format") & F.col("expr_id").isNotNull()
+        known = F.when(F.col("type") == NEVER, F.lit(ANY)).otherwise(F.col("type"))
+        arguments = typed.where(F.col("parent").isNotNull()).select(
+            "fn", F.col("parent").alias("expr_id"), "item_index", F.when(~nested, known).alias("type"), F.when(nested, F.col("expr_id")).alias("inner_id")
+        )
+        formats = typed.where(nested).select("fn", "expr_id", F.col("expr_name").alias("fmt"))
+        values = value_types(formats, arguments).select("fn", "expr_id", F.col("type").alias("_value"))
+        typed = typed.where(F.col("parent").isNull()).join(values, ["fn", "expr_id"], "left")
+        typed = typed.withColumn("type", F.when(nested, F.col("_value")).otherwise(F.col("type")))
+    if without_none is not None:
+        marked = without_none.select("fn").distinct().withColumn("_marked", F.lit(True))
+        typed = typed.join(marked, "fn", "left")
+        typed = typed.withColumn("type", F.when(~(F.coalesce("_marked", F.lit(False)) & F.coalesce(F.col("type") == "None", F.lit(False))), F.col("type")))
+    return union_types(typed, ["fn"], "type", out="return_type")
 
 
 def complete_functions(
@@ -163,22 +266,30 @@ def complete_functions(
     assigns: DataFrame,
     rules: DataFrame,
     sink: Callable[[DataFrame], None] | None = None,
+    items: DataFrame | None = None,
 ) -> DataFrame:
     """Function records with rendered signatures; ``sink`` may take them instead of the caller.
 
-    ``functions`` holds fn, module_name, class_name, function_name and flags. Checks on the argument of a single-argument
-    function name it ``arg``.
+    ``functions`` holds fn, module_name, class_name, function_name and flags; ``items`` the arguments of value formats. Checks on the
+    argument of a single-argument function name it ``arg``. A convention reads the parse facts of its own kinds only. Functions with
+    flags for positional and keyword arguments that read a delimited text return no ``None``.
     """
     rules = cut_lineage(rules)
     arguments = parsed_arguments(parse_calls, resolve_slots(slots, checks, rules))
-    types = infer_return_types(returns, assigns, rules)
+    without_none = None
+    if "text" in parse_calls.columns:
+        arguments = cut_lineage(arguments)
+        reads = arguments.where(F.exists("facts", lambda f: f["kind"] == DELIMITED)).join(functions.select("fn", "flags"), "fn")
+        without_none = reads.where(call_convention(F.col("flags")) == "varargs_keywords")
+    types = infer_return_types(returns, assigns, rules, items, without_none)
     facts = functions.join(arguments, "fn", "left").join(types, "fn", "left")
     # The one argument of a single-argument function is refined by the checks on it.
     uses = rules.where(F.col("category") == R.OBJECT_USE).select("name", "type")
     single = functions.where(F.col("flags").bitwiseAND(METH_O) != 0).select("fn", F.lit(SINGLE_ARGUMENT).alias("var"))
     single = refine_by_checks(single, checks, uses, out="single_type").select("fn", "single_type")
     facts = facts.join(single, "fn", "left")
-    decoded = decode_call_flags(facts, "flags", parsed=F.col("parsed_args"), single_type=F.col("single_type"))
+    read = arguments_read(F.col("flags"), F.col("facts"))
+    decoded = decode_call_flags(facts, "flags", parsed=read, single_type=F.col("single_type"))
     has_owner = F.col("class_name").isNotNull()
     return_type = F.coalesce("return_type", F.lit("typing.Any"))
     rendered = F.transform(
