@@ -11,7 +11,6 @@ from apisurface import schemas as S
 from apisurface.functions.text import blank_to_null
 from apisurface.functions.types import ANY, union_members, union_text
 from apisurface.session import cut_lineage
-from apisurface.skew import order_bucket
 
 UNKNOWN_PROVIDER = "<unknown>"
 QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95}
@@ -103,64 +102,95 @@ def evaluation_summary(
     return counted.select(totals.scalar().alias("total_signatures"), "*")
 
 
-def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """``_group``, ``_value``, ``_n``: rows of each value, combined map-side and stored, so the input is read once."""
-    group = F.struct(*[F.col(b) for b in by], F.lit(0).alias("_all")).alias("_group")
-    rows = df.where(F.col(col).isNotNull()).select(group, F.col(col).alias("_value"))
-    return cut_lineage(rows.groupBy("_group", "_value").agg(F.count(F.lit(1)).alias("_n")))
+#: Items a quantile sketch keeps at its lowest level; ranks from it are off by some 0.1 % of the rows.
+SKETCH_ITEMS = 4000
+#: Share of the rows on either side of an estimate among which the wanted value is looked for.
+BRACKET = 0.004
 
 
-def floor_percentiles(
-    df: DataFrame, col: str, quantiles: Mapping[str, float] = QUANTILES, by: Sequence[str] = ()
-) -> DataFrame:
-    """Exact value at 0-based rank ``floor((n - 1) * q)`` of the sorted values, per group."""
-    return percentiles_of_counts(value_counts(df, col, by), quantiles, by)
+def _level_groups(by: Sequence[str], total: bool) -> Column:
+    """Groups a row counts for: that of its keys (level 0) and, if wanted, that of all rows (level 1)."""
+    own = F.struct(*[F.col(b) for b in by], F.lit(0).alias("_level"))
+    if not total:
+        return F.array(own)
+    return F.array(own, F.struct(*[F.when(F.lit(False), F.col(b)).alias(b) for b in by], F.lit(1).alias("_level")))
 
 
-def percentiles_of_counts(counts: DataFrame, quantiles: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Floor-rank percentiles from ``value_counts``.
+def _in_brackets(rows: DataFrame, brackets: DataFrame) -> DataFrame:
+    """Exact values at the wanted ranks, as far as they lie in their brackets: ``_group``, ``name``, ``value``.
 
-    Counts are added up per order-keeping bucket (about the square root of them), which finds the bucket that
-    holds each rank; only the values of these buckets are put in order.
+    Rows below a bracket are counted, map-side, only those inside are put in order.
     """
-    rows = counts.withColumn("_bucket", order_bucket(counts, "_value", rows=None))
-    hist = rows.groupBy("_group", "_bucket").agg(F.sum("_n").alias("_n"))
-    upto = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = F.array(
+
+    def mark(b: Column) -> Column:
+        below = b["low"].isNotNull() & (F.col("_d") < b["low"])
+        inside = b["high"].isNull() | (F.col("_d") <= b["high"])
+        told = F.when(below, F.col("_none")).when(inside, F.col("_value"))
+        return F.when(below | inside, F.struct(b["name"].alias("name"), b["rank"].alias("rank"), told.alias("value")))
+
+    joined = rows.where(F.col("_value").isNotNull()).withColumn("_none", F.when(F.lit(False), F.col("_value"))).join(brackets, "_group")
+    marks = F.filter(F.transform("_brackets", mark), lambda m: m.isNotNull())
+    counts = joined.select("_group", F.explode(marks).alias("m")).groupBy("_group", "m.name", "m.rank", "m.value").agg(F.count(F.lit(1)).alias("_n"))
+    # Null stands for all rows below and comes first.
+    upto = Window.partitionBy("_group", "name").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_upto", F.sum("_n").over(upto))
+    hit = F.col("value").isNotNull() & (F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_n"))
+    return placed.where(hit).select("_group", "name", "value")
+
+
+def ranked_measures(
+    df: DataFrame, col: str, quantiles: Mapping[str, float], by: Sequence[str] = (), measures: Sequence[Column] = (), total: bool = False
+) -> DataFrame:
+    """Per group, and with ``total`` for all rows: ``measures`` and exact values at rank ``floor((n - 1) * q)``, with ``_level``.
+
+    One read makes the measures and a mergeable quantile sketch per group, which brackets each rank; a second read counts what lies
+    below a bracket and puts in order what lies inside. Should a rank fall outside of its bracket, that one is looked for among
+    all rows of its group.
+    """
+    d = F.col(col).cast("double")
+    rows = df.withColumn("_group", F.explode(_level_groups(by, total))).withColumns({"_value": F.col(col), "_d": d})
+    sketch = F.kll_sketch_agg_double(F.when(~F.isnan("_d"), F.col("_d")), SKETCH_ITEMS).alias("_sketch")
+    first = rows.groupBy("_group").agg(F.count("_value").alias("_rows"), F.count_if(F.col("_value").isNotNull() & ~F.isnan("_d")).alias("_known"), sketch, *measures)
+    # Few rows, and such as are no numbers, are put in order as they are.
+    sketched = (F.col("_known") == F.col("_rows")) & (F.col("_rows") >= 4 / BRACKET)
+
+    def edge(share: float) -> Column:
+        inside = F.kll_sketch_get_quantile_double("_sketch", F.lit(share)) if 0 < share < 1 else F.lit(None).cast("double")
+        return F.when(sketched, inside)
+
+    brackets = F.array(
         *[
             F.struct(
-                F.lit(name).alias("name"),
-                F.floor((F.col("_total") - 1).cast("double") * F.lit(float(q))).alias("rank"),
+                F.lit(n).alias("name"),
+                F.floor((F.col("_rows") - 1).cast("double") * F.lit(float(q))).alias("rank"),
+                edge(q - BRACKET).alias("low"),
+                edge(q + BRACKET).alias("high"),
             )
-            for name, q in quantiles.items()
+            for n, q in quantiles.items()
         ]
     )
-    targets = (
-        hist.withColumn("_end", F.sum("_n").over(upto))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy("_group")))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-        .withColumn(
-            "_wanted",
-            F.filter(ranks, lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_end"))),
-        )
-        .where(F.size("_wanted") > 0)
-        .select("_group", "_bucket", "_start", "_wanted")
-    )
-    if not by:
-        # At most one bucket per quantile.
-        targets = F.broadcast(targets)
-    counted = rows.join(targets.select("_group", "_bucket"), ["_group", "_bucket"], "left_semi")
-    inside = Window.partitionBy("_group", "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (
-        counted.withColumn("_upto", F.sum("_n").over(inside))
-        .join(targets, ["_group", "_bucket"])
-        .withColumn("_want", F.explode("_wanted"))
-        .withColumn("_local", F.col("_want")["rank"] - F.col("_start"))
-        .where((F.col("_local") >= F.col("_upto") - F.col("_n")) & (F.col("_local") < F.col("_upto")))
-    )
-    values = [F.max(F.when(F.col("_want")["name"] == name, F.col("_value"))).alias(name) for name in quantiles]
+    names = [c for c in first.columns if c not in ("_group", "_rows", "_known", "_sketch")]
+    told = cut_lineage(first.select("_group", "_rows", *names, brackets.alias("_brackets")))
+    wanted = told.where(F.col("_rows") > 0).select("_group", "_brackets")
+    found = cut_lineage(_in_brackets(rows.select("_group", "_value", "_d"), wanted))
+    missed = wanted.select("_group", F.explode("_brackets").alias("b")).join(found.select("_group", F.col("name").alias("_name")), ["_group"], "left")
+    missed = missed.groupBy("_group", "b").agg(F.bool_or(F.coalesce(F.col("_name") == F.col("b.name"), F.lit(False))).alias("_found")).where(~F.col("_found"))
+    missed = cut_lineage(missed)
+    if not missed.isEmpty():
+        open_ = F.struct(F.col("b.name").alias("name"), F.col("b.rank").alias("rank"), F.when(F.lit(False), F.lit(0.0)).alias("low"), F.when(F.lit(False), F.lit(0.0)).alias("high"))
+        again = missed.groupBy("_group").agg(F.collect_list(open_).alias("_brackets"))
+        found = found.unionByName(_in_brackets(rows.select("_group", "_value", "_d"), again))
+    values = found.groupBy("_group").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in quantiles])
     keys = [F.col("_group").getField(b).alias(b) for b in by]
-    return picked.groupBy("_group").agg(*values).select(*keys, *quantiles)
+    joined = told.join(values, "_group", "left")
+    return joined.select(*keys, F.col("_group._level").alias("_level"), "_rows", *names, *quantiles)
+
+
+def floor_percentiles(
+    df: DataFrame, col: str, quantiles: Mapping[str, float] = QUANTILES, by: Sequence[str] = ()
+) -> DataFrame:
+    """Exact value at 0-based rank ``floor((n - 1) * q)`` of the sorted values, per group; groups of nulls alone have no row."""
+    return ranked_measures(df, col, quantiles, by).where(F.col("_rows") > 0).select(*by, *quantiles)
 
 
 def timing_measures(col: str, file: str | None) -> list[Column]:
@@ -174,15 +204,6 @@ def timing_measures(col: str, file: str | None) -> list[Column]:
     return measures if file is None else [*measures, F.countDistinct(file).alias("files")]
 
 
-def with_percentiles(basic: DataFrame, ranked: DataFrame, by: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
-    """Measures of each group with its percentiles; null keys match each other."""
-    left, right = basic.alias("b"), ranked.alias("r")
-    same = F.lit(True)
-    for name in by:
-        same = same & F.col(f"b.{name}").eqNullSafe(F.col(f"r.{name}"))
-    return left.join(right, same, "left").select("b.*", *[F.col(f"r.{q}").alias(q) for q in quantiles])
-
-
 def timing_summary(
     df: DataFrame,
     col: str,
@@ -196,12 +217,14 @@ def timing_summary(
     Without groups an empty input gives a row of zeros, or fails when ``empty="error"``.
     """
     by = list(by)
-    basic = df.groupBy(*by).agg(*timing_measures(col, file))
-    ranked = floor_percentiles(df, col, quantiles, by)
+    measured = ranked_measures(df, col, quantiles, by, timing_measures(col, file))
+    names = [c for c in measured.columns if c not in (*by, "_level", "_rows", *quantiles)]
     if by:
-        return with_percentiles(basic, ranked, by, quantiles)
-    ranked_row = ranked.agg(*[F.max(q).alias(q) for q in quantiles]).withColumn("_one", F.lit(1))
-    row = basic.withColumn("_one", F.lit(1)).join(ranked_row, "_one").drop("_one")
+        return measured.select(*by, *names, *quantiles)
+    row = measured.select(*names, *quantiles)
+    nothing = df.limit(1).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0)
+    zeros = [F.lit(0).cast(t).alias(c) for c, t in row.dtypes]
+    row = row.unionByName(nothing.select(*zeros))
     if empty == "error":
         return row.where(
             F.when(F.col("functions") > 0, F.lit(True)).otherwise(F.raise_error(F.lit("no rows to summarize")).cast("boolean"))
@@ -212,25 +235,22 @@ def timing_summary(
 def timing_rollup(df: DataFrame, col: str, by: str, file: str | None = None, total: str = "<all>") -> DataFrame:
     """Statistics per library and, with ``is_total`` set, for all libraries together.
 
-    The input is read twice: once for the measures of both levels, once for the counts of values that the
-    percentiles of both levels follow from.
+    The input is read twice: once for the measures and sketches of both levels, once for the percentiles.
     """
-    levels = df.rollup(by).agg(F.grouping(by).alias("_level"), *timing_measures(col, file))
-    counts = value_counts(df, col, [by])
-    everything = F.struct(F.lit(0).alias("_all")).alias("_group")
-    combined = counts.groupBy(everything, "_value").agg(F.sum("_n").alias("_n"))
-    per_library = with_percentiles(
-        levels.where(F.col("_level") == 0), percentiles_of_counts(counts, QUANTILES, [by]), [by], QUANTILES
-    ).withColumn("is_total", F.lit(False))
-    overall = percentiles_of_counts(combined, QUANTILES).withColumn("_level", F.lit(1).cast("tinyint"))
+    measured = ranked_measures(df, col, QUANTILES, [by], timing_measures(col, file), total=True)
+    is_total = F.col("_level") == 1
     name = F.lit(total).cast(df.schema[by].dataType)
-    row = levels.where(F.col("_level") == 1).withColumn(by, name).join(overall, "_level", "left").fillna(0, list(QUANTILES))
-    row = row.fillna(0, ["functions", "total", "avg", "min", "max"])
+    names = [c for c in measured.columns if c not in (by, "_level", "_rows", *QUANTILES)]
+
+    def shown(c: str) -> Column:
+        # A total of nothing is zeros.
+        kept = c not in QUANTILES and c not in ("functions", "total", "avg", "min", "max")
+        return F.col(c) if kept else F.when(is_total, F.coalesce(F.col(c), F.lit(0).cast(dict(measured.dtypes)[c]))).otherwise(F.col(c)).alias(c)
+
+    rows = measured.select(F.when(is_total, name).otherwise(F.col(by)).alias(by), *[shown(c) for c in (*names, *QUANTILES)], is_total.alias("is_total"))
     empty = df.limit(1).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0)
-    zero = {c: F.lit(0).cast(t) for c, t in row.dtypes if c not in (by, "_level")}
-    nothing = empty.select(F.lit(1).cast("tinyint").alias("_level"), name.alias(by), *[v.alias(c) for c, v in zero.items()])
-    row = row.unionByName(nothing).withColumn("is_total", F.lit(True))
-    return per_library.unionByName(row).drop("_level")
+    zero = [F.lit(0).cast(t).alias(c) for c, t in rows.dtypes if c not in (by, "is_total")]
+    return rows.unionByName(empty.select(name.alias(by), *zero, F.lit(True).alias("is_total")))
 
 
 def union_types(df: DataFrame, by: Sequence[str], col: str, drop_none: bool = False, out: str = "type") -> DataFrame:

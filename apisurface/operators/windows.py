@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apisurface import schemas as S
-from apisurface.skew import last_before, order_bucket, running_sum, running_sums
+from apisurface.skew import last_before, running_sum, running_sums
 
 
 def last_definition(
@@ -28,7 +28,7 @@ def last_definition(
     ``ignored`` marks definitions that do not count. A definition for which ``is_null`` holds does win
     and makes ``usable`` false, as does having no definition at all. ``initial`` marks initializers: where no other
     definition comes before a use, the key's initializer (the last in order) counts, wherever the two stand. Rows of both kinds
-    are put in one order; a hot variable is processed bucket by bucket unless ``bucketed`` is false.
+    are put in one order; a hot variable is processed part by part unless ``bucketed`` is false.
     """
     keys, order, fields = list(keys), list(order), list(fields)
     counted = defs if ignored is None else defs.where(~F.coalesce(ignored, F.lit(False)))
@@ -75,7 +75,7 @@ def with_ordinal(
 def ecdf(df: DataFrame, col: str, by: Sequence[str] = (), quantile: float = 0.90) -> DataFrame:
     """Count and cumulative count per distinct value; ``is_point`` marks the value at the quantile.
 
-    Equal values are counted first. The running sum is taken per bucket of values plus a carry.
+    Equal values are counted first. The running sum is taken per part of the values plus a carry.
     """
     by = list(by)
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
@@ -102,7 +102,6 @@ def with_markers(
     a variadic argument came earlier. All counts are running sums over the argument order.
     """
     by, order = list(by), list(order)
-    bucket = order_bucket(args, order[0]) if bucket is None else bucket
 
     def flag(value: str) -> Column:
         return F.when(F.col(kind) == value, 1).otherwise(0)

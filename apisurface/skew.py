@@ -2,131 +2,35 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BUCKET_ROWS = 1_000_000
+from apisurface.ordered import with_global_rank
 
+#: Rows of one part. A table of no more rows is worked on key by key, as no key can hold more than that.
+PART_ROWS = 1_000_000
 
-def value_bucket(value: Column) -> Column:
-    """Order-keeping bucket of a number, about 1.6 % of relative width.
-
-    Depends on the value alone, so it is the same in every attempt of a task.
-    """
-    v = value.cast("double")
-    infinity = F.lit(float("inf"))
-    magnitude = F.floor(F.ln(F.abs(v)) * 64)
-    return (
-        F.when(v.isNull(), F.lit(None).cast("int"))
-        .when(F.isnan(v), 300000)
-        .when(v == infinity, 200000)
-        .when(v == -infinity, -200000)
-        .when(v > 0, magnitude + 50000)
-        .when(v < 0, -magnitude - 50000)
-        .otherwise(0)
-        .cast("int")
-    )
-
-
-def _common_prefix(low: Column, high: Column) -> Column:
-    """Length of the common prefix of two strings."""
-    places = F.sequence(F.lit(1), F.greatest(F.least(F.length(low), F.length(high)), F.lit(1)))
-    return F.aggregate(
-        places,
-        F.lit(0),
-        lambda n, i: F.when((n == i - 1) & (F.substr(low, i, F.lit(1)) == F.substr(high, i, F.lit(1))), i).otherwise(n),
-    )
 
+def _parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None) -> DataFrame | None:
+    """``df`` with ``_part``: the keys and a number that grows along ``order``; null if every key is small anyway.
 
-#: Quantiles at which times are cut before each range between two of them is cut at equal steps.
-TIME_RANGES = 64
-
-
-def _time_bucket(df: DataFrame, position: Column, rows: int | None) -> Column:
-    """Struct(ratio, step) of a time: the range between quantiles it lies in, and the equal step within that range.
-
-    Single values far from all others, such as a date that stands for "never", lie in the first or last range and leave the
-    others as they are. The quantiles are found once, when the plan is made, so every attempt of a task sees the same.
-    """
-    shares = [i / TIME_RANGES for i in range(TIME_RANGES + 1)]
-    found = df.agg(F.percentile_approx(position, shares, 100 * TIME_RANGES).alias("edges"), F.count(position).alias("n")).first()
-    n, edges = found["n"], sorted(set(found["edges"] or []))
-    parts = math.ceil(math.sqrt(n)) if rows is None else math.ceil(n / rows)
-    if parts <= 1 or len(edges) < 2:
-        return F.struct(F.lit(0).alias("ratio"), F.lit(0).cast("bigint").alias("step"))
-    steps = -(-parts // (len(edges) - 1))
-
-    def leaf(i: int) -> Column:
-        share = (position - F.lit(edges[i])).cast("double") / float(edges[i + 1] - edges[i])
-        step = F.least(F.greatest(F.floor(share * steps), F.lit(0).cast("bigint")), F.lit(steps - 1).cast("bigint"))
-        return F.struct(F.lit(i).alias("ratio"), step.alias("step"))
-
-    def tree(first: int, last: int) -> Column:
-        if first == last:
-            return leaf(first)
-        middle = (first + last + 1) // 2
-        return F.when(position < edges[middle], tree(first, middle - 1)).otherwise(tree(middle, last))
-
-    return tree(0, len(edges) - 2)
-
-
-def order_bucket(df: DataFrame, name: str, rows: int | None = BUCKET_ROWS) -> Column:
-    """Order-keeping bucket of column ``name``, fine enough for about ``rows`` rows in a bucket.
-
-    Without ``rows`` there are about as many buckets as rows in a bucket.
-
-    The number of rows and the extremes of the column are taken from one aggregate over it. Numbers
-    are cut at equal steps between the extremes and at equal ratios, so that neither a
-    narrow range nor a long tail ends up in one bucket; times at quantiles, then at equal steps; strings are cut by prefix
-    beyond what all have in common. Up to ``rows`` rows there is one bucket. The bucket follows from the value and exact
-    aggregates alone, so it is the same in every attempt of a task.
+    Without ``bucket``, the number counts off ``PART_ROWS`` rows in the order of keys and ``order``, so parts are even
+    for any type and any values, outliers and equal values included.
     """
-    data_type = df.schema[name].dataType
-    value = F.col(name)
-    if isinstance(data_type, T.TimestampType):
-        position = F.unix_micros(value)
-    elif isinstance(data_type, T.TimestampNTZType):
-        position = (
-            F.unix_date(value.cast("date")).cast("bigint") * 86400 + F.hour(value) * 3600 + F.minute(value) * 60
-        ) + F.floor(F.second(value))
-    elif isinstance(data_type, T.DateType):
-        position = F.unix_date(value)
-    elif isinstance(data_type, (T.NumericType, T.StringType)):
-        position = value
-    else:
-        return F.lit(0)
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.when(value.isNotNull(), _time_bucket(df, position, rows))
-    is_text = isinstance(data_type, T.StringType)
-    extremes = df.agg(F.min(position).alias("low"), F.max(position).alias("high"), F.count(F.lit(1)).alias("n"))
-    shared = _common_prefix(F.col("low"), F.col("high")) if is_text else F.lit(0)
-    bounds = extremes.select(F.struct("low", "high", "n", shared.alias("shared"))).scalar()
-    parts = F.ceil(F.sqrt(bounds["n"]) if rows is None else bounds["n"] / F.lit(rows)).cast("double")
-    if is_text:
-        # Each further character is taken to tell about ten values apart.
-        extra = F.greatest(F.ceil(F.log10(parts)) + 1, F.lit(2)).cast("int")
-        length = bounds["shared"] + extra
-        return F.when(value.isNull(), value).when(parts <= 1, F.lit("")).otherwise(F.substr(value, F.lit(1), length))
-    low, span = bounds["low"].cast("double"), bounds["high"].cast("double") - bounds["low"].cast("double")
-    usable = (span > 0) & (span < float("inf"))
-    linear = F.when(usable, F.floor((position.cast("double") - low) / span * parts)).otherwise(F.lit(0).cast("bigint"))
-    split = F.struct(
-        F.when(parts <= 1, F.lit(0)).otherwise(value_bucket(value)).alias("ratio"),
-        F.when(parts <= 1, F.lit(0).cast("bigint")).otherwise(linear).alias("step"),
-    )
-    return F.when(value.isNotNull(), split)
-
-
-def _with_parts(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
-    return df.withColumn("_part", F.struct(*[F.col(k) for k in keys], bucket.alias("_bucket")))
+    names = [F.col(k) for k in keys]
+    if bucket is not None:
+        return df.withColumn("_part", F.struct(*names, bucket.alias("_bucket")))
+    if df.count() <= PART_ROWS:
+        return None
+    ranked = with_global_rank(df, [*keys, *order], "_place_in_all")
+    number = F.floor(F.col("_place_in_all") / PART_ROWS)
+    return ranked.withColumn("_part", F.struct(*names, number.alias("_bucket"))).drop("_place_in_all")
 
 
 def _carried(totals: DataFrame, keys: Sequence[str], carries: dict[str, Column]) -> DataFrame:
-    """Carry of all earlier buckets of the same key; one row per (key, bucket)."""
+    """Carry of all earlier parts of the same key; one row per part."""
     groups = [F.col("_part").getField(k) for k in keys]
     before = (
         Window.partitionBy(*groups)
@@ -144,12 +48,12 @@ def running_sums(
     bucket: Column | None = None,
     bucketed: bool = True,
 ) -> DataFrame:
-    """Running sums per key in ``order``, computed per (key, bucket) plus a carry.
+    """Running sums per key in ``order``, computed per part of a key plus a carry.
 
-    ``sums`` maps a new column to its value and whether the current row counts. No task sorts a whole
-    key: rows are shuffled by (key, bucket) once, and only one row per bucket takes part in the window
-    over the key. ``bucket`` must keep the first order column's order. ``bucketed=False`` is for keys that
-    are small by nature, such as one function: a plain window, one shuffle.
+    ``sums`` maps a new column to its value and whether the current row counts. No task sorts more of a key than
+    ``PART_ROWS`` rows, and only one row per part takes part in the window over the key. A ``bucket`` given instead must
+    keep the first order column's order. ``bucketed=False`` is for keys that are small by nature, such as one function: a
+    plain window, one shuffle.
     """
     zero = F.lit(0)
 
@@ -157,10 +61,10 @@ def running_sums(
         frame = window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
         return F.coalesce(F.sum(value).over(frame), zero)
 
-    if not bucketed:
+    parts = _parts(df, keys, order, bucket) if bucketed else None
+    if parts is None:
         whole = Window.partitionBy(*keys)
         return df.select("*", *[local(whole, v, current).alias(n) for n, (v, current) in sums.items()])
-    parts = _with_parts(df, keys, order_bucket(df, order[0]) if bucket is None else bucket)
     inside = Window.partitionBy("_part")
     totals = parts.groupBy("_part").agg(*[F.sum(v).alias(f"_total_{n}") for n, (v, _) in sums.items()])
     carries = _carried(totals, keys, {f"_carry_{n}": F.sum(f"_total_{n}") for n in sums})
@@ -194,14 +98,14 @@ def last_before(
     bucket: Column | None = None,
     bucketed: bool = True,
 ) -> DataFrame:
-    """Last non-null ``value`` strictly before each row of the same key, bucket by bucket.
+    """Last non-null ``value`` strictly before each row of the same key, part by part.
 
     ``bucketed=False`` is for keys that are small by nature.
     """
-    if not bucketed:
+    parts = _parts(df, keys, order, bucket) if bucketed else None
+    if parts is None:
         before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(before))
-    parts = _with_parts(df, keys, order_bucket(df, order[0]) if bucket is None else bucket)
     parts = parts.withColumn("_value", value)
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     last = (
@@ -209,7 +113,7 @@ def last_before(
         .groupBy("_part")
         .agg(F.max_by("_value", F.struct(*order)).alias("_total"))
     )
-    # Buckets without a value of their own need a carry as well.
+    # Parts without a value of their own need a carry as well.
     buckets = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     totals = buckets.join(last, "_part", "left")
     offsets = _carried(totals, keys, {"_carry": F.last("_total", ignorenulls=True)})
