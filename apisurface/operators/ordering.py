@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apisurface.operators.windows import with_ordinal
+from apisurface.ordered import with_global_rank
 
 
 def ordered(df: DataFrame, kind: str, name: str, within: Sequence[str] = (), kinds: Sequence[str] = ("class", "function")) -> DataFrame:
@@ -36,12 +37,36 @@ def sample_order(seed: int, ids: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]))
 
 
+#: Samples of more rows are cut by a threshold in place of a sort.
+LARGE_SAMPLE = 10_000
+#: First characters of the key that are counted for it.
+COUNTED = 4
+
+
 def sample_k(df: DataFrame, k: int | None, seed: int, id: str, order: Column | None = None) -> DataFrame:
     """k rows without replacement in id order; everything when k is not smaller than the table.
 
-    The same seed gives the same rows. Each task keeps its k first rows only.
+    The same seed gives the same rows. For a small k each task keeps its k first rows only. For a large one, rows are counted by the
+    beginning of their key: what begins lower than the k-th row is in the sample without a sort, and only the rows that begin like it
+    are put in order. A large sample by an ``order`` of one's own goes by exact places.
     """
     if k is None:
         return df.orderBy(id)
-    key = sample_order(seed, [id]) if order is None else order
-    return df.withColumn("_key", key).orderBy("_key", id).limit(k).drop("_key").orderBy(id)
+    keyed = df.withColumn("_key", sample_order(seed, [id]) if order is None else order)
+    if k <= LARGE_SAMPLE:
+        return keyed.orderBy("_key", id).limit(k).drop("_key").orderBy(id)
+    if order is not None:
+        return with_global_rank(keyed, ["_key", id], "_place").where(F.col("_place") < k).drop("_key", "_place").orderBy(id)
+    begin = F.substring("_key", 1, COUNTED)
+    # At most 16^4 rows, whatever the table.
+    counts = sorted(keyed.groupBy(begin.alias("begin")).count().collect())
+    before = 0
+    for value, n in counts:
+        if before + n > k:
+            break
+        before += n
+    else:
+        return df.orderBy(id)
+    sure = keyed.where(begin < value)
+    rest = keyed.where(begin == value).orderBy("_key", id).limit(k - before)
+    return sure.unionByName(rest).drop("_key").orderBy(id)

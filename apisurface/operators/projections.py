@@ -82,8 +82,8 @@ def flatten_tree(
     """Nodes with dotted path, depth and the key that puts a module's text in order.
 
     ``sort_path`` sorts kinds in ``kind_order`` (direct functions before classes) and names within
-    each level. The tree is walked level by level; each level is one equi join and is cut from its
-    lineage. Ids are unique, so the walk ends; a node that does not hang below a root (its parent is missing,
+    each level. Paths are doubled: each round puts the path of the node a path begins below in front of it, so rounds grow with the
+    logarithm of the depth. Ids are unique; a node that does not hang below a root (its parent is missing,
     or it lies on a cycle) has no path: with ``orphans`` it comes out with nulls, else it is left out.
     """
     rank = F.lit(0) if kind is None else F.array_position(F.lit(list(kind_order)), F.col(kind)).cast("int")
@@ -93,32 +93,47 @@ def flatten_tree(
         F.col(name).cast("string").alias("_name"),
         rank.alias("_rank"),
     )
+    rows = cut_lineage(rows)
+    rooted = rows.join(_rooted(rows.select("_id", F.col("_parent").alias("_up"))), "_id", "left_semi")
     step = F.struct(F.col("_rank").alias("rank"), F.col("_name").alias("name"))
-    level = rows.where(F.col("_parent").isNull()).select(
-        "_id", F.col("_name").alias("path"), F.array(step).alias("sort_path"), F.lit(0).alias("depth")
-    )
-    children = cut_lineage(rows.where(F.col("_parent").isNotNull()))
-    levels = []
+    paths = cut_lineage(rooted.select("_id", F.col("_parent").alias("_up"), F.col("_name").alias("path"), F.array(step).alias("sort_path")))
+    done = None
     while True:
-        level = cut_lineage(level)
-        levels.append(level)
-        if level.isEmpty():
+        whole = paths.where(F.col("_up").isNull())
+        done = whole if done is None else done.unionByName(whole)
+        open_ = paths.where(F.col("_up").isNotNull())
+        if open_.isEmpty():
             break
-        parents = level.select(F.col("_id").alias("_parent"), "path", "sort_path", "depth")
-        level = children.join(parents, ["_parent"]).select(
-            "_id",
-            F.concat_ws(sep, "path", "_name").alias("path"),
-            F.concat("sort_path", F.array(step)).alias("sort_path"),
-            (F.col("depth") + 1).alias("depth"),
+        # What ended in earlier rounds is still wanted as a beginning.
+        above = done.unionByName(open_).select(
+            F.col("_id").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_head"), F.col("sort_path").alias("_sort_head")
+        )
+        paths = cut_lineage(
+            open_.join(above, "_up").select(
+                "_id", F.col("_next").alias("_up"), F.concat_ws(sep, "_head", "path").alias("path"), F.concat("_sort_head", "sort_path").alias("sort_path")
+            )
         )
-    result = levels[0]
-    for part in levels[1:]:
-        result = result.unionByName(part)
+    result = done.select("_id", "path", "sort_path", (F.size("sort_path") - 1).alias("depth"))
     if orphans:
         result = rows.select("_id").join(result, "_id", "left")
     return result.withColumnRenamed("_id", node_id)
 
 
+def _rooted(pointers: DataFrame) -> DataFrame:
+    """Ids (``_id``) from which the pointers ``_up`` lead to an end, by doubling; those on and below a cycle never get there."""
+    most, ended = pointers.count().bit_length() + 1, None
+    for _ in range(most):
+        there = pointers.where(F.col("_up").isNull()).select("_id")
+        ended = there if ended is None else ended.unionByName(there)
+        going = pointers.where(F.col("_up").isNotNull())
+        if going.isEmpty():
+            break
+        ahead = ended.select(F.col("_id").alias("_up"), F.lit(None).cast(dict(going.dtypes)["_up"]).alias("_next"))
+        ahead = ahead.unionByName(going.select(F.col("_id").alias("_up"), F.col("_up").alias("_next")))
+        pointers = cut_lineage(going.join(ahead, "_up").select("_id", F.col("_next").alias("_up")))
+    return ended
+
+
 def classify_callable(
     df: DataFrame,
     has_owner: Column,

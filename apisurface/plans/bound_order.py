@@ -248,6 +248,23 @@ def st4(t):
     return ST.reachable(edges, roots)
 
 
+@bound("st4_long_chains", "SELECT event_id AS node FROM events WHERE event_id % 1000 >= 500")
+def st4_chains(t):
+    """Events linked to the next of their thousand, reached from the middle of each."""
+    later = t.events.where(F.col("event_id") % 1000 != 999)
+    edges = later.select(F.col("event_id").alias("src"), (F.col("event_id") + 1).alias("dst"))
+    known = t.events.select(F.col("event_id").alias("node"))
+    found = ST.reachable(edges, known.where(F.col("node") % 1000 == 500))
+    return found.join(known, "node", "left_semi")
+
+
+@bound("sl4_large_sample", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (ORDER BY md5('3-' || l_orderkey), l_orderkey) AS r FROM (SELECT DISTINCT l_orderkey, 0 AS l_linenumber FROM lineitem)) WHERE r <= 12000")
+def sl4_large(t):
+    """A sample of more orders than are sorted in one task; a smaller table is given whole."""
+    orders = t.lineitem.select("l_orderkey", F.lit(0).alias("l_linenumber")).distinct()
+    return O.sample_k(orders, 12_000, 3, "l_orderkey")
+
+
 def event_stream(t):
     return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
 
@@ -326,6 +343,25 @@ def cv1(t):
     return part_diff(t)
 
 
+@bound(
+    "cv1_diff_grouped",
+    """
+    WITH a AS (SELECT p_partkey, p_brand, p_name, p_size FROM part WHERE p_partkey % 50 <> 7),
+         b AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 40 = 3 THEN p_name || '!' ELSE p_name END AS p_name, p_size FROM part WHERE p_partkey % 50 <> 9)
+    SELECT p_partkey, coalesce(b.p_brand, a.p_brand) AS p_brand, a.p_name AS old_p_name, b.p_name AS new_p_name,
+        CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'removed' WHEN a.p_name IS DISTINCT FROM b.p_name THEN 'changed' ELSE 'unchanged' END AS change
+    FROM a FULL OUTER JOIN b USING (p_partkey)
+    """,
+)
+def cv1_grouped(t):
+    """Two versions of the parts, matched by key only in groups of brand and size whose digests differ."""
+    parts = t.part.select("p_partkey", "p_brand", "p_name", F.concat_ws("/", "p_brand", "p_size").alias("shelf"))
+    old = parts.where(F.col("p_partkey") % 50 != 7)
+    renamed = F.when(F.col("p_partkey") % 40 == 3, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))
+    new = parts.where(F.col("p_partkey") % 50 != 9).withColumn("p_name", renamed)
+    return V.diff_grouped(old, new, "shelf", ["p_partkey"], ["p_name"], ["p_brand"]).drop("shelf")
+
+
 @bound(
     "cv2_diff_summary",
     f"""

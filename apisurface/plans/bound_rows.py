@@ -435,6 +435,23 @@ def prj6(t):
     return P.flatten_tree(nodes).select("node_id", "path", "depth")
 
 
+@bound(
+    "prj6_deep_tree",
+    """
+    SELECT event_id AS node_id, (event_id % 100)::INTEGER AS depth,
+        md5((SELECT string_agg('n' || i, '.' ORDER BY i) FROM range(event_id - event_id % 100, event_id + 1) r(i))) AS path
+    FROM events
+    """,
+)
+def prj6_deep(t):
+    """Events as nodes below the one before, a hundred to a stem."""
+    key = F.col("event_id")
+    nodes = t.events.select(
+        key.alias("node_id"), F.when(key % 100 != 0, key - 1).alias("parent_id"), F.concat(F.lit("n"), key.cast("string")).alias("name")
+    )
+    return P.flatten_tree(nodes).select("node_id", "depth", F.md5("path").alias("path"))
+
+
 @bound(
     "prj7_classify_callable",
     """

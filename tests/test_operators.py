@@ -14,7 +14,7 @@ from apisurface.operators import sets as ST
 from apisurface.operators import versions as V
 from apisurface.operators import windows as W
 from apisurface import skew
-from apisurface.skew import order_bucket, running_sums
+from apisurface.skew import running_sums
 
 
 def skewed(n, seed=1):
@@ -57,8 +57,8 @@ def test_running_sums_equal_brute_force(table, rows, fine_buckets):
 
 @pytest.fixture
 def fine_buckets(monkeypatch):
-    """Buckets of a few rows, so that small tables take the path of large ones."""
-    monkeypatch.setattr(skew.order_bucket, "__defaults__", (50,))
+    """Parts of a few rows, so that small tables take the path of large ones."""
+    monkeypatch.setattr(skew, "PART_ROWS", 50)
 
 
 CASES = {
@@ -72,31 +72,47 @@ CASES = {
 
 
 @pytest.mark.parametrize("kind", CASES)
-def test_buckets_keep_the_order(spark, kind):
+def test_parts_keep_the_order(spark, kind, monkeypatch):
+    monkeypatch.setattr(skew, "PART_ROWS", 2)
     raw = "string" if kind in ("date", "timestamp", "timestamp_ntz") else kind
     df = spark.createDataFrame([(v,) for v in CASES[kind]], f"v {raw}").select(F.col("v").cast(kind).alias("v"))
-    cut = df.withColumn("b", order_bucket(df, "v", rows=1))
-    by_value = [r["b"] for r in cut.orderBy("v", "b").collect()]
-    by_bucket = [r["b"] for r in cut.orderBy("b", "v").collect()]
-    assert by_value == by_bucket and by_value[0] is None
-    assert len(set(map(str, by_value))) >= min(4, len(CASES[kind]) - 1)
+    cut = running_sums(df, [], ["v"], {"n": (F.lit(1), True)})
+    assert [r["n"] for r in cut.orderBy("v").collect()] == list(range(1, len(CASES[kind]) + 1))
 
 
-def test_buckets_are_of_the_wanted_size(spark):
-    df = spark.range(100_000).select((F.col("id") + 10**9).alias("narrow"), F.exp(F.col("id") / 4000.0).alias("tail"))
-    for name in ("narrow", "tail"):
-        sizes = df.groupBy(order_bucket(df, name, rows=2000).alias("b")).count()
-        assert sizes.agg(F.max("count")).first()[0] < 4500
+OUTLIERS = {
+    "text": ("concat('https://host.example/a/', lpad(id, 9, '0'))", "SELECT 'abc' AS v UNION ALL SELECT ''"),
+    "number": ("id + 1e9", "SELECT -1e300D AS v UNION ALL SELECT double('Infinity')"),
+    "time": ("timestamp_seconds(1600000000 + id * 37)", "SELECT TIMESTAMP '9999-12-31' AS v UNION ALL SELECT TIMESTAMP '0001-01-01'"),
+}
 
 
-def test_one_far_date_leaves_the_buckets_even(spark):
-    times = spark.range(20_000).select(F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 37).alias("ts"))
-    far = spark.sql("SELECT TIMESTAMP '9999-12-31 00:00:00' AS ts UNION ALL SELECT TIMESTAMP '1970-01-01 00:00:00' UNION ALL SELECT NULL")
-    df = times.unionByName(far)
-    cut = df.withColumn("b", order_bucket(df, "ts", rows=100))
-    assert cut.groupBy("b").count().agg(F.max("count")).first()[0] <= 400
-    rows = [r for r in cut.orderBy("ts").collect() if r["ts"] is not None]
-    assert all(tuple(a["b"]) <= tuple(b["b"]) for a, b in zip(rows, rows[1:]))
+@pytest.mark.parametrize("kind", OUTLIERS)
+def test_outliers_and_equal_values_leave_the_parts_even(spark, kind, monkeypatch):
+    monkeypatch.setattr(skew, "PART_ROWS", 500)
+    value, far = OUTLIERS[kind]
+    df = spark.range(4000).selectExpr(f"{value} AS v").unionByName(spark.sql(far))
+    same = df.limit(1).crossJoin(spark.range(2000)).select("v")
+    for rows in (df, df.unionByName(same)):
+        parts = skew._parts(rows, [], ["v"], None)
+        sizes = [r["count"] for r in parts.groupBy("_part").count().collect()]
+        assert max(sizes) <= 500 and sum(sizes) == rows.count()
+
+
+def test_percentiles_of_outliers_ties_and_odd_numbers(spark, monkeypatch):
+    rng = random.Random(4)
+    values = [rng.choice([5.0, rng.gauss(0, 1), 1e300, -1e300]) for _ in range(6000)] + [float("nan")] * 40 + [float("inf"), None, None]
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "v double, g int").repartition(5)
+    order = lambda v: (v != v, v)
+    quantiles = {"low": 0.0, "a": 0.003, "mid": 0.5, "high": 0.997, "top": 1.0}
+    for bracket, items in ((A.BRACKET, A.SKETCH_ITEMS), (0.0021, 8)):
+        monkeypatch.setattr(A, "BRACKET", bracket)
+        monkeypatch.setattr(A, "SKETCH_ITEMS", items)
+        for row in A.floor_percentiles(df, "v", quantiles, ["g"]).collect():
+            mine = sorted((v for i, v in enumerate(values) if i % 3 == row["g"] and v is not None), key=order)
+            for name, q in quantiles.items():
+                want = mine[int((len(mine) - 1) * q)]
+                assert row[name] == want or (row[name] != row[name] and want != want)
 
 
 @pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.9, 0.95, 1.0])
@@ -342,3 +358,52 @@ def test_infinite_values_do_not_break_percentiles(spark):
     df = spark.createDataFrame([(math.inf,), (-math.inf,), (0.0,), (1.0,), (1.0,)], "v double")
     row = A.floor_percentiles(df, "v", {"lo": 0.0, "mid": 0.5, "hi": 1.0}).first()
     assert (row["lo"], row["mid"], row["hi"]) == (-math.inf, 1.0, math.inf)
+
+
+def test_long_chains_branches_and_cycles_are_reached(spark, monkeypatch):
+    monkeypatch.setattr(ST, "PLAIN_ROUNDS", 2)
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(300)] + [(150, 1000), (1000, 1001), (1001, 1000), (400, 401), (5, 900), (901, 902)]
+    edges += [(1100 + i, 1101 + i) for i in range(40)] + [(280, 1100), (1140, 1100)] + [(rng.randrange(2000, 2050), rng.randrange(2000, 2050)) for _ in range(60)]
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    want, todo = set(), [3, 2001, 7777]
+    while todo:
+        node = todo.pop()
+        if node not in want:
+            want.add(node)
+            todo += after.get(node, ())
+    got = [r["node"] for r in ST.reachable(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(3,), (2001,), (7777,)], "node long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_deep_trees_cycles_and_orphans(spark):
+    nodes = [(0, None, "n0")] + [(i, i - 1, f"n{i}") for i in range(1, 200)] + [(300, 301, "a"), (301, 300, "b"), (302, 300, "c"), (400, 999, "lost"), (401, 400, "too")]
+    df = spark.createDataFrame(nodes, "node_id long, parent_id long, name string").repartition(3)
+    got = {r["node_id"]: (r["path"], r["depth"]) for r in P.flatten_tree(df, orphans=True).collect()}
+    want = {i: (".".join(f"n{k}" for k in range(i + 1)), i) for i in range(200)}
+    assert got == want | {i: (None, None) for i in (300, 301, 302, 400, 401)}
+    assert P.flatten_tree(df).count() == 200 and P.flatten_tree(df.limit(0)).collect() == []
+
+
+def test_large_samples_equal_small_ones(spark, monkeypatch):
+    df = spark.range(3000).repartition(4)
+    for k in (0, 1, 137, 2999, 3000, 9999):
+        small = [r["id"] for r in O.sample_k(df, k, 5, "id").collect()]
+        monkeypatch.setattr(O, "LARGE_SAMPLE", -1)
+        assert [r["id"] for r in O.sample_k(df, k, 5, "id").collect()] == small
+        monkeypatch.setattr(O, "LARGE_SAMPLE", 10_000)
+        assert len(small) == min(k, 3000)
+    monkeypatch.setattr(O, "LARGE_SAMPLE", -1)
+    assert [r["id"] for r in O.sample_k(df, 10, 5, "id", order=-F.col("id")).collect()] == list(range(2990, 3000))
+
+
+def test_grouped_diff_equals_the_plain_one(spark):
+    rng = random.Random(2)
+    a = [(i, rng.choice(["m", "n", None, "o", "p"]), f"s{rng.randrange(3)}") for i in range(200)]
+    b = [(i, "q" if i == 7 else m, "new" if m == "n" and i % 3 == 0 else s) for i, m, s in a if not (m == "o" and i % 5 == 0)] + [(1000, "r", "s"), (1001, None, "t")]
+    one, two = (spark.createDataFrame(rows, "k int, m string, s string").repartition(3) for rows in (a, b))
+    plain = V.diff_catalogs(one, two, ["k"], ["s"], ["m"])
+    got = V.diff_grouped(one, two, "m", ["k"], ["s"]).select(*plain.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
