@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,27 +17,50 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in names.items()])
 
 
-#: Rows of whole texts that go to Python at a time; the default of 10,000 would take much memory on both sides.
-TEXT_ROWS = 2000
+#: Rows of whole texts that are Python objects at a time. The batches they are cut from are bounded in bytes by Spark.
+TEXT_ROWS = 500
+
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def in_batches(df: DataFrame) -> DataFrame:
-    """``df`` as it is, in a session that hands at most ``TEXT_ROWS`` rows to Python at a time."""
+    """``df`` as it is, in a session that hands at most ``2000`` rows to Python at a time."""
     conf = df.sparkSession.conf
     now = int(conf.get(BATCH_ROWS))
-    if now <= 0 or now > TEXT_ROWS:
-        conf.set(BATCH_ROWS, str(TEXT_ROWS))
+    if now <= 0 or now > 2000:
+        conf.set(BATCH_ROWS, str(2000))
     return df
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches of a task cut to at most ``rows`` rows each, so that few texts are Python objects at a time; empty ones go."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
 
 
+def _give_back() -> None:
+    """Return memory that was freed to the system: workers are used again, and each operator would add what it needed at most."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow``, whose tasks give their memory back when they end."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: no lineage, safe from lost executors."""
     spark = df.sparkSession

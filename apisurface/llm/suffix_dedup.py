@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apisurface.llm.frames import fresh, in_batches, pick, stored
+from apisurface.llm.frames import fresh, in_arrow, pick, sliced, stored
 from apisurface.llm.hashing import U64, mix, prefix_hashes, stretch, windows
 
 ANCHOR = 32
@@ -26,13 +26,12 @@ ANCHOR = 32
 CHUNK = 1 << 19
 PLACE_BITS = U64(20)
 #: Anchors of one task that are compared with each other before they leave it.
-COMBINE = 1_000_000
+COMBINE = 200_000
 #: Contexts that are sorted at a time, if their anchors end there.
 SORT_CONTEXTS = 4096
 #: Windows that are sorted at a time.
 SORT_WINDOWS = 400_000
 NO_ID = -(1 << 63)
-TIE_BITS = 15
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -48,31 +47,34 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """Runs of windows that share an anchor: its hash, a hash of all the bytes they cover, first and last start, its place."""
-    prefix = prefix_hashes(data)
-    stretches = mix(windows(prefix, ANCHOR))
     reach = width - ANCHOR + 1
     mask = (U64(1) << PLACE_BITS) - U64(1)
     found = []
-    for at in range(0, len(data) - width + 1, CHUNK):
-        part = stretches[at : at + CHUNK + reach - 1]
-        keys = (part & ~mask) | np.arange(len(part), dtype=U64)
-        found.append((sliding_min(keys, reach) & mask).astype(np.int64) + at)
-    place = np.concatenate(found)
-    first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-    last = np.concatenate([first[1:], [len(place)]]) - 1
-    place = place[first]
-    around = stretch(prefix, first, last + width)
-    whole = mix(around ^ mix(((place - first) * 128 + (last - first)).astype(U64)))
-    return stretches[place], whole, first, last, place
-
-
-def packed(tie: np.ndarray, start: np.ndarray, length: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """Tie, start, further starts and anchor offset in one number that sorts by tie, then start."""
-    return (tie << 48) | (start << 14) | (length << 7) | offset
+    at, n_windows = 0, len(data) - width + 1
+    while at < n_windows:
+        # Only the bytes of one chunk are taken apart at a time; the run that its end may cut begins the next chunk.
+        prefix = prefix_hashes(data[at : at + CHUNK + width - 1])
+        stretches = mix(windows(prefix, ANCHOR))
+        place = (sliding_min((stretches & ~mask) | np.arange(len(stretches), dtype=U64), reach) & mask).astype(np.int64)
+        first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+        last = np.concatenate([first[1:], [len(place)]]) - 1
+        if at + len(place) < n_windows and len(first) > 1:
+            first, last = first[:-1], last[:-1]
+        place = place[first]
+        around = stretch(prefix, first, last + width)
+        whole = mix(around ^ mix(((place - first) * 128 + (last - first)).astype(U64)))
+        found.append((stretches[place], whole, first + at, last + at, place + at))
+        at += int(last[-1]) + 1
+    return tuple(np.concatenate(columns) for columns in zip(*found, strict=True))
+
+
+def packed(start: np.ndarray, length: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Start, further starts and anchor offset in one number that sorts by start."""
+    return (start << 14) | (length << 7) | offset
 
 
 def unpacked(pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    return pos >> 48, (pos >> 14) & ((1 << 34) - 1), (pos >> 7) & 127, pos & 127
+    return pos >> 14, (pos >> 7) & 127, pos & 127
 
 
 def find_anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -89,11 +91,11 @@ def find_anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
         doc = np.repeat(np.array([d[0] for d in docs], np.int64), counts)
         tie = np.repeat(np.array([d[1] for d in docs], np.int64), counts)
         docs, size = [], 0
-        pos = packed(tie, first, last - first, place - first)
-        order = np.lexsort((pos, doc, c, a))
-        yield from class_rows(a[order], c[order], doc[order], pos[order], width)
+        pos = packed(first, last - first, place - first)
+        order = np.lexsort((pos, tie, doc, c, a))
+        yield from class_rows(a[order], c[order], doc[order], tie[order], pos[order], width)
 
-    for batch in batches:
+    for batch in sliced(batches):
         rows = zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True)
         for doc, tie, text in rows:
             data = np.frombuffer(text, np.uint8)
@@ -105,15 +107,20 @@ def find_anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
     yield from flush()
 
 
-def class_rows(a: np.ndarray, c: np.ndarray, doc: np.ndarray, pos: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+def class_rows(a: np.ndarray, c: np.ndarray, doc: np.ndarray, tie: np.ndarray, pos: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
     """Of sorted anchors: the first of each class with ``until`` -1, and spans (until >= 0) of the others, dealt by document."""
     head, of_class = class_heads(a, c)
-    later = (doc != doc[of_class]) | (pos != pos[of_class])
-    yield anchor_batch(a[head], c[head], doc[head], pos[head], np.full(int(head.sum()), -1, np.int64))
-    tie, start, more, _ = unpacked(pos[later])
-    d, tie, start, end = merged_spans(doc[later], tie, start, start + more + width)
+    later = later_rows(of_class, doc, tie, pos)
+    yield anchor_batch(a[head], c[head], doc[head], tie[head], pos[head], np.full(int(head.sum()), -1, np.int64))
+    start, more, _ = unpacked(pos[later])
+    d, tie, start, end = merged_spans(doc[later], tie[later], start, start + more + width)
     zero = np.zeros(len(d), np.int64)
-    yield anchor_batch(mix(d.astype(U64)), zero.astype(U64), d, packed(tie, start, zero, zero), end)
+    yield anchor_batch(mix(d.astype(U64) ^ mix(tie.astype(U64))), zero.astype(U64), d, tie, packed(start, zero, zero), end)
+
+
+def later_rows(of_class: np.ndarray, *places: np.ndarray) -> np.ndarray:
+    """Which rows lie elsewhere than the first of their class; rows of equal documents lie in one place."""
+    return np.logical_or.reduce([p != p[of_class] for p in places])
 
 
 def class_heads(a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,9 +148,9 @@ def merged_spans(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.nd
     return doc[heads], tie[heads], start[heads], reach[tails]
 
 
-def anchor_batch(a, c, doc, pos, until) -> pa.RecordBatch:
-    columns = [pa.array(x) for x in (a.view(np.int64), c.view(np.int64), doc, pos, until)]
-    return pa.record_batch(columns, ["a", "c", "doc", "pos", "until"])
+def anchor_batch(a, c, doc, tie, pos, until) -> pa.RecordBatch:
+    columns = [pa.array(x) for x in (a.view(np.int64), c.view(np.int64), doc, tie, pos, until)]
+    return pa.record_batch(columns, ["a", "c", "doc", "tie", "pos", "until"])
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], columns: int, at_least: int) -> Iterator[list]:
@@ -171,22 +178,21 @@ def groups_of(batches: Iterator[pa.RecordBatch], columns: int, at_least: int) ->
 
 def judge_anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Of anchors sorted by hash, class, document and place: spans of later class members, and first members to be sorted."""
-    for columns in groups_of(batches, 5, 200_000):
-        a, c, doc, pos, until = (x.to_numpy(zero_copy_only=False) for x in columns)
+    for columns in groups_of(batches, 6, 100_000):
+        a, c, doc, tie, pos, until = (x.to_numpy(zero_copy_only=False) for x in columns)
         told = until >= 0
-        tie, start, _, _ = unpacked(pos[told])
-        yield span_batch(doc[told], tie, start, until[told])
-        a, c, doc, pos = a[~told], c[~told], doc[~told], pos[~told]
+        yield span_batch(doc[told], tie[told], unpacked(pos[told])[0], until[told])
+        a, c, doc, tie, pos = a[~told], c[~told], doc[~told], tie[~told], pos[~told]
         head, of_class = class_heads(a, c)
-        later = (doc != doc[of_class]) | (pos != pos[of_class])
-        tie, start, more, _ = unpacked(pos[later])
-        yield span_batch(*merged_spans(doc[later], tie, start, start + more + width))
-        a, doc, pos = a[head], doc[head], pos[head]
+        later = later_rows(of_class, doc, tie, pos)
+        start, more, _ = unpacked(pos[later])
+        yield span_batch(*merged_spans(doc[later], tie[later], start, start + more + width))
+        a, doc, tie, pos = a[head], doc[head], tie[head], pos[head]
         several = np.zeros(len(a), bool)
         several[1:] = a[1:] == a[:-1]
         several[:-1] |= several[1:].copy()
-        tie, start, more, offset = unpacked(pos[several])
-        yield span_batch(doc[several], tie, start, start + more + width, a[several], offset)
+        start, more, offset = unpacked(pos[several])
+        yield span_batch(doc[several], tie[several], start, start + more + width, a[several], offset)
 
 
 def span_batch(doc, tie, start, end, a=None, offset=None) -> pa.RecordBatch:
@@ -197,7 +203,7 @@ def span_batch(doc, tie, start, end, a=None, offset=None) -> pa.RecordBatch:
 
 def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around the anchors to be sorted, from the texts they lie in."""
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[tuple] = []
         for doc, tie, text, reps in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
             out.extend((r["a"], doc, tie, r["start"], r["offset"], text[r["start"] : r["end"]]) for r in reps)
@@ -328,7 +334,7 @@ def merged_runs(spans) -> list[list[int]]:
 
 def apply_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Maximal spans and the bytes outside of them."""
-    for batch in batches:
+    for batch in sliced(batches):
         out = []
         for doc, text, spans in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], strict=True):
             runs = merged_runs(spans or ())
@@ -342,10 +348,10 @@ def apply_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Documents as ``doc`` (id, the least number for null), ``tie`` (some bits of a hash of the text) and ``text`` in bytes."""
-    return in_batches(pick(docs, _id=id_col, _text=text_col)).select(
+    """Documents as ``doc`` (id, the least number for null), ``tie`` (a hash of the text, 64 bits) and ``text`` in bytes."""
+    return pick(docs, _id=id_col, _text=text_col).select(
         F.coalesce(F.col("_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
-        F.xxhash64("_text").bitwiseAND((1 << TIE_BITS) - 1).alias("tie"),
+        F.xxhash64("_text").alias("tie"),
         F.coalesce(F.col("_text").cast("binary"), F.lit(b"")).alias("text"),
     )
 
@@ -358,17 +364,17 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
     """
     if width - ANCHOR > 126 or width <= ANCHOR:
         raise ValueError("width must lie between 33 and 158")
-    found = rows.mapInArrow(lambda b: find_anchors(b, width), "a long, c long, doc long, pos long, until long")
-    dealt = found.repartition("a").sortWithinPartitions("a", "c", "doc", "pos")
-    judged = stored(dealt.mapInArrow(lambda b: judge_anchors(b, width), SPANS), "anchors")
+    found = in_arrow(rows, lambda b: find_anchors(b, width), "a long, c long, doc long, tie long, pos long, until long")
+    dealt = found.repartition("a").sortWithinPartitions("a", "c", "doc", "tie", "pos")
+    judged = stored(in_arrow(dealt, lambda b: judge_anchors(b, width), SPANS), "anchors")
     reps = judged.where(F.col("a").isNotNull()).groupBy("doc", "tie")
     reps = reps.agg(F.collect_list(F.struct("a", "start", "end", "offset")).alias("reps"))
     # Rows of the same id and text are one document here: each context once, or every window of it would repeat itself.
-    sources = rows.join(reps.select("doc", "tie"), ["doc", "tie"], "left_semi").dropDuplicates(["doc", "tie", "text"])
+    sources = rows.join(reps.select("doc", "tie"), ["doc", "tie"], "left_semi").dropDuplicates(["doc", "tie"])
     contexts = sources.join(reps, ["doc", "tie"]).select("doc", "tie", "text", "reps")
-    contexts = contexts.mapInArrow(cut_contexts, "a long, doc long, tie long, start long, offset long, bytes binary")
+    contexts = in_arrow(contexts, cut_contexts, "a long, doc long, tie long, start long, offset long, bytes binary")
     contexts = contexts.repartition("a").sortWithinPartitions("a", "doc", "tie", "start")
-    more = contexts.mapInArrow(lambda b: sort_contexts(b, width), SPANS)
+    more = in_arrow(contexts, lambda b: sort_contexts(b, width), SPANS)
     spans = judged.where(F.col("a").isNull()).unionByName(more).groupBy("doc", "tie")
     return spans.agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -383,7 +389,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, width: int = 100)
     """
     rows = keyed(docs, id_col, text_col)
     joined = rows.join(repeated_spans(rows, width), ["doc", "tie"], "left").select("doc", "tie", "text", "spans")
-    return joined.mapInArrow(apply_spans, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return in_arrow(joined, apply_spans, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def without_spans(text: str | None, spans: list[dict] | None) -> str | None:
@@ -411,14 +417,14 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, width: int = 100
     spans = repeated_spans(keyed(source, id_col, text_col), width)
     doc, tie, found = (fresh(n, source.columns) for n in ("_doc_key", "_tie_key", "_spans"))
     key = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)).alias(doc)
-    rows = source.select("*", key, F.xxhash64(f"`{text_col}`").bitwiseAND((1 << TIE_BITS) - 1).alias(tie))
+    rows = source.select("*", key, F.xxhash64(f"`{text_col}`").alias(tie))
     spans = spans.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("spans").alias(found))
     joined = rows.join(spans, [doc, tie], "left").select(*[F.col(f"`{c}`") for c in source.columns], found)
     place = source.columns.index(text_col)
     schema = T.StructType([*source.schema.fields, T.StructField("repeated", T.BooleanType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns = list(batch.columns)
             all_spans = columns.pop().to_pylist()
             texts = columns[place].to_pylist()
@@ -426,7 +432,7 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, width: int = 100
             columns.append(pa.array([bool(s) for s in all_spans], pa.bool_()))
             yield pa.record_batch(columns, [*batch.schema.names[:-1], "repeated"])
 
-    return joined.mapInArrow(cut, schema)
+    return in_arrow(joined, cut, schema)
 
 
 SPANS = "doc long, tie long, start long, end long, a long, offset long"

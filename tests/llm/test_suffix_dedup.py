@@ -115,3 +115,33 @@ def test_sorted_suffixes():
     assert [keys[i] for i in order] == sorted(keys)
     assert list(order) == sorted(range(860), key=lambda i: (keys[i], i))
     assert all(equal[k] == (keys[order[k]] == keys[order[k - 1]]) for k in range(1, 860))
+
+
+def unique_text(rng, n=300):
+    return "".join(rng.choices("abcdefghijklmnop ", k=n))
+
+
+@pytest.mark.parametrize("doc", [None, 7])
+def test_many_texts_of_one_id_share_no_spans(spark, doc):
+    rng = random.Random(11)
+    passage = unique_text(rng, 150)
+    rows = [(doc, unique_text(rng, rng.choice([90, 300])) + (passage if i % 2 else "")) for i in range(1200)]
+    df = spark.createDataFrame([(a, b, "x") for a, b in rows], SCHEMA).repartition(4)
+    for r in suffix_dedup.find_repeats(df, "doc_id", "text").collect():
+        # The passage, and at most the few letters before it that agree by chance.
+        assert all(150 <= x["end"] - x["start"] < 160 for x in r["spans"])
+    found = suffix_dedup.find_repeats(df, "doc_id", "text").where("size(spans) > 0").count()
+    assert found == 599
+    out = [r for r in suffix_dedup.remove_repeats(df, "doc_id", "text").collect()]
+    assert sum(r["repeated"] for r in out) == 599
+    whole = {t for _, t in rows if not t.endswith(passage)}
+    assert whole <= {r["text"] for r in out if not r["repeated"]}
+
+
+def test_very_long_text(spark):
+    rng = random.Random(12)
+    text = unique_text(rng, 1_300_000)
+    rows = [(1, text), (2, "x" + text[600_000:700_000] + "y")]
+    df = spark.createDataFrame([(a, b, "x") for a, b in rows], SCHEMA)
+    got = {r["doc_id"]: r for r in suffix_dedup.find_repeats(df, "doc_id", "text").collect()}
+    assert got[1]["spans"] == [] and bytes(got[2]["kept"]) == b"xy"
