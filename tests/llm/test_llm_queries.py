@@ -18,7 +18,7 @@ def test_query(spark, name):
     assert got
     if name in catalog.oracles():
         duck = duckdb.connect()
-        for table in ("documents", "embeddings", "pages", "conversations"):
+        for table in ("documents", "embeddings", "pages", "labels", "conversations"):
             duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
         sql = duck.sql(catalog.oracles()[name])
         places = [sql.columns.index(c) for c in sorted(sql.columns)]
@@ -26,7 +26,7 @@ def test_query(spark, name):
         assert got == sorted(str(tuple(r[i] for i in places)) for r in sql.fetchall())
 
 
-def test_ten_operators_and_the_pipeline():
+def test_operators_and_the_pipeline():
     names = catalog.queries()
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
