@@ -2,8 +2,9 @@
 
 The order puts rare n-grams first (frequent ones are known from a bounded table), the rest by hash. Two sets of the wanted
 similarity share an n-gram among the first few of both, so candidates meet in the buckets of these; sizes, places and
-bitmaps of the sets rule out most of them. For the overlap of a candidate pair both sets are cut into fragments, which are ranges
-of the hash and not of that order; all fragments of a pair are intersected in its own row and the counts are summed there. Equal sets count as one from the start.
+bitmaps of the sets rule out most of them. Overlaps are counted by vertical partitioning: the global order is cut into fragments,
+each set is dealt to rows of one fragment each, fragments of the two sets of a candidate pair meet by document and
+fragment, and their counts are summed for the pair. Equal sets count as one from the start.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apisurface.llm.components import connected_components
-from apisurface.llm.frames import in_batches, pick, stored
+from apisurface.llm.frames import in_arrow, pick, sliced, stored
 from apisurface.llm.hashing import U64, mix
 from apisurface.llm.shingles import shingle_hashes
 
@@ -33,7 +34,10 @@ LARGE_BUCKET = 64
 PROBES = 16
 #: Pairs that are tested at a time.
 TILE = 1 << 20
-FRAGMENTS = 8
+#: Cuts of the global order: equal ranges of the hashes of n-grams not known as frequent, and the frequent ones behind them.
+FRAGMENTS = 4
+#: Sets that a task remembers in order not to give them out again: 8 MB whatever the data.
+REMEMBERED_SETS = 1 << 20
 #: 64-bit words of the filter of wanted documents: 8 MB whatever the data; beyond it lets more through, which a join removes.
 FILTER_WORDS = 1 << 20
 
@@ -76,7 +80,7 @@ def profiles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         none = [pa.nulls(int(often.sum()), k) for k in kinds[:5]]
         yield pa.record_batch([*none, pa.array(grams[often].view(np.int64)), pa.array(times[often])], fields)
 
-    for batch in batches:
+    for batch in sliced(batches):
         docs, sigs, sizes, maps, wides = [], [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             hashes = shingle_hashes(text or b"", words)
@@ -90,7 +94,7 @@ def profiles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
             size += len(hashes)
         columns = [pa.array(x, k) for x, k in zip((docs, sigs, sizes, maps, wides), kinds, strict=False)]
         yield pa.record_batch([*columns, *[pa.nulls(len(docs), k) for k in kinds[5:]]], fields)
-        if size > 2_000_000:
+        if size > 1_000_000:
             yield from counted()
             held, size = [], 0
     if held:
@@ -115,19 +119,19 @@ def prefix_size(n: int, similarity: tuple[int, int]) -> int:
 def prefixes(batches: Iterator[pa.RecordBatch], words: int, similarity: tuple[int, int], frequent) -> Iterator[pa.RecordBatch]:
     """(gram, sig, n, place) of the first members of each set; sets that a task has met already are left out."""
     grams, ranks = frequent.value
-    met: set[tuple[int, int]] = set()
-    for batch in batches:
+    met = np.zeros(REMEMBERED_SETS, np.int64)
+    for batch in sliced(batches):
         out = []
         for text in batch.column(0).to_pylist():
             hashes = shingle_hashes(text or b"", words)
             n = len(hashes)
-            key = (signature(hashes), n)
-            if not n or key in met:
+            key = signature(hashes)
+            slot = key & (REMEMBERED_SETS - 1)
+            if not n or met[slot] == key:
                 continue
-            if len(met) < 1_000_000:
-                met.add(key)
+            met[slot] = key
             first = ordered(hashes, grams, ranks)[: prefix_size(n, similarity)]
-            out.append((first.view(np.int64), key[0], n))
+            out.append((first.view(np.int64), key, n))
         sizes = [len(x[0]) for x in out]
         columns = [
             np.concatenate([x[0] for x in out]) if out else np.zeros(0, np.int64),
@@ -237,18 +241,20 @@ PAIRS = ["s1", "n1", "d1", "s2", "n2", "d2"]
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs that reach the similarity: partial overlaps are counted fragment by fragment and summed per pair.
+    """Pairs that reach the similarity: overlaps are counted by pair and fragment, and summed for the pair.
 
-    Rows of ``sets`` may be repeated; a pair counts once.
+    Rows of ``sets`` may be repeated; a pair counts once in each fragment.
     """
     part, whole = similarity
     one, two = (
-        sets.select(*[F.col(c).alias(f"{name}{k}") for c, name in (("doc", "d"), ("sig", "s"), ("n", "n"), ("fragments", "f"))]) for k in (1, 2)
+        sets.select("fragment", *[F.col(c).alias(f"{name}{k}") for c, name in (("doc", "d"), ("sig", "s"), ("n", "n"), ("grams", "g"))])
+        for k in (1, 2)
     )
-    joined = pairs.join(one, ["d1", "s1", "n1"]).join(two, ["d2", "s2", "n2"])
-    partial = F.zip_with("f1", "f2", lambda a, b: F.size(F.array_intersect(a, b)).cast("bigint"))
-    shared = F.aggregate(partial, F.lit(0).cast("bigint"), lambda total, count: total + count)
-    total = joined.select(*PAIRS, shared.alias("shared")).groupBy(*PAIRS).agg(F.max("shared").alias("shared"))
+    dealt = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(i) for i in range(FRAGMENTS)])))
+    joined = dealt.join(one, ["d1", "s1", "n1", "fragment"]).join(two, ["d2", "s2", "n2", "fragment"])
+    partial = joined.select(*PAIRS, "fragment", F.size(F.array_intersect("g1", "g2")).cast("bigint").alias("partial"))
+    partial = partial.groupBy(*PAIRS, "fragment").agg(F.max("partial").alias("partial"))
+    total = partial.groupBy(*PAIRS).agg(F.sum("partial").alias("shared"))
     return total.where(F.col("shared") * whole >= (F.col("n1") + F.col("n2") - F.col("shared")) * part)
 
 
@@ -263,24 +269,40 @@ def filter_words(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def cut_fragments(batches: Iterator[pa.RecordBatch], words: int, wanted) -> Iterator[pa.RecordBatch]:
-    """Sets of the documents that may be wanted (doc, its hash, text), cut to fragments: equal ranges of the hash."""
-    filter_ = wanted.value
+def fragment_of(hashes: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The fragment of the global order each n-gram lies in; ``grams`` are the frequent ones, which come last."""
+    ranges = U64(FRAGMENTS - 1)
+    fragment = ((hashes >> U64(32)) * ranges >> U64(32)).astype(np.int64)
+    if len(grams):
+        at = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
+        fragment[grams[at] == hashes] = FRAGMENTS - 1
+    return fragment
+
+
+def cut_fragments(batches: Iterator[pa.RecordBatch], words: int, wanted, frequent) -> Iterator[pa.RecordBatch]:
+    """Sets of the documents that may be wanted (doc, its hash, text), a row for each fragment they have members of."""
+    filter_, (grams, _) = wanted.value, frequent.value
     one = U64(1)
-    for batch in batches:
+    for batch in sliced(batches):
         h = batch.column(1).to_numpy().view(U64)
         passed = np.flatnonzero(filter_[(h >> U64(6)) & U64(FILTER_WORDS - 1)] >> (h & U64(63)) & one)
         docs, texts = batch.column(0).to_pylist(), batch.column(2)
         for at in range(0, len(passed), 200):
-            rows = passed[at : at + 200]
-            sets = [shingle_hashes(texts[int(i)].as_py() or b"", words) for i in rows]
-            ends = np.arange(1, FRAGMENTS, dtype=U64)
-            parts = [p.view(np.int64) for s in sets for p in np.split(s, np.searchsorted(s >> U64(64 - FRAGMENTS.bit_length() + 1), ends))]
-            values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)), values)
-            outer = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * FRAGMENTS), inner)
-            columns = [[docs[i] for i in rows], [signature(s) for s in sets], [len(s) for s in sets]]
-            yield pa.record_batch([*[pa.array(c, pa.int64()) for c in columns], outer], ["doc", "sig", "n", "fragments"])
+            rows, parts = [], []
+            for i in passed[at : at + 200]:
+                members = shingle_hashes(texts[int(i)].as_py() or b"", words)
+                fragment = fragment_of(members, grams)
+                sig = signature(members)
+                for f in np.unique(fragment):
+                    rows.append((docs[i], sig, len(members), int(f)))
+                    parts.append(members[fragment == f].view(np.int64))
+            if not rows:
+                continue
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.record_batch([*columns, lists], ["doc", "sig", "n", "fragment", "grams"])
 
 
 def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, similarity: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -293,10 +315,9 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, si
     different sets are found or follow from others.
     """
     spark = docs.sparkSession
-    texts = in_batches(pick(docs, _id=id_col, _text=text_col))
-    texts = texts.select(F.coalesce(F.col("_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.col("_text").cast("binary").alias("text"))
+    texts = pick(docs, _id=id_col, _text=text_col).select(F.coalesce(F.col("_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.col("_text").cast("binary").alias("text"))
     profile = stored(
-        texts.mapInArrow(lambda b: profiles(b, words), "doc long, sig long, n long, bitmap binary, wide binary, gram long, times long"), "profiles"
+        in_arrow(texts, lambda b: profiles(b, words), "doc long, sig long, n long, bitmap binary, wide binary, gram long, times long"), "profiles"
     )
     counts = profile.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("times").alias("times"))
     top = counts.where(F.col("times") >= FREQUENT_FROM).orderBy(F.desc("times"), "gram").limit(FREQUENT).toPandas()
@@ -307,11 +328,11 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, si
     classes = sets.groupBy("sig", "n").agg(F.min("doc").alias("first"), F.first("bitmap").alias("bitmap"))
     classes = stored(classes, "classes")
 
-    entries = texts.select("text").mapInArrow(
-        lambda b: prefixes(b, words, similarity, frequent), "gram long, sig long, n long, place long"
+    entries = in_arrow(
+        texts.select("text"), lambda b: prefixes(b, words, similarity, frequent), "gram long, sig long, n long, place long"
     )
     dealt = entries.repartition("gram").sortWithinPartitions("gram", "sig", "n")
-    repeated = stored(dealt.mapInArrow(keep_repeated, BUCKETS), "buckets")
+    repeated = stored(in_arrow(dealt, keep_repeated, BUCKETS), "buckets")
     # Of buckets that hold the same sets one is enough.
     heads = repeated.where("head").groupBy("members", "size").agg(F.min("gram").alias("gram"))
     buckets = repeated.join(heads.select("gram"), "gram", "left_semi")
@@ -321,7 +342,7 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, si
         """``rows`` are buckets with ``comp``."""
         slim = rows.select("gram", "sig", "n", "place", "comp").join(classes.select("sig", "n", "bitmap"), ["sig", "n"])
         slim = slim.select("gram", "sig", "n", "place", "bitmap", "comp").repartition("gram").sortWithinPartitions("gram", "sig")
-        pairs = slim.mapInArrow(lambda b: bucket_pairs(b, similarity, by_component), "s1 long, n1 long, s2 long, n2 long").distinct()
+        pairs = in_arrow(slim, lambda b: bucket_pairs(b, similarity, by_component), "s1 long, n1 long, s2 long, n2 long").distinct()
         for k in (1, 2):
             name = classes.select(F.col("sig").alias(f"s{k}"), F.col("n").alias(f"n{k}"), F.col("first").alias(f"d{k}"))
             pairs = pairs.join(name, [f"s{k}", f"n{k}"])
@@ -330,14 +351,16 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, words: int = 4, si
             wide = profile.where(F.col("wide").isNotNull()).select(F.col("doc").alias(f"d{k}"), F.col("sig").alias(f"s{k}"), F.col("wide").alias(f"w{k}"))
             pairs = pairs.join(wide, [f"d{k}", f"s{k}"], "left")
         schema = "s1 long, n1 long, d1 long, s2 long, n2 long, d2 long"
-        return stored(pairs.select(*PAIRS, "w1", "w2").mapInArrow(lambda b: near_enough(b, similarity), schema).distinct(), "near")
+        return stored(in_arrow(pairs.select(*PAIRS, "w1", "w2"), lambda b: near_enough(b, similarity), schema).distinct(), "near")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.col("d1").alias("doc")).unionByName(pairs.select(F.col("d2").alias("doc")))
         wanted = spark.sparkContext.broadcast(filter_words(needed))
         # The filter lets some others through, and rows that share an id may hold other sets: they find no pair.
-        cut = texts.select("doc", F.xxhash64("doc").alias("h"), "text").mapInArrow(
-            lambda b: cut_fragments(b, words, wanted), "doc long, sig long, n long, fragments array<array<long>>"
+        cut = in_arrow(
+            texts.select("doc", F.xxhash64("doc").alias("h"), "text"),
+            lambda b: cut_fragments(b, words, wanted, frequent),
+            "doc long, sig long, n long, fragment int, grams array<long>",
         )
         return verified(pairs, cut, similarity).select(F.col("d1").alias("x"), F.col("d2").alias("y"))
 

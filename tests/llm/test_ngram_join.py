@@ -97,3 +97,44 @@ def test_components(spark):
         parent[b] = a
     linked = {n for x, y in links if x != y for n in (x, y)}
     assert got == {n: root(n) for n in linked}
+
+
+def complements(n):
+    """Two words whose letters follow the Thue-Morse sequence and its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_fool_a_polynomial_are_told_apart(spark):
+    for n in (32, 64, 1024):
+        a, b = complements(n)
+        tail = " and some other words that follow here"
+        rows = [(1, a), (2, b), (3, a + tail), (4, b + tail), (5, f"{a} {b}"), (6, f"{b} {a}")]
+        df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+        assert sorted(map(tuple, ngram_join.near_classes(df, "doc_id", "text").collect())) == brute(rows, 4, 85, 100)
+
+
+def test_very_long_texts(spark, monkeypatch):
+    from apisurface.llm import shingles as s
+
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 12))) for _ in range(5000)]
+    words = rng.choices(vocabulary, k=150_000)
+    text, other = " ".join(words), " ".join([*words[:70_000], "changed", *words[70_001:]])
+    df = spark.createDataFrame([(1, text, "x"), (2, other, "x"), (3, "w" * 3_000_000, "x")], SCHEMA)
+    assert sorted(r["component_id"] for r in ngram_join.near_classes(df, "doc_id", "text").collect()) == [1, 1, 3]
+    whole = s.shingle_hashes(text.encode(), 4)
+    monkeypatch.setattr(s, "PIECE", 1000)
+    assert (s.shingle_hashes(text.encode(), 4) == whole).all()
+
+
+def test_fragments_cut_the_global_order():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    hashes = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2))
+    frequent = hashes[::7]
+    ranks = np.arange(len(frequent))[::-1].copy()
+    order = ngram_join.ordered(hashes, frequent, ranks)
+    fragments = ngram_join.fragment_of(order, frequent)
+    assert (np.diff(fragments) >= 0).all() and set(fragments) == set(range(ngram_join.FRAGMENTS))
