@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apisurface.llm.frames import pick, sliced, stored
+from apisurface.llm.frames import in_arrow, pick, sliced, stored
 
 BLANKS = " \t\n\x0b\f\r"
 KEEP, REROLE, DELETE, INSERT = "K", "R", "D", "I"
@@ -248,7 +248,7 @@ def plan_repairs(rows: DataFrame) -> DataFrame:
         if current is not None:
             yield told([current])
 
-    return dealt.mapInArrow(judge, T.StructType(fields))
+    return in_arrow(dealt, judge, T.StructType(fields))
 
 
 def repair_rows(rows: DataFrame, plans: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def repair_rows(rows: DataFrame, plans: DataFrame) -> DataFrame:
         if out:
             yield flush()
 
-    return dealt.mapInArrow(edit, schema)
+    return in_arrow(dealt, edit, schema)
 
 
 def digests_in_order(repaired: DataFrame) -> DataFrame:
@@ -353,7 +353,7 @@ def digests_in_order(repaired: DataFrame) -> DataFrame:
             yield told([(key, state)])
 
     fields = [repaired.schema["id"], T.StructField("sha256", T.StringType())]
-    return repaired.select("id", "place", "role", "text").mapInArrow(hashed, T.StructType(fields))
+    return in_arrow(repaired.select("id", "place", "role", "text"), hashed, T.StructType(fields))
 
 
 def repair(rows: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str, gone: F.Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apisurface.llm.frames import in_batches, pick
+from apisurface.llm.frames import in_arrow, pick
 from apisurface.llm.hashing import mix
 
 BUCKETS = 128
@@ -160,7 +160,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str, text_col: str, parts: int |
             yield batch_of(out)
 
     spread = dealt.repartition(F.col("_bucket")).sortWithinPartitions("_bucket", "_extra", "_order")
-    return in_batches(spread.select("doc_id", "text", "_bucket", "_extra")).mapInArrow(run, SCHEMA)
+    return in_arrow(spread.select("doc_id", "text", "_bucket", "_extra"), run, SCHEMA)
 
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

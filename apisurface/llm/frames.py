@@ -21,18 +21,6 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 TEXT_ROWS = 500
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def in_batches(df: DataFrame) -> DataFrame:
-    """``df`` as it is, in a session that hands at most ``2000`` rows to Python at a time."""
-    conf = df.sparkSession.conf
-    now = int(conf.get(BATCH_ROWS))
-    if now <= 0 or now > 2000:
-        conf.set(BATCH_ROWS, str(2000))
-    return df
-
-
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches of a task cut to at most ``rows`` rows each, so that few texts are Python objects at a time; empty ones go."""
     for batch in batches:

@@ -16,12 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apisurface.llm.frames import fresh, in_batches, pick
+from apisurface.llm.frames import fresh, in_arrow, pick, sliced
 from apisurface.llm.hashing import BYTE_VALUES, mix
+from apisurface.llm.sampling import hash_place, share_cut
 
 UNDETERMINED = "und"
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -29,9 +30,10 @@ NOT_LETTER = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_per_language`` bounds the labelled rows that training sees, the rest is the shape of the model."""
+    """``sample_per_language`` and ``sample_rows`` bound the labelled rows that training sees, the rest is the shape of the model."""
 
     sample_per_language: int = 600
+    sample_rows: int = 20_000
     max_languages: int = 400
     buckets: int = 1 << 14
     dimensions: int = 16
@@ -80,6 +82,23 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+class Rows:
+    """Rows of features, of which only the filled cells are held; indexing gives some of them in full."""
+
+    def __init__(self, cells: list[np.ndarray], values: list[np.ndarray], width: int) -> None:
+        self.cells, self.values, self.shape = cells, values, (len(cells), width)
+
+    def __getitem__(self, which: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(which), self.shape[1]), np.float32)
+        for row, i in zip(out, which, strict=True):
+            row[self.cells[i]] = self.values[i]
+        return out
+
+
+#: Rows that are held in full at a time when a fitted model is checked.
+CHECKED_ROWS = 256
+
+
 def with_others(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Rows, and behind them the same rows as of a language that shares no n-grams: their buckets dealt anew."""
     return np.concatenate([x, x[:, rng.permutation(x.shape[1])]])
@@ -99,7 +118,7 @@ def rejection(right: np.ndarray, foreign: np.ndarray, share: float) -> float:
     return float(1 / (1 + np.exp(-odds)))
 
 
-def train(features: np.ndarray, labels: list[str], settings: Settings) -> Model:
+def train(features: np.ndarray | Rows, labels: list[str], settings: Settings) -> Model:
     """Fit on mean feature vectors (rows sum to one); the rows must come in a fixed order for a fixed result.
 
     The last column of ``table`` and ``bias`` is the class of other languages.
@@ -135,7 +154,9 @@ def train(features: np.ndarray, labels: list[str], settings: Settings) -> Model:
             done += 1
     table = embedding @ weights
     checked = held if n_held else used
-    logits = with_others(features[checked], rng) @ table + bias
+    parts = [with_others(features[checked[i : i + CHECKED_ROWS]], rng) @ table + bias for i in range(0, len(checked), CHECKED_ROWS)]
+    # Rows of all parts first, then the examples of other languages.
+    logits = np.concatenate([p[: len(p) // 2] for p in parts] + [p[len(p) // 2 :] for p in parts])
     truth = np.concatenate([y[checked], np.full(len(checked), other)])
     temperatures = np.geomspace(0.05, 20, 60)
     rows = np.arange(len(truth))
@@ -149,25 +170,27 @@ def train(features: np.ndarray, labels: list[str], settings: Settings) -> Model:
 
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, settings: Settings = Settings()) -> Model:
-    """Model from at most ``sample_per_language`` rows of each of at most ``max_languages`` languages.
+    """Model from at most ``sample_per_language`` rows of each of at most ``max_languages`` languages, ``sample_rows`` in all.
 
-    The sample is that of the smallest hashes of the id, so it is the same in every run. Only ids and labels are ranked
-    (the ranking is cut before its shuffle); texts are read where they lie and leave their task as counts of buckets.
-    Rows without label or letters are not used. Without any usable row the model knows no language.
+    The sample is that of the smallest hashes of id and text, so it is the same in every run; rows equal in these count once. Languages are
+    counted by a sketch, which gives the hash below which somewhat more than the wanted rows lie; only these are moved and ranked, so
+    no language, id or group of copies meets in one task. Texts leave their task as counts of buckets. Rows without label or letters
+    are not used. Without any usable row the model knows no language.
     """
     rows = pick(labelled, _id=id_col, _text=text_col, _lang=lang_col).where(F.col("_lang").isNotNull())
-    rows = rows.withColumn("_hash", F.xxhash64(F.col("_id").cast("string")))
-    top = F.expr("row_number() over (partition by _lang order by _hash)")
-    ranked = rows.select("_lang", "_hash").withColumn("_rank", top).where(F.col("_rank") <= settings.sample_per_language)
-    cuts = ranked.groupBy("_lang").agg(F.max("_hash").alias("cut"), F.count(F.lit(1)).alias("n"))
-    chosen = {r["_lang"]: r["cut"] for r in cuts.orderBy(F.desc("n"), "_lang").limit(settings.max_languages).collect()}
-    if not chosen:
+    rows = rows.withColumn("_hash", hash_place(["_id", "_text"]))
+    counted = rows.groupBy("_lang").agg(F.approx_count_distinct("_hash", 0.03).alias("n"))
+    told = counted.orderBy(F.desc("n"), "_lang").limit(settings.max_languages).collect()
+    if not told:
         return Model([], np.zeros((settings.buckets, 0), np.float32), np.zeros(0), 1.0, 0.0, settings)
-    limits = F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair])
-    sample = rows.where(F.col("_hash") <= limits[F.col("_lang")])
+    wanted = max(1, min(settings.sample_per_language, settings.sample_rows // len(told)))
+    limits = F.create_map(*[F.lit(x) for r in told for x in (r["_lang"], share_cut(wanted, r["n"]))])
+    near = rows.where(F.col("_hash") <= limits[F.col("_lang")]).dropDuplicates(["_lang", "_hash"])
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))
+    sample = near.withColumn("_rank", place).where(F.col("_rank") <= wanted)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for key, lang, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 if data := clean(text):
@@ -178,14 +201,16 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, settings
             types = (pa.int64(), pa.string(), pa.binary(), pa.binary())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["h", "lang", "cells", "n"])
 
-    found = in_batches(sample.select("_hash", "_lang", "_text")).mapInArrow(counts, "h long, lang string, cells binary, n binary").collect()
+    found = in_arrow(sample.select("_hash", "_lang", "_text"), counts, "h long, lang string, cells binary, n binary").collect()
     found = sorted(found, key=lambda r: (r["h"], r["lang"], bytes(r["cells"]), bytes(r["n"])))
     if not found:
         return Model([], np.zeros((settings.buckets, 0), np.float32), np.zeros(0), 1.0, 0.0, settings)
-    features = np.zeros((len(found), settings.buckets), np.float32)
-    for i, r in enumerate(found):
+    cells, values = [], []
+    for r in found:
         n = np.frombuffer(r["n"], np.int32)
-        features[i, np.frombuffer(r["cells"], np.int32)] = n / n.sum()
+        cells.append(np.frombuffer(r["cells"], np.int32))
+        values.append((n / n.sum()).astype(np.float32))
+    features = Rows(cells, values, settings.buckets)
     return train(features, [r["lang"] for r in found], settings)
 
 
@@ -194,14 +219,15 @@ def predict(docs: DataFrame, text_col: str, model: Model) -> DataFrame:
 
     A text that is null or has no letter gets ``und``, score 0 and is rejected, as does every text if the model knows no
     language, and every text whose score lies below the threshold of the model: one in a language that was not learned,
-    or mere letters. Its ``lang_pred`` is the language that comes nearest. Ties go to the language first in order. Columns of these names that are already there are replaced.
+    or mere letters. Its ``lang_pred`` is the language that comes nearest. Ties go to the language first in order. Columns of these names
+    that are already there are replaced. Equal texts are judged alike.
     """
     source = docs.drop("lang_pred", "score", "rejected")
     text_name = fresh("_text_in", source.columns)
     languages, table, settings = model.languages, model.table, model.settings
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             preds, scores, rejected = [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 data = clean(text)
@@ -211,7 +237,8 @@ def predict(docs: DataFrame, text_col: str, model: Model) -> DataFrame:
                     rejected.append(True)
                     continue
                 total = feature_counts(data, settings)
-                p = softmax(((total / total.sum()) @ table + model.bias) / model.temperature)
+                filled = np.flatnonzero(total)
+                p = softmax((total[filled] @ table[filled] / total.sum() + model.bias) / model.temperature)
                 best = int(p[: len(languages)].argmax())
                 preds.append(languages[best])
                 scores.append(float(p[best]))
@@ -228,7 +255,7 @@ def predict(docs: DataFrame, text_col: str, model: Model) -> DataFrame:
             T.StructField("rejected", T.BooleanType()),
         ]
     )
-    return in_batches(source.select("*", F.col(f"`{text_col}`").alias(text_name))).mapInArrow(judge, schema)
+    return in_arrow(source.select("*", F.col(f"`{text_col}`").alias(text_name)), judge, schema)
 
 
 def held_out(id_col: str) -> F.Column:

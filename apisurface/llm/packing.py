@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from apisurface.llm.frames import in_batches, pick
+from apisurface.llm.frames import in_arrow, pick, sliced
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 SIGNS = ".,;:!?"
@@ -191,7 +191,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tokenize: Callable[[str |
         packer = Packer(window, TaskContext.get().partitionId() << 33)
 
         def pieces() -> Iterator[tuple]:
-            for batch in batches:
+            for batch in sliced(batches):
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     yield from packer.add(doc, tokenize(text))
             yield from packer.close()
@@ -202,4 +202,4 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tokenize: Callable[[str |
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), TYPES, strict=True)]
             yield pa.record_batch(columns, FIELDS)
 
-    return in_batches(pick(docs, doc_id=id_col, text=text_col)).mapInArrow(run, SCHEMA)
+    return in_arrow(pick(docs, doc_id=id_col, text=text_col), run, SCHEMA)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apisurface.llm.frames import fresh, pick, sliced, stored
+from apisurface.llm.frames import fresh, in_arrow, pick, sliced, stored
 from apisurface.llm.sampling import bounded_sample
 
 FEATURES = (
@@ -327,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             key = batch.column(2).cast(pa.string())
             yield pa.record_batch([batch.column(0), batch.column(1), key, packed], ["label", "sha", "key", "figures"])
 
-    seen = stored(told.mapInArrow(figures, "label int, sha string, key string, figures binary"), "figures")
+    seen = stored(in_arrow(told, figures, "label int, sha string, key string, figures binary"), "figures")
     found = bounded_sample(seen, settings.sample_rows, ["key", "sha", "label"]).collect()
     found = sorted((r["key"], r["sha"] or "", r["label"], bytes(r["figures"])) for r in found)
     x = np.array([np.frombuffer(r[3]) for r in found]).reshape(len(found), len(FEATURES))
@@ -353,4 +353,4 @@ def score(docs: DataFrame, text_col: str, model: Model) -> DataFrame:
             yield pa.record_batch([*kept, *new], [*batch.schema.names[:-1], "score", "predicted"])
 
     fields = [*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return source.select("*", F.col(f"`{text_col}`").alias(text_name)).mapInArrow(judge, T.StructType(fields))
+    return in_arrow(source.select("*", F.col(f"`{text_col}`").alias(text_name)), judge, T.StructType(fields))

@@ -18,18 +18,18 @@ def hash_place(keys: Sequence[str]) -> F.Column:
 
 
 def share_cut(n: int, total: int) -> int:
-    """The place below which some ``1.2 * n`` of ``total`` different rows lie, so that ``n`` are all but surely among them."""
-    return SPAN - 1 if total <= n else min(SPAN - 1, int(SPAN * (1.2 * n + 50) / total))
+    """The place below which some ``1.2 * n`` of about ``total`` different rows lie, so that ``n`` are all but surely among them."""
+    return min(SPAN - 1, int(SPAN * (1.2 * n + 50) / max(total, 1)))
 
 
 def bounded_sample(rows: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
     """At most ``n`` rows of ``rows``, those of smallest hash of ``keys``; rows equal in ``keys`` count once.
 
-    Different keys are counted with a map-side combine; only about ``1.2 * n`` rows go on to the one task that cuts exactly.
+    Different keys are counted by a sketch; only about ``1.2 * n`` rows go on to the one task that cuts exactly.
     No rows give no rows.
     """
     place = fresh("_place", rows.columns)
     placed = rows.withColumn(place, hash_place(keys))
-    total = placed.select(place).distinct().count()
+    total = placed.agg(F.approx_count_distinct(place, 0.03)).first()[0]
     near = placed.where(F.col(place) <= share_cut(n, total)).dropDuplicates([place])
     return near.orderBy(place).limit(n).drop(place)

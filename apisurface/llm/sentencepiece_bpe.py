@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from apisurface.llm.frames import in_batches, pick
+from apisurface.llm.frames import in_arrow, pick, sliced
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -278,15 +278,15 @@ def encode_decode(docs: DataFrame, id_col: str, text_col: str, path: str) -> Dat
     """``doc_id``, ``n_tokens`` (with the end id), ``ids`` in decimal joined by blanks, ``decoded``; one row for each row.
 
     Null texts are empty and have the end id alone. Whole texts are encoded whatever their length, repeated rows each for
-    themselves. There is no shuffle and no limit on words; the cache holds short words only and is bounded.
+    themselves. There is no shuffle and no limit on words; the cache holds short words only and is bounded. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
-        for batch in batches:
+        for batch in sliced(batches):
             coded = [model.encode_words(text) for text in batch.column(1).to_pylist()]
             counts, ids, decoded = zip(*coded, strict=True) if coded else ([], [], [])
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return in_batches(pick(docs, doc_id=id_col, text=text_col)).mapInArrow(run, SCHEMA)
+    return in_arrow(pick(docs, doc_id=id_col, text=text_col), run, SCHEMA)

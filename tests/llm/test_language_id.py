@@ -113,3 +113,47 @@ def test_held_out_follows_the_id(spark):
     got = spark.range(50).select("id", language_id.held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in got)
     assert spark.range(1).select(F.lit(None).cast("long").alias("id")).select(language_id.held_out("id").alias("h")).first()["h"] is False
+
+
+def test_ties_stay_in_the_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda features, labels, settings: seen.append((features.shape[0], len(labels))))
+    settings = language_id.Settings(sample_per_language=30)
+    rows = [(None, f"the and that {i % 2}", "en", "", "") for i in range(20_000)]
+    language_id.fit(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "lang", settings)
+    many = [(None, "the and that with " + "abcdefghij"[i % 10] * (1 + i % 97), "en", "", "") for i in range(5_000)]
+    language_id.fit(spark.createDataFrame(many, SCHEMA), "doc_id", "text", "lang", settings)
+    assert seen == [(2, 2), (30, 30)]
+
+
+def plain_prediction(model, text):
+    """Language and score by plain loops over the n-grams."""
+    from collections import Counter
+
+    data = language_id.clean(text)
+    one = np.uint64(0x9E3779B97F4A7C15)
+    cells = Counter()
+    with np.errstate(over="ignore"):
+        for n in model.settings.orders:
+            for i in range(len(data) - n + 1):
+                h = np.uint64(0)
+                for byte in data[i : i + n]:
+                    h = h * one + language_id.BYTE_VALUES[byte]
+                cells[int(language_id.mix(np.array([h + np.uint64(n)]))[0]) % model.settings.buckets] += 1
+    total = sum(cells.values())
+    logits = [float(b) for b in model.bias]
+    for cell, times in cells.items():
+        for k in range(len(logits)):
+            logits[k] += times * float(model.table[cell, k]) / total
+    powers = [np.exp((v - max(logits)) / model.temperature) for v in logits]
+    chances = [p / sum(powers) for p in powers]
+    best = max(range(len(model.languages)), key=lambda k: (chances[k], -k))
+    return model.languages[best], chances[best]
+
+
+def test_predictions_against_plain_code(judged):
+    found, rows, model = judged
+    for i, text, *_ in rows[:60]:
+        lang, score = plain_prediction(model, text)
+        got = found[i, "s"]
+        assert got["lang_pred"] == lang and abs(got["score"] - score) < 1e-5 and got["rejected"] == (score < model.threshold)
