@@ -6,11 +6,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apisurface.llm import language_id, line_dedup, ngram_join, packing, suffix_dedup
 from apisurface.llm.frames import fresh, stored
+from apisurface.ordered import with_global_rank
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
@@ -39,28 +40,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) one row, that of smallest id.
 
-    Every (id, text) is a node of its own, known by its hash: ids that are null or repeated tie nothing together. Null ids count as
-    the smallest; texts of one id follow the hash. Of equal rows one stays. Texts without words have no copies and all stay.
+    Every row is a node of its own, known by its place in the order of ids: ids that are null or repeated tie nothing together. Null ids
+    count as the smallest; rows of one id follow the hash of their text, then the other columns. Of equal rows one stays.
+    Texts without words have no copies and all stay.
     """
-    key, place = fresh("_key", docs.columns), fresh("_place", docs.columns)
-    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    classes = ngram_join.near_classes(rows, key, "text", words=5, similarity=(4, 5)).where(F.col("n_shingles") > 0)
-    nodes = classes.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("component"), F.count(F.lit(1)).alias("times"))
-    nodes = stored(nodes, "nodes")
-    groups = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    members = nodes.join(groups, "component", "left_semi").select(key, "component")
-    members = members.join(rows.select(key, "doc_id").distinct(), key).select("component", F.struct("doc_id", key).alias("member"))
-    best = members.groupBy("component").agg(F.min("member").alias("best"))
-    lost = members.join(best, "component").select(F.col(f"member.{key}").alias(key), F.col(f"best.{key}").alias("best"))
-    lost = stored(lost.where(F.col(key) != F.col("best")).select(key), "lost")
-    equal = nodes.where(F.col("times") > 1).select(key).join(lost, key, "left_anti")
-    if equal.isEmpty():
-        return rows.join(lost, key, "left_anti").select(*docs.columns)
+    key = fresh("_key", docs.columns)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*(others or [F.col(key)])))
-    one = rows.join(equal, key, "left_semi").withColumn(place, first).where(F.col(place) == 1)
-    alone = rows.join(lost.unionByName(equal), key, "left_anti")
-    return alone.select(*docs.columns).unionByName(one.select(*docs.columns))
+    salted = docs.withColumn(f"{key}_salt", F.rand(5))
+    rows = with_global_rank(salted, ["doc_id", F.xxhash64("text"), *others, F.col(f"{key}_salt")], key).drop(f"{key}_salt")
+    classes = ngram_join.near_classes(rows, key, "text", words=5, similarity=(4, 5))
+    kept = classes.where((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))).select(F.col("doc_id").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def dedup_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
