@@ -30,7 +30,10 @@ def build_session(app_name: str = "apisurface", master: str | None = None, **con
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: that of ``spark.checkpoint.dir``, else one in the warehouse."""
+    """Folder every executor can reach: that of ``spark.checkpoint.dir``, else one in the warehouse.
+
+    On a cluster a warehouse in a local folder is not shared, so without the setting that is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
@@ -38,6 +41,8 @@ def shared_root(spark: SparkSession) -> str:
     if current:
         return current.rstrip("/")
     root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    if root.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(root)
     return root
 
