@@ -107,30 +107,15 @@ TYPE_SIGNS = "<>,*&"
 def normalize_type(text: Column | str) -> Column:
     """C++ type text without qualifiers and needless white space.
 
-    The text is cut once into words and signs. Words keep one blank between each other; a ``const`` that white space
-    follows goes; up to two ``&`` at the end go.
+    Words are cut at white space and joined by one blank, which goes beside signs; a ``const`` that more follows goes; up to two
+    ``&`` at the end go.
     """
-    space = _SPACE[1:-1]
-    token = f"(?U)(?:[^{TYPE_SIGNS}{space}]+|[{TYPE_SIGNS}])[{space}]*"
-    pieces = F.regexp_extract_all(strip(text), F.lit(token), F.lit(0))
-    tokens = F.transform(pieces, lambda p: F.struct(strip(p).alias("t"), (strip(p) != p).alias("spaced")))
-    words = F.transform(F.filter(tokens, lambda x: ~((x["t"] == "const") & x["spaced"])), lambda x: x["t"])
-    signs = list(TYPE_SIGNS)
-
-    def joined(words: Column) -> Column:
-        n = F.size(words)
-        last = F.coalesce(F.get(words, n - 1) == "&", F.lit(False))
-        both = last & F.coalesce(F.get(words, n - 2) == "&", F.lit(False))
-        kept = n - F.when(both, 2).when(last, 1).otherwise(0)
-
-        def with_blank(word: Column, i: Column) -> Column:
-            following = F.get(words, i + 1)
-            apart = (i + 1 < kept) & ~word.isin(*signs) & ~following.isin(*signs)
-            return F.when(i >= kept, F.lit("")).when(apart, F.concat(word, F.lit(" "))).otherwise(word)
-
-        return F.array_join(F.transform(words, with_blank), "")
-
-    return F.element_at(F.transform(F.array(words), joined), 1)
+    words = F.split(strip(text), f"(?U){_SPACE}+")
+    told = F.array_join(words, " ")
+    bare = F.when(F.contains(told, F.lit("const ")), F.regexp_replace(told, "\\bconst ", "")).otherwise(told)
+    close = F.regexp_replace(bare, f" ?([{TYPE_SIGNS}]) ?", "$1")
+    ends = F.when(F.endswith(close, F.lit("&&")), 2).when(F.endswith(close, F.lit("&")), 1).otherwise(0)
+    return F.left(close, F.length(close) - ends)
 
 
 # C++ types a wrapped return value may have, and their Python types.

@@ -126,8 +126,9 @@ def locate_ranges(
     probes = slim.withColumn("_level", F.explode(used)).withColumn("_bin", bin_of(F.col("_at")))
     held = probes.join(binned, [*group, "_level", "_bin"])
     held = held.where((F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high")))
-    rank = F.struct(F.col("_high") - F.col("_low"), -F.col("_deep"), F.col("_low"))
-    closed = held.groupBy(*point_id).agg(F.min_by("_owner", rank).alias("_closed"))
+    # An open range is larger than any other.
+    rank = F.struct(F.lit(0).alias("open"), (F.col("_high") - F.col("_low")).alias("size"), (-F.col("_deep")).alias("deep"), F.col("_low").alias("low"))
+    claims = held.select(*point_id, "_owner", rank.alias("_claim"))
     # Of open ranges of one start the deepest counts.
     starts = named.where(F.col("_high").isNull() & F.col("_low").isNotNull()).groupBy(*group, "_low")
     starts = starts.agg(F.max_by("_owner", "_deep").alias("_owner")).select(*group, F.col("_low").alias("_at"), "_owner")
@@ -135,8 +136,9 @@ def locate_ranges(
     both = asked.unionByName(starts, allowMissingColumns=True).withColumn("_kind", F.col("_id").isNotNull().cast("int"))
     last = last_before(both, group, ["_at", "_kind"], F.col("_owner"), "_open")
     opened = last.where(F.col("_id").isNotNull() & F.col("_open").isNotNull()).select("_id.*", "_open")
-    found = points.join(closed, point_id, "left").join(opened, point_id, "left")
-    found = found.withColumn("_owner", F.coalesce("_closed", "_open"))
+    least = F.struct(F.lit(1).alias("open"), *[F.lit(0).alias(c) for c in ("size", "deep", "low")])
+    claims = claims.unionByName(opened.select(*point_id, F.col("_open").alias("_owner"), least.cast(claims.schema["_claim"].dataType).alias("_claim")))
+    found = points.join(claims.groupBy(*point_id).agg(F.min_by("_owner", "_claim").alias("_owner")), point_id, "left")
     picked = [F.col("_owner").getField(c).alias(c) for c in (low, high, *rest)]
     return found.select(
         *[F.col(c) for c in points.columns], *picked, F.when(F.col("_owner").isNull(), F.lit(error)).alias("error")

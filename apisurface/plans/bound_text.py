@@ -9,9 +9,9 @@ from apisurface.functions import formats as FM
 from apisurface.functions import signatures as SG
 from apisurface.functions import text as X
 from apisurface.functions.render import function_lines, render_signature
-from apisurface.functions.types import union_of_texts
+from apisurface.functions.types import evaluate_once, union_of_texts
 from apisurface.functions.verdicts import DEFAULT_INSTRUCTIONS, DEFAULT_SYSTEM, build_messages, parse_verdict
-from apisurface.plans.registry import LINE_ORDER, LINE_ORDER_SQL, bound, ordered_lines, text
+from apisurface.plans.registry import LINE_ORDER, LINE_ORDER_SQL, bound, ordered_lines, spread, text
 
 
 def _text_of(array, fn, sep):
@@ -78,7 +78,7 @@ _SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
     """,
 )
 def tx4(t):
-    return t.documents.select("doc_id", F.md5(X.normalize_type("text")).alias("digest"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.md5(X.normalize_type("text")).alias("digest"))
 
 
 @bound(
@@ -217,7 +217,8 @@ def tx8(t):
         F.lit("(self: "), "p_brand", F.lit(", /, size"), annotated, F.lit(' = {1: "a,b"}, *, '), name,
         F.lit(': str = "'), "p_name", F.lit('") -> '), "p_type",
     )
-    parsed = t.part.select("p_partkey", SG.parse_overload(source).alias("p"))
+    told = spread(t.part.select("p_partkey", source.alias("source")))
+    parsed = evaluate_once(told, "p", SG.parse_overload("source"))
     return parsed.select(
         "p_partkey",
         _text_of("p.args", lambda a: a["name"], ",").alias("names"),

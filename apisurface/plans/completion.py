@@ -188,7 +188,8 @@ def infer_return_types(
     while True:
         is_ref = F.col("expr_kind") == "ref"
         done.append(pending.where(~is_ref).select(*fields))
-        refs = cut_lineage(apply_rules(pending.where(is_ref), objects, "expr_name", out="object_type"))
+        # Rules are few, so looking them up again for each of the two branches costs less than storing the references.
+        refs = apply_rules(pending.where(is_ref), objects, "expr_name", out="object_type")
         done.append(
             refs.where(F.col("object_type").isNotNull()).select(
                 "fn", "pos", F.lit("typed").alias("expr_kind"), F.col("object_type").alias("expr_name"), no_detail.alias("expr_detail"), *fields[5:]

@@ -34,6 +34,15 @@ def bound(name: str, sql: str | None = None):
     return register
 
 
+#: A table of fewer rows is taken to lie in fewer row groups than there are cores.
+SMALL_TABLE = 1_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, for costly expressions over each row: a row group is one task. A large one as it is."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.count() < SMALL_TABLE else df
+
+
 def text(flag):
     """Boolean as text."""
     return F.when(flag, F.lit("true")).otherwise(F.lit("false"))
