@@ -299,6 +299,28 @@ def str3(t):
     return _run(t, C.stream_mean(event_stream(t), "value"), "complete").select("completed", F.round("mean", 6).alias("mean"))
 
 
+@bound(
+    "str2_counters_by_batch",
+    """
+    SELECT event_type, count(*) AS functions, count(*) FILTER (WHERE value > 100) AS failed FROM events GROUP BY 1
+    """,
+)
+def str2_batches(t):
+    """Counters written batch by batch and added up; events come once each within the watermark."""
+    path = shared_folder(t.spark, "partials")
+    known = event_stream(t).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("slow", F.col("value") > 100)
+    once = C.without_repeats(known, ["event_id"], "ts")
+    C.write_partials(once, path, shared_folder(t.spark, "state"), ["event_type"], failed="slow").awaitTermination()
+    return C.read_totals(t.spark, path, ["event_type"])
+
+
+@bound("str3_mean_by_batch", "SELECT count(value) AS completed, round(avg(value), 6) AS mean FROM events")
+def str3_batches(t):
+    path = shared_folder(t.spark, "partials")
+    C.write_partials(event_stream(t), path, shared_folder(t.spark, "state"), value="value").awaitTermination()
+    return C.read_totals(t.spark, path).select("completed", F.round("mean", 6).alias("mean"))
+
+
 @bound(
     "ud1_computed_rules",
     """

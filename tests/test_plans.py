@@ -135,3 +135,35 @@ def test_stream_equals_batch_over_many_files(spark, tmp_path):
     assert got == {"a": 100, "b": 100, "<unknown>": 200}
     C.run_available(C.stream_mean(stream, "ms"), "t_mean", str(tmp_path / "c2"))
     assert tuple(spark.table("t_mean").first()) == (400, 199.5)
+
+
+def test_counters_by_batch_survive_a_restart(spark, tmp_path):
+    import datetime
+
+    source, path, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "id long, kind string, at timestamp, value double"
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, ["a", "b", None, ""][i % 4], start + datetime.timedelta(minutes=i), float(i % 7) if i % 5 else None) for i in range(60)]
+    for part in range(6):
+        own = rows[part * 10 : part * 10 + 10] + (rows[part * 10 - 3 : part * 10] if part else [])
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run(broken):
+        stream = C.without_repeats(C.stream_results(spark, source, schema, files_per_batch=1), ["id"], "at")
+        if broken:
+            stream = stream.withColumn("value", F.when(F.col("id") == 34, F.raise_error(F.lit("lost"))).otherwise(F.col("value")))
+        C.write_partials(stream, path, state, ["kind"], value="value").awaitTermination()
+
+    import pytest
+
+    with pytest.raises(Exception, match="lost"):
+        run(True)
+    # What a batch that failed late may have left is replaced when it runs again.
+    done = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out").glob("batch=*"))
+    spark.createDataFrame([("a", 99, 99, 9.0)], "kind string, functions long, completed long, total double").write.mode("overwrite").parquet(f"{path}/batch={max(done) + 1}")
+    run(False)
+    got = {r["kind"]: (r["functions"], r["completed"], r["mean"]) for r in C.read_totals(spark, path, ["kind"]).collect()}
+    want = {}
+    for _, kind, _, value in rows:
+        want.setdefault(kind or "<unknown>", []).append(value)
+    assert got == {k: (len(v), len([x for x in v if x is not None]), sum(x for x in v if x is not None) / len([x for x in v if x is not None])) for k, v in want.items()}
