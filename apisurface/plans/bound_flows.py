@@ -472,6 +472,60 @@ def flow_chain(t):
     )
 
 
+_LIVE_SQL = f"""
+    WITH l AS (
+        SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER_SQL}, l_linestatus, l_returnflag) - 1 AS i
+        FROM lineitem),
+    a AS (
+        SELECT l_orderkey, count(*) AS n, string_agg('    ' || CASE l_returnflag WHEN 'R' THEN 'v' || i || ': str'
+            WHEN 'A' THEN 'v' || i || ': int'
+            ELSE 'v' || i || ': ' || CASE WHEN l_linestatus = 'F' THEN 'list' WHEN l_linenumber % 2 = 0 THEN 'str' ELSE 'object' END
+            END || ',' || chr(10), '' ORDER BY i) AS args
+        FROM l GROUP BY 1),
+    f AS (
+        SELECT *, 'def f' || o_orderkey AS head, o_orderstatus = 'P' AS p,
+            o_orderstatus = 'P' AND o_orderkey % 3 = 0 AS broken,
+            o_orderstatus <> 'P' AND (c_mktsegment = 'BUILDING' OR o_orderkey % 4 = 1) AS lost,
+            CASE WHEN o_orderstatus = 'O' THEN 'int' WHEN o_totalprice > 250000 THEN 'None' ELSE 'float' END AS ret
+        FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN a ON l_orderkey = o_orderkey
+        WHERE NOT (o_orderpriority = '5-LOW' AND o_orderkey % 7 = 0)
+          AND (CASE WHEN o_orderstatus = 'P' THEN o_orderkey % 2 = 0 ELSE c_acctbal >= 0 END))
+    SELECT o_orderpriority || ':f' || o_orderkey AS function_id, CASE WHEN p THEN 'pybind11' ELSE 'c_extension' END AS provider,
+        CASE WHEN broken OR lost THEN 'failed' ELSE 'success' END AS mapping_status,
+        CASE WHEN broken OR lost OR (NOT p AND n IS NULL) THEN 'failed' ELSE 'success' END AS parameter_inference_status,
+        CASE WHEN broken THEN 'argument without type' WHEN lost THEN 'definition not found'
+             WHEN NOT p AND n IS NULL THEN 'parameters were not inferred' END AS failure_reason,
+        CASE WHEN broken OR lost OR (NOT p AND n IS NULL) THEN head || '{PV.MINIMAL}:' WHEN p THEN head || '(x: int) -> str:'
+             WHEN n = 1 THEN head || '(' || substr(args, 5, length(args) - 6) || ', /) -> ' || ret || ':'
+             ELSE head || '(' || chr(10) || args || '    /,' || chr(10) || ') -> ' || ret || ':' END AS signature
+    FROM f
+"""
+
+
+@bound("flow_chain_live", _LIVE_SQL)
+def flow_chain_live(t):
+    """The chain over facts from orders and lines in which every branch sees rows.
+
+    Parse calls, slots, checks, returns and assignments are those of the completion flow. Every fourth range has no linkage name and is
+    found by function name; every fourth has one that no definition carries, and is not looked for by its function name.
+    """
+    members, texts, ranges, by_linkage, _ = provider_chain(t)
+    key = F.col("definition")
+    ranges = ranges.withColumn("linkage_name", F.when(F.col("low_pc") / 16 % 4 != 0, F.col("linkage_name")))
+    named = F.concat(F.lit("f"), key.cast("string")).alias("function_name")
+    by_name = by_linkage.where((key % 4).isin(0, 1)).select("binary", named, "definition")
+    by_linkage = by_linkage.where(~(key % 4).isin(0, 1))
+    functions, calls, slots, checks, returns, assigns = call_facts(t)
+    open_ = t.orders.where(F.col("o_orderstatus") != "P").select(F.col("o_orderkey").alias("fn"))
+    functions = functions.join(open_, "fn", "left_semi").withColumn("class_name", F.lit(None).cast("string"))
+    done = CP.complete_functions(functions, calls, slots, checks, returns, assigns, _default_rules(t))
+    done = done.withColumn("definition", F.split_part("function_id", F.lit(":f"), F.lit(2)).cast("bigint"))
+    records = PV.complete_chain(members, done, texts, ranges, by_linkage, by_name)
+    return records.select(
+        "function_id", "provider", "mapping_status", "parameter_inference_status", "failure_reason", F.get("signatures", F.lit(0))["signature"].alias("signature")
+    )
+
+
 @bound(
     "flow_chain_funnel",
     f"""
