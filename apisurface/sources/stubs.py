@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apisurface.functions.types import let
+from apisurface.session import cut_lineage
 
 _TRIPLE = '[rRbBuUfF]{0,2}(?:"""[^"\\\\]*+(?:(?:\\\\.|"(?!""))[^"\\\\]*+)*+"""|\'\'\'[^\'\\\\]*+(?:(?:\\\\.|\'(?!\'\'))[^\'\\\\]*+)*+\'\'\')'
 _QUOTED = '[rRbBuUfF]{0,2}(?:"[^"\\\\\\n]*+(?:\\\\.[^"\\\\\\n]*+)*+"|\'[^\'\\\\\\n]*+(?:\\\\.[^\'\\\\\\n]*+)*+\')'
@@ -49,37 +50,34 @@ def spaced_tokens(tokens: Column) -> Column:
     close; a comma before a closing bracket goes, but for that of a tuple of one; a plain string in double quotes gets single
     ones. Numbers stay as they are written.
     """
-    plain = F.transform(
-        tokens,
-        lambda t: F.when(
-            F.startswith(t, F.lit('"')) & ~F.startswith(t, F.lit('"""')) & ~F.contains(t, F.lit("'")) & ~F.contains(t, F.lit("\\")),
-            F.concat(F.lit("'"), F.substring(t, F.lit(2), F.length(t) - 2), F.lit("'")),
-        ).otherwise(t),
-    )
-
-    def told(parts: Column) -> Column:
-        def operand(t: Column) -> Column:
-            return (F.regexp_like(t, F.lit("^[\\p{L}\\p{N}_.]|['\")\\]}]$")) & ~t.isin(*_LEADING_WORDS)) & t.isNotNull()
+    leading = list(_LEADING_WORDS)
 
-        def word(t: Column) -> Column:
-            return F.regexp_like(t, F.lit("^[\\p{L}\\p{N}_]"))
+    def seen(t: Column) -> Column:
+        """A token with what its neighbours ask about it."""
+        swapped = F.startswith(t, F.lit('"')) & ~F.startswith(t, F.lit('"""')) & ~F.contains(t, F.lit("'")) & ~F.contains(t, F.lit("\\"))
+        text = F.when(swapped, F.concat(F.lit("'"), F.substring(t, F.lit(2), F.length(t) - 2), F.lit("'"))).otherwise(t)
+        word, led = F.regexp_like(t, F.lit("^[\\p{L}\\p{N}_]")), t.isin(*leading)
+        ends = F.right(t, F.lit(1)).isin("'", '"', ")", "]", "}") | F.startswith(t, F.lit("."))
+        return F.struct(text.alias("t"), word.alias("word"), led.alias("led"), ((word | ends) & ~led).alias("operand"))
 
-        def piece(t: Column, i: Column) -> Column:
-            last, next_ = F.get(parts, i - 1), F.get(parts, i + 1)
-            binary = t.isin(*_SPACED) & F.coalesce(operand(last), F.lit(False))
+    def told(parts: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            t, last, next_ = x["t"], F.get(parts, i - 1), F.get(parts, i + 1)
+            binary = t.isin(*_SPACED) & F.coalesce(last["operand"], F.lit(False))
+            apart = last["word"] & (x["word"] | F.left(t, F.lit(1)).isin("'", '"'))
             return (
-                F.when((t == ",") & F.coalesce(next_.isin(")", "]", "}"), F.lit(False)), F.when(F.coalesce(F.get(parts, i - 2) == "(", F.lit(False)), ",").otherwise(""))
+                F.when((t == ",") & F.coalesce(next_["t"].isin(")", "]", "}"), F.lit(False)), F.when(F.coalesce(F.get(parts, i - 2)["t"] == "(", F.lit(False)), ",").otherwise(""))
                 .when((t == ",") & next_.isNotNull(), ", ")
                 .when((t == ":") & next_.isNotNull(), ": ")
                 .when(binary, F.concat(F.lit(" "), t, F.lit(" ")))
-                .when(F.coalesce(word(last) & (word(t) | F.regexp_like(t, F.lit("^['\"]"))), F.lit(False)), F.concat(F.lit(" "), t))
-                .when(t.isin(*_LEADING_WORDS) & F.coalesce(~word(next_), F.lit(False)), F.concat(t, F.lit(" ")))
+                .when(F.coalesce(apart, F.lit(False)), F.concat(F.lit(" "), t))
+                .when(x["led"] & F.coalesce(~next_["word"], F.lit(False)), F.concat(t, F.lit(" ")))
                 .otherwise(t)
             )
 
         return F.array_join(F.transform(parts, piece), "")
 
-    return let(plain, told)
+    return let(F.transform(tokens, seen), told)
 
 
 def stub_statements(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
@@ -121,7 +119,7 @@ def stub_functions(files: DataFrame, file: str = "file", text: str = "text") ->
     ``text`` is decorators, one to a line, then the signature with ``: ...``; ``class_path`` is dotted, empty in a module body. Functions
     inside of anything else (conditions, other functions) are left out, as are empty files. ``line`` is that of ``def``.
     """
-    statements = stub_statements(files, file, text)
+    statements = cut_lineage(stub_statements(files, file, text))
     word = F.get("items", F.lit(0))["token"]
     second = F.get("items", F.lit(1))["token"]
     kind = F.when(word == "class", "class").when((word == "def") | ((word == "async") & (second == "def")), "def").when(word == "@", "@")
