@@ -41,8 +41,10 @@ def query(name: str, sql: str | None = None):
 def conversation_events(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of ``conversations`` as an event log, with the conversation that holds control strings.
 
-    A turn of the assistant is streamed: an empty message, then its text as a delta. Other turns are whole messages. Every
-    row is a turn of its own: rows of equal turn numbers follow each other in the order of role and text.
+    Turns of the assistant come in one of three ways by their place: streamed in two deltas; as a draft that is edited and then goes on; as
+    a draft that is regenerated, which also takes back a next turn begun by then. Other turns are whole messages, some of them
+    mistyped and edited. Every row is a turn of its own: rows of equal turn numbers follow each other in the order of
+    role and text.
     """
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
@@ -54,15 +56,25 @@ def conversation_events(spark: SparkSession, folder: str) -> DataFrame:
     )
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     rows = rows.unionByName(extra).withColumn("turn", place.cast("bigint"))
-    seq = F.col("turn").cast("bigint") * 2
-    streamed = F.col("role").eqNullSafe("assistant")
-    whole = F.array(F.struct(seq.alias("seq"), F.lit("message").alias("kind"), F.col("text").alias("text")))
-    parts = F.array(
-        F.struct(seq.alias("seq"), F.lit("message").alias("kind"), F.lit("").alias("text")),
-        F.struct((seq + 1).alias("seq"), F.lit("delta").alias("kind"), F.col("text").alias("text")),
-    )
-    log = rows.select("conv_id", "turn", "role", F.explode(F.when(streamed, parts).otherwise(whole)).alias("e"))
-    return log.select("conv_id", "turn", "role", "e.seq", "e.kind", "e.text")
+    own, role, text = F.col("turn"), F.col("role"), F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, rest = F.left(text, half), F.substring(text, half + 1, F.length(text))
+
+    def event(step: int, kind: str, said, turn=own, by=role):
+        """The ``step``-th event of a turn; a turn has eight numbers to itself."""
+        seq = (own * 8 + step).alias("seq")
+        return F.struct(turn.alias("turn"), by.alias("role"), seq, F.lit(kind).alias("kind"), said.alias("text"))
+
+    nobody = F.lit(None).cast("string")
+    streamed = F.array(event(0, "message", F.lit("")), event(1, "delta", first), event(2, "delta", rest))
+    edited = F.array(event(0, "message", F.lit("draft </turn>")), event(1, "edit", first), event(2, "delta", rest))
+    begun = event(1, "message", F.lit("taken back"), own + 1, nobody)
+    anew = F.array(event(0, "message", F.lit("draft ###")), begun, event(2, "regenerate", text))
+    mistyped = F.array(event(0, "message", F.lit("mistyped")), event(1, "edit", text))
+    way = own % 3
+    told = F.when(way == 0, streamed).when(way == 1, edited).otherwise(anew)
+    log = F.when(role.eqNullSafe("assistant"), told).when(own % 5 == 0, mistyped).otherwise(F.array(event(0, "message", F.col("text"))))
+    return rows.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
 
 
 @query(
