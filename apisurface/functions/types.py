@@ -23,22 +23,30 @@ def evaluate_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that later filters and projections use without evaluating it again.
 
     The optimizer inlines a projected expression into every place that refers to it; it does not
-    do so across a generator.
+    do so across a generator. Of a plain ``explode`` it would evaluate the array once more, to leave out empty ones.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
 def split_top_level(text: Column | str, delimiter: str) -> Column:
     """Struct(parts, error): text split at ``delimiter`` outside brackets and quotes.
 
-    The text is cut into quoted strings, brackets, delimiters and runs of anything else; one
-    fold over these pieces keeps the stack of open brackets.
+    A text without brackets and quotes is split as it is. Any other is cut into brackets, delimiters and runs of anything else,
+    which may hold quoted strings and pairs of brackets with nothing but strings inside; one fold over these pieces keeps the
+    stack of open brackets.
     """
-    special = "()\\[\\]{}<>\"'" + "\\" + delimiter
-    pattern = (
-        "(?s)\"(?:\\\\.|[^\"\\\\])*\"|'(?:\\\\.|[^'\\\\])*'|[^" + special + "]+|."
-    )
-    pieces = F.regexp_extract_all(col_of(text), F.lit(pattern), F.lit(0))
+    return let(col_of(text), lambda whole: _split_top_level(whole, delimiter))
+
+
+_BRACKETS = "()\\[\\]{}<>\"'"
+_STRING = "\"[^\"\\\\]*+(?:\\\\.[^\"\\\\]*+)*+\"|'[^'\\\\]*+(?:\\\\.[^'\\\\]*+)*+'"
+_PAIRS = "|".join(f"\\{o}(?:[^{_BRACKETS}]++|{_STRING})*+\\{c}" if o != "<" else f"<(?:[^{_BRACKETS}]++|{_STRING})*+>" for o, c in _CLOSERS.items())
+
+
+def _split_top_level(text: Column, delimiter: str) -> Column:
+    pattern = f"(?s)(?:[^{_BRACKETS}\\{delimiter}]++|{_STRING}|{_PAIRS})++|."
+    pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    plain = F.struct(F.split(text, f"\\Q{delimiter}\\E", -1).alias("parts"), F.lit(None).cast("string").alias("error"))
     start = F.struct(
         F.lit("").alias("open"),
         F.array().cast("array<string>").alias("parts"),
@@ -72,7 +80,7 @@ def split_top_level(text: Column | str, delimiter: str) -> Column:
             F.coalesce(acc["error"], F.when(acc["open"] != "", F.lit("bracket is not closed"))).alias("error"),
         )
 
-    return F.aggregate(pieces, start, step, finish)
+    return F.when(~F.regexp_like(text, F.lit(f"[{_BRACKETS}]")), plain).otherwise(F.aggregate(pieces, start, step, finish))
 
 
 def union_members(text: Column | str) -> Column:
@@ -92,13 +100,13 @@ def canonical_members(members: Column | str, drop_none: bool = False) -> Column:
     known = F.filter(col_of(members), lambda m: m.isNotNull() & ~m.isin("", NEVER))
     if drop_none:
         known = F.filter(known, lambda m: m != "None")
-    return F.when(F.array_contains(known, ANY), F.array(F.lit(ANY))).otherwise(F.array_sort(F.array_distinct(known)))
+    return let(known, lambda k: F.when(F.array_contains(k, ANY), F.array(F.lit(ANY))).otherwise(F.sort_array(F.array_distinct(k))))
 
 
 def union_text(members: Column | str, drop_none: bool = False) -> Column:
     """Rendered union of flat members; null for Never."""
     flat = canonical_members(members, drop_none)
-    return F.nullif(F.array_join(flat, " | "), F.lit(""))
+    return let(F.array_join(flat, " | "), lambda text: F.when(text != "", text))
 
 
 def union_of_texts(texts: Column | str, drop_none: bool = False) -> Column:

@@ -34,13 +34,14 @@ def bound(name: str, sql: str | None = None):
     return register
 
 
-#: A table of fewer rows is taken to lie in fewer row groups than there are cores.
-SMALL_TABLE = 1_000_000
+#: Rows of one task where each takes a costly expression.
+ROWS_A_TASK = 50_000
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt to all cores, for costly expressions over each row: a row group is one task. A large one as it is."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.count() < SMALL_TABLE else df
+    """A table dealt to all cores, for costly expressions over each row: a row group, however many rows it has, is one task."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+    return df.repartition(tasks)
 
 
 def text(flag):
