@@ -200,14 +200,24 @@ def _delimited_parts(text: Column) -> Column:
     """Struct(name, params, suffix, valid): cut at the first ``(`` and the last ``)``; what follows is empty or ``|suffix``."""
     opening = F.instr(text, "(")
     closing = F.length(text) - F.instr(F.reverse(text), ")") + 1
-    whole = (opening > 1) & F.contains(text, F.lit(")")) & (closing > opening)
-    name = F.when(whole, F.left(text, opening - 1))
-    params = F.when(whole, F.substring(text, opening + 1, closing - opening - 1))
-    tail = F.when(whole, F.substring(text, closing + 1, F.length(text)))
-    suffix = F.when(F.startswith(tail, F.lit("|")) & (F.length(tail) > 1), F.substring(tail, F.lit(2), F.length(tail)))
-    clean = ~F.contains(name, F.lit(")")) & ~F.contains(name, F.lit("|")) & ~F.contains(F.coalesce(suffix, F.lit("")), F.lit("|"))
-    valid = whole & clean & ((tail == "") | suffix.isNotNull()) & ~F.contains(params, F.lit("\n"))
-    return F.struct(name.alias("name"), params.alias("params"), suffix.alias("suffix"), F.coalesce(valid, F.lit(False)).alias("valid"))
+    places = F.struct(opening.alias("opening"), closing.alias("closing"))
+
+    def cut(at: Column) -> Column:
+        whole = (at["opening"] > 1) & F.contains(text, F.lit(")")) & (at["closing"] > at["opening"])
+        name = F.left(text, at["opening"] - 1)
+        params = F.substring(text, at["opening"] + 1, at["closing"] - at["opening"] - 1)
+        tail = F.substring(text, at["closing"] + 1, F.length(text))
+        return F.when(whole, F.struct(name.alias("name"), params.alias("params"), tail.alias("tail")))
+
+    def judged(cuts: Column) -> Column:
+        name, params, tail = cuts["name"], cuts["params"], cuts["tail"]
+        suffixed = F.startswith(tail, F.lit("|")) & (F.length(tail) > 1)
+        suffix = F.when(suffixed, F.substring(tail, F.lit(2), F.length(tail)))
+        clean = ~F.contains(name, F.lit(")")) & ~F.contains(name, F.lit("|")) & ~F.contains(F.coalesce(suffix, F.lit("")), F.lit("|"))
+        valid = cuts.isNotNull() & clean & ((tail == "") | suffixed) & ~F.contains(params, F.lit("\n"))
+        return F.struct(name.alias("name"), params.alias("params"), suffix.alias("suffix"), F.coalesce(valid, F.lit(False)).alias("valid"))
+
+    return let(let(places, cut), judged)
 
 
 def signature_suffix(text: Column | str) -> Column:
@@ -217,28 +227,33 @@ def signature_suffix(text: Column | str) -> Column:
 
 def _parameter_parts(param: Column) -> Column:
     """Struct(name, default, base, optional, bad_param, bad_type) of ``Type[n]? name=default``."""
-    halves = F.split(param, "(?U)\\s", 2)
-    type_text = F.get(halves, F.lit(0))
-    declared = strip(F.get(halves, F.lit(1)))
-    pair = F.split(declared, "=", 2)
-    name, default = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
-    spaced = F.regexp_like(name, F.lit("(?U)\\s"))
-    bad_param = (type_text == "") | declared.isNull() | (name == "") | spaced | F.coalesce(default == "", F.lit(False))
-    optional = F.endswith(type_text, F.lit("?"))
-    bare = F.when(optional, F.left(type_text, F.length(type_text) - 1)).otherwise(type_text)
-    opening = F.instr(bare, "[")
-    base = F.when(opening > 0, F.left(bare, opening - 1)).otherwise(bare)
-    size = F.substring(bare, opening + 1, F.length(bare) - opening - 1)
-    sized = F.endswith(bare, F.lit("]")) & (size != "") & (F.translate(size, "0123456789", "") == "")
-    bad_type = (base == "") | (F.translate(base, "[]?", "") != base) | ((opening > 0) & ~sized)
-    return F.struct(
-        name.alias("name"),
-        default.alias("default"),
-        base.alias("base"),
-        optional.alias("optional"),
-        F.coalesce(bad_param, F.lit(True)).alias("bad_param"),
-        F.coalesce(bad_type, F.lit(True)).alias("bad_type"),
-    )
+
+    def from_halves(halves: Column) -> Column:
+        declared = strip(F.get(halves, F.lit(1)))
+        type_text = F.get(halves, F.lit(0))
+        optional = F.endswith(type_text, F.lit("?"))
+        bare = F.when(optional, F.left(type_text, F.length(type_text) - 1)).otherwise(type_text)
+        pair = F.struct(type_text.alias("type_text"), F.split(declared, "=", 2).alias("pair"), optional.alias("optional"), bare.alias("bare"), F.instr(bare, "[").alias("opening"))
+        return let(pair, from_pair)
+
+    def from_pair(p: Column) -> Column:
+        name, default, bare, opening = F.get(p["pair"], F.lit(0)), F.get(p["pair"], F.lit(1)), p["bare"], p["opening"]
+        spaced = F.regexp_like(name, F.lit("(?U)\\s"))
+        bad_param = (p["type_text"] == "") | p["pair"].isNull() | (name == "") | spaced | F.coalesce(default == "", F.lit(False))
+        base = F.when(opening > 0, F.left(bare, opening - 1)).otherwise(bare)
+        size = F.substring(bare, opening + 1, F.length(bare) - opening - 1)
+        sized = F.endswith(bare, F.lit("]")) & (size != "") & (F.translate(size, "0123456789", "") == "")
+        bad_type = (base == "") | (F.translate(base, "[]?", "") != base) | ((opening > 0) & ~sized)
+        return F.struct(
+            name.alias("name"),
+            default.alias("default"),
+            base.alias("base"),
+            p["optional"].alias("optional"),
+            F.coalesce(bad_param, F.lit(True)).alias("bad_param"),
+            F.coalesce(bad_type, F.lit(True)).alias("bad_type"),
+        )
+
+    return let(F.split(param, "(?U)\\s", 2), from_halves)
 
 
 def parse_delimited_signature(text: Column | str, types: Mapping[str, str] = PARAMETER_TYPES) -> Column:
@@ -250,44 +265,46 @@ def _delimited_signature(parts: Column, types: Mapping[str, str]) -> Column:
     valid, suffix = parts["valid"], parts["suffix"]
     params_text = F.when(valid, parts["params"]).otherwise(F.lit(""))
     hidden = F.coalesce(valid & suffix.isin(*HIDDEN_SUFFIXES), F.lit(False))
-    params = F.when(params_text == "", F.array().cast("array<string>")).otherwise(F.split(params_text, ", ", -1))
-    star_at = F.array_position(params, "*")
+    listed = F.when(params_text == "", F.array().cast("array<string>")).otherwise(F.split(params_text, ", ", -1))
     known = literal_map(types)
 
-    def build(p: Column, index: Column) -> Column:
-        default, base = p["default"], p["base"]
-        optional = p["optional"] | F.coalesce(default == "None", F.lit(False))
-        mapped = F.coalesce(F.try_element_at(known, base), base)
-        keyword_only = (star_at > 0) & (index >= star_at)
-        return _argument(
-            p["name"],
-            F.when(optional, union_text(F.array(mapped, F.lit("None")))).otherwise(mapped),
-            default,
-            F.when(keyword_only, F.lit(S.KEYWORD_ONLY)).otherwise(F.lit(S.POSITIONAL_OR_KEYWORD)),
+    def from_params(params: Column) -> Column:
+        read = F.transform(params, lambda p, i: F.struct((p == "*").alias("star"), F.when(p != "*", _parameter_parts(p)).alias("p"), i.alias("i")))
+        state = F.struct(
+            F.filter(read, lambda x: ~x["star"]).alias("real"), F.array_position(params, "*").alias("star_at"), F.array_contains(params, "").alias("empty"),
+            hidden.alias("hidden"),
+        )
+        return let(state, from_read)
+
+    def from_read(state: Column) -> Column:
+        real, star_at = state["real"], state["star_at"]
+
+        def build(p: Column, index: Column) -> Column:
+            optional = p["optional"] | F.coalesce(p["default"] == "None", F.lit(False))
+            keyword_only = (star_at > 0) & (index >= star_at)
+            type_text = let(F.coalesce(F.try_element_at(known, p["base"]), p["base"]), lambda m: F.when(optional, union_text(F.array(m, F.lit("None")))).otherwise(m))
+            return _argument(p["name"], type_text, p["default"], F.when(keyword_only, F.lit(S.KEYWORD_ONLY)).otherwise(F.lit(S.POSITIONAL_OR_KEYWORD)))
+
+        error = (
+            F.when(~valid, F.lit("not a delimited signature"))
+            .when(suffix.isNotNull() & ~state["hidden"], F.concat(F.lit("unknown suffix: "), suffix))
+            .when(state["hidden"], _null_text())
+            .when(state["empty"], F.lit("empty parameter"))
+            .when(F.exists(real, lambda x: x["p"]["bad_param"]), F.lit("parameter is malformed"))
+            .when(F.exists(real, lambda x: x["p"]["bad_type"]), F.lit("parameter type is malformed"))
+        )
+        args = F.transform(real, lambda x: build(x["p"], x["i"]))
+        return let(
+            error,
+            lambda e: F.struct(
+                F.when(valid, parts["name"]).alias("name"),
+                F.when(e.isNull() & ~state["hidden"], args).alias("args"),
+                state["hidden"].alias("hidden"),
+                e.alias("error"),
+            ),
         )
 
-    read = F.transform(params, lambda p, i: F.struct((p == "*").alias("star"), _parameter_parts(p).alias("p"), i.alias("i")))
-    real = F.filter(read, lambda x: ~x["star"])
-    args = F.transform(real, lambda x: build(x["p"], x["i"]))
-    bad_param = F.exists(real, lambda x: x["p"]["bad_param"])
-    bad_type = F.exists(real, lambda x: x["p"]["bad_type"])
-    error = (
-        F.when(~valid, F.lit("not a delimited signature"))
-        .when(suffix.isNotNull() & ~hidden, F.concat(F.lit("unknown suffix: "), suffix))
-        .when(hidden, _null_text())
-        .when(F.array_contains(params, ""), F.lit("empty parameter"))
-        .when(bad_param, F.lit("parameter is malformed"))
-        .when(bad_type, F.lit("parameter type is malformed"))
-    )
-    return let(
-        error,
-        lambda e: F.struct(
-            F.when(valid, parts["name"]).alias("name"),
-            F.when(e.isNull() & ~hidden, args).alias("args"),
-            hidden.alias("hidden"),
-            e.alias("error"),
-        ),
-    )
+    return let(listed, from_params)
 
 
 def triplet_arguments(values: Column | str, slots: Column | str) -> Column:

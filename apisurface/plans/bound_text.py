@@ -243,7 +243,9 @@ def tx9(t):
         F.lit("f("), "p_type", F.lit("[2] size="), F.col("p_size").cast("string"), F.lit(", *, "), "p_brand",
         F.lit("? price, Tensor out=None)"),
     )
-    parsed = t.part.select("p_partkey", F.explode(SG.parse_delimited_signature(source)["args"]).alias("a"))
+    told = spread(t.part.select("p_partkey", source.alias("source")))
+    parsed = evaluate_once(told, "p", SG.parse_delimited_signature("source"))
+    parsed = parsed.select("p_partkey", F.explode("p.args").alias("a"))
     return parsed.select("p_partkey", "a.name", "a.type", "a.default_value", "a.kind")
 
 
