@@ -1,7 +1,7 @@
 """Stub texts (``.pyi``) as rows: one for each function that a module or class body defines.
 
-A text is cut into tokens by one regular expression; running sums over the tokens of a file give the line and bracket depth of
-each, a line end outside of brackets closes a statement. What encloses a statement follows from indentation: for each
+A text is cut into lines by one regular expression; running sums over the lines of a file give the number and bracket depth of
+each, a line end outside of brackets closes a statement, whose tokens another expression finds. What encloses a statement follows from indentation: for each
 width the last statement indented no further is remembered, and those of smaller width are its openers.
 """
 
@@ -22,6 +22,11 @@ _NUMBER = "\\.?\\d(?:[eE][+-]|[\\w.])*+"
 _WORD = "[\\p{L}_][\\p{L}\\p{M}\\p{N}_]*+"
 _SIGNS = "->|\\*\\*|//|<<|>>|[=!<>:]=|\\.\\.\\.|."
 TOKEN = f"(?s){_TRIPLE}|{_QUOTED}|{_COMMENT}|{_BREAK}|{_BLANKS}|{_NUMBER}|{_WORD}|{_SIGNS}"
+#: Blanks, comments and line ends between tokens.
+_SKIPPED = f"(?:{_BLANKS}|{_COMMENT}|{_BREAK})*+"
+_IN_LINE = f"(?:[^\\n\"'#\\\\]++|{_TRIPLE}|{_QUOTED}|{_COMMENT}|\\\\\\r?\\n|[^\\n])"
+#: A line with the strings over several lines and joined lines in it.
+LINE = f"(?s){_IN_LINE}*+\\n|{_IN_LINE}++"
 #: A tab reaches to the next multiple of so many columns; as indentation mixes seldom, each counts in full.
 TAB = 8
 #: Words behind which a sign is no second operand's.
@@ -29,18 +34,26 @@ _LEADING_WORDS = ("lambda", "if", "else", "not", "and", "or", "in", "is", "await
 _SPACED = ("|", "+", "-", "*", "/", "//", "%", "@", "&", "^", "<<", ">>", "==", "!=", "<", ">", "<=", ">=", "**", "->", ":=")
 
 
-def stub_tokens(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """``file``, ``at`` (place in the file), ``token``, ``line`` it begins in, ``depth`` of brackets open before it, ``statement``."""
+def stub_lines(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """``file``, ``row``, ``text``, ``line`` (number) and ``statement`` of each line; strings over several lines and lines joined by a backslash are one.
+
+    What brackets a line opens and closes is told by the line alone, so running sums take a number for each line. Files are dealt to
+    tasks once and their rows stay there.
+    """
     whole = F.concat(F.col(text), F.lit("\n"))
-    tokens = files.select(F.col(file).alias("file"), F.posexplode(F.regexp_extract_all(whole, F.lit(TOKEN), F.lit(0))).alias("at", "token"))
-    breaks = F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))
-    level = F.when(F.col("token").isin("(", "[", "{"), 1).when(F.col("token").isin(")", "]", "}"), -1).otherwise(0)
-    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = tokens.withColumn("line", (F.coalesce(F.sum(breaks).over(before), F.lit(0)) + 1).cast("int")).withColumn(
-        "depth", F.coalesce(F.sum(level).over(before), F.lit(0))
-    )
-    ends = (F.col("token").isin("\n", "\r\n") & (F.col("depth") <= 0)).cast("int")
-    return placed.withColumn("statement", F.coalesce(F.sum(ends).over(before), F.lit(0)))
+    held = files.select(F.col(file).alias("file"), whole.alias("text")).repartition("file")
+    rows = held.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(LINE), F.lit(0))).alias("row", "text"))
+    bare = F.regexp_replace("text", f"(?s){_TRIPLE}|{_QUOTED}|{_COMMENT}", "")
+    told = rows.select(
+        "file", "row", "text",
+        (F.length("text") - F.length(F.translate("text", "\n", ""))).alias("breaks"),
+        (F.length(F.translate(bare, ")]}", "")) - F.length(F.translate(bare, "([{", ""))).alias("level"),
+    )
+    by_row = Window.partitionBy("file").orderBy("row")
+    upto, before = by_row.rowsBetween(Window.unboundedPreceding, 0), by_row.rowsBetween(Window.unboundedPreceding, -1)
+    placed = told.select("file", "row", "text", (F.sum("breaks").over(upto) - F.col("breaks") + 1).cast("int").alias("line"), F.sum("level").over(upto).alias("depth"))
+    # A line end outside of brackets closes the statement.
+    return placed.select("file", "row", "text", "line", F.coalesce(F.sum((F.col("depth") <= 0).cast("int")).over(before), F.lit(0)).alias("statement"))
 
 
 def spaced_tokens(tokens: Column) -> Column:
@@ -81,30 +94,40 @@ def spaced_tokens(tokens: Column) -> Column:
 
 
 def stub_statements(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """``file``, ``statement``, ``line``, ``indent``, ``tokens`` (no comments and blanks) of each statement that is not blank.
+    """``file``, ``statement``, ``line``, ``indent``, ``word`` (its first, if it begins with one, or ``@``), ``text`` of each statement that is not blank.
 
-    A statement is gathered from its own tokens. A line joined by a backslash goes on.
+    A statement is gathered from its own lines. A line joined by a backslash goes on.
     """
-    tokens = stub_tokens(files, file, text)
-    kept = ~F.regexp_like("token", F.lit("^(#|\\s|\\\\\\r?\\n)"))
-    blank = F.regexp_like("token", F.lit("^[ \\t\\f]"))
-    item = F.struct("at", "token", "line", "depth")
-    grouped = tokens.groupBy("file", "statement").agg(
-        F.array_sort(F.collect_list(F.when(kept, item))).alias("items"),
-        F.min_by(F.when(blank, F.col("token")).otherwise(F.lit("")), F.when(~F.col("token").isin("\n", "\r\n"), F.col("at"))).alias("lead"),
-    )
-    width = F.length(F.replace("lead", F.lit("\t"), F.lit(" " * TAB)))
-    return grouped.where(F.size("items") > 0).select(
-        "file", "statement", F.get("items", F.lit(0))["line"].alias("line"), F.coalesce(width, F.lit(0)).alias("indent"), "items"
-    )
+    lines = stub_lines(files, file, text).where(~F.regexp_like("text", F.lit(f"(?s)^{_SKIPPED}\\z")))
+    item = F.struct("row", "line", "text")
+    grouped = lines.groupBy("file", "statement").agg(F.sort_array(F.collect_list(item)).alias("rows"))
+    first = F.get("rows", F.lit(0))
+    skipped = F.regexp_extract(first["text"], f"(?s)^{_SKIPPED}", 0)
+    lead = F.regexp_extract(first["text"], "^[ \\t\\f][ \\t\\f\\r]*+", 0)
+    return grouped.select(
+        "file", "statement",
+        (first["line"] + F.length(skipped) - F.length(F.translate(skipped, "\n", ""))).cast("int").alias("line"),
+        F.length(F.replace(lead, F.lit("\t"), F.lit(" " * TAB))).alias("indent"),
+        F.regexp_extract(first["text"], f"(?s)^{_SKIPPED}(@|{_WORD})", 1).alias("word"),
+        F.array_join(F.transform("rows", lambda r: r["text"]), "").alias("text"),
+    )
+
+
+def _tokens(text: Column) -> Column:
+    """Tokens of a statement but for comments and blanks."""
+    return F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: ~F.regexp_like(t, F.lit("^(#|\\s|\\\\\\r?\\n)")))
+
+
+def _head(tokens: Column) -> Column:
+    """Tokens up to the colon outside of brackets."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
 
+    def step(acc: Column, t: Column) -> Column:
+        level = F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0)
+        ends = (acc["end"] == 0) & (t == ":") & (acc["depth"] == 0)
+        return F.struct((acc["depth"] + level).alias("depth"), (acc["n"] + 1).alias("n"), F.when(ends, acc["n"] + 1).otherwise(acc["end"]).alias("end"))
 
-def _head(items: Column) -> Column:
-    """Tokens up to the colon outside of brackets."""
-    base = F.get(items, F.lit(0))["depth"]
-    end = F.array_position(F.transform(items, lambda i: (i["token"] == ":") & (i["depth"] == base)), True)
-    tokens = F.transform(items, lambda i: i["token"])
-    return F.when(end > 0, F.slice(tokens, F.lit(1), (end - 1).cast("int"))).otherwise(tokens)
+    return let(tokens, lambda ts: let(F.aggregate(ts, start, step, lambda acc: acc["end"]), lambda end: F.when(end > 0, F.slice(ts, F.lit(1), end - 1)).otherwise(ts)))
 
 
 def module_of(relative_path: Column | str) -> Column:
@@ -119,12 +142,15 @@ def stub_functions(files: DataFrame, file: str = "file", text: str = "text") ->
     ``text`` is decorators, one to a line, then the signature with ``: ...``; ``class_path`` is dotted, empty in a module body. Functions
     inside of anything else (conditions, other functions) are left out, as are empty files. ``line`` is that of ``def``.
     """
-    statements = cut_lineage(stub_statements(files, file, text))
-    word = F.get("items", F.lit(0))["token"]
-    second = F.get("items", F.lit(1))["token"]
-    kind = F.when(word == "class", "class").when((word == "def") | ((word == "async") & (second == "def")), "def").when(word == "@", "@")
-    name = F.when(word == "async", F.get("items", F.lit(2))["token"]).otherwise(second)
-    told = statements.withColumns({"kind": F.coalesce(kind, F.lit("other")), "name": name})
+    word = F.col("word")
+    statements = stub_statements(files, file, text)
+    named = F.when(word.isin("class", "def", "async", "@"), _tokens(F.col("text"))).alias("tokens")
+    statements = statements.select("file", "statement", "line", "indent", "word", "text", F.explode_outer(F.array(named)).alias("tokens"))
+    second = F.get("tokens", F.lit(1))
+    kind = F.when(word == "class", "class").when((word == "def") | ((word == "async") & (second == "def")), "def").when(word == "@", "@").otherwise("other")
+    name = F.when(word == "async", F.get("tokens", F.lit(2))).otherwise(second)
+    shown = F.when(kind == "def", F.concat(spaced_tokens(_head(F.col("tokens"))), F.lit(": ..."))).when(kind == "@", spaced_tokens(F.col("tokens")))
+    told = cut_lineage(statements.select("file", "statement", "line", "indent", kind.alias("kind"), name.alias("name"), shown.alias("text")))
     # A decorator line opens nothing; the widths of indentation in all files are few.
     widths = sorted(r[0] for r in told.where(F.col("indent") > 0).select("indent").distinct().collect())
     before = Window.partitionBy("file").orderBy("statement").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,20 +158,18 @@ def stub_functions(files: DataFrame, file: str = "file", text: str = "text") ->
     at_most = [0, *widths[:-1]] if widths else []
     levels = [F.last(F.when((F.col("indent") <= w) & (F.col("kind") != "@"), opener), ignorenulls=True).over(before).alias(f"_at{w}") for w in at_most]
     run = F.coalesce(F.sum((F.col("kind") != "@").cast("int")).over(before), F.lit(0)).alias("run")
-    placed = told.select("file", "statement", "line", "indent", "items", "kind", "name", run, *levels)
+    placed = told.select("file", "statement", "line", "indent", "text", "kind", "name", run, *levels)
     none = F.array().cast("array<struct<statement:bigint,indent:int,kind:string,name:string>>")
     limited = [F.when(F.lit(w) < F.col("indent"), F.col(f"_at{w}")) for w in at_most]
-    openers = F.array_sort(F.array_distinct(F.filter(F.array(*limited), lambda o: o.isNotNull()))) if limited else none
-    enclosed = placed.select("file", "statement", "line", "items", "kind", "name", "run", openers.alias("openers"))
-    # Decorators share the run of the statement that follows them.
-    decorators = enclosed.where(F.col("kind") == "@").groupBy("file", "run").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("statement", spaced_tokens(F.transform("items", lambda i: i["token"])).alias("text")))), lambda d: d["text"]
-        ).alias("decorators")
+    openers = F.sort_array(F.array_distinct(F.filter(F.array(*limited), lambda o: o.isNotNull()))) if limited else none
+    enclosed = placed.select("file", "statement", "line", "text", "kind", "name", "run", openers.alias("openers"))
+    # Decorators share the run of the statement that follows them: it is the one other of the run.
+    at, one = F.col("kind") == "@", F.struct("line", "kind", "name", "text", "openers")
+    runs = enclosed.groupBy("file", "run").agg(
+        F.sort_array(F.collect_list(F.when(at, F.struct("statement", "text")))).alias("decorators"), F.max_by(F.when(~at, one), F.when(~at, F.col("statement"))).alias("one")
     )
-    in_body = F.forall("openers", lambda o: o["kind"] == "class")
-    functions = enclosed.where((F.col("kind") == "def") & in_body).join(decorators, ["file", "run"], "left")
-    lines = F.concat(F.coalesce("decorators", F.array().cast("array<string>")), F.array(F.concat(spaced_tokens(_head(F.col("items"))), F.lit(": ..."))))
+    functions = runs.where(F.col("one.kind") == "def").select("file", "decorators", "one.*").where(F.forall("openers", lambda o: o["kind"] == "class"))
+    lines = F.concat(F.transform("decorators", lambda d: d["text"]), F.array("text"))
     return functions.select(
         "file",
         F.array_join(F.transform("openers", lambda o: o["name"]), ".").alias("class_path"),

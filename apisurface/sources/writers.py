@@ -65,7 +65,7 @@ def write_module_files(
     The lines of a module make one text, as the text of a module is one file.
     """
     item = F.struct(F.col(order).alias("at"), F.col(line).alias("line"))
-    texts = lines.groupBy(F.col(module).alias("module")).agg(F.array_sort(F.collect_list(item)).alias("items"), F.bool_or(is_package).alias("package"))
+    texts = lines.groupBy(F.col(module).alias("module")).agg(F.sort_array(F.collect_list(item)).alias("items"), F.bool_or(is_package).alias("package"))
     body = F.concat(F.array_join(F.transform("items", lambda i: i["line"]), "\n"), F.lit("\n"))
     files = texts.select(F.concat(module_file(F.col("module"), F.col("package")), F.lit(suffix)).alias("path"), body.alias("content"))
     return write_tree(files, root)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from apisurface.functions.signatures import parse_delimited_signature, parse_overload
 from apisurface.functions.types import evaluate_once, split_top_level
+from apisurface.operators.aggregates import floor_percentiles
+from apisurface.operators.projections import flatten_tree
 from apisurface.plans import registry
+from apisurface.sources import json_blocks, stubs, trees
 
 
 def test_costly_column_is_not_evaluated_for_a_filter(spark):
@@ -49,3 +55,66 @@ def test_delimited_text_odd_cases(spark):
         "not a delimited signature", "not a delimited signature", "parameter is malformed", "empty parameter", "unknown suffix: x",
     ]
     assert told["f(int a)|hidden"].hidden and told["f(int a)|hidden"].error is None
+
+
+def test_a_block_of_a_document_takes_little_memory(tmp_path):
+    entry = b'{"file": "a", "arguments": ["x", "{[\\""]},\n'
+    data = b"[" + entry * (json_blocks.BLOCK // len(entry) + 1)
+    (tmp_path / "c.json").write_bytes(data)
+    blocks = pa.record_batch([pa.array([0], pa.int64())], ["block"])
+    tracemalloc.start()
+    sums = [r for b in json_blocks._sums(str(tmp_path / "c.json"), json_blocks.BLOCK)(iter([blocks])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sums) == 1 and peak < 250 * 1024 * 1024
+
+
+def test_document_is_written_by_ranges(spark, tmp_path):
+    lines = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "a/x").otherwise("y").alias("path"), (-F.col("id")).alias("o"), F.concat(F.lit("l"), "id").alias("line"))
+    assert trees.write_documents(lines.repartition(7), str(tmp_path), "path", ["o"], head="[", tail="]", between=",") == 2
+    assert (tmp_path / "a/x").read_text() == "[" + ",".join(f"l{i}" for i in reversed(range(0, 5000, 3))) + "]"
+    assert (tmp_path / "y").read_text() == "[" + ",".join(f"l{i}" for i in reversed(range(5000)) if i % 3) + "]"
+
+
+def test_files_are_read_by_many_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"f{i}").write_text(str(i))
+    found = trees.read_tree(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(int(bytes(r.content)) for r in found.collect()) == list(range(40))
+
+
+def test_stub_lines_are_rows_not_tokens(spark):
+    text = 'x = """a\nb ("""  # (\ndef f(\n    a, b,  # ):\n) -> int: ...\n\ny = 1 + \\\n  2\n@d\nclass A:\n\tdef g(self): ...\n'
+    rows = sorted((r.row, r.line, r.statement) for r in stubs.stub_lines(spark.createDataFrame([("m", text)], "file string, text string")).collect())
+    assert rows == [(0, 1, 0), (1, 3, 1), (2, 4, 1), (3, 5, 1), (4, 6, 2), (5, 7, 3), (6, 9, 4), (7, 10, 5), (8, 11, 6), (9, 12, 7)]
+    got = sorted(tuple(r)[1:] for r in stubs.stub_functions(spark.createDataFrame([("m", text)], "file string, text string")).collect())
+    assert got == [("", "f", "def f(a, b) -> int: ...", 3), ("A", "g", "def g(self): ...", 11)]
+
+
+def test_paths_carry_names_alone(spark):
+    nodes = spark.createDataFrame([(1, None, None, "module"), (2, 1, "b", "class"), (3, 2, "c", "function"), (4, None, "r", "module")], "node_id int, parent_id int, name string, kind string")
+    got = {r.node_id: (r.path, r.depth, [tuple(s) for s in r.sort_path]) for r in flatten_tree(nodes, kind="kind").collect()}
+    assert got == {1: (None, 0, [(3, None)]), 2: ("b", 1, [(3, None), (2, "b")]), 3: ("b.c", 2, [(3, None), (2, "b"), (1, "c")]), 4: ("r", 0, [(3, "r")])}
+    plan = flatten_tree(nodes).select("path")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_path" not in plan
+
+
+def test_rows_of_a_large_group_stay_spread(spark, monkeypatch):
+    from apisurface.operators import aggregates
+
+    seen = []
+    real = aggregates._in_brackets
+    monkeypatch.setattr(aggregates, "_in_brackets", lambda rows, brackets: (seen.append(real(rows, brackets)), seen[-1])[1])
+    rows = spark.range(20000).select(F.lit("a").alias("g"), (F.col("id") * 7919 % 20000).alias("v"))
+    assert floor_percentiles(rows, "v", {"p50": 0.5}, ["g"]).collect()[0].p50 == 9999
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan
+
+
+def test_shuffles_of_stored_rows_go_at_once(spark):
+    from apisurface.llm.frames import CLEANUP, stored
+
+    before = spark.conf.get(CLEANUP)
+    assert stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "x").count() == 7
+    assert spark.conf.get(CLEANUP) == before
