@@ -2,58 +2,40 @@
 
 from __future__ import annotations
 
-import ctypes
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from apisurface.batches import TEXT_ROWS, in_arrow, sliced
 from apisurface.session import shared_folder
 
 
+__all__ = ["TEXT_ROWS", "fresh", "in_arrow", "pick", "sliced", "stored", "table"]
+
+
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """``df`` cut to the named columns under new names; other columns, whatever they are called, are left behind."""
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in names.items()])
 
 
-#: Rows of whole texts that are Python objects at a time. The batches they are cut from are bounded in bytes by Spark.
-TEXT_ROWS = 500
-
-
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches of a task cut to at most ``rows`` rows each, so that few texts are Python objects at a time; empty ones go."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
-def _give_back() -> None:
-    """Return memory that was freed to the system: workers are used again, and each operator would add what it needed at most."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        return
-
-
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow``, whose tasks give their memory back when they end."""
-
-    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            _give_back()
-
-    return df.mapInArrow(lean, schema)
+#: Whether shuffle files go when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: no lineage, safe from lost executors."""
+    """``df`` written once as Parquet in the shared folder and read again: no lineage, safe from lost executors.
+
+    What was shuffled for it goes at once, not when the driver happens to collect garbage. The session's settings stay as they are.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

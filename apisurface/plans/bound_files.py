@@ -12,7 +12,7 @@ from apisurface.plans.registry import bound, text
 from apisurface.session import shared_folder
 from apisurface.sources import readers as RD
 from apisurface.sources import writers as WR
-from apisurface.sources.trees import read_tree, write_tree
+from apisurface.sources.trees import read_tree, write_documents, write_tree
 
 #: Documents that the events are dealt to; a document is one file.
 DOCUMENTS = 4
@@ -35,13 +35,8 @@ def src4_document(t):
             F.array("event_type", F.concat(F.lit('{["'), F.coalesce("props", F.lit("")))).alias("arguments"),
         )
     )
-    document = (F.col("user_id") % DOCUMENTS).alias("document")
-    texts = t.events.groupBy(document).agg(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("entry")))).alias("entries"))
-    files = texts.select(
-        F.concat("document", F.lit("/compile_commands.json")).alias("path"),
-        F.concat(F.lit("[\n"), F.array_join(F.transform("entries", lambda e: e["entry"]), ",\n"), F.lit("\n]")).alias("content"),
-    )
-    write_tree(files, root)
+    path = F.concat((F.col("user_id") % DOCUMENTS).cast("string"), F.lit("/compile_commands.json"))
+    write_documents(t.events.select(path.alias("path"), "event_id", entry.alias("line")), root, "path", ["event_id", "line"], head="[\n", tail="\n]", between=",\n")
     found = None
     for i in range(DOCUMENTS):
         part = RD.read_compile_commands(t.spark, f"{root}/{i}/compile_commands.json")
@@ -60,11 +55,9 @@ def src5_document(t):
     """Parts as a ranked list in one document, beside other lists."""
     root = shared_folder(t.spark, "ranked")
     row = F.to_json(F.struct(F.col("p_name").alias("project"), F.col("p_partkey").alias("download_count")))
-    place = F.struct((-F.col("p_size")).alias("size"), "p_partkey", row.alias("row"))
-    rows = t.part.agg(F.array_sort(F.collect_list(place)).alias("rows"))
-    listed = F.array_join(F.transform("rows", lambda r: r["row"]), ",\n")
-    content = F.concat(F.lit('{"last_update": "x]}", "query": [{"project": "no"}], "rows": ['), listed, F.lit('], "more": [{"project": "no"}]}'))
-    write_tree(rows.select(F.lit("top.json").alias("path"), content.alias("content")), root)
+    rows = t.part.select(F.lit("top.json").alias("path"), (-F.col("p_size")).alias("size"), "p_partkey", row.alias("line"))
+    head = '{"last_update": "x]}", "query": [{"project": "no"}], "rows": ['
+    write_documents(rows, root, "path", ["size", "p_partkey", "line"], head=head, tail='], "more": [{"project": "no"}]}', between=",\n")
     return RD.read_ranked(t.spark, f"{root}/top.json", 1000)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from apisurface.session import shared_folder
 from apisurface.sources.trees import _opened
 
-BLOCK = 32 * 1024 * 1024
+BLOCK = 4 * 1024 * 1024
 #: Bytes before a block that are looked at: for backslashes, and for the name of an array that begins the block.
 LEAD = 4096
 #: Bytes read at a time past the end of a block.
@@ -26,34 +26,48 @@ MORE = 1024 * 1024
 NAME = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*$')
 
 
+_SIGNS = np.zeros(256, bool)
+_SIGNS[list(b'"{}[]')] = True
+_LEVEL = np.zeros(256, np.int8)
+_LEVEL[list(b"{[")], _LEVEL[list(b"}]")] = 1, -1
+
+
 class _Marks:
-    """Brackets and strings of a stretch of bytes, given what comes before it."""
+    """Brackets and strings of a stretch of bytes, given what comes before it; only the places of signs are held."""
 
     def __init__(self, lead: bytes, data: bytes, inside: int = 0, depth: int = 0) -> None:
         held = lead[len(lead.rstrip(b"\\")) :]
         both = np.frombuffer(held + data, np.uint8)
-        slashes = both == ord("\\")
+        at = np.flatnonzero(_SIGNS[both]).astype(np.int32)
+        signs = both[at]
         # A quote is escaped behind an odd run of backslashes.
-        last_other = np.maximum.accumulate(np.where(slashes, -1, np.arange(len(both))))
-        at = np.flatnonzero(both == ord('"'))
-        run = at - 1 - np.where(at > 0, last_other[at - 1], -1)
-        quotes = np.zeros(len(both), np.int64)
-        quotes[at[run % 2 == 0]] = 1
+        quotes = signs == ord('"')
+        behind = np.flatnonzero(quotes & (at > 0) & (both[at - 1] == ord("\\")))
+        if len(behind):
+            slashes = np.flatnonzero(both == ord("\\")).astype(np.int32)
+            begins = np.concatenate([[True], np.diff(slashes) > 1])
+            firsts = slashes[begins]
+            run = at[behind] - firsts[np.searchsorted(firsts, at[behind]) - 1]
+            quotes[behind[run % 2 == 1]] = False
         self.data = both[len(held) :]
-        self.parity = np.cumsum(quotes[len(held) :])
-        opened = (self.data == ord("{")) | (self.data == ord("["))
-        closed = (self.data == ord("}")) | (self.data == ord("]"))
-        self.level = opened.astype(np.int64) - closed
+        # Signs are never among the backslashes that are held from before.
+        self.at, self.signs = at - len(held), signs
+        self.parity = np.cumsum(quotes, dtype=np.int32)
+        self.level = _LEVEL[signs]
         self.start(inside, depth)
 
     def start(self, inside: int, depth: int) -> None:
-        self.level_here = np.where((self.parity + inside) & 1, 0, self.level)
-        self.after = depth + np.cumsum(self.level_here)
+        self.level_here = np.where((self.parity + inside) & 1, 0, self.level).astype(np.int8)
+        self.after = depth + np.cumsum(self.level_here, dtype=np.int64)
+
+    def ended(self, inside: int, depth: int) -> tuple[int, int]:
+        """Whether a string is open behind the stretch, and how many brackets are."""
+        return ((inside + int(self.parity[-1])) & 1, int(self.after[-1])) if len(self.at) else (inside, depth)
 
     def places(self, sign: str, depth: int, after: bool) -> np.ndarray:
         """Where ``sign`` stands outside of strings, with so many brackets open after or before it."""
         level = self.after if after else self.after - self.level_here
-        return np.flatnonzero((self.data == ord(sign)) & (self.level_here != 0) & (level == depth))
+        return self.at[(self.signs == ord(sign)) & (self.level_here != 0) & (level == depth)].astype(np.int64)
 
 
 def _stretch(path: str, offset: int, size: int) -> tuple[bytes, bytes]:
@@ -73,10 +87,9 @@ def _sums(path: str, block: int):
             out = []
             for number in batch.column(0).to_pylist():
                 marks = _Marks(*_stretch(path, number * block, block))
-                marks.start(0, 0)
-                outside = int(marks.after[-1]) if len(marks.after) else 0
+                parity, outside = marks.ended(0, 0)
                 marks.start(1, 0)
-                out.append((number, int(marks.parity[-1]) & 1 if len(marks.parity) else 0, outside, int(marks.after[-1]) if len(marks.after) else 0))
+                out.append((number, parity, outside, marks.ended(1, 0)[1]))
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["block", "parity", "outside", "inside"])
 
@@ -87,7 +100,7 @@ def _cut(path: str, block: int, level: int):
     def whole(marks: _Marks, start: int, offset: int) -> bytes:
         """The object that begins at ``start`` of a block and ends beyond it."""
         parts = [marks.data[start:].tobytes()]
-        inside, depth = int(marks.parity[-1] + marks.inside) & 1, int(marks.after[-1])
+        inside, depth = marks.ended(marks.inside, marks.depth)
         while True:
             lead, data = _stretch(path, offset, MORE)
             if not data:
@@ -97,7 +110,7 @@ def _cut(path: str, block: int, level: int):
             if len(ends):
                 return b"".join([*parts, data[: int(ends[0]) + 1]])
             parts.append(data)
-            inside, depth = (inside + int(more.parity[-1])) & 1, int(more.after[-1])
+            inside, depth = more.ended(inside, depth)
             offset += len(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +124,7 @@ def _cut(path: str, block: int, level: int):
                 base = number * block
                 lead, data = _stretch(path, base, block)
                 marks = _Marks(lead, data, inside, depth)
-                marks.inside = inside
+                marks.inside, marks.depth = inside, depth
                 before = lead + data
                 out = []
                 for at in marks.places("[", level - 1, False).tolist() if level > 1 else ():

@@ -10,15 +10,20 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apisurface.batches import in_arrow, sliced
 from apisurface.session import shared_folder
 
 #: Bytes of file contents that one batch of rows holds, if its last file is not larger.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
+#: Bytes of files that one task reads, if they are many.
+TASK_BYTES = 64 * 1024 * 1024
 LISTED = "path string, relative_path string, size long, is_folder boolean"
 CONTENT = "path string, relative_path string, content binary"
 
@@ -96,7 +101,14 @@ def _read_files(root: str):
 def read_tree(spark: SparkSession, root: str, suffix: str = "", prune: Sequence[str] = (".git",)) -> DataFrame:
     """Files below ``root`` whose name ends in ``suffix`` as (path, relative_path, content); files that cannot be read are skipped."""
     files = list_tree(spark, root, prune).where(F.endswith("relative_path", F.lit(suffix)))
-    return files.select("path", "relative_path").repartition("path").mapInArrow(_read_files(root), CONTENT)
+    # Tasks by the bytes that are read; paths alone would go into a few.
+    found, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(min(found, spark.sparkContext.defaultParallelism), -(-size // TASK_BYTES), 1)
+    return in_arrow(files.select("path", "relative_path").repartition(tasks, "path"), _read_files(root), CONTENT)
+
+
+#: Rows of whole contents that are Python objects at a time.
+CONTENT_ROWS = 100
 
 
 def write_tree(files: DataFrame, root: str, path: str = "path", content: str = "content") -> int:
@@ -107,16 +119,96 @@ def write_tree(files: DataFrame, root: str, path: str = "path", content: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _opened(root)
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        done = 0
+        for batch in sliced(batches, CONTENT_ROWS):
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 target = f"{base.rstrip('/')}/{name}"
                 folder, last = os.path.split(target)
                 system.create_dir(folder, recursive=True)
                 part = f"{folder}/.{last}.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as stream:
-                    stream.write(data or b"")
+                    if data.is_valid:
+                        stream.write(data.as_buffer())
                 system.move(part, target)
-            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
+            done += batch.num_rows
+        yield pa.record_batch([pa.array([done], pa.int64())], ["n"])
 
     rows = files.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content"))
-    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return in_arrow(rows, run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+#: Bytes that are copied at a time where parts are put together.
+COPY_BYTES = 8 * 1024 * 1024
+#: Lines of a part that are Python objects at a time.
+PART_LINES = 1000
+
+
+def write_documents(
+    lines: DataFrame, root: str, path: str, order: Sequence[Column | str], line: str = "line", head: str = "", tail: str = "", between: str = ""
+) -> int:
+    """One file for each value of ``path`` below ``root``: ``head``, its lines in ``order`` with ``between`` them, ``tail``; the number of files.
+
+    Lines are dealt to ranges of (path, order) and written as parts by many tasks; a task then copies the parts of a file one
+    after the other, a stretch at a time, so a file may be larger than any task.
+    """
+    spark, folder = lines.sparkSession, shared_folder(lines.sparkSession, "parts")
+    content = F.col(line).cast("binary").alias("line")
+    ranked = lines.select(F.col(path).alias("path"), content, *[F.col(c).alias(f"_o{i}") if isinstance(c, str) else c.alias(f"_o{i}") for i, c in enumerate(order)])
+    keys = ["path", *[f"_o{i}" for i in range(len(order))]]
+    dealt = ranked.repartitionByRange(*keys).sortWithinPartitions(*keys).select("path", "line", F.spark_partition_id().alias("range"))
+    glue = between.encode()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _opened(folder)
+        base = base.rstrip("/")
+        system.create_dir(base, recursive=True)
+        told, stream = [], None
+        try:
+            for batch in sliced(batches, PART_LINES):
+                rows = zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True)
+                for name, group in groupby(rows, key=itemgetter(0)):
+                    found = list(group)
+                    if not told or told[-1][0] != name:
+                        if stream is not None:
+                            stream.close()
+                        target = f"{base}/{uuid.uuid4().hex}"
+                        stream = system.open_output_stream(target)
+                        told.append((name, found[0][2], target))
+                    else:
+                        stream.write(glue)
+                    stream.write(glue.join(data or b"" for _, data, _ in found))
+        finally:
+            if stream is not None:
+                stream.close()
+        columns = zip(*told, strict=True) if told else [[]] * 3
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string()), strict=True)], ["path", "range", "part"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _opened(root)
+        done = 0
+        for batch in batches:
+            for name, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{base.rstrip('/')}/{name}"
+                inner, last = os.path.split(target)
+                system.create_dir(inner, recursive=True)
+                made = f"{inner}/.{last}.{uuid.uuid4().hex}"
+                with system.open_output_stream(made) as out:
+                    out.write(head.encode())
+                    for i, part in enumerate(listed):
+                        if i:
+                            out.write(glue)
+                        with system.open_input_stream(part["part"]) as source:
+                            while data := source.read(COPY_BYTES):
+                                out.write(data)
+                    out.write(tail.encode())
+                system.move(made, target)
+                done += 1
+        yield pa.record_batch([pa.array([done], pa.int64())], ["n"])
+
+    # Written once, so that a task that runs again names the same parts.
+    names = shared_folder(spark, "part-names")
+    in_arrow(dealt, parts, "path string, range int, part string").write.parquet(names)
+    listed = spark.read.schema("path string, range int, part string").parquet(names).groupBy("path")
+    listed = listed.agg(F.transform(F.sort_array(F.collect_list(F.struct("range", "part"))), lambda p: F.struct(p["part"].alias("part"))).alias("parts"))
+    files, cores = listed.count(), spark.sparkContext.defaultParallelism
+    return in_arrow(listed.repartition(max(1, min(files, cores)), "path"), whole, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
