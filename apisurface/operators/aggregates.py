@@ -106,6 +106,8 @@ def evaluation_summary(
 SKETCH_ITEMS = 4000
 #: Share of the rows on either side of an estimate among which the wanted value is looked for.
 BRACKET = 0.004
+#: Groups whose brackets, some hundred bytes each, every task may hold.
+FEW_GROUPS = 10_000
 
 
 def _level_groups(by: Sequence[str], total: bool) -> Column:
@@ -172,14 +174,16 @@ def ranked_measures(
     names = [c for c in first.columns if c not in ("_group", "_rows", "_known", "_sketch")]
     told = cut_lineage(first.select("_group", "_rows", *names, brackets.alias("_brackets")))
     wanted = told.where(F.col("_rows") > 0).select("_group", "_brackets")
-    found = cut_lineage(_in_brackets(rows.select("_group", "_value", "_d"), wanted))
+    # Few groups go to the rows, so that the rows of a large one stay spread.
+    few = told.count() <= FEW_GROUPS
+    found = cut_lineage(_in_brackets(rows.select("_group", "_value", "_d"), F.broadcast(wanted) if few else wanted))
     missed = wanted.select("_group", F.explode("_brackets").alias("b")).join(found.select("_group", F.col("name").alias("_name")), ["_group"], "left")
     missed = missed.groupBy("_group", "b").agg(F.bool_or(F.coalesce(F.col("_name") == F.col("b.name"), F.lit(False))).alias("_found")).where(~F.col("_found"))
     missed = cut_lineage(missed)
     if not missed.isEmpty():
         open_ = F.struct(F.col("b.name").alias("name"), F.col("b.rank").alias("rank"), F.when(F.lit(False), F.lit(0.0)).alias("low"), F.when(F.lit(False), F.lit(0.0)).alias("high"))
         again = missed.groupBy("_group").agg(F.collect_list(open_).alias("_brackets"))
-        found = found.unionByName(_in_brackets(rows.select("_group", "_value", "_d"), again))
+        found = found.unionByName(_in_brackets(rows.select("_group", "_value", "_d"), F.broadcast(again) if few else again))
     values = found.groupBy("_group").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in quantiles])
     keys = [F.col("_group").getField(b).alias(b) for b in by]
     joined = told.join(values, "_group", "left")
@@ -277,7 +281,7 @@ def module_imports(
     if overload_count is not None:
         own = F.when(overload_count > 1, F.array_union(own, F.array(F.lit("typing")))).otherwise(own)
     single = df.select(*by, F.explode_outer(own).alias("_import")).distinct()
-    return single.groupBy(*by).agg(F.array_sort(F.collect_set("_import")).alias(out))
+    return single.groupBy(*by).agg(F.sort_array(F.collect_set("_import")).alias(out))
 
 
 def type_coverage(hits: DataFrame, owner: str, kind: str = "type") -> DataFrame:
@@ -287,9 +291,9 @@ def type_coverage(hits: DataFrame, owner: str, kind: str = "type") -> DataFrame:
 
 def group_hits(hits: DataFrame, owner: str, kind: str = "type", keyword: str = "keyword") -> DataFrame:
     """Per owner the array of (type, keywords); both levels sorted, both bounded by the keyword list."""
-    inner = hits.groupBy(owner, kind).agg(F.array_sort(F.collect_set(keyword)).alias("keywords"))
+    inner = hits.groupBy(owner, kind).agg(F.sort_array(F.collect_set(keyword)).alias("keywords"))
     entry = F.struct(F.col(kind).alias("type"), F.col("keywords"))
-    return inner.groupBy(owner).agg(F.array_sort(F.collect_list(entry)).alias("extensions"))
+    return inner.groupBy(owner).agg(F.sort_array(F.collect_list(entry)).alias("extensions"))
 
 
 def coverage(df: DataFrame, flags: Mapping[str, Column], total: str = "total") -> DataFrame:
