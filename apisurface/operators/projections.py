@@ -59,7 +59,7 @@ def collect_signatures(
     The array holds the overloads of one function, so its length does not grow with the catalog.
     """
     element = F.struct(F.col(idx), *[F.col(f) for f in fields])
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(element)).alias(out))
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(element)).alias(out))
 
 
 def with_evidence(df: DataFrame, cols: Sequence[str], out: str = "evidence", blank: bool = True) -> DataFrame:
@@ -95,8 +95,9 @@ def flatten_tree(
     )
     rows = cut_lineage(rows)
     rooted = rows.join(_rooted(rows.select("_id", F.col("_parent").alias("_up"))), "_id", "left_semi")
-    step = F.struct(F.col("_rank").alias("rank"), F.col("_name").alias("name"))
-    paths = cut_lineage(rooted.select("_id", F.col("_parent").alias("_up"), F.col("_name").alias("path"), F.array(step).alias("sort_path")))
+    # Names alone are carried along (and ranks, if kinds have some); paths are put together at the end.
+    carried = {"names": F.array("_name"), **({} if kind is None else {"ranks": F.array("_rank")})}
+    paths = cut_lineage(rooted.select("_id", F.col("_parent").alias("_up"), *[v.alias(c) for c, v in carried.items()]))
     done = None
     while True:
         whole = paths.where(F.col("_up").isNull())
@@ -105,15 +106,11 @@ def flatten_tree(
         if open_.isEmpty():
             break
         # What ended in earlier rounds is still wanted as a beginning.
-        above = done.unionByName(open_).select(
-            F.col("_id").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_head"), F.col("sort_path").alias("_sort_head")
-        )
-        paths = cut_lineage(
-            open_.join(above, "_up").select(
-                "_id", F.col("_next").alias("_up"), F.concat_ws(sep, "_head", "path").alias("path"), F.concat("_sort_head", "sort_path").alias("sort_path")
-            )
-        )
-    result = done.select("_id", "path", "sort_path", (F.size("sort_path") - 1).alias("depth"))
+        above = done.unionByName(open_).select(F.col("_id").alias("_up"), F.col("_up").alias("_next"), *[F.col(c).alias(f"_{c}_head") for c in carried])
+        paths = cut_lineage(open_.join(above, "_up").select("_id", F.col("_next").alias("_up"), *[F.concat(f"_{c}_head", c).alias(c) for c in carried]))
+    path = F.when(F.size("names") > 1, F.array_join("names", sep)).otherwise(F.get("names", F.lit(0)))
+    step = (lambda n, i: F.struct(F.lit(0).alias("rank"), n.alias("name"))) if kind is None else (lambda n, i: F.struct(F.get("ranks", i).alias("rank"), n.alias("name")))
+    result = done.select("_id", path.alias("path"), F.transform("names", step).alias("sort_path"), (F.size("names") - 1).alias("depth"))
     if orphans:
         result = rows.select("_id").join(result, "_id", "left")
     return result.withColumnRenamed("_id", node_id)
