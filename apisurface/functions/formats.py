@@ -74,8 +74,8 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("'", "\\'") + "'"
 
 
-# Positional formats without tuples that need no closer look.
-FLAT_FORMAT = "^(?:{0})*(?:\\|(?:{0})*)?$".format(_alternatives(ARGUMENT_UNITS))
+# What a positional format of units alone has that needs a closer look: tuples, a second ``|``.
+NOT_FLAT = "(?s)[()$]|\\|.*\\|"
 
 
 def _argument_unit_map() -> Column:
@@ -143,9 +143,9 @@ def leading_blanks(names: Column | str) -> Column:
     return F.struct(count.alias("count"), F.when(later, F.lit("empty name after a named keyword")).alias("error"))
 
 
-def _structure_error(fmt: Column, keywords: bool, blanks: Column | None) -> Column:
+def _structure_error(body: Column, tokens: Column, keywords: bool, blanks: Column | None) -> Column:
     """First structural error of an argument format, null when well formed."""
-    leftover = F.regexp_replace(format_body(fmt), ARGUMENT_PATTERN, "")
+    leftover = F.regexp_replace(body, ARGUMENT_PATTERN, "")
     start = F.struct(
         F.lit(0).alias("depth"),
         F.lit(0).alias("section"),
@@ -184,10 +184,11 @@ def _structure_error(fmt: Column, keywords: bool, blanks: Column | None) -> Colu
     def finish(acc: Column) -> Column:
         return F.coalesce(acc["error"], F.when(acc["depth"] > 0, F.lit("tuple is not closed")))
 
-    folded = F.aggregate(format_tokens(fmt), start, step, finish)
+    folded = F.aggregate(tokens, start, step, finish)
     if not keywords:
-        folded = F.when(~F.regexp_like(format_body(fmt), F.lit(FLAT_FORMAT)), folded)
-    return F.coalesce(F.when(leftover != "", F.concat(F.lit("unknown unit: "), leftover)), folded)
+        folded = F.when(F.regexp_like(body, F.lit(NOT_FLAT)), folded)
+    # Tokens and what is left over make up the body.
+    return F.coalesce(F.when(F.array_join(tokens, "") != body, F.concat(F.lit("unknown unit: "), leftover)), folded)
 
 
 def check_format(
@@ -197,16 +198,24 @@ def check_format(
 
     With ``names`` the keyword rules apply, otherwise the positional ones with nested tuples.
     """
-    fmt = col_of(fmt)
-    blanks = None if names is None else leading_blanks(names)
-    error = _structure_error(fmt, names is not None, None if blanks is None else blanks["count"])
-    checks = [error]
-    if blanks is not None:
-        checks.insert(0, blanks["error"])
-        units = F.size(F.filter(format_tokens(fmt), lambda t: ~t.isin("|", "$", "(", ")")))
-        checks.append(F.when(units != F.size(col_of(names)), F.lit("names do not match units")))
+    read = F.struct(format_body(fmt).alias("body"), format_tokens(fmt).alias("tokens"))
+    return let(read, lambda r: _format_error(r["body"], r["tokens"], slot_count, names))
+
+
+def _format_error(body: Column, tokens: Column, slot_count: Column | str | None, names: Column | str | None) -> Column:
+    if names is None:
+        checks = [_structure_error(body, tokens, False, None)]
+    else:
+        # A struct, as names may be null.
+        blanks = F.struct(leading_blanks(names).alias("b"))
+        units = F.size(F.filter(tokens, lambda t: ~t.isin("|", "$", "(", ")")))
+        checks = [
+            let(blanks, lambda b: F.coalesce(b["b"]["error"], _structure_error(body, tokens, True, b["b"]["count"]))),
+            F.when(units != F.size(col_of(names)), F.lit("names do not match units")),
+        ]
     if slot_count is not None:
-        checks.append(F.when(format_slots(fmt) != col_of(slot_count), F.lit("arguments do not match units")))
+        wide = F.aggregate(tokens, F.lit(0), lambda total, token: total + F.coalesce(F.try_element_at(_argument_unit_map(), token)["slots"], F.lit(0)))
+        checks.append(F.when(wide != col_of(slot_count), F.lit("arguments do not match units")))
     return F.coalesce(*checks)
 
 
@@ -304,13 +313,15 @@ def parse_format_arguments(fmt: Column | str, slots: Column | str, names: Column
             F.when(complete, F.concat(acc["args"], F.array(argument))).otherwise(acc["args"]).alias("args"),
         )
 
-    error = check_format(fmt, F.size(slots), names)
-    items = _with_units(format_tokens(fmt), _argument_unit_map())
-    args = F.aggregate(items, start, step, lambda acc: acc["args"])
-    if names is None:
-        nested = F.contains(fmt, F.lit("("))
-        args = F.when(nested, args).otherwise(let(items, lambda i: _flat_arguments(i, slots)))
-    return let(error, lambda e: F.struct(F.when(e.isNull(), args).alias("args"), e.alias("error")))
+    def parsed(read: Column) -> Column:
+        tokens, items = F.transform(read["items"], lambda i: i["token"]), read["items"]
+        error = let(F.struct(tokens.alias("tokens")), lambda r: _format_error(read["body"], r["tokens"], F.size(slots), names))
+        args = F.aggregate(items, start, step, lambda acc: acc["args"])
+        if names is None:
+            args = F.when(F.contains(fmt, F.lit("(")), args).otherwise(_flat_arguments(items, slots))
+        return let(error, lambda e: F.struct(F.when(e.isNull(), args).alias("args"), e.alias("error")))
+
+    return let(F.struct(format_body(fmt).alias("body"), _with_units(format_tokens(fmt), _argument_unit_map()).alias("items")), parsed)
 
 
 def _flat_arguments(items: Column, slots: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from apisurface import schemas as S
 from apisurface.functions.text import col_of
+from apisurface.functions.types import let
 
 INDENT = "    "
 
@@ -24,37 +25,54 @@ def render_argument(arg: Column) -> Column:
 
 def render_arguments(args: Column | str) -> Column:
     """Rendered arguments with the ``/`` and ``*`` markers in place."""
-    args = col_of(args)
-    kinds = F.transform(args, lambda a: a["kind"])
-    others = F.array_position(F.transform(kinds, lambda k: k != S.POSITIONAL_ONLY), True)
-    leading = F.when(others == 0, F.size(kinds)).otherwise(others - 1)
-    first_keyword = F.array_position(kinds, S.KEYWORD_ONLY)
-    variadic = F.array_position(kinds, S.VAR_POSITIONAL)
-    needs_star = (first_keyword > 0) & ((variadic == 0) | (variadic > first_keyword))
-    none = F.array().cast("array<string>")
+    return let(F.struct(col_of(args).alias("args")), lambda given: let(_marker_places(given["args"]), lambda at: _marked_arguments(given["args"], at)))
+
+
+def _marker_places(args: Column) -> Column:
+    """Struct(leading, star): arguments before ``/`` (0: no such) and place, from 1, of the one behind ``*`` (null: no such)."""
+    state = F.struct(
+        F.size(args).alias("size"),
+        F.array_position(F.transform(args, lambda a: a["kind"] != S.POSITIONAL_ONLY), True).alias("others"),
+        F.array_position(F.transform(args, lambda a: a["kind"]), S.KEYWORD_ONLY).alias("keyword"),
+        F.array_position(F.transform(args, lambda a: a["kind"]), S.VAR_POSITIONAL).alias("variadic"),
+    )
+
+    def places(s: Column) -> Column:
+        needs_star = (s["keyword"] > 0) & ((s["variadic"] == 0) | (s["variadic"] > s["keyword"]))
+        return F.struct(F.when(s["others"] == 0, s["size"]).otherwise(s["others"] - 1).alias("leading"), F.when(needs_star, s["keyword"]).alias("star"))
+
+    return let(state, places)
+
+
+def _marked_arguments(args: Column, at: Column) -> Column:
+    none, slash, star = F.array().cast("array<string>"), F.array(F.lit("/")), F.array(F.lit("*"))
 
     def with_markers(arg: Column, index: Column) -> Column:
-        slash = F.when((leading > 0) & (index == leading), F.array(F.lit("/"))).otherwise(none)
-        star = F.when(needs_star & (index + 1 == first_keyword), F.array(F.lit("*"))).otherwise(none)
-        return F.concat(slash, star, F.array(render_argument(arg)))
+        before = F.when((at["leading"] > 0) & (index == at["leading"]), slash).otherwise(none)
+        return F.concat(before, F.when(index + 1 == at["star"], star).otherwise(none), F.array(render_argument(arg)))
 
-    tail = F.when((leading > 0) & (leading == F.size(kinds)), F.array(F.lit("/"))).otherwise(none)
+    tail = F.when((at["leading"] > 0) & (at["leading"] == F.size(args)), slash).otherwise(none)
     return F.concat(F.flatten(F.transform(args, with_markers)), tail)
 
 
 def signature_lines(name: Column | str, args: Column | str, return_type: Column | str) -> Column:
     """Lines of a ``def`` header; more than one argument puts each on its own line."""
-    name, args, return_type = col_of(name), col_of(args), col_of(return_type)
-    rendered = render_arguments(args)
+    name, return_type = col_of(name), col_of(return_type)
     returns = F.concat(F.coalesce(F.concat(F.lit(" -> "), return_type), F.lit("")), F.lit(":"))
     head = F.concat(F.lit("def "), name, F.lit("("))
-    single = F.array(F.concat(head, F.array_join(rendered, ", "), F.lit(")"), returns))
-    several = F.concat(
-        F.array(head),
-        F.transform(rendered, lambda r: F.concat(F.lit(INDENT), r, F.lit(","))),
-        F.array(F.concat(F.lit(")"), returns)),
-    )
-    return F.when(F.size(args) <= 1, single).otherwise(several)
+
+    def lines(given: Column) -> Column:
+        rendered = render_arguments(given["args"])
+        single = F.array(F.concat(head, F.array_join(rendered, ", "), F.lit(")"), returns))
+        several = F.concat(
+            F.array(head),
+            F.transform(rendered, lambda r: F.concat(F.lit(INDENT), r, F.lit(","))),
+            F.array(F.concat(F.lit(")"), returns)),
+        )
+        return F.when(F.size(given["args"]) <= 1, single).otherwise(several)
+
+    # A struct holds the arguments, as they may be null.
+    return let(F.struct(col_of(args).alias("args")), lines)
 
 
 def render_signature(name: Column | str, args: Column | str, return_type: Column | str) -> Column:

@@ -120,7 +120,7 @@ def type_imports(text: Column | str) -> Column:
     bare = F.regexp_replace(col_of(text), "\"[^\"]*\"", "")
     dotted = F.regexp_extract_all(bare, F.lit("((?:[A-Za-z_]\\w*\\.)+)[A-Za-z_]\\w*"), F.lit(1))
     modules = F.transform(dotted, lambda d: F.regexp_replace(d, "(\\.core)?\\.$", ""))
-    return F.array_sort(F.array_distinct(modules))
+    return F.sort_array(F.array_distinct(modules))
 
 
 __all__ = [

@@ -47,7 +47,7 @@ def merge_rules(packs: Sequence[DataFrame], keys: Sequence[str] = ("category", "
 def group_references(refs: DataFrame, keys: Sequence[str], ordinal: str, fields: Sequence[str], out: str = "references") -> DataFrame:
     """Ordered candidates per function; holds the overloads of one function only."""
     candidate = F.struct(F.col(ordinal), *[F.col(f) for f in fields])
-    return refs.groupBy(*keys).agg(F.array_sort(F.collect_list(candidate)).alias(out))
+    return refs.groupBy(*keys).agg(F.sort_array(F.collect_list(candidate)).alias(out))
 
 
 def match_references(

@@ -24,7 +24,7 @@ def join_distinct_names(df: DataFrame, by: Sequence[str], name: str, order: Sequ
     Every name is reduced to its first occurrence before names are collected.
     """
     first = df.groupBy(*by, name).agg(F.min(F.struct(*order)).alias("_first"))
-    entries = F.array_sort(F.collect_list(F.struct(F.col("_first"), F.col(name).alias("_name"))))
+    entries = F.sort_array(F.collect_list(F.struct(F.col("_first"), F.col(name).alias("_name"))))
     return first.groupBy(*by).agg(F.array_join(F.transform(entries, lambda e: e["_name"]), sep).alias(out))
 
 

@@ -56,7 +56,7 @@ def call_facts(t):
     unit = F.when(F.col("l_returnflag") == "A", "i").when(F.col("l_returnflag") == "N", "O!").otherwise("es#")
     calls = lines.groupBy(F.col("l_orderkey").alias("fn")).agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("ordinal", unit.alias("u")))), lambda x: x["u"]), ""
+            F.transform(F.sort_array(F.collect_list(F.struct("ordinal", unit.alias("u")))), lambda x: x["u"]), ""
         ).alias("fmt")
     ).withColumn("call_pos", F.lit(0))
     # An object whose type operand is unknown is checked to be text when its order line is even numbered.

@@ -650,6 +650,6 @@ def flt6(t):
 )
 def flt7(t):
     first = t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("f"))
-    listed = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("f", "event_type"))).alias("b"))
+    listed = first.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("f", "event_type"))).alias("b"))
     bases = listed.select("user_id", F.transform("b", lambda x: x["event_type"]).alias("bases"))
     return FL.bases_until(bases, "bases", "error", skip="view").select("user_id", F.array_join("bases", ",").alias("bases"))

@@ -466,7 +466,7 @@ def tx18(t):
 )
 def tx18_conversations(t):
     message = F.struct("turn", "role", "text")
-    grouped = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m"))
+    grouped = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("m"))
     shown = _text_of("m", lambda m: F.concat(m["role"], F.lit("="), m["text"]), " ")
     return grouped.select("conv_id", shown.alias("messages"))
 

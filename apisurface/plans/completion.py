@@ -57,7 +57,7 @@ def slot_arrays(slots: DataFrame) -> DataFrame:
     slot = F.struct(
         F.col("slot_index"), F.col("var").alias("name"), F.col("type"), F.col("refined"), F.col("default_value")
     )
-    grouped = slots.groupBy("fn", "call_pos").agg(F.array_sort(F.collect_list(slot)).alias("slots"))
+    grouped = slots.groupBy("fn", "call_pos").agg(F.sort_array(F.collect_list(slot)).alias("slots"))
     return grouped.withColumn(
         "slots",
         F.transform(
@@ -114,7 +114,7 @@ def parsed_arguments(parse_calls: DataFrame, slots: DataFrame) -> DataFrame:
     for part in parts[1:]:
         good = good.unionByName(part)
     return good.groupBy("fn").agg(
-        F.transform(F.array_sort(F.collect_list("_fact")), lambda e: F.struct(e["kind"].alias("kind"), e["args"].alias("args"))).alias("facts")
+        F.transform(F.sort_array(F.collect_list("_fact")), lambda e: F.struct(e["kind"].alias("kind"), e["args"].alias("args"))).alias("facts")
     )
 
 
@@ -130,7 +130,7 @@ def value_types(formats: DataFrame, items: DataFrame) -> DataFrame:
     done = None
     while True:
         calls = items.groupBy("fn", "expr_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("item_index", "type"))), lambda i: i["type"]).alias("given"),
+            F.transform(F.sort_array(F.collect_list(F.struct("item_index", "type"))), lambda i: i["type"]).alias("given"),
             F.bool_or(F.col("inner_id").isNotNull()).alias("waits"),
         )
         joined = todo.join(calls, ["fn", "expr_id"])

@@ -52,7 +52,7 @@ def overload_signatures(functions: DataFrame, overloads: DataFrame) -> DataFrame
     rows = parsed.select("fn", "position", good.alias("_ok"), F.col("_p.error").alias("_error"), shown.alias("_shown"), "text")
     status = chain_status(rows, ["fn"], "position", F.col("_ok"), F.coalesce("_error", F.lit("")))
     entry = F.struct("position", F.col("_shown").alias("signature"), F.col("text").alias("raw_signature"))
-    listed = rows.groupBy("fn").agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    listed = rows.groupBy("fn").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
     signatures = F.transform(
         "_entries",
         lambda e, i: F.struct(i.cast("int").alias("signature_index"), e["signature"].alias("signature"), e["raw_signature"].alias("raw_signature")),

@@ -57,4 +57,4 @@ def ordered_lines(t: Tables, *fields, **named) -> DataFrame:
     """Lines of each order as one ordered array; an order has a handful of lines."""
     extra = [F.col(f) for f in fields if f not in LINE_ORDER] + [v.alias(k) for k, v in named.items()]
     line = F.struct(*LINE_ORDER, *extra)
-    return t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
