@@ -76,6 +76,8 @@ def _quoted(value: str) -> str:
 
 # What a positional format of units alone has that needs a closer look: tuples, a second ``|``.
 NOT_FLAT = "(?s)[()$]|\\|.*\\|"
+# What a keyword format has in order: units, then those behind one ``|``, then those behind one ``$``.
+KEYWORD_FORM = "\\A[^()|$]*+(?:\\|[^()|$]*+(?:\\$[^()|$]*+)?)?\\z"
 
 
 def _argument_unit_map() -> Column:
@@ -185,7 +187,10 @@ def _structure_error(body: Column, tokens: Column, keywords: bool, blanks: Colum
         return F.coalesce(acc["error"], F.when(acc["depth"] > 0, F.lit("tuple is not closed")))
 
     folded = F.aggregate(tokens, start, step, finish)
-    if not keywords:
+    if keywords:
+        # Blank names matter where a ``$`` can come before they end.
+        folded = F.when(~F.regexp_like(body, F.lit(KEYWORD_FORM)) | ((blanks > 0) & F.contains(body, F.lit("$"))), folded)
+    else:
         folded = F.when(F.regexp_like(body, F.lit(NOT_FLAT)), folded)
     # Tokens and what is left over make up the body.
     return F.coalesce(F.when(F.array_join(tokens, "") != body, F.concat(F.lit("unknown unit: "), leftover)), folded)
@@ -202,7 +207,9 @@ def check_format(
     return let(read, lambda r: _format_error(r["body"], r["tokens"], slot_count, names))
 
 
-def _format_error(body: Column, tokens: Column, slot_count: Column | str | None, names: Column | str | None) -> Column:
+def _format_error(
+    body: Column, tokens: Column, slot_count: Column | str | None, names: Column | str | None, wide: Column | None = None
+) -> Column:
     if names is None:
         checks = [_structure_error(body, tokens, False, None)]
     else:
@@ -214,7 +221,8 @@ def _format_error(body: Column, tokens: Column, slot_count: Column | str | None,
             F.when(units != F.size(col_of(names)), F.lit("names do not match units")),
         ]
     if slot_count is not None:
-        wide = F.aggregate(tokens, F.lit(0), lambda total, token: total + F.coalesce(F.try_element_at(_argument_unit_map(), token)["slots"], F.lit(0)))
+        if wide is None:
+            wide = F.aggregate(tokens, F.lit(0), lambda total, token: total + F.coalesce(F.try_element_at(_argument_unit_map(), token)["slots"], F.lit(0)))
         checks.append(F.when(wide != col_of(slot_count), F.lit("arguments do not match units")))
     return F.coalesce(*checks)
 
@@ -230,10 +238,24 @@ def parse_format_arguments(fmt: Column | str, slots: Column | str, names: Column
     imply, and the default literal. Missing facts degrade to ``object`` and ``...``.
     """
     fmt, slots = col_of(fmt), col_of(slots)
+
+    def parsed(read: Column) -> Column:
+        tokens, items = F.transform(read["items"], lambda i: i["token"]), read["items"]
+        wide = F.aggregate(items, F.lit(0), lambda total, i: total + F.coalesce(i["unit"]["slots"], F.lit(0)))
+        error = let(F.struct(tokens.alias("tokens")), lambda r: _format_error(read["body"], r["tokens"], F.size(slots), names, wide))
+        args = _flat_arguments(items, slots, names)
+        if names is None:
+            args = F.when(F.contains(fmt, F.lit("(")), _nested_arguments(items, slots)).otherwise(args)
+        return let(error, lambda e: F.struct(F.when(e.isNull(), args).alias("args"), e.alias("error")))
+
+    return let(F.struct(format_body(fmt).alias("body"), _with_units(format_tokens(fmt), _argument_unit_map()).alias("items")), parsed)
+
+
+def _nested_arguments(items: Column, slots: Column) -> Column:
+    """Arguments of a positional format with tuples: one fold over its tokens."""
     start = F.struct(
         F.lit(0).alias("slot"),
         F.lit(0).alias("section"),
-        F.lit(0).alias("position"),
         F.array().cast("array<int>").alias("counts"),
         F.lit("").alias("type"),
         F.lit("").alias("default"),
@@ -241,7 +263,6 @@ def parse_format_arguments(fmt: Column | str, slots: Column | str, names: Column
         F.array().cast("array<string>").alias("slot_names"),
         F.array().cast(f"array<{S.ARGUMENT}>").alias("args"),
     )
-    blank_names = F.lit(0) if names is None else leading_blanks(names)["count"]
 
     def bump(counts: Column) -> Column:
         rest = F.slice(counts, 2, F.greatest(F.size(counts) - 1, F.lit(0)))
@@ -282,17 +303,7 @@ def parse_format_arguments(fmt: Column | str, slots: Column | str, names: Column
         new_names = F.when(is_unit, F.concat(acc["slot_names"], F.array(receiver["name"]))).otherwise(acc["slot_names"])
         complete = (is_unit & (depth == 0)) | (closes & (depth == 1))
 
-        if names is None:
-            name, kind = F.array_join(F.array_distinct(new_names), "_"), F.lit(S.POSITIONAL_ONLY)
-        else:
-            given = F.try_element_at(col_of(names), acc["position"] + 1)
-            unnamed = acc["position"] < blank_names
-            name = F.when(unnamed, receiver["name"]).otherwise(given)
-            kind = (
-                F.when(unnamed, F.lit(S.POSITIONAL_ONLY))
-                .when(acc["section"] == 2, F.lit(S.KEYWORD_ONLY))
-                .otherwise(F.lit(S.POSITIONAL_OR_KEYWORD))
-            )
+        name, kind = F.array_join(F.array_distinct(new_names), "_"), F.lit(S.POSITIONAL_ONLY)
         argument = F.struct(
             name.alias("name"),
             new_type.alias("type"),
@@ -304,7 +315,6 @@ def parse_format_arguments(fmt: Column | str, slots: Column | str, names: Column
         return F.struct(
             (acc["slot"] + F.coalesce(unit["slots"], F.lit(0))).alias("slot"),
             F.when(token == "|", 1).when(token == "$", 2).otherwise(acc["section"]).alias("section"),
-            (acc["position"] + F.when(complete, 1).otherwise(0)).alias("position"),
             new_counts.alias("counts"),
             F.when(keep, F.lit("")).otherwise(new_type).alias("type"),
             F.when(keep, F.lit("")).otherwise(new_default).alias("default"),
@@ -313,46 +323,49 @@ def parse_format_arguments(fmt: Column | str, slots: Column | str, names: Column
             F.when(complete, F.concat(acc["args"], F.array(argument))).otherwise(acc["args"]).alias("args"),
         )
 
-    def parsed(read: Column) -> Column:
-        tokens, items = F.transform(read["items"], lambda i: i["token"]), read["items"]
-        error = let(F.struct(tokens.alias("tokens")), lambda r: _format_error(read["body"], r["tokens"], F.size(slots), names))
-        args = F.aggregate(items, start, step, lambda acc: acc["args"])
-        if names is None:
-            args = F.when(F.contains(fmt, F.lit("(")), args).otherwise(_flat_arguments(items, slots))
-        return let(error, lambda e: F.struct(F.when(e.isNull(), args).alias("args"), e.alias("error")))
-
-    return let(F.struct(format_body(fmt).alias("body"), _with_units(format_tokens(fmt), _argument_unit_map()).alias("items")), parsed)
+    return F.aggregate(items, start, step, lambda acc: acc["args"])
 
 
-def _flat_arguments(items: Column, slots: Column) -> Column:
-    """Arguments of a positional format without tuples: one per unit, found by position."""
+def _flat_arguments(items: Column, slots: Column, names: Column | str | None = None) -> Column:
+    """Arguments of a well-formed format without tuples, which keyword formats never have: one per unit, found by position."""
     units = F.filter(items, lambda i: i["unit"].isNotNull())
-    bar = F.array_position(F.transform(items, lambda i: i["token"]), "|")
+    marks = F.transform(items, lambda i: i["token"])
+    state = F.struct(
+        F.transform(units, lambda i: i["unit"]["slots"]).alias("widths"),
+        F.array_position(marks, "|").alias("bar"),
+        (F.lit(0) if names is None else F.array_position(marks, "$")).alias("dollar"),
+        (F.lit(0) if names is None else leading_blanks(names)["count"]).alias("blanks"),
+    )
 
-    def with_offsets(widths: Column) -> Column:
+    def with_state(at: Column) -> Column:
         def argument(item: Column, index: Column) -> Column:
             unit = item["unit"]
-            offset = F.aggregate(F.slice(widths, F.lit(1), index), F.lit(0), lambda total, w: total + w)
+            offset = F.aggregate(F.slice(at["widths"], F.lit(1), index), F.lit(0), lambda total, w: total + w)
 
             def build(first: Column) -> Column:
                 receiver = F.try_element_at(slots, first + unit["receiver"])
-                resolved = F.when(
-                    unit["resolved"], F.coalesce(F.try_element_at(slots, first)["type"], F.lit("object"))
-                ).otherwise(unit["type"])
+                resolved = F.when(unit["resolved"], F.coalesce(F.try_element_at(slots, first)["type"], F.lit("object"))).otherwise(unit["type"])
                 refined = F.coalesce(receiver["refined"], F.lit("object"))
-                optional = (bar > 0) & (index + 1 >= bar)
+                optional = (at["bar"] > 0) & (index + 1 >= at["bar"])
+                name, kind = receiver["name"], F.lit(S.POSITIONAL_ONLY)
+                if names is not None:
+                    unnamed = index < at["blanks"]
+                    name = F.when(unnamed, name).otherwise(F.try_element_at(col_of(names), index + 1))
+                    # A ``$`` stands behind the ``|``.
+                    only = (at["dollar"] > 0) & (index + 2 >= at["dollar"])
+                    kind = F.when(unnamed, kind).when(only, F.lit(S.KEYWORD_ONLY)).otherwise(F.lit(S.POSITIONAL_OR_KEYWORD))
                 return F.struct(
-                    receiver["name"].alias("name"),
+                    name.alias("name"),
                     F.when(resolved == "object", refined).otherwise(resolved).alias("type"),
                     F.when(optional, F.coalesce(receiver["default_value"], F.lit("..."))).alias("default_value"),
-                    F.lit(S.POSITIONAL_ONLY).alias("kind"),
+                    kind.alias("kind"),
                 )
 
             return let(offset + 1, build)
 
         return F.transform(units, argument)
 
-    return let(F.transform(units, lambda i: i["unit"]["slots"]), with_offsets)
+    return let(state, with_state)
 
 
 def value_format_type(fmt: Column | str, arg_types: Column | str | None = None) -> Column:

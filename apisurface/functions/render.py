@@ -32,9 +32,9 @@ def _marker_places(args: Column) -> Column:
     """Struct(leading, star): arguments before ``/`` (0: no such) and place, from 1, of the one behind ``*`` (null: no such)."""
     state = F.struct(
         F.size(args).alias("size"),
-        F.array_position(F.transform(args, lambda a: a["kind"] != S.POSITIONAL_ONLY), True).alias("others"),
-        F.array_position(F.transform(args, lambda a: a["kind"]), S.KEYWORD_ONLY).alias("keyword"),
-        F.array_position(F.transform(args, lambda a: a["kind"]), S.VAR_POSITIONAL).alias("variadic"),
+        F.array_position(F.transform(args["kind"], lambda k: k != S.POSITIONAL_ONLY), True).alias("others"),
+        F.array_position(args["kind"], S.KEYWORD_ONLY).alias("keyword"),
+        F.array_position(args["kind"], S.VAR_POSITIONAL).alias("variadic"),
     )
 
     def places(s: Column) -> Column:
@@ -47,12 +47,17 @@ def _marker_places(args: Column) -> Column:
 def _marked_arguments(args: Column, at: Column) -> Column:
     none, slash, star = F.array().cast("array<string>"), F.array(F.lit("/")), F.array(F.lit("*"))
 
-    def with_markers(arg: Column, index: Column) -> Column:
-        before = F.when((at["leading"] > 0) & (index == at["leading"]), slash).otherwise(none)
-        return F.concat(before, F.when(index + 1 == at["star"], star).otherwise(none), F.array(render_argument(arg)))
+    def with_markers(texts: Column) -> Column:
+        # Positional-only arguments come before the ``*``.
+        lead, size = at["leading"], F.size(texts)
+        upto = F.coalesce(at["star"] - 1, size).cast("int")
+        rest = F.concat(
+            F.slice(texts, lead + 1, upto - lead), F.when(at["star"].isNotNull(), star).otherwise(none), F.slice(texts, upto + 1, size - upto)
+        )
+        rest = F.when(at["star"].isNull() & (lead == 0), texts).otherwise(F.when(lead < size, rest).when(lead >= size, none))
+        return F.when(lead > 0, F.concat(F.slice(texts, F.lit(1), lead), slash, rest)).otherwise(rest)
 
-    tail = F.when((at["leading"] > 0) & (at["leading"] == F.size(args)), slash).otherwise(none)
-    return F.concat(F.flatten(F.transform(args, with_markers)), tail)
+    return let(F.transform(args, render_argument), with_markers)
 
 
 def signature_lines(name: Column | str, args: Column | str, return_type: Column | str) -> Column:
@@ -76,7 +81,20 @@ def signature_lines(name: Column | str, args: Column | str, return_type: Column
 
 
 def render_signature(name: Column | str, args: Column | str, return_type: Column | str) -> Column:
-    return F.array_join(signature_lines(name, args, return_type), "\n")
+    """The lines of ``signature_lines`` as one text, put together without an array of lines."""
+    name, return_type = col_of(name), col_of(return_type)
+    returns = F.concat(F.lit(")"), F.coalesce(F.concat(F.lit(" -> "), return_type), F.lit("")), F.lit(":"))
+    head = F.concat(F.lit("def "), name, F.lit("("))
+
+    def text(given: Column) -> Column:
+        rendered = render_arguments(given["args"])
+        # A line without text, for want of a name, is left out.
+        single = F.coalesce(F.concat(head, F.array_join(rendered, ", "), returns), F.lit(""))
+        lines = F.array_join(F.transform(rendered, lambda r: F.concat(F.lit(INDENT), r, F.lit(",\n"))), "")
+        several = F.concat(F.coalesce(F.concat(head, F.lit("\n")), F.lit("")), lines, returns)
+        return F.when(F.size(given["args"]) <= 1, single).otherwise(several)
+
+    return let(F.struct(col_of(args).alias("args")), text)
 
 
 def indent(lines: Column | str, depth: Column | int = 1) -> Column:

@@ -29,7 +29,7 @@ from apisurface.operators.projections import (
     with_function_id,
 )
 from apisurface.operators.windows import last_definition
-from apisurface.session import cut_lineage
+from apisurface.session import cut_lineage, sized
 
 
 def resolve_slots(slots: DataFrame, checks: DataFrame, rules: DataFrame) -> DataFrame:
@@ -165,6 +165,13 @@ def infer_return_types(
     returns and items and ``rhs_id`` of assignments name), item_index, pos, expr_kind, expr_name and, where there, expr_detail and
     inner_id. An item that cannot be inferred counts as ``typing.Any``. Functions of ``without_none`` (fn) lose returns of ``None``.
     """
+    return _return_types(returns, assigns, sized(rules, "rules"), items, without_none)
+
+
+def _return_types(
+    returns: DataFrame, assigns: DataFrame, rules: DataFrame, items: DataFrame | None, without_none: DataFrame | None
+) -> DataFrame:
+    """``infer_return_types`` with rules of known size."""
     objects = rules.where(F.col("category") == R.OBJECT).select("name", "type")
     calls = rules.where(F.col("category") == R.CALL).select("name", "type")
     no_detail = F.lit(None).cast("string")
@@ -275,14 +282,15 @@ def complete_functions(
     argument of a single-argument function name it ``arg``. A convention reads the parse facts of its own kinds only. Functions with
     flags for positional and keyword arguments that read a delimited text return no ``None``.
     """
-    rules = cut_lineage(rules)
+    # Rules of known size are broadcast while they are few, so slots keep the partitions of their functions.
+    rules = sized(rules, "rules")
     arguments = parsed_arguments(parse_calls, resolve_slots(slots, checks, rules))
     without_none = None
     if "text" in parse_calls.columns:
         arguments = cut_lineage(arguments)
         reads = arguments.where(F.exists("facts", lambda f: f["kind"] == DELIMITED)).join(functions.select("fn", "flags"), "fn")
         without_none = reads.where(call_convention(F.col("flags")) == "varargs_keywords")
-    types = infer_return_types(returns, assigns, rules, items, without_none)
+    types = _return_types(returns, assigns, rules, items, without_none)
     facts = functions.join(arguments, "fn", "left").join(types, "fn", "left")
     # The one argument of a single-argument function is refined by the checks on it.
     uses = rules.where(F.col("category") == R.OBJECT_USE).select("name", "type")
