@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from apisurface import schemas as S
 from apisurface.functions.types import union_of_texts
+from apisurface.session import sized
 from apisurface.skew import last_before
 
 def apply_rules(
@@ -132,12 +133,21 @@ def locate_ranges(
     # Of open ranges of one start the deepest counts.
     starts = named.where(F.col("_high").isNull() & F.col("_low").isNotNull()).groupBy(*group, "_low")
     starts = starts.agg(F.max_by("_owner", "_deep").alias("_owner")).select(*group, F.col("_low").alias("_at"), "_owner")
-    asked = slim.where(F.col("_at").isNotNull()).select(*group, "_at", F.struct(*point_id).alias("_id"))
-    both = asked.unionByName(starts, allowMissingColumns=True).withColumn("_kind", F.col("_id").isNotNull().cast("int"))
-    last = last_before(both, group, ["_at", "_kind"], F.col("_owner"), "_open")
-    opened = last.where(F.col("_id").isNotNull() & F.col("_open").isNotNull()).select("_id.*", "_open")
-    least = F.struct(F.lit(1).alias("open"), *[F.lit(0).alias(c) for c in ("size", "deep", "low")])
-    claims = claims.unionByName(opened.select(*point_id, F.col("_open").alias("_owner"), least.cast(claims.schema["_claim"].dataType).alias("_claim")))
+    # Points are put in order with open ranges only where their group has such.
+    marked = starts.select(F.lit(True).alias("_opens"), *[F.col(g).alias(f"_open_{g}") for g in group]).distinct()
+    marked = sized(marked, "open_groups")
+    if not marked.isEmpty():
+        asked = slim.where(F.col("_at").isNotNull()).select(*group, "_at", F.struct(*point_id).alias("_id"))
+        same = F.col("_opens")
+        for g in group:
+            same = same & F.col(g).eqNullSafe(F.col(f"_open_{g}"))
+        asked = asked.join(marked, same, "left_semi")
+        both = asked.unionByName(starts, allowMissingColumns=True).withColumn("_kind", F.col("_id").isNotNull().cast("int"))
+        last = last_before(both, group, ["_at", "_kind"], F.col("_owner"), "_open")
+        opened = last.where(F.col("_id").isNotNull() & F.col("_open").isNotNull()).select("_id.*", "_open")
+        least = F.struct(F.lit(1).alias("open"), *[F.lit(0).alias(c) for c in ("size", "deep", "low")])
+        least = least.cast(claims.schema["_claim"].dataType).alias("_claim")
+        claims = claims.unionByName(opened.select(*point_id, F.col("_open").alias("_owner"), least))
     found = points.join(claims.groupBy(*point_id).agg(F.min_by("_owner", "_claim").alias("_owner")), point_id, "left")
     picked = [F.col("_owner").getField(c).alias(c) for c in (low, high, *rest)]
     return found.select(

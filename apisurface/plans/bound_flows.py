@@ -17,7 +17,7 @@ from apisurface.plans import providers as PV
 from apisurface.plans import rendering as RN
 from apisurface.plans.bound_rows import order_functions
 from apisurface.plans.registry import LINE_ORDER, LINE_ORDER_SQL, bound
-from apisurface.session import shared_folder
+from apisurface.session import shared_folder, sized
 from apisurface.skew import running_sum
 from apisurface.sources import readers as RD
 from apisurface.sources import writers as WR
@@ -33,7 +33,8 @@ def call_facts(t):
         ["l_orderkey"], [*LINE_ORDER, "l_linestatus", "l_returnflag"], bucketed=False,
     )
     width = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
-    placed = running_sum(lines, ["l_orderkey"], ["ordinal"], width, "_before", include_current=False, bucketed=False)
+    # The order of the ordinals once more, so that rows are sorted once for both.
+    placed = running_sum(lines, ["l_orderkey"], [*LINE_ORDER, "l_linestatus", "l_returnflag"], width, "_before", include_current=False, bucketed=False)
     slots = placed.select(
         F.col("l_orderkey").alias("fn"),
         F.lit(0).alias("call_pos"),
@@ -422,7 +423,9 @@ def provider_chain(t):
     foreign = (F.col("o_orderpriority") == "5-LOW") & (key % 7 == 0)
     no = F.lit(False)
     customers = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_mktsegment")
-    orders = t.orders.join(customers, "o_custkey")
+    # Members, ranges, definitions and texts all read these rows, so they are joined once.
+    fields = ["o_orderkey", "o_orderpriority", "o_orderstatus", "c_acctbal", "c_mktsegment"]
+    orders = sized(t.orders.join(customers, "o_custkey").select(*fields), "members")
     members = orders.select(
         key.alias("fn"), F.col("o_orderpriority").alias("module_name"), F.lit(None).cast("string").alias("class_name"),
         name.alias("function_name"), F.when(foreign, F.lit("other")).otherwise(F.col("o_orderpriority")).alias("defined_in"),

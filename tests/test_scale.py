@@ -7,11 +7,15 @@ import tracemalloc
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from apisurface.functions import formats
+from apisurface.functions.rule_packs import rule_table
 from apisurface.functions.signatures import parse_delimited_signature, parse_overload
 from apisurface.functions.types import evaluate_once, split_top_level
+from apisurface.operators import joins
 from apisurface.operators.aggregates import floor_percentiles
+from apisurface.operators.joins import merge_rules
 from apisurface.operators.projections import flatten_tree
-from apisurface.plans import registry
+from apisurface.plans import completion, registry
 from apisurface.sources import json_blocks, stubs, trees
 
 
@@ -118,3 +122,43 @@ def test_shuffles_of_stored_rows_go_at_once(spark):
     before = spark.conf.get(CLEANUP)
     assert stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "x").count() == 7
     assert spark.conf.get(CLEANUP) == before
+
+
+def test_rules_are_not_shuffled_with_the_slots(spark):
+    rules = merge_rules([rule_table(spark)])
+    slots = spark.range(10).select(
+        F.col("id").alias("fn"), F.lit(0).alias("call_pos"), F.lit(0).alias("slot_index"), F.lit("v").alias("var"),
+        F.when(F.col("id") % 2 == 0, F.lit("&PyList_Type")).alias("operand"), F.lit(None).cast("string").alias("default_value"),
+    )
+    functions = slots.select("fn", F.lit("m").alias("module_name"), F.lit(None).cast("string").alias("class_name"), F.lit("f").alias("function_name"), F.lit(1).alias("flags"))
+    calls = slots.select("fn", "call_pos", F.lit("O!").alias("fmt"))
+    checks = slots.select("fn", "var", F.lit("PyUnicode_Check").alias("call_name"))
+    returns = slots.select("fn", F.lit(1).alias("pos"), F.lit("call").alias("expr_kind"), F.lit("PyLong_FromLong").alias("expr_name"))
+    assigns = returns.limit(0).select("fn", F.lit("").alias("var"), "pos", F.col("expr_kind").alias("rhs_kind"), F.col("expr_name").alias("rhs_name"))
+    done = completion.complete_functions(functions, calls, slots, checks, returns, assigns, rules)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "hashpartitioning(_type_object" not in plan and "hashpartitioning(_converter" not in plan
+
+
+def test_keyword_formats_are_read_without_a_fold_over_arguments(spark):
+    rows = spark.createDataFrame([("i|z$O", ["", "b", "c"], [("x", None, None, None)] * 3)], f"f string, n array<string>, s array<{formats.SLOT}>")
+    parsed = rows.select(formats.parse_format_arguments("f", "s", "n").alias("p"))
+    assert "slot_names" not in parsed._jdf.queryExecution().analyzed().toString()
+    assert [(a.name, a.kind, a.default_value) for a in rows.select(formats.parse_format_arguments("f", "s", "n").alias("p")).first().p.args] == [
+        ("x", "POSITIONAL_ONLY", None), ("b", "POSITIONAL_OR_KEYWORD", "..."), ("c", "KEYWORD_ONLY", "..."),
+    ]
+
+
+def test_points_are_ordered_only_where_a_group_has_open_ranges(spark, monkeypatch):
+    asked = []
+    real = joins.last_before
+    monkeypatch.setattr(joins, "last_before", lambda df, *rest: asked.append(df) or real(df, *rest))
+    points = spark.createDataFrame([(1, "a", 5), (2, "b", 5), (3, None, 5)], "fn int, binary string, address long")
+    text = "binary string, low_pc long, high_pc long, name string"
+    closed = spark.createDataFrame([("a", 0, 10, "x"), ("b", 0, 10, "y")], text)
+    found = joins.locate_ranges(points, closed, ["binary"], "address", ["fn"])
+    assert not asked and {r.fn: r.name for r in found.collect()} == {1: "x", 2: "y", 3: None}
+    opened = closed.unionByName(spark.createDataFrame([("b", 1, None, "z"), (None, 2, None, "n")], text))
+    found = joins.locate_ranges(points, opened, ["binary"], "address", ["fn"])
+    assert {r.fn: r.name for r in found.collect()} == {1: "x", 2: "y", 3: "n"}
+    assert {r.binary for r in asked[0].where("_kind = 1").collect()} == {"b", None}
