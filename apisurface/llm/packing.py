@@ -66,14 +66,21 @@ class WordTokenizer:
 
     def __call__(self, text: str | None) -> np.ndarray:
         # Only the blank and the line feed cut words; other white space is left to the tokenizer.
-        words = [w for w in (text or "").replace("\n", " ").split(" ") if w]
+        words = (text or "").replace("\n", " ").split(" ")
         cache = self.cache
-        if new := [w for w in dict.fromkeys(words) if w not in cache]:
+        # One look-up of each word, unless some are new; two blanks in a row enclose an empty word, which has no ids.
+        found = list(map(cache.get, words))
+        if None in found:
+            new = dict.fromkeys(w for w, ids in zip(words, found, strict=True) if ids is None)
             if len(cache) + 2 * len(new) > self.cache_words:
                 cache.clear()
-                new = list(dict.fromkeys(words))
-            self.learn(new)
-        return np.frombuffer(b"".join([*map(cache.__getitem__, words), self.end]), "<u4")
+                new = dict.fromkeys(words)
+            cache[""] = b""
+            if new := [w for w in new if w]:
+                self.learn(new)
+            found = list(map(cache.__getitem__, words))
+        found.append(self.end)
+        return np.frombuffer(b"".join(found), "<u4")
 
     def learn(self, words: list[str]) -> None:
         """Put words into the cache. A word of letters is one token run, and one sign behind it a run of its own."""

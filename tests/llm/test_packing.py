@@ -83,3 +83,14 @@ def test_level_has_the_least_sum_of_squares():
         least = min(map(after, options))
         assert packer.level_for(size) == max(h for h in options if after(h) == least)
         list(packer.place((i, 0, np.zeros(size, np.uint32), size)))
+
+
+def test_known_words_are_looked_up_once():
+    class Known(dict):
+        def __contains__(self, word):
+            raise AssertionError("looked up twice")
+
+    tokens = packing.WordTokenizer(PATH, 2)
+    first = tokens("a  b\n\nc ").tolist()
+    tokens.cache = Known(tokens.cache)
+    assert tokens(" c\nb").tolist() == [*first[2:0:-1], 2] and tokens(None).tolist() == tokens(" ").tolist() == [2]
