@@ -15,7 +15,7 @@ from apisurface.operators.windows import with_ordinal
 from apisurface.ordered import with_global_rank
 from apisurface.sources.json_blocks import json_objects
 from apisurface.sources.stubs import module_of, stub_functions
-from apisurface.sources.trees import list_tree, read_tree
+from apisurface.sources.trees import list_tree, read_listed, read_tree
 
 REQUIRED_TEXT = [
     "function_id", "module_name", "function_name", "provider",
@@ -186,11 +186,10 @@ def read_reference_stubs(spark: SparkSession, path: str, format: str = "json") -
     describe is an error that names it.
     """
     if format == "pyi":
-        files = read_tree(spark, path, ".pyi")
-        texts = files.select(F.col("relative_path").alias("file"), F.decode("content", "UTF-8").alias("text"))
+        listed = list_tree(spark, path).where(F.endswith("relative_path", F.lit(".pyi")))
+        texts = read_listed(listed, path).select(F.col("relative_path").alias("file"), F.decode("content", "UTF-8").alias("text"))
         rows = stub_functions(texts).withColumn("module_name", module_of("file"))
-        described = list_tree(spark, path).where(F.endswith("relative_path", F.lit(".pyi")))
-        described = described.select(F.col("relative_path").alias("file"), module_of("relative_path").alias("module_name"))
+        described = listed.select(F.col("relative_path").alias("file"), module_of("relative_path").alias("module_name"))
     else:
         rows = spark.read.schema(REFERENCES).format(format).load(path)
         described = rows.select("module_name", "file").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from apisurface import schemas as S
-from apisurface.sources.trees import write_tree
+from apisurface.sources.trees import write_line_files
 
 
 def require_signatures(df: DataFrame, signatures: str = "signatures", name: str = "function_id") -> DataFrame:
@@ -39,12 +39,6 @@ def write_summary(df: DataFrame, path: str, rows: DataFrame | None = None, file:
         rows.select(F.col(file).alias("input_file")).distinct().write.mode(mode).json(f"{path.rstrip('/')}-files")
 
 
-def module_file(module: Column, is_package: Column) -> Column:
-    """Relative path of a module text: ``a/b/__init__`` for a package, ``a/b`` for a leaf."""
-    folder = F.replace(module, F.lit("."), F.lit("/"))
-    return F.when(is_package, F.concat(folder, F.lit("/__init__"))).otherwise(folder)
-
-
 def write_module_texts(
     lines: DataFrame, path: str, module: str = "module", order: str = "position", line: str = "line", mode: str = "errorifexists"
 ) -> None:
@@ -60,15 +54,13 @@ def write_module_texts(
 def write_module_files(
     lines: DataFrame, root: str, is_package: Column, module: str = "module", order: str = "position", line: str = "line", suffix: str = ".pyi"
 ) -> int:
-    """One file per module below ``root``, where ``module_file`` puts it; the number of files.
+    """One file per module below ``root``, where ``module_path`` puts it; the number of files.
 
-    The lines of a module make one text, as the text of a module is one file.
+    The lines of a module make one text, as the text of a module is one file. They are sorted as rows and go to the file from there,
+    so the text of a module is never one value.
     """
-    item = F.struct(F.col(order).alias("at"), F.col(line).alias("line"))
-    texts = lines.groupBy(F.col(module).alias("module")).agg(F.sort_array(F.collect_list(item)).alias("items"), F.bool_or(is_package).alias("package"))
-    body = F.concat(F.array_join(F.transform("items", lambda i: i["line"]), "\n"), F.lit("\n"))
-    files = texts.select(F.concat(module_file(F.col("module"), F.col("package")), F.lit(suffix)).alias("path"), body.alias("content"))
-    return write_tree(files, root)
+    rows = lines.select(F.col(module).alias("module"), is_package.alias("package"), F.col(order).alias("at"), F.col(line).alias("line"))
+    return write_line_files(rows.repartition("module").sortWithinPartitions("module", "at", "line"), root, suffix)
 
 
 def append_evaluations(

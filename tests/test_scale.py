@@ -162,3 +162,47 @@ def test_points_are_ordered_only_where_a_group_has_open_ranges(spark, monkeypatc
     found = joins.locate_ranges(points, opened, ["binary"], "address", ["fn"])
     assert {r.fn: r.name for r in found.collect()} == {1: "x", 2: "y", 3: "n"}
     assert {r.binary for r in asked[0].where("_kind = 1").collect()} == {"b", None}
+
+
+def test_plain_stub_texts_are_cut_into_statements(spark, monkeypatch):
+    text = (
+        '"""Docs (\n"""\n@a.b\n# (\n\n@c(\n  1, "x"\n)\nclass A(B[int]):\n    @overload\n    async def f(\n        self,  # it\'s\n        b: "C)"|None = -1,\n    ) -> dict[str,int]: ...\n'
+        "    x: int = 3\n    @d\n    @e('\"', k = [ 2, (3 ,), ])\n    def g(self, *, t: tuple[int, ...] = (5,), **kw): ...\ndef h(x = not 1, y: r'a' = .5 , /) -> X.Y: return {\n 1: 2}\n"
+    )
+    deep = "def d(x=((((((((((1)))))))))) ): ...\nclass E:\n    def e(self, ): ...\n"
+    files = spark.createDataFrame([("m", text), ("n", deep), ("o", "x = )\ndef p(): ..."), ("q", "@r\n# end"), ("s", None)], "file string, text string")
+    whole = [
+        ("m", "", "h", "def h(x=not 1, y: r'a'=.5, /) -> X.Y: ...", 19),
+        ("m", "A", "f", "@overload\nasync def f(self, b: 'C)' | None=-1) -> dict[str, int]: ...", 11),
+        ("m", "A", "g", "@d\n@e('\"', k=[2, (3,)])\ndef g(self, *, t: tuple[int, ...]=(5,), **kw): ...", 18),
+    ]
+    rest = [("n", "", "d", "def d(x=((((((((((1))))))))))): ...", 1), ("n", "E", "e", "def e(self,): ...", 3), ("o", "", "p", "def p(): ...", 2)]
+    found = lambda df: sorted(tuple(r) for r in stubs.stub_functions(df).collect())
+    assert found(files) == whole + rest
+    heads = spark.createDataFrame([(s,) for s in ("a , b", "x : = 1", "* * x", "f( (1 ,), 'b' , )", "x = lambda y : 1", "( - 1, )", "[ a | - b ** c ]", "\"it's\" 'q\"' \"z\"")], "t string")
+    spaced = heads.select("t", stubs.spaced_text(F.col("t")).alias("new"), stubs.spaced_tokens(stubs._tokens(F.col("t"))).alias("old")).collect()
+    assert [r.new for r in spaced] == [r.old for r in spaced]
+    # Lines are made of texts alone whose brackets are deep or do not match.
+    seen = []
+    real = stubs.stub_lines
+    monkeypatch.setattr(stubs, "stub_lines", lambda df, *a: (seen.append(df.count()), real(df, *a))[1])
+    assert found(files.where("file = 'm'")) == whole and not seen
+    assert found(files.where("file <> 's'")) == whole + rest and seen == [2]
+
+
+def test_lines_of_a_module_go_to_its_file_as_rows(spark, tmp_path, monkeypatch):
+    from apisurface.sources import writers
+
+    plans = []
+    real = trees.in_arrow
+    monkeypatch.setattr(trees, "in_arrow", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df, *a))[1])
+    rows = [("a.b", i, f"l{i % 7}\né" if i % 5 else None, i == 40) for i in range(60)] + [("a.c", 2, "y", None), ("a.c", 1, "z", None), ("a.c", 1, "x", None), ("d", 0, None, False)]
+    lines = spark.createDataFrame(rows, "module string, position int, line string, package boolean").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert writers.write_module_files(lines, str(tmp_path), F.col("package")) == 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert got == {"a/b/__init__.pyi": "".join(f"l{i % 7}\né\n" for i in range(60) if i % 5), "a/c.pyi": "x\nz\ny\n", "d.pyi": "\n"}
+    assert plans and not any("collect_list" in p for p in plans)
